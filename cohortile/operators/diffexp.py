@@ -14,6 +14,7 @@ from cohortile.functions.sizing import one_row, small_side
 from cohortile.functions.special import digamma_udf, prior_df_udf, t_two_sided_udf, trigamma_udf
 from cohortile.operators import ranks
 from cohortile.operators.matrix import log_cpm
+from cohortile.session import cut_lineage
 
 
 def group_means_fit(expr: DataFrame, *, feature: str = "feature", group: str = "grp", value: str = "value",
@@ -128,6 +129,9 @@ def de_table(counts: DataFrame, contrasts: Sequence[tuple[str, str, str]], *, fe
     ``max_rows`` is a proven bound on features x contrasts (counted when absent).
     """
     fit = group_means_fit(log_cpm(counts, sample, value, value, by), feature=feature, group=group, value=value, by=by)
+    if moderated:
+        # three readers follow (median, moments, contrasts); the fit is one row per feature and group
+        fit = cut_lineage(fit)
     est = contrast_estimates(fit, contrasts, feature=feature, group=group, by=by)
     if moderated:
         prior = variance_prior(fit, feature=feature, by=by, max_rows=max_rows)

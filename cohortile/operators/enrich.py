@@ -38,11 +38,6 @@ def map_sets(sets: DataFrame, features: DataFrame, *, feature: str = "feature",
     return present.join(small_side(sizes), "gs_name").select("gs_name", feature, "set_size")
 
 
-def with_universe(df: DataFrame, sample: str) -> DataFrame:
-    """Number of features per sample, joined back from an aggregate."""
-    return df.join(small_side(df.groupBy(sample).agg(F.count(F.lit(1)).alias("n_features"))), sample)
-
-
 def ssgsea(scores: DataFrame, mapped: DataFrame, *, alpha: float = 0.25, normalise: bool = True,
            feature: str = "feature", sample: str = "sample", value: str = "value",
            max_rows: int | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
@@ -70,12 +65,10 @@ def ssgsea(scores: DataFrame, mapped: DataFrame, *, alpha: float = 0.25, normali
 
 
 def normalise_by_range(scores: DataFrame, score: str = "es", by: Sequence[str] = ("gs_name",)) -> DataFrame:
-    """Score over (max - min) of its set; NULL when the set's scores are all equal."""
-    ends = scores.groupBy(*by).agg((F.max(score) - F.min(score)).alias("_span"))
-    return (
-        scores.join(small_side(ends), list(by))
-        .withColumn("score", F.try_divide(F.col(score), F.nullif(F.col("_span"), F.lit(0.0)))).drop("_span")
-    )
+    """Score over (max - min) of its set; NULL when the set's scores are all equal. One row per sample and set."""
+    w = Window.partitionBy(*by)
+    span = F.nullif(F.max(score).over(w) - F.min(score).over(w), F.lit(0.0))
+    return scores.withColumn("score", F.try_divide(F.col(score), span))
 
 
 @F.pandas_udf(ArrayType(DoubleType()))

@@ -21,14 +21,17 @@ def sample_names(samples: DataFrame, sample: str = "sample"):
 
 
 def densify(cells: DataFrame, samples: DataFrame, feature: str = "feature", sample: str = "sample",
-            value: str = "value", fill: float = 0.0) -> DataFrame:
+            value: str = "value", fill: float = 0.0, unique: bool = False) -> DataFrame:
     """Every (feature, sample) of the grid; repeated cells are summed, absent ones filled.
 
+    ``unique`` says that cells do not repeat, which saves the summing shuffle.
     Absent samples are appended inside each feature's own list, so only existing cells
     are shuffled and no feature x sample product is joined.
     """
     known = samples.select(sample).distinct()
-    total = cells.join(known, sample, "left_semi").groupBy(feature, sample).agg(F.sum(value).alias(value))
+    total = cells.join(known, sample, "left_semi")
+    if not unique:
+        total = total.groupBy(feature, sample).agg(F.sum(value).alias(value))
     held = total.groupBy(feature).agg(F.collect_list(F.struct(sample, value)).alias("_have"))
     gaps = held.select(feature, "_have", F.array_except(sample_names(samples, sample), F.col(f"_have.{sample}")).alias("_absent"))
     blank = F.transform("_absent", lambda s: F.struct(s.alias(sample), F.lit(fill).alias(value)))

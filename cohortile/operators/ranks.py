@@ -132,9 +132,12 @@ def with_position(df: DataFrame, keys: Sequence[str], order: Sequence, out: str
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], names: Sequence[str], *,
               max_rows: int | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Exact interpolated quantiles (h = (n-1) p) per key, from cumulative counts."""
-    cum = cumulative_counts(df, keys, value, max_rows=max_rows, rows_per_task=rows_per_task)
-    return quantiles_of(cum, keys, value, probs, names)
+    """Exact interpolated quantiles (h = (n-1) p) per key; from cumulative counts when large."""
+    edges = range_edges(df, value, max_rows, rows_per_task)
+    if not edges:
+        picked = [F.percentile(value, F.lit(float(p))).alias(name) for p, name in zip(probs, names)]
+        return df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *picked)
+    return quantiles_of(cumulate(value_counts(df, keys, value), keys, value, "n", edges), keys, value, probs, names)
 
 
 def quantiles_of(cum: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], names: Sequence[str]) -> DataFrame:
@@ -160,7 +163,8 @@ def bh_adjust(df: DataFrame, p: str = "p_value", by: Sequence[str] = (), out: st
         order = group.orderBy(p)
         le = F.count(p).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
         raw = df.withColumn("_q", F.col(p) * F.count(p).over(group) / F.nullif(le, F.lit(0)))
-        tail = F.min("_q").over(order.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+        # descending with a growing frame is one pass; an unbounded-following frame is quadratic
+        tail = F.min("_q").over(group.orderBy(F.col(p).desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow))
         adjusted = F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), tail))
         return raw.withColumn(out, adjusted).drop("_q")
     cum = cumulate(value_counts(df, by, p), by, p, "n", edges)

@@ -126,8 +126,8 @@ def box_stats(df: DataFrame, by: Sequence[str], value: str = "value", *, max_row
               rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Quartiles, whisker ends (furthest points within 1.5 IQR) and outlier count per group."""
     by = list(by)
-    cum = ranks.cumulative_counts(df, by, value, max_rows=max_rows, rows_per_task=rows_per_task)
-    q = ranks.quantiles_of(cum, by, value, [0.25, 0.5, 0.75], ["q1", "median", "q3"])
+    q = ranks.quantiles(df, by, value, [0.25, 0.5, 0.75], ["q1", "median", "q3"],
+                        max_rows=max_rows, rows_per_task=rows_per_task)
     counts = ranks.value_counts(df, by, value, "_n")
     fence = 1.5 * (F.col("q3") - F.col("q1"))
     inside = (F.col(value) >= F.col("q1") - fence) & (F.col(value) <= F.col("q3") + fence)

@@ -83,7 +83,7 @@ def export_mixture(v):
 
 @query
 def export_gct(v):
-    return exports.gct_lines(v.matrix(), v.samples(), ["ASIA", "EUROPE"])
+    return exports.gct_lines(v.kept_matrix(), v.samples(), ["ASIA", "EUROPE"])
 
 
 @query
@@ -230,7 +230,7 @@ def vaf_quadrants(v):
 def matrix_build(v):
     chosen = v.samples().filter(F.col("grp").isin("ASIA", "EUROPE", "AFRICA"))
     meta = chosen.select(F.col("sample").alias("biospecimen"), F.col("sample").alias("sample_id"), F.col("grp").alias("type"))
-    return matrix.build_matrix(v.expr_raw(), meta, drop_text="_blue_anvil")
+    return matrix.build_matrix(v.keep("raw", v.expr_raw, "gene_id"), meta, drop_text="_blue_anvil")
 
 
 @query
@@ -305,15 +305,16 @@ def _moderated(v):
 
 @query
 def moderated_var(v):
-    per_feature = _fit(v).groupBy("feature").agg(F.max("s2").alias("s2"), F.max("df").alias("df"))
-    moderated = diffexp.moderate(per_feature, diffexp.variance_prior(_fit(v), max_rows=v.feature_bound()))
+    fit = _fit(v)
+    per_feature = fit.groupBy("feature").agg(F.max("s2").alias("s2"), F.max("df").alias("df"))
+    moderated = diffexp.moderate(per_feature, diffexp.variance_prior(fit, max_rows=v.feature_bound()))
     return rounded(moderated, "s2", "d0", "s0_2", "s2_post", "df_total")
 
 
 @query
 def moderated_prior_null(v):
     """The matrix without planted effects: the prior has infinite degrees of freedom."""
-    fit = diffexp.group_means_fit(matrix.log_cpm(v.expr()))
+    fit = diffexp.group_means_fit(matrix.log_cpm(v.kept_expr()))
     return rounded(diffexp.variance_prior(fit, max_rows=v.feature_bound()), "s0_2", "floor").withColumn(
         "d0_infinite", F.col("d0") == float("inf")).drop("d0")
 
@@ -331,7 +332,7 @@ def bh_adjust(v):
 
 
 def _de(v):
-    return diffexp.de_table(v.expr_planted(), CONTRASTS, max_rows=v.feature_bound() * len(CONTRASTS))
+    return diffexp.de_table(v.counts(), CONTRASTS, max_rows=v.feature_bound() * len(CONTRASTS))
 
 
 @query
@@ -348,7 +349,7 @@ def de_top(v):
 def de_by_stratum(v):
     """Two-class test inside each stratum (even and odd nations): two regions against the rest."""
     number = F.substring_index("sample", "_", -1).cast("int")
-    counts = v.expr_planted().withColumn("stratum", F.concat(F.lit("S"), (number % 2).cast("string"))).withColumn(
+    counts = v.counts().withColumn("stratum", F.concat(F.lit("S"), (number % 2).cast("string"))).withColumn(
         "mut", F.when(F.col("grp").isin("ASIA", "AFRICA"), "Y").otherwise("N"))
     de = diffexp.de_table(counts, [("Y_vs_N", "Y", "N")], group="mut", by=["stratum"], max_rows=v.feature_bound() * 2)
     return rounded(diffexp.significant(de), "logfc", "t", "p_value", "adj_p")
@@ -455,7 +456,7 @@ def label_outliers(v):
 
 @query
 def feature_by_group(v):
-    expr = v.expr()
+    expr = v.kept_expr()
     top = expr.groupBy("feature").agg(F.sum("value").alias("t")).agg(
         F.min_by("feature", F.struct((-F.col("t")).alias("a"), F.col("feature"))).alias("feature"))
     return rounded(stats.feature_by_group(expr, top), "value")
@@ -467,13 +468,8 @@ def _features(v):
     return v.matrix().select("feature").distinct()
 
 
-def _mapped(v):
-    return enrich.map_sets(v.gene_sets(), _features(v))
-
-
-def _z(v):
-    """Scores rounded so that equal values stay equal in any engine."""
-    return matrix.log_zscore(v.matrix()).withColumn("value", F.round("value", 9) + F.lit(0.0))
+def _mapped(v, features=None):
+    return enrich.map_sets(v.gene_sets(), features if features is not None else _features(v))
 
 
 @query
@@ -487,7 +483,7 @@ def gene_set_mapped(v):
 
 
 def _ssgsea(v):
-    return enrich.ssgsea(_z(v), _mapped(v), max_rows=v.cell_bound())
+    return enrich.ssgsea(v.zscores(), _mapped(v, v.zscores()), max_rows=v.cell_bound())
 
 
 @query
@@ -504,7 +500,7 @@ def enrichment_by_group(v):
 @query
 def enrichment_tests(v):
     """Pairwise tests of the scores between groups, per set."""
-    scores = _ssgsea(v).join(v.samples(), "sample").withColumn("score", F.round("score", 9))
+    scores = v.keep("scores", lambda: _ssgsea(v).join(v.samples(), "sample").withColumn("score", F.round("score", 9)), "gs_name")
     bound = v.cell_bound()  # one score per set and sample, and sets are made of features
     out = stats.rank_sum_pairs(scores, [("ASIA", "EUROPE"), ("ASIA", "AFRICA"), ("EUROPE", "AFRICA")],
                                value="score", by=["gs_name"], max_rows=bound)
@@ -518,15 +514,15 @@ def gsva_kcdf(v):
 
 @query
 def gsva_maxdev(v):
-    density = _z(v).filter("value IS NOT NULL").withColumnRenamed("value", "f")
-    return rounded(enrich.max_deviation(density, _mapped(v), max_rows=v.cell_bound()), "es")
+    density = v.zscores().withColumnRenamed("value", "f")
+    return rounded(enrich.max_deviation(density, _mapped(v, density), max_rows=v.cell_bound()), "es")
 
 
 @query
 def gsva(v):
     z = matrix.log_zscore(v.matrix()).filter("value IS NOT NULL")
-    density = enrich.kernel_cdf(z).withColumn("f", F.round("f", 12))
-    return rounded(enrich.max_deviation(density, _mapped(v), max_rows=v.cell_bound()), "es")
+    density = v.keep("density", lambda: enrich.kernel_cdf(z).withColumn("f", F.round("f", 12)))
+    return rounded(enrich.max_deviation(density, _mapped(v, density), max_rows=v.cell_bound()), "es")
 
 
 @query
@@ -536,7 +532,7 @@ def top_markers(v):
 
 @query
 def marker_svd(v):
-    out = enrich.marker_svd(v.matrix().withColumn("value", F.log2(F.col("value") + 1)), v.samples(), v.markers())
+    out = enrich.marker_svd(v.kept_matrix().withColumn("value", F.log2(F.col("value") + 1)), v.samples(), v.markers())
     return rounded(out, "score")
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortile.operators import diffexp, ranks
-from cohortile.operators.matrix import densify
+from cohortile.operators.matrix import densify, log_cpm, log_zscore
+from cohortile.session import run_dir, ship_package
+from cohortile.sources.tables import stage
 
 CONTRASTS = [
     ("asia_vs_europe", "ASIA", "EUROPE"),
@@ -17,14 +21,39 @@ GROUPS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
 
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string",
+    "events": "event_id long, user_id long, event_type string, value double",
+    "embeddings": "vec_id long, embedding array<float>, label int",
+}
+
+
 class Views:
     """One set of lazily built tables over a data folder."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+        ship_package(spark)
+        self.spark, self.folder, self._kept = spark, folder, {}
+
+    def keep(self, name: str, build: Callable[[], DataFrame], key: str = "feature") -> DataFrame:
+        """A table several passes read is written once, to a fresh shared folder, and read back.
+
+        This is where the batch work stores its matrices and result tables anyway; later
+        passes scan only the columns they need, and lost executors do not rebuild the joins.
+        """
+        if name not in self._kept:
+            self._kept[name] = stage(self.spark, run_dir(self.spark, name), build, key)
+        return self._kept[name]
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
 
     def samples(self) -> DataFrame:
         nation, region = self.table("nation"), self.table("region")
@@ -39,21 +68,22 @@ class Views:
         return self.feature_bound() * self.table("nation").count()
 
     def cells(self) -> DataFrame:
+        """Non-zero (feature, sample) totals, summed on the numeric keys before names are attached."""
         line = self.table("lineitem").select("l_orderkey", "l_partkey", "l_quantity")
         orders = self.table("orders").select("o_orderkey", "o_custkey")
         customer = self.table("customer").select("c_custkey", "c_nationkey")
         nation = self.table("nation").select("n_nationkey", "n_name")
-        return (
+        totals = (
             line.join(orders, line.l_orderkey == orders.o_orderkey)
             .join(customer, orders.o_custkey == customer.c_custkey)
-            .join(nation, customer.c_nationkey == nation.n_nationkey)
-            .select(F.col("l_partkey").cast("string").alias("feature"), F.col("n_name").alias("sample"),
-                    F.col("l_quantity").alias("value"))
+            .groupBy("l_partkey", "c_nationkey").agg(F.sum("l_quantity").alias("value"))
         )
+        return totals.join(nation, totals.c_nationkey == nation.n_nationkey).select(
+            F.col("l_partkey").cast("string").alias("feature"), F.col("n_name").alias("sample"), "value")
 
     def matrix(self) -> DataFrame:
         """(feature, sample, value), dense."""
-        return densify(self.cells(), self.samples())
+        return densify(self.cells(), self.samples(), unique=True)
 
     def expr(self) -> DataFrame:
         return self.matrix().join(self.samples(), "sample").select("feature", "sample", "grp", "value")
@@ -142,17 +172,35 @@ class Views:
         """Numbers in skewed groups of people: balances by market segment."""
         return self.table("customer").select("c_custkey", F.col("c_mktsegment").alias("grp"), F.col("c_acctbal").alias("value"))
 
-    def plain_de(self) -> DataFrame:
-        """Differential table with the ordinary t (df is even, so its p-value has a finite sum in any SQL)."""
-        fit = diffexp.group_means_fit(self.log_counts())
-        tested = diffexp.t_table(diffexp.contrast_estimates(fit, CONTRASTS))
-        rounded = tested.withColumn("p_value", F.round("p_value", 9))
-        return ranks.bh_adjust(rounded, "p_value", ["contrast"], max_rows=self.feature_bound() * len(CONTRASTS)).select(
-            "contrast", "feature", "logfc", "t", "p_value", "adj_p")
+    def kept_matrix(self) -> DataFrame:
+        return self.keep("matrix", self.matrix)
+
+    def kept_expr(self) -> DataFrame:
+        return self.keep("expr", self.expr)
+
+    def counts(self) -> DataFrame:
+        """The planted count matrix, stored: library sizes and the model are two passes over it."""
+        return self.keep("counts", self.expr_planted)
 
     def log_counts(self) -> DataFrame:
-        from cohortile.operators.matrix import log_cpm
-        return log_cpm(self.expr_planted())
+        return log_cpm(self.counts())
+
+    def zscores(self) -> DataFrame:
+        """log2 z-scores without constant features, rounded so equal values stay equal in any engine."""
+        build = lambda: log_zscore(self.matrix()).withColumn("value", F.round("value", 9) + F.lit(0.0)).filter("value IS NOT NULL")
+        return self.keep("zscores", build)
+
+    def plain_de(self) -> DataFrame:
+        """Stored differential table with the ordinary t (df is even, so its p-value is a finite sum in any SQL)."""
+
+        def build():
+            tested = diffexp.t_table(diffexp.contrast_estimates(diffexp.group_means_fit(self.log_counts()), CONTRASTS))
+            rounded = tested.withColumn("p_value", F.round("p_value", 9))
+            bound = self.feature_bound() * len(CONTRASTS)
+            return ranks.bh_adjust(rounded, "p_value", ["contrast"], max_rows=bound).select(
+                "contrast", "feature", "logfc", "t", "p_value", "adj_p")
+
+        return self.keep("plain_de", build)
 
 
 DECONV = [("urgent", "1"), ("high", "2"), ("medium", "3"), ("unstated", "4"), ("low", "5")]
