@@ -24,7 +24,7 @@ def _erfcx_fit() -> np.ndarray:
         x = np.minimum(_SPLIT * (1 + t) / np.maximum(1 - t, 1e-300), 1e8)
         out = [
             math.exp(v * v) * math.erfc(v)
-            if v < 12
+            if v < 25
             else (1 - 0.5 / v**2 + 0.75 / v**4 - 1.875 / v**6 + 6.5625 / v**8) / (v * math.sqrt(math.pi))
             for v in x
         ]

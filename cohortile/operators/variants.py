@@ -61,11 +61,14 @@ def compare_vaf(variants: DataFrame, meta: DataFrame, genes: DataFrame, *, refer
     Repeated rows of an arm are reduced to their maximum and counted in ``n_rows``.
     """
     # the arms of a sample are those with any variant row, before the change and symbol filters
-    per_key = variants.groupBy(key, "symbol", "hgvsp").agg(F.max("vaf").alias("vaf"), F.count(F.lit(1)).alias("n"))
-    arms = per_key.join(meta.select(key, "sample_id", "comp").distinct(), key)
-    present = arms.groupBy("sample_id").agg(
+    arms = meta.select(key, "sample_id", "comp").distinct()
+    present = variants.select(key).distinct().join(arms, key).groupBy("sample_id").agg(
         *[F.max(F.col("comp") == t).alias(f"_has_{i}") for i, t in enumerate([reference, *types])])
-    usable = arms.filter((F.col("hgvsp") != missing) & (F.col("symbol") != unknown))
+    per_key = (
+        variants.filter((F.col("hgvsp") != missing) & (F.col("symbol") != unknown))
+        .groupBy(key, "symbol", "hgvsp").agg(F.max("vaf").alias("vaf"), F.count(F.lit(1)).alias("n"))
+    )
+    usable = per_key.join(arms, key)
     wide = usable.groupBy("sample_id", "symbol", "hgvsp").agg(
         *[F.max(F.when(F.col("comp") == t, F.col("vaf"))).alias(f"_vaf_{i}") for i, t in enumerate([reference, *types])],
         *[F.sum(F.when(F.col("comp") == t, F.col("n")).otherwise(0)).alias(f"_n_{i}") for i, t in enumerate([reference, *types])],

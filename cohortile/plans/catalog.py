@@ -180,7 +180,7 @@ def snv_class_counts(v):
 
 @query
 def snv_class_pivot(v):
-    return variants.class_pivot(_snv(v), "vclass")
+    return variants.class_pivot(v.keep("snv_counts", lambda: _snv(v), "vclass"), "vclass")
 
 
 @query
@@ -190,7 +190,7 @@ def sv_class_counts(v):
 
 @query
 def sv_class_pivot(v):
-    return variants.class_pivot(_sv(v), "sv_type")
+    return variants.class_pivot(v.keep("sv_counts", lambda: _sv(v), "sv_type"), "sv_type")
 
 
 @query
