@@ -521,7 +521,7 @@ def gsva_maxdev(v):
 @query
 def gsva(v):
     z = matrix.log_zscore(v.matrix()).filter("value IS NOT NULL")
-    density = v.keep("density", lambda: enrich.kernel_cdf(z).withColumn("f", F.round("f", 12)))
+    density = v.keep("density", lambda: enrich.kernel_cdf(z).withColumn("f", F.round("f", 9)))
     return rounded(enrich.max_deviation(density, _mapped(v, density), max_rows=v.cell_bound()), "es")
 
 

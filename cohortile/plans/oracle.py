@@ -138,6 +138,116 @@ P4 = "EXP(-h / 2) * (1 + h / 2)"
 P_NORMAL = """CASE WHEN z <= 0 THEN 1.0 ELSE 1 - 2 * EXP(-z * z / 2) / SQRT(2 * PI()) * z * list_reduce(
     list_prepend(1.0::DOUBLE, list_reverse(range(1, 400)::DOUBLE[])), lambda acc, k: 1 + acc * z * z / (2 * k + 1)) END"""
 
+# variance moderation: digamma and trigamma by 20 recurrence steps and the asymptotic series,
+# trigamma inverse by bisection on a log scale
+def _psi(x: str) -> str:
+    y = f"({x} + 20)"
+    return (f"(LN({y}) - 1 / (2 * {y}) - 1 / (12 * POW({y}, 2)) + 1 / (120 * POW({y}, 4)) - 1 / (252 * POW({y}, 6))"
+            f" - list_sum(list_transform(range(0, 20)::DOUBLE[], lambda k: 1 / ({x} + k))))")
+
+
+def _tri(x: str) -> str:
+    y = f"({x} + 20)"
+    return (f"(1 / {y} + 1 / (2 * POW({y}, 2)) + 1 / (6 * POW({y}, 3)) - 1 / (30 * POW({y}, 5)) + 1 / (42 * POW({y}, 7))"
+            f" + list_sum(list_transform(range(0, 20)::DOUBLE[], lambda k: 1 / POW({x} + k, 2))))")
+
+
+def _beta_tail(a: str, b: str, x: str, depth: int = 300) -> str:
+    """Regularised incomplete beta, continued fraction evaluated from the inside out."""
+    m = "FLOOR(k / 2)"
+    even = f"{m} * ({b} - {m}) * {x} / (({a} + 2 * {m} - 1) * ({a} + 2 * {m}))"
+    odd = f"-({a} + {m}) * ({a} + {b} + {m}) * {x} / (({a} + 2 * {m}) * ({a} + 2 * {m} + 1))"
+    fraction = (f"list_reduce(list_prepend(1.0::DOUBLE, list_reverse(range(1, {depth})::DOUBLE[])), "
+                f"lambda acc, k: 1 + (CASE WHEN k % 2 = 0 THEN {even} ELSE {odd} END) / acc)")
+    front = f"EXP({a} * LN({x}) + {b} * LN(1 - {x}) + LGAMMA({a} + {b}) - LGAMMA({a}) - LGAMMA({b}))"
+    return f"({front} / {a} / {fraction})"
+
+
+def _t_tail(df: str) -> str:
+    """Two-sided tail from columns t, x = df / (df + t^2), y = 1 - x formed without cancellation."""
+    return (f"CASE WHEN t = 0 THEN 1.0 WHEN x < ({df} / 2 + 1) / ({df} / 2 + 2.5) THEN {_beta_tail(f'({df} / 2)', '0.5::DOUBLE', 'x')} "
+            f"ELSE 1 - {_beta_tail('0.5::DOUBLE', f'({df} / 2)', 'y')} END")
+
+
+def _moderated(prefix: str, fit: str, est: str, by: str = "") -> None:
+    """Views <prefix>_prior, _mod (per feature), _t and _de for one fit."""
+    lead, group = (f"{by}, ", f"GROUP BY {by}") if by else ("", "")
+    using = f"USING ({by})" if by else "ON TRUE"
+    part = f"PARTITION BY {by}" if by else ""
+    VIEWS[f"{prefix}_var"] = f"SELECT {lead}feature, MAX(s2) AS s2, CAST(MAX(df) AS DOUBLE) AS df FROM {fit} GROUP BY {lead}feature"
+    VIEWS[f"{prefix}_floor"] = f"""SELECT *, GREATEST(s2, floor) AS x FROM (SELECT *, CASE WHEN med > 0 THEN med ELSE 1 END * 1e-5 AS floor
+        FROM (SELECT *, MEDIAN(s2) OVER ({part}) AS med FROM {prefix}_var))"""
+    VIEWS[f"{prefix}_mom"] = f"""SELECT {lead}AVG(LN(x) - {_psi('(df / 2)')} + LN(df / 2)) AS emean,
+        VAR_SAMP(LN(x) - {_psi('(df / 2)')} + LN(df / 2)) - AVG({_tri('(df / 2)')}) AS evar,
+        AVG(x) AS xmean, MAX(floor) AS floor, SUM(df) AS pooled_df, COUNT(*) AS n_features FROM {prefix}_floor {group}"""
+    VIEWS[f"{prefix}_bisect"] = f"""WITH RECURSIVE b AS (SELECT *, -20.0::DOUBLE AS lo, 40.0::DOUBLE AS hi, 0 AS i FROM {prefix}_mom
+        UNION ALL SELECT * EXCLUDE (lo, hi, i, mid, up), CASE WHEN up THEN mid ELSE lo END, CASE WHEN up THEN hi ELSE mid END, i + 1 FROM (
+            SELECT *, (lo + hi) / 2 AS mid, {_tri('EXP((lo + hi) / 2)')} > evar AS up FROM b WHERE i < 70)) SELECT * FROM b WHERE i = 70"""
+    VIEWS[f"{prefix}_prior"] = f"""SELECT {lead}floor, pooled_df, n_features, d0,
+        CASE WHEN evar > 0 THEN EXP(emean + {_psi('(d0 / 2)')} - LN(d0 / 2)) ELSE xmean END AS s0_2, evar FROM (
+        SELECT *, 2 * EXP((lo + hi) / 2) AS d0 FROM {prefix}_bisect)"""
+    VIEWS[f"{prefix}_t"] = f"""SELECT *, dft / (dft + t * t) AS x, t * t / (dft + t * t) AS y FROM (
+        SELECT {lead}contrast, feature, logfc, LEAST(d0 + df, pooled_df) AS dft, logfc / (u * SQRT(CASE WHEN evar > 0
+            THEN (d0 * s0_2 + df * GREATEST(s2, floor)) / (d0 + df) ELSE s0_2 END)) AS t FROM {est} JOIN {prefix}_prior {using})"""
+    VIEWS[f"{prefix}_p"] = f"SELECT {lead}contrast, feature, logfc, t, {_t_tail('dft')} AS p_value FROM {prefix}_t"
+    VIEWS[f"{prefix}_de"] = f"""SELECT *, LEAST(1.0, MIN(q) OVER (PARTITION BY {lead}contrast ORDER BY p_value RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS adj_p
+        FROM (SELECT *, p_value * COUNT(p_value) OVER (PARTITION BY {lead}contrast)
+        / COUNT(p_value) OVER (PARTITION BY {lead}contrast ORDER BY p_value RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS q FROM {prefix}_p)"""
+
+
+_moderated("mod", "fit", "est")
+VIEWS["null_logc"] = VIEWS["logc"].replace("expr_planted", "expr")
+VIEWS["null_cells"] = VIEWS["fit_cells"].replace("FROM logc", "FROM null_logc")
+VIEWS["null_fit"] = VIEWS["fit"].replace("FROM fit_cells", "FROM null_cells")
+_moderated("null", "null_fit", "est")
+VIEWS["st_counts"] = """SELECT feature, sample, value, 'S' || CAST(CAST(SPLIT_PART(sample, '_', 2) AS INT) % 2 AS VARCHAR) AS stratum,
+    CASE WHEN grp IN ('ASIA', 'AFRICA') THEN 'Y' ELSE 'N' END AS mut FROM expr_planted"""
+VIEWS["st_logc"] = """SELECT stratum, feature, sample, mut, LOG2((value + 0.5) / (lib + 1) * 1e6) AS value
+    FROM st_counts JOIN (SELECT stratum, sample, SUM(value) AS lib FROM st_counts GROUP BY stratum, sample) USING (stratum, sample)"""
+VIEWS["st_fit"] = """SELECT stratum, feature, mut, n, mean, SUM(n) OVER w - COUNT(*) OVER w AS df,
+    SUM(COALESCE(v, 0) * (n - 1)) OVER w / (SUM(n) OVER w - COUNT(*) OVER w) AS s2 FROM (
+    SELECT stratum, feature, mut, COUNT(value) AS n, AVG(value) AS mean, VAR_SAMP(value) AS v FROM st_logc GROUP BY ALL)
+    WINDOW w AS (PARTITION BY stratum, feature)"""
+VIEWS["st_est"] = """SELECT a.stratum, 'Y_vs_N' AS contrast, a.feature, a.mean - b.mean AS logfc, SQRT(1.0 / a.n + 1.0 / b.n) AS u, a.s2, CAST(a.df AS DOUBLE) AS df
+    FROM st_fit a JOIN st_fit b ON a.stratum = b.stratum AND a.feature = b.feature AND a.mut = 'Y' AND b.mut = 'N'"""
+_moderated("st", "st_fit", "st_est", "stratum")
+
+# exact rank-sum null of 5 against 5: every choice of 5 ranks out of 10
+VIEWS["dist55"] = """SELECT a.i + b.i + c.i + d.i + e.i - 15 AS u FROM range(1, 11) a(i), range(1, 11) b(i), range(1, 11) c(i), range(1, 11) d(i), range(1, 11) e(i)
+    WHERE a.i < b.i AND b.i < c.i AND c.i < d.i AND d.i < e.i"""
+VIEWS["tails55"] = """SELECT w.u AS w, LEAST(1.0, 2.0 * CASE WHEN w.u > 12.5 THEN (SELECT COUNT(*) FROM dist55 x WHERE x.u >= w.u)
+    ELSE (SELECT COUNT(*) FROM dist55 x WHERE x.u <= w.u) END / 252) AS p FROM (SELECT DISTINCT u FROM dist55) w"""
+
+
+def _rank_sum(source: str, by: str, pairs: list[tuple[str, str]]) -> str:
+    """Five-a-side rank-sum tests of listed pairs per ``by``: exact without ties, else normal."""
+    listed = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in pairs) + ") AS pr(grp_a, grp_b)"
+    return f"""SELECT {by}, grp_a, grp_b, n_a, n_b, tie_sum, s.w, tie_sum = 0 AS exact,
+        ROUND(CASE WHEN tie_sum = 0 THEN p ELSE {P_NORMAL} END, 6) + 0.0 AS p_value FROM (
+        SELECT *, (ABS(w - 12.5) - CASE WHEN w = 12.5 THEN 0 ELSE 0.5 END) / NULLIF(SQRT(25 / 12.0 * (11 - tie_sum / 90)), 0) AS z FROM (
+        SELECT {by}, grp_a, grp_b, COUNT(*) FILTER (is_a) AS n_a, COUNT(*) FILTER (NOT is_a) AS n_b,
+            CAST(SUM(CAST(t AS DOUBLE) * t - 1) AS DOUBLE) AS tie_sum, SUM(r) FILTER (is_a) - 15.0 AS w FROM (
+            SELECT {by}, grp_a, grp_b, grp = grp_a AS is_a, COUNT(*) OVER (PARTITION BY {by}, grp_a, grp_b, value) AS t,
+            RANK() OVER (PARTITION BY {by}, grp_a, grp_b ORDER BY value)
+                + (COUNT(*) OVER (PARTITION BY {by}, grp_a, grp_b, value) - 1) / 2.0 AS r
+            FROM {source} JOIN {listed} ON grp IN (grp_a, grp_b)) GROUP BY {by}, grp_a, grp_b)) s LEFT JOIN tails55 ON tails55.w = s.w"""
+
+
+_PHI_DENSITY = "EXP(-z * z / 2) / SQRT(2 * PI())"
+_PHI = f"""CASE WHEN ABS(z) < 3 THEN 0.5 + z * {_PHI_DENSITY} * list_reduce(
+        list_prepend(1.0::DOUBLE, list_reverse(range(1, 40)::DOUBLE[])), lambda acc, k: 1 + acc * z * z / (2 * k + 1))
+    WHEN z > 0 THEN 1 - {_PHI_DENSITY} / list_reduce(list_prepend(z, list_reverse(range(1, 70)::DOUBLE[])), lambda acc, k: z + k / acc)
+    ELSE {_PHI_DENSITY} / list_reduce(list_prepend(-z, list_reverse(range(1, 70)::DOUBLE[])), lambda acc, k: k / acc - z) END"""
+VIEWS["kernel_pairs"] = f"""SELECT feature, sa, sb, {_PHI} AS phi FROM (SELECT a.feature, a.sample AS sa, b.sample AS sb, (a.value - b.value) / a.h AS z
+    FROM kernel_in a JOIN kernel_in b ON a.feature = b.feature AND a.sample < b.sample)"""
+VIEWS["kernel_in"] = """SELECT feature, sample, value, STDDEV_SAMP(value) OVER (PARTITION BY feature) / 4 AS h FROM zs WHERE value IS NOT NULL"""
+VIEWS["kernel"] = """SELECT feature, sample, (0.5 + SUM(phi)) / (COUNT(*) + 1) AS f FROM (
+    SELECT feature, sa AS sample, phi FROM kernel_pairs UNION ALL SELECT feature, sb, 1 - phi FROM kernel_pairs) GROUP BY feature, sample"""
+VIEWS["kplaced"] = """SELECT feature, sample, COUNT(*) OVER (PARTITION BY sample) AS n,
+    ROW_NUMBER() OVER (PARTITION BY sample ORDER BY ROUND(f, 9) DESC, feature) AS p FROM kernel"""
+VIEWS["kwalk"] = VIEWS["walk"].replace("FROM placed", "FROM kplaced")
+VIEWS["scored_groups"] = "SELECT gs_name, grp, ROUND(score, 9) AS value FROM ss JOIN samples USING (sample)"
+
 
 def _with(body: str) -> str:
     """Prefix the views a statement needs, in dependency order."""
@@ -309,6 +419,21 @@ _BASE = {
     "celltype_distance": """SELECT a.variable AS sample_a, b.variable AS sample_b, ROUND(SQRT(SUM(CAST((a.value - b.value) * (a.value - b.value) AS DOUBLE))), 6) + 0.0 AS distance
         FROM deconv_long a JOIN deconv_long b ON a.sample = b.sample AND a.variable < b.variable GROUP BY 1, 2""",
 }
+_BASE.update({
+    "moderated_var": f"""SELECT feature, CAST(df AS BIGINT) AS df, {_r('s2', 'd0', 's0_2')},
+        ROUND((d0 * s0_2 + df * GREATEST(s2, floor)) / (d0 + df), 6) + 0.0 AS s2_post, ROUND(LEAST(d0 + df, pooled_df), 6) + 0.0 AS df_total
+        FROM mod_var JOIN mod_prior ON TRUE""",
+    "moderated_prior_null": f"""SELECT {_r('s0_2', 'floor')}, CAST(pooled_df AS BIGINT) AS pooled_df, n_features, evar <= 0 AS d0_infinite FROM null_prior""",
+    "moderated_t": f"SELECT contrast, feature, {_r('logfc', 't', 'p_value')} FROM mod_p",
+    "de_table": f"SELECT contrast, feature, {_r('logfc', 't', 'p_value', 'adj_p')} FROM mod_de",
+    "de_top": f"""SELECT contrast, feature, {_r('logfc', 't', 'p_value', 'adj_p')} FROM (
+        SELECT * FROM mod_de WHERE contrast = 'asia_vs_europe' ORDER BY ABS(t) DESC, feature LIMIT 100)""",
+    "de_by_stratum": f"SELECT stratum, contrast, feature, {_r('logfc', 't', 'p_value', 'adj_p')} FROM st_de WHERE adj_p < 0.05",
+})
+_BASE["gsva_kcdf"] = f"SELECT feature, sample, {_r('f')} FROM kernel"
+_BASE["gsva"] = _BASE["gsva_maxdev"].replace("FROM walk", "FROM kwalk")
+_BASE["wilcoxon_exact"] = _rank_sum("expr", "feature", [("ASIA", "EUROPE"), ("ASIA", "AFRICA")])
+_BASE["enrichment_tests"] = _rank_sum("scored_groups", "gs_name", [("ASIA", "EUROPE"), ("ASIA", "AFRICA"), ("EUROPE", "AFRICA")])
 _BASE["snv_class_pivot"] = "SELECT sample_id, comp, " + ", ".join(
     f"CAST(SUM(CASE WHEN vclass = '{c}' THEN n END) AS BIGINT) AS \"{c}\"" for c in ("A_F", "A_O", "N_F", "N_O", "R_F", "R_O")
 ) + f" FROM ({_BASE['snv_class_counts']}) GROUP BY sample_id, comp"
