@@ -26,16 +26,22 @@ def one_row(df: DataFrame):
     return df.select(F.struct(*df.columns).alias("row")).scalar()
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` in which NULL equals NULL; the left keys are kept."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_right_{k}"))
+    return left.join(renamed, same, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def with_group_count(df: DataFrame, keys, out: str) -> DataFrame:
-    """Rows of each group on every row, by aggregation and a null-safe join back.
+    """Rows of each group on every row, by aggregation and a join back.
 
     A window would put a whole group in one task; here a large group is only split rows.
     """
-    counts = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.count(F.lit(1)).alias(out))
-    same = F.lit(True)
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return df.join(small_side(counts), same).drop(*[f"_k{i}" for i in range(len(keys))])
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(out))
+    return null_safe_join(df, small_side(counts), keys)
 
 
 class TooWide(ValueError):

@@ -16,36 +16,77 @@ from cohortile.functions.sizing import require_at_most
 from cohortile.functions.text import after_last, recode
 from cohortile.operators.matrix import per_feature, sample_names, vectors
 
-SAMPLE_LIMIT = 4_000
+SAMPLE_LIMIT = 4_000  # one dense eigen step
+SAMPLE_BLOCK = 2_000  # samples per side of one block of sums
 
 
-def block_products(df: DataFrame, left: str, right: str | None = None, *, kind: str = "product") -> DataFrame:
+def _partial(a: np.ndarray, b: np.ndarray, kind: str) -> np.ndarray:
+    if kind == "distance":
+        return np.stack([((a[:, [i]] - b) ** 2).sum(axis=0) for i in range(a.shape[1])])
+    return a.T @ b
+
+
+def _entries(acc: np.ndarray, upper: bool, i0: int = 0, j0: int = 0) -> pd.DataFrame:
+    i, j = np.triu_indices(acc.shape[0]) if upper else np.indices(acc.shape).reshape(2, -1)
+    return pd.DataFrame({"i": (i + i0).astype("int32"), "j": (j + j0).astype("int32"), "x": acc[i, j]})
+
+
+def block_products(df: DataFrame, left: str, right: str | None = None, *, kind: str = "product",
+                   width: int | None = None, block: int = SAMPLE_BLOCK) -> DataFrame:
     """(i, j, total) summed over rows: products left_i * right_j, or squared differences of one array.
 
-    ``right=None`` uses ``left`` twice and keeps i <= j.
+    ``right=None`` uses ``left`` twice and keeps i <= j. Arrays longer than ``block`` (say so
+    by ``width``) are cut into slices; each pair of slices is summed in its own tasks, several
+    per pair, so a task never holds more than one block of sums.
     """
     same = right is None
+    if width is not None and width > block:
+        return _sliced_products(df, left, right or left, same, kind, width, block)
 
     def fold(batches):
         acc = None
         for pdf in batches:
-            a = np.array(pdf[left].tolist(), float)
-            if not a.size:
-                continue
-            if kind == "distance":
-                part = np.stack([((a - a[:, [i]]) ** 2).sum(axis=0) for i in range(a.shape[1])])
-            else:
-                part = a.T @ (a if same else np.array(pdf[right].tolist(), float))
-            acc = part if acc is None else acc + part
+            if len(pdf):
+                a = np.array(pdf[left].tolist(), float)
+                part = _partial(a, a if same else np.array(pdf[right].tolist(), float), kind)
+                acc = part if acc is None else acc + part
         if acc is not None:
-            i, j = np.triu_indices(acc.shape[0]) if same else np.indices(acc.shape).reshape(2, -1)
-            yield pd.DataFrame({"i": i.astype("int32"), "j": j.astype("int32"), "x": acc[i, j]})
+            yield _entries(acc, same)
 
     columns = [left] if same else [left, right]
     partial = df.select(*columns).mapInPandas(fold, "i int, j int, x double")
     return partial.groupBy("i", "j").agg(F.sum("x").alias("total"))
 
 
+def _sliced_products(df, left, right, same, kind, width, block, salts: int = 16) -> DataFrame:
+    cuts = range(-(-width // block))
+    pairs = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for p in cuts for q in cuts if p <= q or not same])
+    piece = lambda c, k: F.slice(c, F.col(k) * block + 1, F.lit(block))
+    rows = (
+        df.select(F.col(left).alias("l"), F.col(right).alias("r"), F.pmod(F.xxhash64(left), F.lit(salts)).alias("salt"),
+                  F.explode(pairs).alias("pq"))
+        .select("pq.p", "pq.q", "salt", "l", "r")
+        .select("p", "q", "salt", piece("l", "p").alias("a"), piece("r", "q").alias("b"))
+        .repartition("p", "q", "salt").sortWithinPartitions("p", "q")
+    )
+
+    def fold(batches):
+        key, acc = None, None
+        for pdf in batches:
+            for now, part in pdf.groupby(["p", "q"], sort=True):
+                if now != key and key is not None:
+                    yield _entries(acc, same and key[0] == key[1], key[0] * block, key[1] * block)
+                    acc = None
+                key = now
+                add = _partial(np.array(part["a"].tolist(), float), np.array(part["b"].tolist(), float), kind)
+                acc = add if acc is None else acc + add
+        if key is not None:
+            yield _entries(acc, same and key[0] == key[1], key[0] * block, key[1] * block)
+
+    partial = rows.mapInPandas(fold, "i int, j int, x double")
+    return partial.groupBy("i", "j").agg(F.sum("x").alias("total"))
+
+
 def name_pairs(pairs: DataFrame, samples: DataFrame, sample: str = "sample") -> DataFrame:
     named = pairs.withColumn("_n", sample_names(samples, sample))
     return named.select(
@@ -61,32 +102,31 @@ def constant_features(expr: DataFrame, feature: str = "feature", value: str = "v
     return expr.groupBy(feature).agg(F.min(value).alias("lo"), F.max(value).alias("hi")).filter("lo = hi").select(feature)
 
 
-def check_samples(samples: DataFrame, sample: str = "sample", limit: int = SAMPLE_LIMIT) -> int:
-    n = samples.select(sample).distinct().limit(limit + 1).count()
-    return require_at_most(n, limit, "samples of one product block")
+def count_samples(samples: DataFrame, sample: str = "sample") -> int:
+    return samples.select(sample).distinct().count()
 
 
-def sample_gram(expr: DataFrame, samples: DataFrame, sample: str = "sample") -> DataFrame:
+def sample_gram(expr: DataFrame, samples: DataFrame, sample: str = "sample", block: int = SAMPLE_BLOCK) -> DataFrame:
     """Inner products of sample profiles over scaled features, i <= j."""
-    check_samples(samples, sample)
-    return name_pairs(block_products(vectors(scaled_features(expr)), "v"), samples, sample)
+    pairs = block_products(vectors(scaled_features(expr)), "v", width=count_samples(samples, sample), block=block)
+    return name_pairs(pairs, samples, sample)
 
 
-def sample_distance(expr: DataFrame, samples: DataFrame, sample: str = "sample", feature: str = "feature") -> DataFrame:
+def sample_distance(expr: DataFrame, samples: DataFrame, sample: str = "sample", feature: str = "feature",
+                    block: int = SAMPLE_BLOCK) -> DataFrame:
     """Euclidean distance of sample profiles, each pair once."""
-    check_samples(samples, sample)
-    pairs = block_products(vectors(expr, feature, sample), "v", kind="distance")
+    pairs = block_products(vectors(expr, feature, sample), "v", kind="distance", width=count_samples(samples, sample), block=block)
     named = name_pairs(pairs, samples, sample).filter("sample_a < sample_b")
     return named.select("sample_a", "sample_b", F.sqrt("total").alias("distance"))
 
 
-def pca_samples(expr: DataFrame, samples: DataFrame, k: int = 2, sample: str = "sample") -> DataFrame:
+def pca_samples(expr: DataFrame, samples: DataFrame, k: int = 2, sample: str = "sample", limit: int = SAMPLE_LIMIT) -> DataFrame:
     """Scores of the samples on the first k components, through the sample Gram matrix.
 
     The eigen step sees one S x S matrix (S checked). The largest score by size is positive.
     """
-    n = check_samples(samples, sample)
-    gram = block_products(vectors(scaled_features(expr)), "v")
+    n = require_at_most(count_samples(samples, sample), limit, "samples of the eigen step")
+    gram = block_products(vectors(scaled_features(expr)), "v", width=n)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         g = np.zeros((n, n))

@@ -1,8 +1,8 @@
 """Order statistics over groups of any size.
 
 A window ordered over one group runs in one task. That is fine up to ``ROWS_PER_TASK``
-rows, so every function here first checks the row count (or takes a bound the caller can
-prove). Beyond it the work is cut into value ranges: quantile cut points become literals
+rows, so every function here first checks the largest group (or takes a bound on all rows
+the caller can prove). Beyond it the work is cut into value ranges: quantile cut points become literals
 of the plan, so a row's range is the same on every retry; each range is ordered on its
 own and shifted by the totals of the ranges before it. Tied values are counted before
 the shuffle, so one value holding most of the rows is still one row.
@@ -17,18 +17,30 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortile.functions.sizing import small_side
+from cohortile.functions.sizing import null_safe_join, small_side
 from cohortile.session import cut_lineage
 
 ROWS_PER_TASK = 2_000_000
 
 
-def range_edges(df: DataFrame, value: str, max_rows: int | None, rows_per_task: int) -> list[float]:
-    """Cut points between value ranges; empty when one task can hold everything."""
-    rows = df.count() if max_rows is None else max_rows
-    if rows <= rows_per_task:
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the fullest group, from partial counts."""
+    if not keys:
+        return df.count()
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+
+
+def fits_one_task(df: DataFrame, keys: Sequence[str], max_rows: int | None, rows_per_task: int) -> bool:
+    if max_rows is not None and max_rows <= rows_per_task:
+        return True
+    return largest_group(df, keys) <= rows_per_task
+
+
+def range_edges(df: DataFrame, keys: Sequence[str], value: str, max_rows: int | None, rows_per_task: int) -> list[float]:
+    """Cut points between value ranges; empty when a task can hold every group."""
+    if fits_one_task(df, keys, max_rows, rows_per_task):
         return []
-    parts = min(4096, ceil(rows / rows_per_task) + 1)
+    parts = min(4096, ceil(df.count() / rows_per_task) + 1)
     probs = [i / parts for i in range(1, parts)]
     usable = df.select(F.col(value).cast("double").alias("v")).filter("v IS NOT NULL AND NOT isnan(v)")
     return sorted({q + 0.0 for q in usable.approxQuantile("v", probs, 0.5 / parts)})
@@ -68,7 +80,7 @@ def cumulate(counts: DataFrame, keys: Sequence[str], value: str, n: str, edges:
                 F.sum("_in").over(group).alias("n_total"))
     )
     return (
-        local.join(shift, part)
+        null_safe_join(local, small_side(shift), part)  # keys x ranges rows
         .withColumn("n_below", F.col("_local") + F.col("_shift"))
         .drop("_range", "_local", "_shift")
     )
@@ -81,14 +93,14 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str, n: str = "n") -
 def cumulative_counts(df: DataFrame, keys: Sequence[str], value: str, *, labels: Sequence[str] = (),
                       max_rows: int | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """(keys, labels, value, n, n_tied, n_below, n_total); labels split the counts, not the order."""
-    edges = range_edges(df, value, max_rows, rows_per_task)
+    edges = range_edges(df, keys, value, max_rows, rows_per_task)
     return cumulate(value_counts(df, [*keys, *labels], value), keys, value, "n", edges)
 
 
 def with_average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str = "rank", *,
                       max_rows: int | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Mean rank of ties within each key, ascending; NULL values get a NULL rank."""
-    edges = range_edges(df, value, max_rows, rows_per_task)
+    edges = range_edges(df, keys, value, max_rows, rows_per_task)
     if not edges:
         order = Window.partitionBy(*keys).orderBy(value)
         le = F.count(value).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
@@ -97,7 +109,7 @@ def with_average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str =
         return df.withColumn(out, F.when(F.col(value).isNotNull(), rank))
     cum = cumulate(value_counts(df, keys, value), keys, value, "n", edges)
     ranks = cum.select(*keys, value, (F.col("n_below") + (F.col("n_tied") + 1) / 2.0).alias(out))
-    return df.join(ranks, [*keys, value], "left").select(*df.columns, out)
+    return null_safe_join(df, ranks, [*keys, value], "left").select(*df.columns, out)
 
 
 def with_position(df: DataFrame, keys: Sequence[str], order: Sequence, out: str = "pos", *,
@@ -108,10 +120,9 @@ def with_position(df: DataFrame, keys: Sequence[str], order: Sequence, out: str
     so the rows and the partition totals come from the same layout.
     """
     keys = list(keys)
-    rows = df.count() if max_rows is None else max_rows
-    if rows <= rows_per_task:
+    if fits_one_task(df, keys, max_rows, rows_per_task):
         return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
-    parts = ceil(rows / rows_per_task) + 1
+    parts = ceil(df.count() / rows_per_task) + 1
     key_cols = [F.col(k) for k in keys]
     laid = cut_lineage(
         df.repartitionByRange(parts, *key_cols, *order)
@@ -125,7 +136,7 @@ def with_position(df: DataFrame, keys: Sequence[str], order: Sequence, out: str
         .withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .select(*keys, "_part", "_first", "_shift")
     )
-    placed = laid.join(small_side(starts), [*keys, "_part"])
+    placed = null_safe_join(laid, small_side(starts), [*keys, "_part"])
     pos = F.col("_seq") - F.col("_first") + F.col("_shift") + 1
     return placed.select(*df.columns, pos.cast("long").alias(out))
 
@@ -133,7 +144,7 @@ def with_position(df: DataFrame, keys: Sequence[str], order: Sequence, out: str
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], names: Sequence[str], *,
               max_rows: int | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Exact interpolated quantiles (h = (n-1) p) per key; from cumulative counts when large."""
-    edges = range_edges(df, value, max_rows, rows_per_task)
+    edges = range_edges(df, keys, value, max_rows, rows_per_task)
     if not edges:
         picked = [F.percentile(value, F.lit(float(p))).alias(name) for p, name in zip(probs, names)]
         return df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *picked)
@@ -157,7 +168,7 @@ def bh_adjust(df: DataFrame, p: str = "p_value", by: Sequence[str] = (), out: st
               max_rows: int | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """False-discovery adjustment within ``by``: least over p' >= p of p' n / rank(p'), at most 1."""
     by = list(by)
-    edges = range_edges(df, p, max_rows, rows_per_task)
+    edges = range_edges(df, by, p, max_rows, rows_per_task)
     if not edges:
         group = Window.partitionBy(*by)
         order = group.orderBy(p)
@@ -174,7 +185,7 @@ def bh_adjust(df: DataFrame, p: str = "p_value", by: Sequence[str] = (), out: st
     later = Window.partitionBy(*by).orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)
     floors = q.groupBy(*part).agg(F.min("_q").alias("_m")).select(*part, F.min("_m").over(later).alias("_later"))
     table = (
-        q.withColumn("_here", F.min("_q").over(down)).join(floors, part)
+        null_safe_join(q.withColumn("_here", F.min("_q").over(down)), small_side(floors), part)
         .select(*by, p, F.least(F.lit(1.0), F.col("_here"), F.col("_later")).alias(out))
     )
-    return df.join(table, [*by, p], "left").select(*df.columns, out)
+    return null_safe_join(df, table, [*by, p], "left").select(*df.columns, out)

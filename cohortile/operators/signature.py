@@ -84,7 +84,7 @@ def train_signature(train: DataFrame, positive: str = "positive", *, lam: float
     if n > sample_limit:
         return _train_primal(train, positive, lam=lam, feature=feature, sample=sample, value=value)
     packed = training_vectors(train, positive, feature, sample, value)
-    gram = _matrix_from(block_products(packed, "pos").toPandas(), n)
+    gram = _matrix_from(block_products(packed, "pos", width=n).toPandas(), n)
     alpha = _dual_newton(gram, lam)
 
     @F.pandas_udf("double")
@@ -173,7 +173,7 @@ def leave_one_out(train: DataFrame, positive: str = "positive", *, lam: float =
     packed = training_vectors(train, positive, feature, sample, value)
     n = require_at_most(
         train.filter(positive).select(sample).distinct().limit(sample_limit + 1).count(), sample_limit, "positive samples")
-    gram = _matrix_from(block_products(packed, "pos").toPandas(), n)
+    gram = _matrix_from(block_products(packed, "pos", width=n).toPandas(), n)
     shared = spark.sparkContext.broadcast(gram)
 
     def solve(batches):
@@ -208,7 +208,8 @@ def leave_one_out(train: DataFrame, positive: str = "positive", *, lam: float =
 
     arrays = ranked.groupBy(feature).agg(ordered(0).alias("_w"), ordered(1).alias("_z")).select(
         F.col("_w.r").alias("w"), F.col("_z.r").alias("z"))
-    cross = block_products(arrays, "w", "z")
+    total = train.select(sample).distinct().count()
+    cross = block_products(arrays, "w", "z", width=total)
     moments = small_side(ranked.groupBy("side", "col").agg(
         F.count(F.lit(1)).cast("double").alias("n"), F.sum("r").alias("s"), F.sum(F.col("r") * F.col("r")).alias("q")))
     a = moments.filter("side = 0").select(F.col("col").alias("i"), "n", F.col("s").alias("sa"), F.col("q").alias("qa"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortile.functions.sizing import small_side
+from cohortile.functions.sizing import null_safe_join, small_side
 from cohortile.functions.special import chi2_tail_udf, norm_quantile_udf, rank_sum_p_udf, shapiro_p_udf
 from cohortile.operators import ranks
 from cohortile.operators.ranks import ROWS_PER_TASK
@@ -23,7 +23,7 @@ def rank_sum_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], *, group: st
     spark = df.sparkSession
     sides = [(a, b, g, side) for a, b in pairs for g, side in ((a, 1), (b, 0))]
     terms = F.broadcast(spark.createDataFrame(sides, f"grp_a string, grp_b string, {group} string, _is_a int"))
-    edges = ranks.range_edges(df, value, max_rows, rows_per_task)
+    edges = ranks.range_edges(df, by, value, max_rows, rows_per_task)
     counts = ranks.value_counts(df, [*by, group], value).join(terms, group)
     keys = [*by, "grp_a", "grp_b"]
     cum = ranks.cumulate(counts, keys, value, "n", edges)
@@ -78,7 +78,7 @@ def shapiro(df: DataFrame, by: Sequence[str], value: str = "value", max_n: int =
     sizes = df.groupBy(*by).agg(
         F.count(value).alias("n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.avg(value).alias("_mean"))
     fits = sizes.filter((F.col("n") >= 3) & (F.col("n") <= max_n) & (F.col("_lo") < F.col("_hi")))
-    rows = df.filter(F.col(value).isNotNull()).join(fits, by)
+    rows = null_safe_join(df.filter(F.col(value).isNotNull()), fits, by)
     w = Window.partitionBy(*by)
     n = F.col("n")
     ranked = rows.withColumn("i", F.row_number().over(w.orderBy(value))).withColumn(
@@ -119,7 +119,7 @@ def shapiro(df: DataFrame, by: Sequence[str], value: str = "value", max_n: int =
         s.withColumn("w", F.least(F.lit(1.0), weighted * weighted / F.col("ss")))
         .withColumn("p_value", shapiro_p_udf("w", "n")).select(*by, "w", "p_value")
     )
-    return sizes.select(*by, "n").join(tested, by, "left")
+    return null_safe_join(sizes.select(*by, "n"), tested, by, "left")
 
 
 def box_stats(df: DataFrame, by: Sequence[str], value: str = "value", *, max_rows: int | None = None,
@@ -131,7 +131,7 @@ def box_stats(df: DataFrame, by: Sequence[str], value: str = "value", *, max_row
     counts = ranks.value_counts(df, by, value, "_n")
     fence = 1.5 * (F.col("q3") - F.col("q1"))
     inside = (F.col(value) >= F.col("q1") - fence) & (F.col(value) <= F.col("q3") + fence)
-    return counts.join(q, by).groupBy(*by).agg(
+    return null_safe_join(counts, q, by).groupBy(*by).agg(
         F.max("n").alias("n"), F.max("q1").alias("q1"), F.max("median").alias("median"), F.max("q3").alias("q3"),
         F.min(F.when(inside, F.col(value))).alias("low_whisker"),
         F.max(F.when(inside, F.col(value))).alias("high_whisker"),

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortile.functions import text
+from cohortile.functions.sizing import require_at_most
 from cohortile.operators import cohort, diffexp, enrich, explore, matrix, ranks, results, signature, stats, variants
 from cohortile.plans.views import CONTRASTS, DECONV, GROUPS, SEGMENTS, Views
 from cohortile.session import run_dir
@@ -267,7 +268,8 @@ def unpivot_long(v):
 
 @query
 def matrix_transpose(v):
-    names = [r[0] for r in v.samples().select("sample").orderBy("sample").limit(variants.PIVOT_LIMIT).collect()]
+    names = [r[0] for r in v.samples().select("sample").orderBy("sample").limit(variants.PIVOT_LIMIT + 1).collect()]
+    require_at_most(len(names), variants.PIVOT_LIMIT, "columns of a transposed table (the long form has no such limit)")
     return matrix.transpose(v.deconv(), "sample", [n for n, _ in DECONV], names)
 
 

@@ -62,7 +62,9 @@ class Views:
 
     def feature_bound(self) -> int:
         """Features never outnumber parts; the count comes from the file footers."""
-        return self.table("part").count()
+        if "bound" not in self._kept:
+            self._kept["bound"] = self.table("part").count()
+        return self._kept["bound"]
 
     def cell_bound(self) -> int:
         return self.feature_bound() * self.table("nation").count()

@@ -63,7 +63,8 @@ def is_complete(spark: SparkSession, path: str) -> bool:
 
 def stage(spark: SparkSession, path: str, build: Callable[[], DataFrame], feature: str = "feature") -> DataFrame:
     """Stored result if complete, else compute, store and read back."""
-    if not is_complete(spark, path):
-        write = build().sortWithinPartitions(feature).write.mode("overwrite")
-        write.parquet(path)
-    return spark.read.parquet(path)
+    if is_complete(spark, path):
+        return spark.read.parquet(path)
+    built = build()
+    built.sortWithinPartitions(feature).write.mode("overwrite").parquet(path)
+    return spark.read.schema(built.schema).parquet(path)

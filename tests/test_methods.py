@@ -261,7 +261,20 @@ def test_pca_equals_svd(spark):
         assert np.allclose(got[f"pc{c + 1}"], want, atol=1e-9)
     assert [r.feature for r in explore.constant_features(long_form(spark, m)).collect()] == ["g004"]
     with pytest.raises(ValueError):
-        explore.check_samples(sample_table(spark, m), limit=5)
+        explore.pca_samples(long_form(spark, m), sample_table(spark, m), limit=5)
+
+
+@pytest.mark.parametrize("block", [2, 3, 100])
+def test_products_in_blocks(spark, block):
+    rng = np.random.default_rng(12)
+    m = rng.normal(size=(20, 7))
+    got = explore.sample_distance(long_form(spark, m), sample_table(spark, m), block=block).collect()
+    want = {(f"s{i:02d}", f"s{j:02d}"): np.sqrt(((m[:, i] - m[:, j]) ** 2).sum()) for i in range(7) for j in range(i + 1, 7)}
+    assert {(r.sample_a, r.sample_b): r.distance for r in got} == pytest.approx(want)
+    pairs = spark.createDataFrame([(list(map(float, r)), list(map(float, r[:5] ** 2))) for r in m], "l array<double>, r array<double>")
+    cross = explore.block_products(pairs, "l", "r", width=7, block=block).collect()
+    full = m.T @ (m[:, :5] ** 2)
+    assert len(cross) == 35 and all(r.total == pytest.approx(full[r.i, r.j]) for r in cross)
 
 
 def test_marker_svd(spark):
