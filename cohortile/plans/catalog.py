@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cohortile.functions import text
 from cohortile.functions.sizing import require_at_most
 from cohortile.operators import cohort, diffexp, enrich, explore, matrix, ranks, results, signature, stats, variants
-from cohortile.plans.views import CONTRASTS, DECONV, GROUPS, SEGMENTS, Views
+from cohortile.plans.views import CONTRASTS, DECONV, SEGMENTS, Views
 from cohortile.session import run_dir
 from cohortile.sources import exports, tables
 

@@ -248,6 +248,28 @@ VIEWS["kplaced"] = """SELECT feature, sample, COUNT(*) OVER (PARTITION BY sample
 VIEWS["kwalk"] = VIEWS["walk"].replace("FROM placed", "FROM kplaced")
 VIEWS["scored_groups"] = "SELECT gs_name, grp, ROUND(score, 9) AS value FROM ss JOIN samples USING (sample)"
 
+# Shapiro-Wilk: normal scores by bisection, then the published weights and p-value
+VIEWS["sw_rows"] = """SELECT r_name AS grp, s_acctbal AS value, ROW_NUMBER() OVER (PARTITION BY r_name ORDER BY s_acctbal) AS i,
+    COUNT(*) OVER (PARTITION BY r_name) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
+VIEWS["sw_scores"] = f"""WITH RECURSIVE b AS (SELECT grp, value, i, n, (i - 0.375) / (n + 0.25) AS q, -9.0::DOUBLE AS lo, 9.0::DOUBLE AS hi, 0 AS k FROM sw_rows
+    UNION ALL SELECT grp, value, i, n, q, CASE WHEN up THEN z ELSE lo END, CASE WHEN up THEN hi ELSE z END, k + 1 FROM (
+        SELECT *, {_PHI} < q AS up FROM (SELECT *, (lo + hi) / 2 AS z FROM b WHERE k < 60)))
+    SELECT grp, value, i, n, (lo + hi) / 2 AS m FROM b WHERE k = 60"""
+VIEWS["sw_sums"] = """SELECT grp, CAST(n AS DOUBLE) AS n, 1 / SQRT(n) AS u, SUM(m * m) AS mm, MAX(m) AS m1, MAX(m) FILTER (i = n - 1) AS m2,
+    SUM(m * value) AS mx, MAX(value) - MIN(value) AS ends, MAX(value) FILTER (i = n - 1) - MAX(value) FILTER (i = 2) AS inner_ends,
+    VAR_SAMP(value) * (n - 1) AS ss FROM sw_scores WHERE n >= 3 GROUP BY grp, n"""
+VIEWS["sw_w"] = """SELECT grp, n, LEAST(1.0, CASE WHEN n = 3 THEN ends * ends / 2
+    WHEN n <= 5 THEN POW(a1 * ends + (mx - m1 * ends) / SQRT((mm - 2 * m1 * m1) / (1 - 2 * a1 * a1)), 2)
+    ELSE POW(a1 * ends + a2 * inner_ends + (mx - m1 * ends - m2 * inner_ends)
+        / SQRT((mm - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2)), 2) END / ss) AS w FROM (SELECT *,
+    m1 / SQRT(mm) + 0.221157 * u - 0.147981 * POW(u, 2) - 2.07119 * POW(u, 3) + 4.434685 * POW(u, 4) - 2.706056 * POW(u, 5) AS a1,
+    m2 / SQRT(mm) + 0.042981 * u - 0.293762 * POW(u, 2) - 1.752461 * POW(u, 3) + 5.682633 * POW(u, 4) - 3.582633 * POW(u, 5) AS a2 FROM sw_sums)"""
+VIEWS["sw_z"] = """SELECT grp, n, w, CAST(CASE WHEN n <= 11 THEN
+        (-LN(-2.273 + 0.459 * n - LN(1 - w)) - (0.5440 - 0.39978 * n + 0.025054 * n * n - 0.0006714 * n * n * n))
+        / EXP(1.3822 - 0.77857 * n + 0.062767 * n * n - 0.0020322 * n * n * n)
+    ELSE (LN(1 - w) - (-1.5861 - 0.31082 * LN(n) - 0.083751 * POW(LN(n), 2) + 0.0038915 * POW(LN(n), 3)))
+        / EXP(-0.4803 - 0.082676 * LN(n) + 0.0030302 * POW(LN(n), 2)) END AS DOUBLE) AS z FROM sw_w"""
+
 
 def _with(body: str) -> str:
     """Prefix the views a statement needs, in dependency order."""
@@ -434,6 +456,8 @@ _BASE["gsva_kcdf"] = f"SELECT feature, sample, {_r('f')} FROM kernel"
 _BASE["gsva"] = _BASE["gsva_maxdev"].replace("FROM walk", "FROM kwalk")
 _BASE["wilcoxon_exact"] = _rank_sum("expr", "feature", [("ASIA", "EUROPE"), ("ASIA", "AFRICA")])
 _BASE["enrichment_tests"] = _rank_sum("scored_groups", "gs_name", [("ASIA", "EUROPE"), ("ASIA", "AFRICA"), ("EUROPE", "AFRICA")])
+_BASE["shapiro"] = f"""SELECT g.grp, g.n, ROUND(w, 6) + 0.0 AS w, ROUND(CASE WHEN g.n = 3 THEN GREATEST(0.0, 6 / PI() * (ASIN(SQRT(w)) - ASIN(SQRT(0.75))))
+    ELSE 1 - ({_PHI}) END, 6) + 0.0 AS p_value FROM (SELECT DISTINCT grp, n FROM sw_rows) g LEFT JOIN sw_z s ON s.grp = g.grp"""
 _BASE["snv_class_pivot"] = "SELECT sample_id, comp, " + ", ".join(
     f"CAST(SUM(CASE WHEN vclass = '{c}' THEN n END) AS BIGINT) AS \"{c}\"" for c in ("A_F", "A_O", "N_F", "N_O", "R_F", "R_O")
 ) + f" FROM ({_BASE['snv_class_counts']}) GROUP BY sample_id, comp"

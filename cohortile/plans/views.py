@@ -10,14 +10,13 @@ from pyspark.sql import functions as F
 from cohortile.operators import diffexp, ranks
 from cohortile.operators.matrix import densify, log_cpm, log_zscore
 from cohortile.session import run_dir, ship_package
-from cohortile.sources.tables import stage
+from cohortile.sources.tables import store
 
 CONTRASTS = [
     ("asia_vs_europe", "ASIA", "EUROPE"),
     ("asia_vs_africa", "ASIA", "AFRICA"),
     ("europe_vs_africa", "EUROPE", "AFRICA"),
 ]
-GROUPS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
 
@@ -49,7 +48,7 @@ class Views:
         passes scan only the columns they need, and lost executors do not rebuild the joins.
         """
         if name not in self._kept:
-            self._kept[name] = stage(self.spark, run_dir(self.spark, name), build, key)
+            self._kept[name] = store(build(), run_dir(self.spark, name), key)
         return self._kept[name]
 
     def table(self, name: str) -> DataFrame:

@@ -34,15 +34,6 @@ def write_list(df: DataFrame, path: str, column: str) -> None:
     df.select(F.col(column).cast("string")).write.text(path)
 
 
-def read_matrix(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
-
-
-def write_matrix(df: DataFrame, path: str, feature: str = "feature") -> None:
-    """Parquet clustered by feature: a feature filter then skips row groups."""
-    df.sortWithinPartitions(feature).write.parquet(path)
-
-
 def append_version(df: DataFrame, path: str, version: str) -> None:
     """Add one version of a table (the place of a workbook sheet)."""
     df.withColumn("version", F.lit(version)).write.mode("append").partitionBy("version").parquet(path)
@@ -55,16 +46,21 @@ def read_version(spark: SparkSession, path: str, version: str) -> DataFrame:
 def is_complete(spark: SparkSession, path: str) -> bool:
     """A finished write leaves _SUCCESS; a folder without it is not reused."""
     try:
-        spark.read.text(f"{path}/_SUCCESS")
+        spark.read.text(f"{path}/_SUCCES[S]")  # as a pattern: a missing file is then no warning
         return True
     except AnalysisException:
         return False
 
 
-def stage(spark: SparkSession, path: str, build: Callable[[], DataFrame], feature: str = "feature") -> DataFrame:
+def store(df: DataFrame, path: str, key: str = "feature") -> DataFrame:
+    """Write a matrix or table clustered by ``key`` and read it back with its known schema.
+
+    Rows of one feature lie together, so a feature filter skips row groups.
+    """
+    df.sortWithinPartitions(key).write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stage(spark: SparkSession, path: str, build: Callable[[], DataFrame], key: str = "feature") -> DataFrame:
     """Stored result if complete, else compute, store and read back."""
-    if is_complete(spark, path):
-        return spark.read.parquet(path)
-    built = build()
-    built.sortWithinPartitions(feature).write.mode("overwrite").parquet(path)
-    return spark.read.schema(built.schema).parquet(path)
+    return spark.read.parquet(path) if is_complete(spark, path) else store(build(), path, key)
