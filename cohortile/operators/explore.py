@@ -11,8 +11,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
-from cohortile.functions.sizing import require_at_most
+from cohortile.functions.sizing import one_row, require_at_most
 from cohortile.functions.text import after_last, recode
 from cohortile.operators.matrix import per_feature, sample_names, vectors
 
@@ -120,28 +121,56 @@ def sample_distance(expr: DataFrame, samples: DataFrame, sample: str = "sample",
     return named.select("sample_a", "sample_b", F.sqrt("total").alias("distance"))
 
 
-def pca_samples(expr: DataFrame, samples: DataFrame, k: int = 2, sample: str = "sample", limit: int = SAMPLE_LIMIT) -> DataFrame:
-    """Scores of the samples on the first k components, through the sample Gram matrix.
+def _top_vectors(pairs: pd.DataFrame, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Largest k eigenvalues and vectors of a symmetric matrix given by its upper triangle."""
+    g = np.zeros((n, n))
+    g[pairs["i"], pairs["j"]] = pairs["total"]
+    g[pairs["j"], pairs["i"]] = pairs["total"]
+    vals, vecs = np.linalg.eigh(g)
+    return vals[::-1][:k], vecs[:, ::-1][:, :k]
 
-    The eigen step sees one S x S matrix (S checked). The largest score by size is positive.
+
+def pca_samples(expr: DataFrame, samples: DataFrame, k: int = 2, sample: str = "sample", feature: str = "feature",
+                value: str = "value", limit: int = SAMPLE_LIMIT) -> DataFrame:
+    """Scores of the samples on the first k components. The largest score by size is positive.
+
+    The eigen step sees one dense matrix: sample x sample, or feature x feature when only the
+    features are few enough.
     """
-    n = require_at_most(count_samples(samples, sample), limit, "samples of the eigen step")
-    gram = block_products(vectors(scaled_features(expr)), "v", width=n)
+    n = count_samples(samples, sample)
+    scaled = scaled_features(expr, feature, value)
+    names = [f"pc{c + 1}" for c in range(k)]
+    if n > limit:
+        return _pca_by_features(scaled, names, sample, feature, value, limit)
+    gram = block_products(vectors(scaled, feature, sample, value), "v", width=n)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = np.zeros((n, n))
-        g[pdf["i"], pdf["j"]] = pdf["total"]
-        g[pdf["j"], pdf["i"]] = pdf["total"]
-        vals, vecs = np.linalg.eigh(g)
-        out = {"i": np.arange(n, dtype="int32")}
-        for c in range(k):
-            score = vecs[:, -1 - c] * np.sqrt(max(vals[-1 - c], 0.0))
-            out[f"pc{c + 1}"] = score * (1.0 if score[np.argmax(np.abs(score))] >= 0 else -1.0)
-        return pd.DataFrame(out)
-
-    schema = "i int, " + ", ".join(f"pc{c + 1} double" for c in range(k))
+        vals, vecs = _top_vectors(pdf, n, k)
+        scores = vecs * np.sqrt(np.maximum(vals, 0.0))
+        scores *= np.where(scores[np.argmax(np.abs(scores), axis=0), range(scores.shape[1])] < 0, -1.0, 1.0)
+        return pd.DataFrame({"i": np.arange(n, dtype="int32"), **dict(zip(names, scores.T))})
+
+    schema = "i int, " + ", ".join(f"{c} double" for c in names)
     scores = gram.groupBy().applyInPandas(solve, schema).withColumn("_n", sample_names(samples, sample))
-    return scores.select(F.element_at("_n", F.col("i") + 1).alias(sample), *[f"pc{c + 1}" for c in range(k)])
+    return scores.select(F.element_at("_n", F.col("i") + 1).alias(sample), *names)
+
+
+def _pca_by_features(scaled: DataFrame, names: list[str], sample: str, feature: str, value: str, limit: int) -> DataFrame:
+    """Many samples, few features: eigenvectors of the feature products, then one dot product per sample."""
+    d = require_at_most(scaled.select(feature).distinct().limit(limit + 1).count(), limit,
+                        "features of the eigen step (the samples are above it as well)")
+    rows = vectors(scaled, sample, feature, value)
+    _, vecs = _top_vectors(block_products(rows, "v", width=d).toPandas(), d, len(names))
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def project(v: pd.Series) -> pd.Series:
+        return pd.Series(list(np.array(v.tolist(), float) @ vecs))
+
+    raw = rows.select(sample, project("v").alias("_s")).select(
+        sample, *[F.col("_s")[c].alias(name) for c, name in enumerate(names)])
+    signs = raw.agg(*[F.signum(F.max_by(c, F.abs(c))).alias(c) for c in names])
+    signed = raw.withColumn("_g", one_row(signs))
+    return signed.select(sample, *[(F.col(c) * F.col(f"_g.{c}")).alias(c) for c in names])
 
 
 def annotate_samples(df: DataFrame, label: str, cases, default: str) -> DataFrame:

@@ -252,6 +252,9 @@ def test_pca_equals_svd(spark):
     m = rng.normal(size=(30, 6))
     m[4] = 2.0
     got = explore.pca_samples(long_form(spark, m), sample_table(spark, m)).toPandas().sort_values("sample")
+    wide = rng.normal(size=(4, 9))
+    few, many = (explore.pca_samples(long_form(spark, wide), sample_table(spark, wide), limit=n).toPandas().sort_values("sample") for n in (5, 50))
+    assert np.allclose(few[["pc1", "pc2"]], many[["pc1", "pc2"]], atol=1e-9)
     keep = np.delete(m, 4, axis=0)
     z = (keep - keep.mean(axis=1, keepdims=True)) / keep.std(axis=1, ddof=1, keepdims=True)
     u, d, _ = np.linalg.svd(z.T, full_matrices=False)
