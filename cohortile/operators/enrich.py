@@ -106,6 +106,7 @@ def max_deviation(density: DataFrame, mapped: DataFrame, *, feature: str = "feat
 
     Between two members the walk only falls, so its extremes lie at or just before a member.
     Weight at position p is |N/2 - p + 1|; on a tie of the two extremes the negative one wins.
+    The score is NULL when the members' weights are all 0 or no feature lies outside the set.
     """
     placed = ranks.with_position(density, [sample], [F.col(value).desc(), F.col(feature)], "_p",
                                  max_rows=max_rows, rows_per_task=rows_per_task)
@@ -123,7 +124,7 @@ def max_deviation(density: DataFrame, mapped: DataFrame, *, feature: str = "feat
     before = F.try_divide(F.col("_cum") - F.col("_w"), F.nullif(F.col("_all"), F.lit(0.0))) - miss
     ends = walk.groupBy(sample, "gs_name").agg(
         F.greatest(F.lit(0.0), F.max(at)).alias("_up"), F.least(F.lit(0.0), F.min(before)).alias("_down"),
-        F.max(miss).alias("_ok"))
+        (F.max(F.when(F.col("_all") > 0, miss))).alias("_ok"))
     es = F.when(F.col("_up") > -F.col("_down"), F.col("_up")).otherwise(F.col("_down"))
     return ends.select(sample, "gs_name", F.when(F.col("_ok").isNotNull(), es).alias("es"))
 

@@ -420,8 +420,8 @@ _BASE = {
         CASE type WHEN 'Adherent' THEN 'Adherent cells' WHEN 'Solid_Tissue' THEN 'Tumour' ELSE 'Suspension cells' END AS type_label FROM (
         SELECT gs_name, sample, score, CASE grp WHEN 'ASIA' THEN 'Suspension' WHEN 'EUROPE' THEN 'Adherent' ELSE 'Solid_Tissue' END AS type
         FROM ss JOIN samples USING (sample))""",
-    "gsva_maxdev": """SELECT sample, gs_name, ROUND(CASE WHEN up > -down THEN up ELSE down END, 6) + 0.0 AS es FROM (
-        SELECT sample, gs_name, GREATEST(0.0, MAX(c - miss)) AS up, LEAST(0.0, MIN(c - w / tot - miss)) AS down FROM (
+    "gsva_maxdev": """SELECT sample, gs_name, ROUND(CASE WHEN weight = 0 THEN NULL WHEN up > -down THEN up ELSE down END, 6) + 0.0 AS es FROM (
+        SELECT sample, gs_name, MAX(tot) AS weight, GREATEST(0.0, MAX(c - miss)) AS up, LEAST(0.0, MIN(c - w / tot - miss)) AS down FROM (
             SELECT sample, gs_name, w, SUM(w) OVER (PARTITION BY sample, gs_name ORDER BY p) / SUM(w) OVER (PARTITION BY sample, gs_name) AS c,
             SUM(w) OVER (PARTITION BY sample, gs_name) AS tot, (p - j) / CAST(n - k AS DOUBLE) AS miss FROM walk) GROUP BY sample, gs_name)""",
     "top_markers": """SELECT cell_type, feature, CAST(rank AS INT) AS rank FROM (SELECT p_type AS cell_type, CAST(p_partkey AS VARCHAR) AS feature,

@@ -142,6 +142,15 @@ def test_max_deviation_equals_the_walk(scored, size):
         assert r.es == pytest.approx(want, abs=1e-12)
 
 
+def test_max_deviation_without_weight_is_null(spark):
+    # four features: position 3 weighs |4 - 3 + 1 - 2| = 0
+    density = spark.createDataFrame([(g, "s", f) for g, f in zip("abcd", (4.0, 3.0, 2.0, 1.0))], "feature string, sample string, f double")
+    sets = spark.createDataFrame([("zero", "c"), ("some", "c"), ("some", "a"), ("full", "a"), ("full", "b"), ("full", "c"), ("full", "d")],
+                                 "gs_name string, feature string")
+    out = {r.gs_name: r.es for r in enrich.max_deviation(density, sets).collect()}
+    assert out["zero"] is None and out["full"] is None and out["some"] == pytest.approx(1.0)
+
+
 def test_kernel_cdf(spark):
     rng = np.random.default_rng(2)
     m = rng.normal(size=(7, 9))
