@@ -18,7 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once under the shared folder and read it back: the lineage ends at files every executor reaches."""
+    """Write ``df`` once under the shared folder and read it back: the lineage ends at files every executor reaches.
+
+    A table of groups is stored before it is joined to their rows: then both sides of the join are plain
+    shuffles, and adaptive execution can split the rows of a hot group.
+    """
     path = run_dir(df.sparkSession, f"llm-{name}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -160,7 +160,7 @@ def near_vectors(vectors: DataFrame, vec_col: str = "embedding", label_col: str
     hashed = stored(classes.select("node", "vec").mapInArrow(_hashed(tables, projections, width), "node long, keys array<long>"), "vector-keys")
     # a bucket is a cell of one label
     cells = classes.join(hashed, "node").select("*", F.posexplode("keys").alias("t", "cell")).withColumn("key", F.xxhash64("label", "t", "cell"))
-    sizes = cells.select("key").groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1)
+    sizes = stored(cells.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1), "bucket-sizes")
     large = stored(sizes.filter(F.col("size") > block).select("key", F.ceil(F.col("size") / block).cast("int").alias("blocks")), "large-buckets")
     placed = cells.join(sizes.select("key"), "key", "left_semi")
     cut = joined_small(placed, large, "key", "left", 16).withColumn("blocks", F.coalesce("blocks", F.lit(1)))
@@ -177,8 +177,8 @@ def _assembled(rows: DataFrame, classes: DataFrame, found: DataFrame) -> DataFra
     links = found.groupBy("node").agg(F.sum("add").alias("more"))
     edges = found.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).distinct()
     groups = components(edges).withColumnRenamed("v", "node")
-    owned = classes.join(groups.withColumnRenamed("label", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
-    least = owned.groupBy("group").agg(F.min("least").alias("component_id"))
+    owned = stored(classes.join(groups.withColumnRenamed("label", "group"), "node", "left").withColumn("group", F.coalesce("group", "node")), "owned")
+    least = stored(owned.groupBy("group").agg(F.min("least").alias("component_id")), "least")
     per_class = (owned.join(least, "group").join(links, "node", "left")
                  .select("label", "vec", (F.coalesce("more", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id"))
     known = rows.filter("ok").join(per_class, ["label", "vec"])

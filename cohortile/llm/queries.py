@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortile.llm import embedding_dedup, exact_dedup, language, packing, warc
+from cohortile.llm import embedding_dedup, exact_dedup, language, near_dedup, packing, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": packing.op2_packing,
     "op3_warc": warc.op3_warc,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_language": language.op9_language,
     "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
 }

@@ -172,6 +172,7 @@ def resolve(headers: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     # nulls last: a struct that begins with a null flag
     first = large.groupBy("payload_digest", "payload_bytes").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", *ROW)).alias("first")).filter("n > 1")
+    first = stored(first, "first-payloads")
     return (large.join(first, ["payload_digest", "payload_bytes"])
             .select(*ROW, F.col("first._f").alias("of_f"), F.col("first._r").alias("of_r"))
             .filter(~((F.col("_f") == F.col("of_f")) & (F.col("_r") == F.col("of_r")))))
