@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortile.session import run_dir, ship_package
@@ -52,3 +52,18 @@ def fits_broadcast(df: DataFrame, row_bytes: int) -> bool:
 def joined_small(df: DataFrame, side: DataFrame, keys, how: str, row_bytes: int) -> DataFrame:
     """Join a stored ``side``: by broadcast if its counted size is below the bound, else by shuffle."""
     return df.join(F.broadcast(side) if fits_broadcast(side, row_bytes) else side, keys, how)
+
+
+def numbered(df: DataFrame, order: list[str], out: str, name: str) -> DataFrame:
+    """``df`` with its place from 0 in the order of the columns ``order``, which must tell rows apart.
+
+    The rows are laid out by range once and stored; a place is the place in the partition plus the
+    rows of the partitions before it, of which there is one number each.
+    """
+    laid = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_seq", F.monotonically_increasing_id()), name)
+    part = F.shiftright("_seq", 33)
+    sizes = laid.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = stored(sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift")), f"{name}-parts")
+    at = joined_small(laid.withColumn("_part", part), shift, "_part", "inner", 16)
+    return at.withColumn(out, F.col("_seq") - F.shiftleft("_part", 33) + F.col("_shift")).drop("_part", "_seq", "_shift")
