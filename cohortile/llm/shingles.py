@@ -31,14 +31,18 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start, end and text number of every word `[^\\x20\\x09-\\x0D]+`; A-Z count as a-z."""
+def words(texts: list[bytes], beginnings: tuple[int, ...] = ()):
+    """Hash, start, end and text number of every word `[^\\x20\\x09-\\x0D]+`; A-Z count as a-z.
+
+    For each length in ``beginnings`` follows an array with the hash of the words' first so many bytes,
+    0 for words that are not longer.
+    """
     raw = np.frombuffer(b" ".join([*texts, b""]).lower(), np.uint8)
     sizes = np.array([len(t) + 1 for t in texts], np.int64)
     firsts = np.concatenate([[0], np.cumsum(sizes)])
     if not len(raw):
         none = np.array([], np.int64)
-        return none.astype(np.uint64), none, none, none
+        return (none.astype(np.uint64), none, none, none, *([none.astype(np.uint64)] * len(beginnings)))
     space = _SPACE[raw]
     edge = np.flatnonzero(np.diff(np.concatenate([[1], space.view(np.int8), [1]])))
     start, end = edge[0::2], edge[1::2]
@@ -46,7 +50,12 @@ def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTER[raw] * up[:len(raw)], dtype=np.uint64)])
     value = mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * _STEP)
     owner = np.searchsorted(firsts, start, side="right") - 1
-    return value, start - firsts[owner], end - firsts[owner], owner
+    more = []
+    for size in beginnings:
+        long = end - start > size
+        head = mixed((total[np.where(long, start + size, start)] - total[start]) * down[start] + _LETTER[size % 256])
+        more.append(np.where(long, head, np.uint64(0)))
+    return (value, start - firsts[owner], end - firsts[owner], owner, *more)
 
 
 def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
