@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -67,3 +69,19 @@ def numbered(df: DataFrame, order: list[str], out: str, name: str) -> DataFrame:
     shift = stored(sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift")), f"{name}-parts")
     at = joined_small(laid.withColumn("_part", part), shift, "_part", "inner", 16)
     return at.withColumn(out, F.col("_seq") - F.shiftleft("_part", 33) + F.col("_shift")).drop("_part", "_seq", "_shift")
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    """Number of partitions for rows dealt out to Python: stated, so that few bytes but much work are not merged into few tasks."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def sliced(batches, *columns: str, most: int = 4 << 20):
+    """Parts of Arrow batches with about ``most`` bytes in the binary ``columns``; a longer row is a part of its own."""
+    for batch in batches:
+        size = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
+        part = np.cumsum(size) // most
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if b > a:
+                yield batch.slice(a, b - a)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortile.llm.common import joined_small, stored, table
+from cohortile.llm.common import joined_small, shuffle_partitions, stored, table
 from cohortile.llm.components import components
 
 TABLES, PROJECTIONS, WIDTH, LEAST_COSINE, SEED = 24, 8, 2.0, 0.93, 20_011
@@ -168,7 +168,7 @@ def near_vectors(vectors: DataFrame, vec_col: str = "embedding", label_col: str
     pairs = cut.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "key", "t", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"),
         (F.col("own") > F.col("with")).cast("int").alias("side"), "node", "n", "vec", "keys")
-    found = stored(pairs.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(
+    found = stored(pairs.repartition(shuffle_partitions(vectors.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(
         _compared(least), "node long, add long, root long"), "vector-links")
     return _assembled(rows, classes, found)
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortile.llm.common import joined_small, keyed, stored, table
+from cohortile.llm.common import joined_small, keyed, shuffle_partitions, sliced, stored, table
 from cohortile.llm.components import components
 from cohortile.llm.shingles import in_chunks, shingle_sets
 
@@ -36,8 +36,8 @@ ROW = ["_f", "_r"]
 BASE, ROWS, BANDS = 1.2, 6, 32
 REGISTERS = ROWS * BANDS
 STAR_ROUNDS = 4
-#: Sets of a bucket whose registers one task compares with another such block.
-BLOCK = 1024
+#: Sets of a bucket whose registers one task compares with another such block, and pairs it holds at a time.
+BLOCK, PAIRS = 1024, 50_000
 _rng = np.random.default_rng(104_729)
 _SALT = _rng.integers(1, 2**64, REGISTERS, dtype=np.uint64)
 _FACTOR = _rng.integers(1, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -90,7 +90,7 @@ def _sketched(k: int):
     names = ["_f", "_r", "id", "n", "digest", "regs"]
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             texts = [t or b"" for t in batch.column("text").to_pylist()]
             n, digest, regs = [], [], []
             for a, b in in_chunks(texts):
@@ -123,26 +123,23 @@ def _confirmed(k: int, threshold: float):
     percent = round(threshold * 100)
 
     def run(batches):
-        for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            ta, tb = batch.column("ta"), batch.column("tb")
+        for batch in sliced(batches, "ta", "tb"):
+            at: dict = {}
+            texts: list = []
+            for ids, column in (("a", "ta"), ("b", "tb")):
+                for node, text in zip(batch.column(ids).to_pylist(), batch.column(column)):
+                    if node not in at:
+                        at[node] = len(texts)
+                        texts.append(text.as_py() or b"")
+            sets = []
+            for x, y in in_chunks(texts):
+                values, cuts = shingle_sets(texts[x:y], k)
+                sets += [values[p:q] for p, q in zip(cuts[:-1], cuts[1:])]
             yes = []
-            for lo in range(0, len(a), 512):
-                at: dict = {}
-                texts: list = []
-                for ids, column in ((a, ta), (b, tb)):
-                    for i in range(lo, min(lo + 512, len(a))):
-                        if ids[i] not in at:
-                            at[ids[i]] = len(texts)
-                            texts.append(column[i].as_py() or b"")
-                sets = []
-                for x, y in in_chunks(texts):
-                    values, cuts = shingle_sets(texts[x:y], k)
-                    sets += [values[p:q] for p, q in zip(cuts[:-1], cuts[1:])]
-                for i in range(lo, min(lo + 512, len(a))):
-                    x, y = sets[at[a[i]]], sets[at[b[i]]]
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    yes.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+                x, y = sets[at[a]], sets[at[b]]
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                yes.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(yes, pa.bool_()))
 
     return run
@@ -151,43 +148,57 @@ def _confirmed(k: int, threshold: float):
 def _across(threshold: float):
     """Rows come sorted by (key, i, j): pairs of one run from different components whose registers agree often enough."""
     least = least_estimate(threshold)
-    fields = ["key", "i", "j", "side", "node", "label", "n", "regs"]
-
-    def settle(rows):
-        if len(rows) < 2:
-            return []
-        left = [r for r in rows if r[3] == 0] if rows[0][1] != rows[0][2] else rows
-        right = [r for r in rows if r[3] == 1] if rows[0][1] != rows[0][2] else rows
-        if not left or not right:
-            return []
-        regs = [np.frombuffer(b"".join(r[7] for r in side), np.uint8).reshape(-1, REGISTERS) for side in (left, right)]
-        label = [np.array([r[5] for r in side]) for side in (left, right)]
-        n = [np.array([r[6] for r in side], float) for side in (left, right)]
-        out = []
-        for x in range(len(left)):
-            other = np.flatnonzero((label[1] != label[0][x]) & (np.minimum(n[1], n[0][x]) >= threshold * np.maximum(n[1], n[0][x])))
-            if rows[0][1] == rows[0][2]:
-                other = other[other > x]
-            if len(other):
-                close = estimate(np.broadcast_to(regs[0][x], (len(other), REGISTERS)), regs[1][other], np.full(len(other), n[0][x]), n[1][other]) >= least
-                out += [(left[x][4], right[y][4]) for y in other[close]]
-        return out
 
-    def batch_of(pairs):
-        a, b = zip(*pairs) if pairs else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    def compared(left: dict, right: dict, same: bool):
+        """Numbers of the rows of ``left`` and ``right`` that may be linked, by component and size alone, in parts."""
+        rows = max(1, PAIRS // max(1, len(right["node"])))
+        for lo in range(0, len(left["node"]), rows):
+            part = slice(lo, lo + rows)
+            ok = left["label"][part][:, None] != right["label"][None, :]
+            ok &= np.minimum(left["n"][part][:, None], right["n"]) >= threshold * np.maximum(left["n"][part][:, None], right["n"])
+            x, y = np.nonzero(ok)
+            x += lo
+            if same:
+                x, y = x[y > x], y[y > x]
+            yield x, y
 
     def run(batches):
-        held, now = [], None
+        held: list[dict] = []
+        waiting: list[tuple] = []
+
+        def emit(all_of_it: bool):
+            if not waiting or not (all_of_it or sum(len(w[0]) for w in waiting) >= PAIRS):
+                return
+            a, b, ra, rb, na, nb = (np.concatenate(x) for x in zip(*waiting))
+            waiting.clear()
+            close = estimate(ra, rb, na, nb) >= least
+            yield pa.RecordBatch.from_arrays([pa.array(a[close], pa.int64()), pa.array(b[close], pa.int64())], names=["a", "b"])
+
+        def settle():
+            run_of = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
+            held.clear()
+            same = run_of["i"][0] == run_of["j"][0]
+            sides = [run_of] * 2 if same else [{k: v[run_of["side"] == s] for k, v in run_of.items()} for s in (0, 1)]
+            for x, y in compared(*sides, same):
+                if len(x):
+                    left, right = sides
+                    waiting.append((left["node"][x], right["node"][y], left["regs"][x], right["regs"][y], left["n"][x], right["n"][y]))
+                    yield from emit(False)
+
         for batch in batches:
-            done = []
-            for row in zip(*(batch.column(f).to_pylist() for f in fields)):
-                if row[:3] != now:
-                    done += settle(held)
-                    held, now = [], row[:3]
-                held.append(row)
-            yield batch_of(done)
-        yield batch_of(settle(held))
+            if not batch.num_rows:
+                continue
+            c = {n: batch.column(n).to_numpy() for n in ("key", "i", "j", "side", "node", "label")}
+            c["n"] = batch.column("n").to_numpy().astype(float)
+            c["regs"] = np.frombuffer(b"".join(batch.column("regs").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+            new = np.flatnonzero((c["key"][1:] != c["key"][:-1]) | (c["i"][1:] != c["i"][:-1]) | (c["j"][1:] != c["j"][:-1])) + 1
+            for lo, hi in zip([0, *new], [*new, batch.num_rows]):
+                if held and any(held[-1][k][-1] != c[k][lo] for k in ("key", "i", "j")):
+                    yield from settle()
+                held.append({k: v[lo:hi] for k, v in c.items()})
+        if held:
+            yield from settle()
+        yield from emit(True)
 
     return run
 
@@ -227,6 +238,7 @@ class _Linker:
 def near_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", k: int = 5, threshold: float = 0.8,
                 block: int = BLOCK, rounds: int = STAR_ROUNDS) -> DataFrame:
     """(_f, _r, doc_id, n_shingles, component_id, first) per row; ``first`` marks one row of every component."""
+    spark = docs.sparkSession
     rows = keyed(docs, F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     sketches = stored(rows.mapInArrow(_sketched(k), "_f long, _r long, id long, n long, digest binary, regs binary"), "sketches")
     by_id = F.struct(F.col("id").isNull().alias("none"), "id", *ROW)
@@ -259,7 +271,7 @@ def near_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
              .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"),
                      (F.col("own") > F.col("with")).cast("int").alias("side"), "node", "label", "n", "regs"))
-    across = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_across(threshold), "a long, b long")
+    across = dealt.repartition(shuffle_partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_across(threshold), "a long, b long")
     pairs = stored(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "across")
     if not pairs.isEmpty():
         linker.link(pairs)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortile.llm.common import table
+from cohortile.llm.common import sliced, table
 from cohortile.llm.language import split_of
 from cohortile.llm.shingles import in_chunks, mixed, words
 
@@ -245,7 +245,7 @@ def score(texts: list[bytes], model: dict) -> tuple[np.ndarray, list[str]]:
 def _scored(shared):
     def run(batches):
         model = shared.value
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             texts = [t or b"" for t in batch.column(2).to_pylist()]
             scores, spans = [], []
             for a, b in in_chunks(texts, 1 << 19):
