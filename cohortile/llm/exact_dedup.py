@@ -75,7 +75,7 @@ def identities(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
         even = F.col("i") % 2 == 0
         pairs = now.filter("n > 1").groupBy(*ROW, "n", F.expr("i div 2").cast("int").alias("i")).agg(
             F.max(F.when(even, F.col("name"))).alias("a"), F.coalesce(F.max(F.when(~even, F.col("name"))), F.lit(-1)).alias("b"))
-        named = _numbered(pairs.select("a", "b").distinct(), "a", "b")
+        named = stored(_numbered(pairs.select("a", "b").distinct(), "a", "b"), "pair-names")
         now = stored(pairs.join(named, ["a", "b"]).select(*ROW, F.ceil(F.col("n") / 2).cast("int").alias("n"), "i", "name"), f"names-{level}")
         done = done.unionByName(now.filter("n = 1").select(*ROW, F.lit(level).alias("level"), "name"))
     return rows.select(*ROW, "id", "sha").join(done, ROW)
@@ -85,7 +85,7 @@ def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
                 handle=F.xxhash64) -> DataFrame:
     """(_f, _r, doc_id, keep_id, group_size, kept, text_sha256); of equal texts the row with the largest id is kept."""
     found = stored(identities(docs, text_col, id_col, block_bytes, handle), "identities")
-    groups = found.groupBy("level", "name").agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("id", *ROW)).alias("best"))
+    groups = stored(found.groupBy("level", "name").agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("id", *ROW)).alias("best")), "groups")
     return found.join(groups, ["level", "name"]).select(
         *ROW, F.col("id").alias("doc_id"), F.col("best.id").alias("keep_id"), "group_size",
         ((F.col("best._f") == F.col("_f")) & (F.col("best._r") == F.col("_r"))).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
