@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortile.llm import embedding_dedup, exact_dedup, language, near_dedup, packing, pii, sharding, toxicity, warc
+from cohortile.llm import embedding_dedup, exact_dedup, language, near_dedup, packing, pii, sentencepiece_lattice, sharding, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.op1_pii,
     "op2_packing": packing.op2_packing,
     "op3_warc": warc.op3_warc,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_sentencepiece": sentencepiece_lattice.op5_sentencepiece,
     "op6_sharding": sharding.op6_sharding,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_near_dedup": near_dedup.op8_near_dedup,
