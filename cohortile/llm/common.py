@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow.compute as pc
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,20 +29,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def scanned(df: DataFrame) -> DataFrame:
+    """``df`` itself if it only filters and projects one scan of files, else stored, so that its rows keep their places."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias") and plan.deterministic():
+        plan = plan.children().head()
+    return df if plan.nodeName() == "LogicalRelation" else stored(df, "rows")
+
+
 def keyed(df: DataFrame, *cols) -> DataFrame:
     """``cols`` behind a row identity (_f, _r): hash of the file's path and the row's place in that file.
 
     It tells repeated rows and repeated or null ids apart and is the same in every pass over the
-    files. A frame that is not a plain scan is stored first.
+    files. Who takes several passes calls ``scanned`` once before them.
     """
-    def of(scan):
-        meta = scan.metadataColumn("_metadata")
-        return scan.select(F.xxhash64(meta["file_path"]).alias("_f"), meta["row_index"].alias("_r"), *cols)
-
-    try:
-        return of(df)
-    except AnalysisException:
-        return of(stored(df, "rows"))
+    scan = scanned(df)
+    meta = scan.metadataColumn("_metadata")
+    return scan.select(F.xxhash64(meta["file_path"]).alias("_f"), meta["row_index"].alias("_r"), *cols)
 
 
 def fits_broadcast(df: DataFrame, row_bytes: int) -> bool:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortile.llm.common import joined_small, keyed, stored, table
+from cohortile.llm.common import joined_small, keyed, scanned, stored, table
 
 BLOCK_BYTES = 4096
 ROW = ["_f", "_r"]
@@ -49,6 +49,7 @@ def _numbered(df: DataFrame, *order: str) -> DataFrame:
 def identities(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", block_bytes: int = BLOCK_BYTES,
                handle=F.xxhash64) -> DataFrame:
     """(_f, _r, id, sha, level, name) per row; (level, name) is the text's identity, sha its SHA-256."""
+    docs = scanned(docs)
     cut = keyed(docs, F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(
         _cut(block_bytes), "_f long, _r long, id long, sha binary, blocks array<binary>")
     rows = stored(cut.select(*ROW, "id", "sha", F.transform("blocks", lambda b: handle(b)).alias("hs")), "block-hashes")
@@ -93,6 +94,7 @@ def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
 
 def drop_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``docs`` without the rows that exact_dedup does not keep, with the same columns."""
+    docs = scanned(docs)
     lost = stored(exact_dedup(docs, text_col, id_col).filter(~F.col("kept")).select(*ROW), "copies")
     return joined_small(keyed(docs, F.struct("*").alias("_row")), lost, ROW, "left_anti", 16).select("_row.*")
 

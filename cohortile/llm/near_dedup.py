@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortile.llm.common import joined_small, keyed, shuffle_partitions, sliced, stored, table
+from cohortile.llm.common import joined_small, keyed, scanned, shuffle_partitions, sliced, stored, table
 from cohortile.llm.components import components
 from cohortile.llm.shingles import in_chunks, shingle_sets
 
@@ -287,6 +287,7 @@ def near_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
 
 def drop_near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", k: int = 5, threshold: float = 0.8) -> DataFrame:
     """``docs`` with one row of every component, with the same columns."""
+    docs = scanned(docs)
     lost = stored(near_groups(docs, text_col, id_col, k, threshold).filter(~F.col("first")).select(*ROW), "near-copies")
     return joined_small(keyed(docs, F.struct("*").alias("_row")), lost, ROW, "left_anti", 16).select("_row.*")
 

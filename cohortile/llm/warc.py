@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortile.llm.common import keyed, stored, table
+from cohortile.llm.common import keyed, scanned, stored, table
 from cohortile.session import run_dir
 
 LEAST_BYTES = 100
@@ -181,6 +181,7 @@ def resolve(headers: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
 def deduplicated(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
                  least: int = LEAST_BYTES) -> None:
     """Write ``pages`` to archives under ``path`` in which equal payloads of at least ``least`` bytes are kept once."""
+    pages = scanned(pages)
     rows = keyed(pages, F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("binary").alias("url"),
                  F.coalesce(F.col(html_col).cast("binary"), F.lit(b"")).alias("payload"))
     headers = stored(rows.select(*ROW, "page_id", F.length("payload").cast("long").alias("payload_bytes"),
