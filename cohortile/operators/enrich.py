@@ -29,8 +29,8 @@ def select_sets(catalogue: DataFrame, category: str | None = None, names: Sequen
 
 
 def map_sets(sets: DataFrame, features: DataFrame, *, feature: str = "feature", min_size: int = 1,
-             max_size: int | None = 1500) -> DataFrame:
-    """(gs_name, feature, set_size) of sets whose size among the present features is in range."""
+             max_size: int | None = None) -> DataFrame:
+    """(gs_name, feature, set_size) of sets whose size among the present features is in range; no upper limit unless given."""
     present = sets.select("gs_name", feature).distinct().join(features.select(feature).distinct(), feature, "left_semi")
     sizes = present.groupBy("gs_name").agg(F.count(F.lit(1)).alias("set_size")).filter(F.col("set_size") >= min_size)
     if max_size is not None:
@@ -59,7 +59,7 @@ def ssgsea(scores: DataFrame, mapped: DataFrame, *, alpha: float = 0.25, normali
         F.max("_n").alias("_n"), F.count(F.lit(1)).alias("k"), F.sum(weight).alias("_w"),
         F.sum(weight * o).alias("_wo"), F.sum(o).alias("_o"),
     )
-    outside = F.try_divide(n * (n + 1) / 2.0 - F.col("_o"), F.nullif((n - F.col("k")).cast("double"), F.lit(0.0)))
+    outside = F.try_divide(n.cast("double") * (n + 1) / 2.0 - F.col("_o"), F.nullif((n - F.col("k")).cast("double"), F.lit(0.0)))
     es = sums.select(sample, "gs_name", (F.col("_wo") / F.col("_w") - outside).alias("es"))
     return normalise_by_range(es) if normalise else es
 
@@ -161,7 +161,7 @@ def marker_svd(expr: DataFrame, samples: DataFrame, markers: DataFrame, k: int =
     top = small_side(top_markers(markers, expr, k, cell_type=cell_type, feature=feature))
     chosen = expr.join(top.select(feature).distinct(), feature, "left_semi")
     scaled = per_feature(chosen, feature, scale=True, value=value, out=value).filter(F.col(value).isNotNull())
-    rows = vectors(scaled, feature, sample, value).join(top, feature)
+    rows = vectors(scaled, feature, sample, value, of=samples).join(top, feature)
 
     def first_vector(pdf: pd.DataFrame) -> pd.DataFrame:
         m = np.array(pdf.sort_values("rank")["v"].tolist(), float)

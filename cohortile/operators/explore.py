@@ -109,14 +109,14 @@ def count_samples(samples: DataFrame, sample: str = "sample") -> int:
 
 def sample_gram(expr: DataFrame, samples: DataFrame, sample: str = "sample", block: int = SAMPLE_BLOCK) -> DataFrame:
     """Inner products of sample profiles over scaled features, i <= j."""
-    pairs = block_products(vectors(scaled_features(expr)), "v", width=count_samples(samples, sample), block=block)
+    pairs = block_products(vectors(scaled_features(expr), sample=sample, of=samples), "v", width=count_samples(samples, sample), block=block)
     return name_pairs(pairs, samples, sample)
 
 
 def sample_distance(expr: DataFrame, samples: DataFrame, sample: str = "sample", feature: str = "feature",
                     block: int = SAMPLE_BLOCK) -> DataFrame:
     """Euclidean distance of sample profiles, each pair once."""
-    pairs = block_products(vectors(expr, feature, sample), "v", kind="distance", width=count_samples(samples, sample), block=block)
+    pairs = block_products(vectors(expr, feature, sample, of=samples), "v", kind="distance", width=count_samples(samples, sample), block=block)
     named = name_pairs(pairs, samples, sample).filter("sample_a < sample_b")
     return named.select("sample_a", "sample_b", F.sqrt("total").alias("distance"))
 
@@ -142,7 +142,7 @@ def pca_samples(expr: DataFrame, samples: DataFrame, k: int = 2, sample: str = "
     names = [f"pc{c + 1}" for c in range(k)]
     if n > limit:
         return _pca_by_features(scaled, names, sample, feature, value, limit)
-    gram = block_products(vectors(scaled, feature, sample, value), "v", width=n)
+    gram = block_products(vectors(scaled, feature, sample, value, of=samples), "v", width=n)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         vals, vecs = _top_vectors(pdf, n, k)
@@ -159,7 +159,7 @@ def _pca_by_features(scaled: DataFrame, names: list[str], sample: str, feature:
     """Many samples, few features: eigenvectors of the feature products, then one dot product per sample."""
     d = require_at_most(scaled.select(feature).distinct().limit(limit + 1).count(), limit,
                         "features of the eigen step (the samples are above it as well)")
-    rows = vectors(scaled, sample, feature, value)
+    rows = vectors(scaled, sample, feature, value, of=scaled.select(feature))
     _, vecs = _top_vectors(block_products(rows, "v", width=d).toPandas(), d, len(names))
 
     @F.pandas_udf(ArrayType(DoubleType()))

@@ -47,15 +47,16 @@ def build_matrix(raw: DataFrame, meta: DataFrame, *, key: str = "biospecimen", d
 
     Keeps features with a positive total over the selected samples, drops ids holding
     ``drop_text``, splits the id at the first '_' and keeps the id with the highest mean
-    per symbol (smallest id on a tie). ``meta`` needs key, sample_id and type columns.
+    over all selected samples per symbol (smallest id on a tie): their number is the same for
+    every id, so the totals decide, and absent cells count as 0. ``meta`` needs key, sample_id and type columns.
     """
     labels = meta.select(key, make_label("sample_id", F.lower("type")).alias("label")).distinct()
     cells = raw.filter(~F.col("gene_id").contains(drop_text)).join(labels, key)
     per_id = (
-        cells.groupBy("gene_id").agg(F.sum("value").alias("_total"), F.avg("value").alias("_mean"))
+        cells.groupBy("gene_id").agg(F.sum("value").alias("_total"))
         .filter("_total > 0").withColumn(symbol, after_first("gene_id"))
     )
-    best = small_side(best_per_key(per_id, symbol, "gene_id", "_mean").select("gene_id", symbol))
+    best = small_side(best_per_key(per_id, symbol, "gene_id", "_total").select("gene_id", symbol))
     return cells.join(best, "gene_id").select(symbol, "label", "value")
 
 
@@ -97,10 +98,22 @@ def min_max_scale(df: DataFrame, value: str = "value", out: str = "scaled") -> D
 
 
 def vectors(df: DataFrame, feature: str = "feature", sample: str = "sample", value: str = "value",
-            out: str = "v", keep: Sequence[str] = ()) -> DataFrame:
-    """One array per feature, values in sample order (needs a dense matrix)."""
+            out: str = "v", keep: Sequence[str] = (), of: DataFrame | None = None) -> DataFrame:
+    """One array per feature, values in sample order (needs a dense matrix).
+
+    With ``of``, the table of samples, every feature must have exactly those samples, once each:
+    a place in an array then means the same sample in all of them. Otherwise the query fails.
+    """
     ordered = F.array_sort(F.collect_list(F.struct(sample, value)))
-    return df.groupBy(*keep, feature).agg(ordered.alias("_c")).select(*keep, feature, F.col(f"_c.{value}").alias(out))
+    packed = df.groupBy(*keep, feature).agg(ordered.alias("_c"))
+    if of is None:
+        return packed.select(*keep, feature, F.col(f"_c.{value}").alias(out))
+    named = packed.withColumn("_names", sample_names(of, sample))
+    said = F.concat(F.lit(f"{feature} "), F.col(feature).cast("string"), F.lit(" has "), F.size("_c").cast("string"), F.lit(f" {sample} values, "),
+                    F.size(F.array_intersect(F.col(f"_c.{sample}"), F.col("_names"))).cast("string"), F.lit(" of the "),
+                    F.size("_names").cast("string"), F.lit(" expected ones"))
+    aligned = F.when(F.col(f"_c.{sample}") == F.col("_names"), F.col(f"_c.{value}")).otherwise(F.raise_error(said))
+    return named.select(*keep, feature, aligned.alias(out))
 
 
 def unpivot(df: DataFrame, ids: Sequence[str], values: Sequence[str], name: str = "variable", value: str = "value"):

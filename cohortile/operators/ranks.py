@@ -36,14 +36,22 @@ def fits_one_task(df: DataFrame, keys: Sequence[str], max_rows: int | None, rows
     return largest_group(df, keys) <= rows_per_task
 
 
-def range_edges(df: DataFrame, keys: Sequence[str], value: str, max_rows: int | None, rows_per_task: int) -> list[float]:
-    """Cut points between value ranges; empty when a task can hold every group."""
-    if fits_one_task(df, keys, max_rows, rows_per_task):
-        return []
-    parts = min(4096, ceil(df.count() / rows_per_task) + 1)
+def laid_out(df: DataFrame, keys: Sequence[str], value: str, max_rows: int | None, rows_per_task: int) -> tuple[DataFrame, list[float]]:
+    """The input and the cut points between value ranges; no cut points when a task can hold every group.
+
+    Unless the caller proves that groups are small, the input is cut from its lineage once, so sizes,
+    cut points and the ranges themselves do not run what made it again.
+    """
+    if max_rows is not None and max_rows <= rows_per_task:
+        return df, []
+    df = cut_lineage(df)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first()
+    if (sizes[0] or 0) <= rows_per_task:
+        return df, []
+    parts = ceil(sizes[1] / rows_per_task) + 1
     probs = [i / parts for i in range(1, parts)]
     usable = df.select(F.col(value).cast("double").alias("v")).filter("v IS NOT NULL AND NOT isnan(v)")
-    return sorted({q + 0.0 for q in usable.approxQuantile("v", probs, 0.5 / parts)})
+    return df, sorted({q + 0.0 for q in usable.approxQuantile("v", probs, 0.5 / parts)})
 
 
 def with_range(df: DataFrame, value: str, edges: Sequence[float], out: str = "_range") -> DataFrame:
@@ -93,14 +101,14 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str, n: str = "n") -
 def cumulative_counts(df: DataFrame, keys: Sequence[str], value: str, *, labels: Sequence[str] = (),
                       max_rows: int | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """(keys, labels, value, n, n_tied, n_below, n_total); labels split the counts, not the order."""
-    edges = range_edges(df, keys, value, max_rows, rows_per_task)
+    df, edges = laid_out(df, keys, value, max_rows, rows_per_task)
     return cumulate(value_counts(df, [*keys, *labels], value), keys, value, "n", edges)
 
 
 def with_average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str = "rank", *,
                       max_rows: int | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Mean rank of ties within each key, ascending; NULL values get a NULL rank."""
-    edges = range_edges(df, keys, value, max_rows, rows_per_task)
+    df, edges = laid_out(df, keys, value, max_rows, rows_per_task)
     if not edges:
         order = Window.partitionBy(*keys).orderBy(value)
         le = F.count(value).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
@@ -120,6 +128,8 @@ def with_position(df: DataFrame, keys: Sequence[str], order: Sequence, out: str
     so the rows and the partition totals come from the same layout.
     """
     keys = list(keys)
+    if max_rows is None or max_rows > rows_per_task:
+        df = cut_lineage(df)
     if fits_one_task(df, keys, max_rows, rows_per_task):
         return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
     parts = ceil(df.count() / rows_per_task) + 1
@@ -144,7 +154,7 @@ def with_position(df: DataFrame, keys: Sequence[str], order: Sequence, out: str
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], names: Sequence[str], *,
               max_rows: int | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Exact interpolated quantiles (h = (n-1) p) per key; from cumulative counts when large."""
-    edges = range_edges(df, keys, value, max_rows, rows_per_task)
+    df, edges = laid_out(df, keys, value, max_rows, rows_per_task)
     if not edges:
         picked = [F.percentile(value, F.lit(float(p))).alias(name) for p, name in zip(probs, names)]
         return df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *picked)
@@ -168,7 +178,7 @@ def bh_adjust(df: DataFrame, p: str = "p_value", by: Sequence[str] = (), out: st
               max_rows: int | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """False-discovery adjustment within ``by``: least over p' >= p of p' n / rank(p'), at most 1."""
     by = list(by)
-    edges = range_edges(df, by, p, max_rows, rows_per_task)
+    df, edges = laid_out(df, by, p, max_rows, rows_per_task)
     if not edges:
         group = Window.partitionBy(*by)
         order = group.orderBy(p)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cohortile.functions.sizing import require_at_most, small_side
 from cohortile.operators import ranks
 from cohortile.operators.explore import block_products
-from cohortile.operators.matrix import per_feature, vectors
+from cohortile.operators.matrix import per_feature, sample_names, vectors
 from cohortile.operators.ranks import ROWS_PER_TASK
 
 DUAL_LIMIT = 4_000
@@ -70,6 +70,13 @@ def training_vectors(train: DataFrame, positive: str, feature: str = "feature",
         return F.array_sort(picked)
 
     packed = centred.groupBy(feature).agg(side(True).alias("_p"), side(False).alias("_b"))
+    # every feature must have the samples of all: places in the arrays stand for samples
+    whole = train.select(sample, positive).distinct()
+    for name, flag in (("_p", True), ("_b", False)):
+        wanted = sample_names(whole.filter(F.col(positive) == flag), sample)
+        said = F.concat(F.lit("unequal samples at feature "), F.col(feature).cast("string"))
+        packed = packed.withColumn("_names", wanted).withColumn(
+            name, F.when(F.col(f"{name}.{sample}") == F.col("_names"), F.col(name)).otherwise(F.raise_error(said))).drop("_names")
     return packed.select(feature, F.col(f"_p.{value}").alias("pos"), F.col(f"_b.{value}").alias("neg"))
 
 
@@ -101,7 +108,7 @@ def _train_primal(train: DataFrame, positive: str, *, lam: float, feature: str,
     d = require_at_most(len(names), feature_limit, "features of the primal solver (positives exceed the dual limit)")
     names.sort()
     centred = per_feature(train, feature, scale=False, value=value, out=value).filter(positive)
-    rows = vectors(centred, sample, feature, value).select(F.col("v").alias("x")).persist()
+    rows = vectors(centred, sample, feature, value, of=centred.select(feature)).select(F.col("v").alias("x")).persist()
     try:
         n = rows.count()
         w = np.zeros(d)
@@ -126,6 +133,8 @@ def _train_primal(train: DataFrame, positive: str, *, lam: float, feature: str,
             if np.linalg.norm(grad) < tol:
                 break
             w = w - np.linalg.solve(lam * np.eye(d) + both[1:] / n, grad)
+        else:
+            raise ArithmeticError(f"no optimum after {max_iter} steps: the gradient's norm is {np.linalg.norm(grad):.3g}")
     finally:
         rows.unpersist()
     spark = train.sparkSession

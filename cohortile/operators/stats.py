@@ -23,20 +23,21 @@ def rank_sum_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], *, group: st
     spark = df.sparkSession
     sides = [(a, b, g, side) for a, b in pairs for g, side in ((a, 1), (b, 0))]
     terms = F.broadcast(spark.createDataFrame(sides, f"grp_a string, grp_b string, {group} string, _is_a int"))
-    edges = ranks.range_edges(df, by, value, max_rows, rows_per_task)
+    df, edges = ranks.laid_out(df, by, value, max_rows, rows_per_task)
     counts = ranks.value_counts(df, [*by, group], value).join(terms, group)
     keys = [*by, "grp_a", "grp_b"]
     cum = ranks.cumulate(counts, keys, value, "n", edges)
-    is_a, n, tied = F.col("_is_a"), F.col("n"), F.col("n_tied")
+    # doubles: products of counts pass the range of a long from two million ties on
+    is_a, n, tied = F.col("_is_a"), F.col("n"), F.col("n_tied").cast("double")
     mid = F.col("n_below") + (tied + 1) / 2.0
     stats = cum.groupBy(*keys).agg(
         F.sum(is_a * n).alias("n_a"), F.sum((1 - is_a) * n).alias("n_b"),
-        F.sum(is_a * n * mid).alias("_r"), F.sum((n * (tied * tied - 1)).cast("double")).alias("tie_sum"),
+        F.sum(is_a * n * mid).alias("_r"), F.sum(n * (tied * tied - 1)).alias("tie_sum"),
     ).filter("n_a > 0 AND n_b > 0")
     few = (F.col("n_a") < 50) & (F.col("n_b") < 50) & (F.col("tie_sum") == 0)
     use_exact = few if exact is None else F.lit(exact)
     return (
-        stats.withColumn("w", F.col("_r") - F.col("n_a") * (F.col("n_a") + 1) / 2.0).drop("_r")
+        stats.withColumn("w", F.col("_r") - F.col("n_a").cast("double") * (F.col("n_a") + 1) / 2.0).drop("_r")
         .withColumn("exact", use_exact)
         .withColumn("p_value", rank_sum_p_udf("w", "n_a", "n_b", "tie_sum", "exact"))
     )
@@ -50,10 +51,10 @@ def kruskal(df: DataFrame, *, group: str = "grp", value: str = "value", by: Sequ
     """
     ready = df.filter(F.col(group).isNotNull())
     cum = ranks.cumulative_counts(ready, by, value, labels=[group], max_rows=max_rows, rows_per_task=rows_per_task)
-    n, tied = F.col("n"), F.col("n_tied")
+    n, tied = F.col("n"), F.col("n_tied").cast("double")
     per_group = cum.groupBy(*by, group).agg(
         F.sum(n).alias("_n"), F.sum(n * (F.col("n_below") + (tied + 1) / 2.0)).alias("_r"),
-        F.sum((n * (tied * tied - 1)).cast("double")).alias("_t"),
+        F.sum(n * (tied * tied - 1)).alias("_t"),
     )
     total = F.col("n")
     out = per_group.groupBy(*by).agg(

@@ -85,7 +85,7 @@ VIEWS["classed"] = """SELECT *, adj_p < 0.05 AS sig, CASE WHEN adj_p < 0.05 AND
 # gene sets
 VIEWS["mapped"] = """SELECT gs_name, feature, set_size FROM (SELECT gs_name, feature, COUNT(*) OVER (PARTITION BY gs_name) AS set_size
     FROM (SELECT DISTINCT gs_name, feature FROM gene_sets WHERE feature IN (SELECT feature FROM expr_sparse)))
-    WHERE set_size BETWEEN 1 AND 1500"""
+    WHERE set_size >= 1"""
 VIEWS["placed"] = """SELECT feature, sample, value, COUNT(*) OVER (PARTITION BY sample) AS n,
     ROW_NUMBER() OVER (PARTITION BY sample ORDER BY value DESC, feature) AS p,
     FLOOR(RANK() OVER (PARTITION BY sample ORDER BY value) + (COUNT(*) OVER (PARTITION BY sample, value) - 1) / 2.0) AS r FROM zr"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -27,10 +28,12 @@ def build_session(app: str = "cohortile", master: str | None = None, conf: dict
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach. The cluster names it; only tests fall back to /tmp."""
+    """Folder every executor can reach. The cluster names it; only a local master falls back to /tmp."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     fallback = tempfile.mkdtemp(prefix="cohortile-")
     spark.sparkContext.setCheckpointDir(fallback)
     return fallback

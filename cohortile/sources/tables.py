@@ -35,8 +35,9 @@ def write_list(df: DataFrame, path: str, column: str) -> None:
 
 
 def append_version(df: DataFrame, path: str, version: str) -> None:
-    """Add one version of a table (the place of a workbook sheet)."""
-    df.withColumn("version", F.lit(version)).write.mode("append").partitionBy("version").parquet(path)
+    """Add one version of a table (the place of a workbook sheet); the same version written again replaces itself."""
+    rows = df.withColumn("version", F.lit(version))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(path)
 
 
 def read_version(spark: SparkSession, path: str, version: str) -> DataFrame:
