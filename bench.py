@@ -10,7 +10,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from cohortile.plans.catalog import QUERIES  # noqa: E402
-from cohortile.session import build_session  # noqa: E402
+from cohortile.session import build_session, release  # noqa: E402
 
 HEADLINE = [
     "snv_class_pivot", "variants_goi", "vaf_compare", "matrix_build", "zscore", "rank_avg", "group_means_fit",
@@ -36,6 +36,7 @@ def main() -> None:
             start = time.perf_counter()
             QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
             runs.append(time.perf_counter() - start)
+            release(spark)
         times[name] = round(min(runs), 3)
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": os.path.basename(folder.rstrip("/")), "cpus": int(cpus)}))

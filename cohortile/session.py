@@ -40,8 +40,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def run_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared one."""
-    return f"{shared_dir(spark).rstrip('/')}/cohortile/{name}-{uuid.uuid4().hex}"
+    """A fresh folder under the shared one; ``release`` deletes those of a session."""
+    path = f"{shared_dir(spark).rstrip('/')}/cohortile/{name}-{uuid.uuid4().hex}"
+    spark.sparkContext.__dict__.setdefault("_cohortile_made", []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the stored tables of this session's context; results that have not been read yet lose them."""
+    made = spark.sparkContext.__dict__.pop("_cohortile_made", [])
+    gateway = spark.sparkContext._jvm
+    for path in made:
+        at = gateway.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return len(made)
 
 
 def cut_lineage(df):

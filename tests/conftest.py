@@ -6,7 +6,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from cohortile.session import build_session, ship_package  # noqa: E402
+from cohortile.session import build_session, release, ship_package  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -18,6 +18,7 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     ship_package(session)
     yield session
+    release(session)
     session.stop()
 
 

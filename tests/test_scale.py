@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortile.operators import enrich, explore, matrix, ranks, signature, stats
-from cohortile.session import run_dir
+from cohortile.session import release, run_dir, shared_dir
 from cohortile.sources import tables
 
 
@@ -74,3 +74,12 @@ def test_a_version_written_twice_is_there_once(spark):
     for version in ("v1", "v2", "v1"):
         tables.append_version(rows, path, version)
     assert tables.read_version(spark, path, "v1").count() == 1 and tables.read_version(spark, path, "v2").count() == 1
+
+
+def test_release_deletes_what_was_stored(spark):
+    import os
+
+    path = run_dir(spark, "to-release")
+    tables.store(spark.range(3).withColumnRenamed("id", "feature"), path)
+    assert os.path.isdir(path.removeprefix("file:")) and release(spark) >= 1
+    assert not os.path.exists(path.removeprefix("file:")) and release(spark) == 0 and shared_dir(spark)
