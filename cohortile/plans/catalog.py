@@ -466,6 +466,9 @@ def feature_by_group(v):
 
 # gene sets ------------------------------------------------------------------
 
+ENRICHMENT_PAIRS = [("ASIA", "EUROPE"), ("ASIA", "AFRICA"), ("EUROPE", "AFRICA")]
+
+
 def _features(v):
     return v.matrix().select("feature").distinct()
 
@@ -499,13 +502,36 @@ def enrichment_by_group(v):
     return rounded(out.select("gs_name", "sample", "score", "type", "type_ord", "type_label"), "score")
 
 
+def _scored(v):
+    return v.keep("scores", lambda: _ssgsea(v).join(v.samples(), "sample").withColumn("score", F.round("score", 9)), "gs_name")
+
+
+@query
+def enrichment_sets_by_type(v):
+    """Sets compared inside each group of samples."""
+    scores = _scored(v).select(F.col("grp").alias("type"), F.col("gs_name").alias("grp"), "score")
+    return rounded(stats.kruskal(scores, value="score", by=["type"], max_rows=v.cell_bound()), "h", "p_value")
+
+
+@query
+def enrichment_tests_pooled(v):
+    """Pairwise tests between groups over the scores of all sets together."""
+    out = stats.rank_sum_pairs(_scored(v), ENRICHMENT_PAIRS, value="score", exact=False, max_rows=v.cell_bound())
+    return rounded(out.drop("exact"), "p_value")
+
+
+@query
+def gene_set_limits(v):
+    """Only sets within size limits that the caller gives."""
+    return enrich.map_sets(v.gene_sets(), _features(v), min_size=5, max_size=45)
+
+
 @query
 def enrichment_tests(v):
     """Pairwise tests of the scores between groups, per set."""
-    scores = v.keep("scores", lambda: _ssgsea(v).join(v.samples(), "sample").withColumn("score", F.round("score", 9)), "gs_name")
+    scores = _scored(v)
     bound = v.cell_bound()  # one score per set and sample, and sets are made of features
-    out = stats.rank_sum_pairs(scores, [("ASIA", "EUROPE"), ("ASIA", "AFRICA"), ("EUROPE", "AFRICA")],
-                               value="score", by=["gs_name"], max_rows=bound)
+    out = stats.rank_sum_pairs(scores, ENRICHMENT_PAIRS, value="score", by=["gs_name"], max_rows=bound)
     return rounded(out, "p_value")
 
 

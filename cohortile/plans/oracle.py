@@ -248,6 +248,18 @@ VIEWS["kplaced"] = """SELECT feature, sample, COUNT(*) OVER (PARTITION BY sample
 VIEWS["kwalk"] = VIEWS["walk"].replace("FROM placed", "FROM kplaced")
 VIEWS["scored_groups"] = "SELECT gs_name, grp, ROUND(score, 9) AS value FROM ss JOIN samples USING (sample)"
 
+# both other readings of the grouped tests
+VIEWS["sets_by_type"] = "SELECT grp AS type, gs_name AS grp, value FROM scored_groups WHERE value IS NOT NULL"
+VIEWS["kw_sets"] = _kruskal("sets_by_type", "type")
+VIEWS["pooled_rows"] = """SELECT grp_a, grp_b, grp = grp_a AS is_a, COUNT(*) OVER (PARTITION BY grp_a, grp_b, value) AS t,
+    RANK() OVER (PARTITION BY grp_a, grp_b ORDER BY value) + (COUNT(*) OVER (PARTITION BY grp_a, grp_b, value) - 1) / 2.0 AS r
+    FROM scored_groups JOIN (VALUES ('ASIA', 'EUROPE'), ('ASIA', 'AFRICA'), ('EUROPE', 'AFRICA')) AS pr(grp_a, grp_b)
+        ON grp IN (grp_a, grp_b) WHERE value IS NOT NULL"""
+VIEWS["pooled_z"] = """SELECT *, (ABS(w - n_a * n_b / 2.0) - CASE WHEN w = n_a * n_b / 2.0 THEN 0 ELSE 0.5 END)
+    / SQRT(CAST(n_a AS DOUBLE) * n_b / 12 * ((n_a + n_b + 1) - tie_sum / (CAST(n_a + n_b AS DOUBLE) * (n_a + n_b - 1)))) AS z FROM (
+    SELECT grp_a, grp_b, COUNT(*) FILTER (is_a) AS n_a, COUNT(*) FILTER (NOT is_a) AS n_b, CAST(SUM(CAST(t AS DOUBLE) * t - 1) AS DOUBLE) AS tie_sum,
+        SUM(r) FILTER (is_a) - COUNT(*) FILTER (is_a) * (COUNT(*) FILTER (is_a) + 1) / 2.0 AS w FROM pooled_rows GROUP BY grp_a, grp_b)"""
+
 # Shapiro-Wilk: normal scores by bisection, then the published weights and p-value
 VIEWS["sw_rows"] = """SELECT r_name AS grp, s_acctbal AS value, ROW_NUMBER() OVER (PARTITION BY r_name ORDER BY s_acctbal) AS i,
     COUNT(*) OVER (PARTITION BY r_name) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
@@ -455,6 +467,11 @@ _BASE.update({
 _BASE["gsva_kcdf"] = f"SELECT feature, sample, {_r('f')} FROM kernel"
 _BASE["gsva"] = _BASE["gsva_maxdev"].replace("FROM walk", "FROM kwalk")
 _BASE["wilcoxon_exact"] = _rank_sum("expr", "feature", [("ASIA", "EUROPE"), ("ASIA", "AFRICA")])
+# the tail of chi-square is a finite sum for an even number of degrees, which 75 sets give
+_BASE["enrichment_sets_by_type"] = f"""SELECT type, n, df, {_r('h')}, ROUND(EXP(-h / 2) * list_sum(list_transform(
+    range(df // 2), lambda k: EXP(k * LN(h / 2) - lgamma(k + 1)))), 6) + 0.0 AS p_value FROM kw_sets"""
+_BASE["enrichment_tests_pooled"] = f"SELECT grp_a, grp_b, n_a, n_b, tie_sum, w, ROUND({P_NORMAL}, 6) + 0.0 AS p_value FROM pooled_z"
+_BASE["gene_set_limits"] = "SELECT gs_name, feature, set_size FROM mapped WHERE set_size BETWEEN 5 AND 45"
 _BASE["enrichment_tests"] = _rank_sum("scored_groups", "gs_name", [("ASIA", "EUROPE"), ("ASIA", "AFRICA"), ("EUROPE", "AFRICA")])
 _BASE["shapiro"] = f"""SELECT g.grp, g.n, ROUND(w, 6) + 0.0 AS w, ROUND(CASE WHEN g.n = 3 THEN GREATEST(0.0, 6 / PI() * (ASIN(SQRT(w)) - ASIN(SQRT(0.75))))
     ELSE 1 - ({_PHI}) END, 6) + 0.0 AS p_value FROM (SELECT DISTINCT grp, n FROM sw_rows) g LEFT JOIN sw_z s ON s.grp = g.grp"""
