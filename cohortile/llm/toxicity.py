@@ -36,14 +36,25 @@ LEAST_DOCS, LEAST_LOG_ODDS = 5, 3.0
 BEGINNINGS = (4, 5, 6, 7, 8)
 SEGMENT, STEPS, RATE, RIDGE = 64, 40, 0.2, 1.0
 TOXIC_AT = 0.7
+#: Tokens whose chains are summed at a time while fitting.
+PART = 100_000
 _BLANK = bytes(32 if c < 65 or 91 <= c <= 96 or 123 <= c <= 127 else c for c in range(256))
 
 
+def _words(texts: list[bytes]) -> list[np.ndarray]:
+    """``words`` of many texts with their beginnings, a megabyte of text at a time."""
+    parts = []
+    for a, b in in_chunks(texts):
+        value, start, end, owner, *heads = words([t.translate(_BLANK) for t in texts[a:b]], BEGINNINGS)
+        parts.append((value, start, end, owner + a, *heads))
+    return [np.concatenate(x) for x in zip(*(parts or [words([], BEGINNINGS)]))]
+
+
 class Tokens:
     """Words of many texts: feature numbers (0 for unknown), byte offsets, text number."""
 
     def __init__(self, texts: list[bytes], vocabulary: np.ndarray):
-        value, self.start, self.end, self.owner, *heads = words([t.translate(_BLANK) for t in texts], BEGINNINGS)
+        value, self.start, self.end, self.owner, *heads = _words(texts)
         word = _number(value, vocabulary)
         self.first = np.ones(len(word), bool)
         self.first[1:] = self.owner[1:] != self.owner[:-1]
@@ -69,6 +80,14 @@ def _number(value: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
     return np.where(known, at + 1, 0).astype(np.int32)
 
 
+def marginals_in_parts(unary: np.ndarray, first: np.ndarray, moves: np.ndarray, with_moves: bool = False):
+    """``marginals`` of whole chains, about PART tokens at a time."""
+    begin = np.flatnonzero(first)
+    cuts = [0, *begin[np.flatnonzero(np.diff(begin // PART)) + 1], len(unary)]
+    done = [marginals(unary[a:b], first[a:b], moves, with_moves) for a, b in zip(cuts[:-1], cuts[1:])]
+    return np.concatenate([p for p, _ in done]), sum(m for _, m in done) if with_moves else None
+
+
 def marginals(unary: np.ndarray, first: np.ndarray, moves: np.ndarray, with_moves: bool = False):
     """Chance of the second state for every token, and expected moves (2 x 2) summed over all chains if asked for.
 
@@ -137,7 +156,7 @@ def marginals(unary: np.ndarray, first: np.ndarray, moves: np.ndarray, with_move
 
 def _log_odds(texts: list[bytes], toxic: np.ndarray):
     """Vocabulary of words and beginnings (sorted hashes), and which of them are toxic."""
-    value, _, _, owner, *heads = words([t.translate(_BLANK) for t in texts], BEGINNINGS)
+    value, _, _, owner, *heads = _words(texts)
     joined = np.ones(len(value), bool)
     joined[1:] = owner[1:] == owner[:-1]
     before = np.where(joined, np.roll(value, 1), np.uint64(0))
@@ -185,7 +204,7 @@ def fit(texts: list[bytes], toxic: np.ndarray) -> dict:
     np.add.at(seen_moves, (truth[:-1][pairs].astype(int), truth[1:][pairs].astype(int)), 1)
     state = {k: [0.0, 0.0] for k in ("bias", "weights", "moves")}
     for t in range(1, STEPS + 1):  # gradient steps with momentum and per-weight scale
-        p, moved = marginals(tokens.unary(model), tokens.first, model["moves"], with_moves=True)
+        p, moved = marginals_in_parts(tokens.unary(model), tokens.first, model["moves"], with_moves=True)
         error = truth - p
         slope = {"bias": error.sum(), "weights": -RIDGE * model["weights"], "moves": seen_moves - moved - RIDGE * model["moves"]}
         for row, index in tokens.features:
@@ -194,7 +213,7 @@ def fit(texts: list[bytes], toxic: np.ndarray) -> dict:
         for k, g in slope.items():
             state[k] = [0.9 * state[k][0] + 0.1 * g, 0.99 * state[k][1] + 0.01 * g * g]
             model[k] = model[k] + RATE * (state[k][0] / (1 - 0.9**t)) / (np.sqrt(state[k][1] / (1 - 0.99**t)) + 1e-8)
-    p, _ = marginals(tokens.unary(model), tokens.first, model["moves"])
+    p, _ = marginals_in_parts(tokens.unary(model), tokens.first, model["moves"])
     x, y, w = _aggregates(p, tokens.owner, len(texts)), toxic.astype(float), np.zeros(4)
     penalty = np.diag([1e-3, 0.1, 0.1, 0.1])
     for _ in range(50):  # Newton steps
