@@ -25,19 +25,13 @@ from pyspark.sql import functions as F
 
 from cohortile.llm.common import joined_small, shuffle_partitions, stored, table
 from cohortile.llm.components import components
+from cohortile.llm.shingles import mixed
 
 TABLES, PROJECTIONS, WIDTH, LEAST_COSINE, SEED = 24, 8, 2.0, 0.93, 20_011
 #: Vectors of a bucket that one task compares with another such block.
 BLOCK = 2048
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit integers that spreads them."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def bucket_keys(vectors: np.ndarray, tables: int, projections: int, width: float, seed: int = SEED) -> np.ndarray:
     """A 64-bit key per row and table of the buckets of normalised ``vectors``."""
     rng = np.random.default_rng([seed, vectors.shape[1]])
@@ -46,10 +40,16 @@ def bucket_keys(vectors: np.ndarray, tables: int, projections: int, width: float
     cells = np.floor((vectors @ directions + shifts) / width).astype(np.int64).view(np.uint64).reshape(len(vectors), tables, projections)
     key = np.broadcast_to(np.arange(1, tables + 1, dtype=np.uint64), cells.shape[:2]).copy()
     for p in range(projections):
-        key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + cells[:, :, p])
+        key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + cells[:, :, p])
     return key.view(np.int64)
 
 
+def _unit(vectors: list) -> np.ndarray:
+    x = np.array(vectors, np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)  # no overflow in the squares
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _hashed(tables: int, projections: int, width: float):
     def run(batches):
         for batch in batches:
@@ -57,21 +57,13 @@ def _hashed(tables: int, projections: int, width: float):
             keys: list = [None] * len(raw)
             for dim in {len(v) for v in raw}:
                 at = [i for i, v in enumerate(raw) if len(v) == dim]
-                x = np.array([raw[i] for i in at])
-                x /= np.abs(x).max(axis=1, keepdims=True)  # no overflow in the squares
-                for i, k in zip(at, bucket_keys(x / np.linalg.norm(x, axis=1, keepdims=True), tables, projections, width)):
+                for i, k in zip(at, bucket_keys(_unit([raw[i] for i in at]), tables, projections, width)):
                     keys[i] = k
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["node", "keys"])
 
     return run
 
 
-def _unit(vectors: list) -> np.ndarray:
-    x = np.array(vectors, np.float64)
-    x /= np.abs(x).max(axis=1, keepdims=True)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
-
-
 def _links(left: dict, right: dict | None, t: int, least: float):
     """(node, links added, least node of its local group) over one pair of blocks; ``right`` None: one block with itself."""
     other = right or left
