@@ -5,9 +5,9 @@ of ``BASE`` and truncated to a byte. Registers of unions are register maxima, an
 grow likelier with similarity, so bands of them are bucket keys. With six registers a band and 32
 bands a pair at similarity 0.8 shares no bucket with a chance of about 1 in 70,000.
 
-Candidates are never all pairs of a bucket. Equal sets are one class. In each round every bucket
-has one centre to which its members of other components are compared; after each round components
-are joined, and buckets whose members are all in one component are done. What is left after the
+Candidates are never all pairs of a bucket. Equal sets are one class. In each round the buckets of
+some bands have one centre each, to which their members of other components are compared; after each
+round components are joined, and buckets whose members are all in one component are done. What is left after the
 rounds is compared block by block of registers, across components only. Every candidate first has
 its similarity estimated jointly from both registers and both set sizes by maximum likelihood, and
 those within four standard errors of the threshold are confirmed on the full sets of both texts.
@@ -35,7 +35,9 @@ from cohortile.llm.shingles import in_chunks, shingle_sets
 ROW = ["_f", "_r"]
 BASE, ROWS, BANDS = 1.2, 6, 32
 REGISTERS = ROWS * BANDS
-STAR_ROUNDS = 4
+#: Bands whose buckets have a centre, by round. Few bands come first: after them most of a large group is one
+#: component, and the other bands compare only what is not.
+STARS = ((0, 2), (2, 8), (8, BANDS), (0, BANDS), (0, BANDS))
 #: Sets of a bucket whose registers one task compares with another such block, and pairs it holds at a time.
 BLOCK, PAIRS = 1024, 50_000
 _rng = np.random.default_rng(104_729)
@@ -236,7 +238,7 @@ class _Linker:
 
 
 def near_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", k: int = 5, threshold: float = 0.8,
-                block: int = BLOCK, rounds: int = STAR_ROUNDS) -> DataFrame:
+                block: int = BLOCK, stars: tuple = STARS) -> DataFrame:
     """(_f, _r, doc_id, n_shingles, component_id, first) per row; ``first`` marks one row of every component."""
     spark = docs.sparkSession
     rows = keyed(docs, F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
@@ -245,25 +247,26 @@ def near_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     classes = stored(sketches.filter("n > 0").groupBy("digest").agg(F.min(by_id).alias("best"), F.first("n").alias("n"), F.first("regs").alias("regs"))
                      .select("digest", "n", "regs", "best", "best._f", "best._r", F.monotonically_increasing_id().alias("node")), "classes")
     band = lambda t: F.xxhash64(t, F.substring("regs", t * ROWS + 1, F.lit(ROWS)))
-    bands = classes.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)).alias("key"))
+    bands = classes.select("node", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)).alias("t", "key"))
     shared = stored(bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "shared-bands")
     members = stored(bands.join(shared, "key"), "bands")
     linker = _Linker(rows, classes, k, threshold)
-    for r in range(rounds):
-        if r:  # buckets of two have been compared; those in one component are done
-            known = stored(linker.labelled(members.filter("size > 2")), "labelled")
+    for r, (lo, hi) in enumerate(stars):
+        if (lo, hi) != (0, BANDS):
+            known = stored(linker.labelled(members.filter(F.col("t").between(lo, hi - 1))), "labelled")
+        else:  # buckets of two have been compared; those in one component are done
+            known = stored(linker.labelled(members.filter("size > 2").drop("label")), "labelled")
             mixed_keys = known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
-            known = stored(known.join(stored(mixed_keys, "mixed"), "key"), "bands")
-            members = known.select("node", "key", "size")
-        else:
-            known = linker.labelled(members)
+            known = members = stored(known.join(stored(mixed_keys, "mixed"), "key"), "bands")
         order = F.struct(F.xxhash64("node", F.lit(r)).alias("h"), "node", "label")
         centres = stored(known.groupBy("key").agg(F.min(order).alias("c")), "centres")
-        stars = known.join(centres, "key").filter(F.col("label") != F.col("c.label")).select(F.col("c.node").alias("a"), F.col("node").alias("b"))
-        pairs = stored(linker.likely(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), "stars")
-        if pairs.isEmpty() or not linker.link(pairs):
+        offered = known.join(centres, "key").filter(F.col("label") != F.col("c.label")).select(F.col("c.node").alias("a"), F.col("node").alias("b"))
+        pairs = stored(linker.likely(offered.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), "stars")
+        linked = not pairs.isEmpty() and linker.link(pairs)
+        if (lo, hi) == (0, BANDS) and not linked:
             break
-    rest = stored(linker.labelled(members.filter("size > 2")), "rest")
+    every = {t for lo, hi in stars for t in range(lo, hi)} == set(range(BANDS))  # then buckets of two are settled
+    rest = stored(linker.labelled(members.filter(F.col("size") > (2 if every else 1)).drop("label")), "rest")
     mixed_keys = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo < hi")
     mixed_keys = stored(mixed_keys.select("key", F.ceil(F.col("m") / block).cast("int").alias("blocks")), "mixed")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")

@@ -68,7 +68,7 @@ def near_brute(rows, k):
     return sorted((rows[i][0], len(sets[i]), min(least[root(i)])) for i in range(len(rows)))
 
 
-@pytest.mark.parametrize("how", [{}, {"rounds": 1, "block": 4}])
+@pytest.mark.parametrize("how", [{}, {"stars": near_dedup.STARS[:1], "block": 4}])
 def test_near_groups_equal_brute_force(spark, how):
     rng = random.Random(11)
     rows, n = [], 100
