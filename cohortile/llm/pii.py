@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortile.llm.common import joined_small, keyed, stored, table
+from cohortile.llm.common import joined_small, keyed, scanned, stored, table
 
 ROW = ["_f", "_r"]
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -74,10 +74,9 @@ def _holds(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _found(kind: str, text: Column) -> Column:
-    """(start, rank, end, entity) of the matches of ``kind`` that hold."""
+def _found(kind: str, text: Column, matches: Column) -> Column:
+    """(start, rank, end, entity) of those of the pattern's ``matches`` that hold."""
     pattern = F.lit(PATTERNS[kind])
-    matches = F.regexp_extract_all(text, pattern, F.lit(0))
     name = {"email": F.lower, "card": _digits, "phone": _digits}.get(kind, lambda v: v)
     rank = KINDS.index(kind) + 1
     good = F.filter(_places(text, pattern, matches), lambda x: _holds(kind, x["value"]))
@@ -104,7 +103,8 @@ def _near(text: Column, span: Column) -> Column:
 def base_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(_f, _r, id, base) with the base spans of every row, and what is near them: array of (entity, terms)."""
     rows = keyed(docs, F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    each = rows.select(*ROW, "id", "text", F.concat(*[_found(k, F.col("text")) for k in KINDS[:4]]).alias("all"))
+    raw = rows.select("*", *[F.regexp_extract_all("text", F.lit(PATTERNS[k]), F.lit(0)).alias(k) for k in KINDS[:4]])
+    each = raw.select(*ROW, "id", "text", F.concat(*[_found(k, F.col("text"), F.col(k)) for k in KINDS[:4]]).alias("all"))
     near = F.transform("all", lambda s: F.struct(s["entity"].alias("entity"), _near(F.col("text"), s).alias("terms")))
     plain = F.transform("all", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end")))
     return stored(each.select(*ROW, "id", F.sort_array(plain).alias("base"), near.alias("near")), "base-spans")
@@ -112,22 +112,24 @@ def base_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
 
 def revealing_terms(docs: DataFrame, base: DataFrame, text_col: str = "text", least_docs: int = LEAST_DOCS,
                     remove_at: float = REMOVE_AT, generalise_at: float = GENERALISE_AT) -> tuple[DataFrame, DataFrame]:
-    """(term, share, drop) of the terms at or above the lower threshold, and (_f, _r, term) of the rows that hold them."""
+    """(term, share, drop) of the terms at or above the lower threshold, and (_f, _r, term) of the rows that hold them.
+
+    Documents are counted by term over the whole corpus; only the terms that reveal something are then
+    looked up in the documents again, so common words meet no join.
+    """
     total = base.count()
     mentions = base.filter(F.size("near") > 0).select(*ROW, F.explode("near").alias("m")).select(*ROW, "m.entity", "m.terms")
     entities = mentions.select(*ROW, "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("c"))
     together = mentions.select(*ROW, "entity", F.explode("terms").alias("term")).distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("ct"))
     pairs = stored(together.filter(F.col("ct") >= least_docs), "revealing-pairs")
-    candidates = stored(pairs.select("term").distinct(), "revealing-candidates")
-    rows = keyed(docs, F.array_distinct(_terms(F.coalesce(F.col(text_col), F.lit("")))).alias("terms"))
-    held = stored(joined_small(rows.select(*ROW, F.explode("terms").alias("term")), candidates, "term", "left_semi", 32), "revealing-rows")
-    counts = stored(held.groupBy("term").agg(F.count(F.lit(1)).alias("t")), "revealing-counts")
+    rows = keyed(docs, F.explode(F.array_distinct(_terms(F.coalesce(F.col(text_col), F.lit(""))))).alias("term"))
+    counts = stored(rows.groupBy("term").agg(F.count(F.lit(1)).alias("t")).join(pairs.select("term").distinct(), "term", "left_semi"), "revealing-counts")
     known = F.log2(F.lit(float(max(total, 1))) / F.col("c"))
     share = F.when(known > 0, F.log2(F.col("ct") * F.lit(float(total)) / (F.col("c") * F.col("t").cast("double"))) / known).otherwise(0.0)
     told = pairs.join(stored(entities, "entities"), "entity").join(counts, "term").withColumn("share", share)
     flagged = stored(told.groupBy("term").agg(F.max("share").alias("share")).filter(F.col("share") >= generalise_at)
                      .withColumn("drop", F.col("share") >= remove_at), "revealing-terms")
-    return flagged, held
+    return flagged, joined_small(rows, flagged.select("term"), "term", "left_semi", 48)
 
 
 def term_spans(docs: DataFrame, base: DataFrame, text_col: str = "text", **how) -> DataFrame:
@@ -137,17 +139,18 @@ def term_spans(docs: DataFrame, base: DataFrame, text_col: str = "text", **how)
     rows = joined_small(keyed(docs, F.coalesce(F.col(text_col), F.lit("")).alias("text")), by_row, ROW, "inner", 512)
     rows = rows.join(base.select(*ROW, "base"), ROW)
 
-    def spans(x):
-        pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})\Q"), x["term"], F.lit(r"\E(?!\p{L})"))
-        return F.transform(_places(F.col("text"), pattern, F.regexp_extract_all(F.col("text"), pattern, F.lit(0))),
-                           lambda s: F.struct(s["start"].alias("start"), F.lit(5).alias("rank"), s["end"].alias("end"), x["drop"].alias("drop")))
-
-    free = F.filter(F.flatten(F.transform("found", spans)), lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    any_of = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.transform("found", lambda x: x["term"]), "|"), F.lit(r")(?!\p{L})"))  # letters only
+    rows = rows.withColumn("pattern", any_of).withColumn("hits", F.regexp_extract_all("text", F.col("pattern"), F.lit(0)))
+    spans = F.transform(_places(F.col("text"), F.col("pattern"), F.col("hits")), lambda s: F.struct(
+        s["start"].alias("start"), F.lit(5).alias("rank"), s["end"].alias("end"),
+        F.exists("found", lambda x: x["drop"] & (x["term"] == F.lower(s["value"]))).alias("drop")))
+    free = F.filter(spans, lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     return stored(rows.select(*ROW, F.sort_array(free).cast(TERM_TYPE).alias("terms")), "term-spans")
 
 
 def all_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **how) -> DataFrame:
     """(_f, _r, id, base, terms) per row."""
+    docs = scanned(docs)
     base = base_spans(docs, text_col, id_col)
     found = term_spans(docs, base, text_col, **how)
     return base.select(*ROW, "id", "base").join(found, ROW, "left").withColumn("terms", F.coalesce("terms", F.array().cast(TERM_TYPE)))
@@ -189,6 +192,7 @@ def sanitised(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", l
 
     ``length_col``, if it is there, gets the new length of the texts that changed.
     """
+    docs = scanned(docs)
     found = all_spans(docs, text_col, id_col, **how)
     both = F.sort_array(F.concat(F.transform("base", lambda s: F.struct(
         s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), F.lit(False).alias("drop"))), "terms"))
