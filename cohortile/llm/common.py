@@ -13,8 +13,18 @@ from cohortile.session import run_dir, ship_package
 BROADCAST_BYTES = 32 << 20
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Give Python workers the package, and texts to them in batches of 8 MB where the session has Spark's 64 MB."""
     ship_package(spark)
+    if spark.conf.get(ARROW_BYTES) in ("67108864b", "64m", "64MB"):
+        spark.conf.set(ARROW_BYTES, "8m")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -5,25 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortile.llm import exact_dedup, language, near_dedup, packing, pii
-from cohortile.llm.common import stored, table
-from cohortile.session import ship_package
+from cohortile.llm.common import prepare, stored, table
 
 
 def tell_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told apart; the others go."""
-    ship_package(spark)
+    prepare(spark)
     return language.drop_rejected(docs)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    ship_package(spark)
+    prepare(spark)
     return exact_dedup.drop_duplicates(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles at a similarity of 0.8 or more."""
-    ship_package(spark)
+    prepare(spark)
     return near_dedup.drop_near_duplicates(docs, k=5, threshold=0.8)
 
 
@@ -34,7 +33,7 @@ def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the texts, placed in sequences."""
-    ship_package(spark)
+    prepare(spark)
     return packing.pack(docs)
 
 
