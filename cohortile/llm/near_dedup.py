@@ -181,16 +181,19 @@ def _across(threshold: float):
             held.clear()
             same = run_of["i"][0] == run_of["j"][0]
             sides = [run_of] * 2 if same else [{k: v[run_of["side"] == s] for k, v in run_of.items()} for s in (0, 1)]
+            left, right = sides
             for x, y in compared(*sides, same):
-                if len(x):
-                    left, right = sides
+                if len(x):  # a pair counts in the first band that it shares, so no other bucket emits it again
+                    agree = (left["regs"][x] == right["regs"][y]).reshape(-1, BANDS, ROWS).all(axis=2)
+                    first = agree.argmax(axis=1) == run_of["t"][0]
+                    x, y = x[first], y[first]
                     waiting.append((left["node"][x], right["node"][y], left["regs"][x], right["regs"][y], left["n"][x], right["n"][y]))
                     yield from emit(False)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            c = {n: batch.column(n).to_numpy() for n in ("key", "i", "j", "side", "node", "label")}
+            c = {n: batch.column(n).to_numpy() for n in ("key", "t", "i", "j", "side", "node", "label")}
             c["n"] = batch.column("n").to_numpy().astype(float)
             c["regs"] = np.frombuffer(b"".join(batch.column("regs").to_pylist()), np.uint8).reshape(-1, REGISTERS)
             new = np.flatnonzero((c["key"][1:] != c["key"][:-1]) | (c["i"][1:] != c["i"][:-1]) | (c["j"][1:] != c["j"][:-1])) + 1
@@ -272,7 +275,7 @@ def near_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = (rest.join(mixed_keys, "key").join(classes.select("node", "n", "regs"), "node").withColumn("own", own)
              .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"),
+             .select("key", "t", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"),
                      (F.col("own") > F.col("with")).cast("int").alias("side"), "node", "label", "n", "regs"))
     across = dealt.repartition(shuffle_partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_across(threshold), "a long, b long")
     pairs = stored(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "across")
