@@ -5,7 +5,7 @@ before a space mark and between pairs of character kinds that no piece holds sid
 distinct word of a block of documents is then one row: its substrings up to the longest piece are
 exploded and equi-joined to the piece table, the matches are grouped by word as the edges of its
 lattice, and a Spark ``aggregate`` folds them into pieces. The ids go back to the documents of the
-same block, so texts are shuffled once and words never.
+same block.
 
 Two folds are there. ``viterbi`` finds the segmentation with the largest sum of scores, which is how
 unigram models segment. ``merges`` joins the adjacent pair whose piece has the best score, leftmost
