@@ -1,12 +1,15 @@
 """Information-theoretic removal of personal data, with DataFrame functions only.
 
 Base spans (e-mail addresses, IP addresses, card and phone numbers) come from patterns and checks of
-their matches. They are the protected entities. How strongly a term reveals one is estimated from
-co-occurrence over the whole corpus: with n documents, c of which hold the entity, t the term and ct
-the term within WINDOW code points of the entity, the information that the term gives about the
-entity, log2(ct n / (c t)), is taken as a share of all there is to know, log2(n / c). Terms at or above
-REMOVE_AT are removed wherever they occur, terms from GENERALISE_AT on are replaced by what kind of
-word they are. A term has to be near the same entity in at least LEAST_DOCS documents.
+their matches. They are the protected entities, each value and, since most values are held by one or
+two texts only, each kind as a whole. How strongly a term reveals one is estimated from co-occurrence
+over the distinct texts of the whole corpus, so that copies are no evidence: with n texts, c of which
+hold the entity, t the term and ct the term within WINDOW code points of the entity, the chance of the
+entity given the term is (ct + PRIOR c / n) / (t + PRIOR), as if PRIOR more texts held the term and the
+entity as often as any text does. The information that the term gives about the entity, log2 of that
+chance over c / n, is taken as a share of all there is to know, log2(n / c). Terms at or above
+REMOVE_AT for some entity are removed wherever they occur, terms from GENERALISE_AT on are replaced by
+what kind of word they are. No entity and no term is left out for being rare.
 
 Defined results: a null or empty text has no spans. Offsets are code points, the end exclusive. A
 term is three or more letters, compared in lower case; an occurrence that overlaps a base span is no
@@ -31,7 +34,7 @@ PATTERNS = {
     "card": r"(?<![0-9])[0-9]++(?:[ -][0-9]++)*+",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-WINDOW, LEAST_DOCS, REMOVE_AT, GENERALISE_AT = 60, 3, 0.9, 0.8
+WINDOW, PRIOR, REMOVE_AT, GENERALISE_AT = 60, 1.0, 0.9, 0.8
 BASE_TYPE = "array<struct<start:int,rank:int,end:int>>"
 TERM_TYPE = "array<struct<start:int,rank:int,end:int,drop:boolean>>"
 
@@ -101,34 +104,43 @@ def _near(text: Column, span: Column) -> Column:
 
 
 def base_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(_f, _r, id, base) with the base spans of every row, and what is near them: array of (entity, terms)."""
+    """(_f, _r, id, base) with the base spans of every row, what is near them: array of (entity, terms), and a digest of the text."""
     rows = keyed(docs, F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     raw = rows.select("*", *[F.regexp_extract_all("text", F.lit(PATTERNS[k]), F.lit(0)).alias(k) for k in KINDS[:4]])
     each = raw.select(*ROW, "id", "text", F.concat(*[_found(k, F.col("text"), F.col(k)) for k in KINDS[:4]]).alias("all"))
     near = F.transform("all", lambda s: F.struct(s["entity"].alias("entity"), _near(F.col("text"), s).alias("terms")))
     plain = F.transform("all", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end")))
-    return stored(each.select(*ROW, "id", F.sort_array(plain).alias("base"), near.alias("near")), "base-spans")
+    digest = F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest")
+    return stored(each.select(*ROW, "id", F.sort_array(plain).alias("base"), near.alias("near"), digest), "base-spans")
 
 
-def revealing_terms(docs: DataFrame, base: DataFrame, text_col: str = "text", least_docs: int = LEAST_DOCS,
+def revealing_terms(docs: DataFrame, base: DataFrame, text_col: str = "text", prior: float = PRIOR,
                     remove_at: float = REMOVE_AT, generalise_at: float = GENERALISE_AT) -> tuple[DataFrame, DataFrame]:
     """(term, share, drop) of the terms at or above the lower threshold, and (_f, _r, term) of the rows that hold them.
 
-    Documents are counted by term over the whole corpus; only the terms that reveal something are then
-    looked up in the documents again, so common words meet no join.
+    Texts are counted by term over the whole corpus, in the first row of each; only the terms that reveal
+    something are then looked up in the documents again, so common words meet no join.
     """
-    total = base.count()
-    mentions = base.filter(F.size("near") > 0).select(*ROW, F.explode("near").alias("m")).select(*ROW, "m.entity", "m.terms")
+    firsts = stored(base.groupBy("digest").agg(F.min(F.struct(*ROW)).alias("row")).select("row.*"), "distinct-texts")
+    total = firsts.count()
+    near = joined_small(base.filter(F.size("near") > 0).select(*ROW, "near"), firsts, ROW, "left_semi", 48)
+    each = near.select(*ROW, F.explode("near").alias("m"))
+    kind = F.substring_index("m.entity", ":", 1)
+    mentions = stored(each.select(*ROW, F.explode(F.array("m.entity", kind)).alias("entity"), "m.terms"), "mentions")
     entities = mentions.select(*ROW, "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("c"))
     together = mentions.select(*ROW, "entity", F.explode("terms").alias("term")).distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("ct"))
-    pairs = stored(together.filter(F.col("ct") >= least_docs), "revealing-pairs")
-    rows = keyed(docs, F.explode(F.array_distinct(_terms(F.coalesce(F.col(text_col), F.lit(""))))).alias("term"))
-    counts = stored(rows.groupBy("term").agg(F.count(F.lit(1)).alias("t")).join(pairs.select("term").distinct(), "term", "left_semi"), "revealing-counts")
-    known = F.log2(F.lit(float(max(total, 1))) / F.col("c"))
-    share = F.when(known > 0, F.log2(F.col("ct") * F.lit(float(total)) / (F.col("c") * F.col("t").cast("double"))) / known).otherwise(0.0)
-    told = pairs.join(stored(entities, "entities"), "entity").join(counts, "term").withColumn("share", share)
+    pairs = stored(together, "revealing-pairs")
+    held = keyed(docs, F.array_distinct(_terms(F.coalesce(F.col(text_col), F.lit("")))).alias("terms"))
+    counted = joined_small(held, firsts, ROW, "left_semi", 48).select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("t"))
+    counts = stored(counted.join(pairs.select("term").distinct(), "term", "left_semi"), "revealing-counts")
+    n, c = F.lit(float(max(total, 1))), F.col("c")
+    known = F.log2(n / c)
+    chance = (F.col("ct") + F.lit(prior) * c / n) / (F.col("t") + F.lit(prior))
+    share = F.when(known > 0, F.log2(chance * n / c) / known).otherwise(0.0)
+    told = joined_small(pairs, stored(entities, "entities"), "entity", "inner", 96).join(counts, "term").withColumn("share", share)
     flagged = stored(told.groupBy("term").agg(F.max("share").alias("share")).filter(F.col("share") >= generalise_at)
                      .withColumn("drop", F.col("share") >= remove_at), "revealing-terms")
+    rows = held.select(*ROW, F.explode("terms").alias("term"))
     return flagged, joined_small(rows, flagged.select("term"), "term", "left_semi", 48)
 
 

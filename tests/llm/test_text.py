@@ -133,6 +133,21 @@ def test_revealing_terms_are_found_everywhere_and_common_ones_left(spark):
     assert pii.report(docs.limit(0)).count() == 0 and pii.sanitised(docs.limit(0)).count() == 0
 
 
+def test_terms_near_rare_entities_are_flagged_and_copies_are_no_evidence(spark):
+    plain = [(100 + i, f"a usual line about nothing, card {i}") for i in range(600)]
+    once = [(1, "ask Quillfeather (quill@a.org) about nothing")]  # one text holds the value
+    kind = [(10 + i, f"about nothing: cardholder 1.2.3.{i} usual line") for i in range(8)]  # one text a value, eight of the kind
+    docs = spark.createDataFrame(once + kind + plain, "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in pii.report(docs).collect()}
+    assert "term:4:16" in spans[1] and spans[100] == ""
+    assert all("term:15:25" in spans[10 + i] and "term:0:5" not in spans[10 + i] for i in range(8))
+    # a word in eight texts, one of them repeated forty times beside an address: still one text of nine
+    plain = [(100 + i, f"a usual line about nothing {i}" + (" wending" if i < 8 else "")) for i in range(80)]
+    copies = [(i, "wending a usual line about nothing b@c.org") for i in range(40)]
+    spans = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(copies + plain, "doc_id long, text string")).collect()}
+    assert spans[100] == "" and spans[0] == "email:35:42"
+
+
 def test_pii_has_no_python(spark):
     plan = pii.op1_pii(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
