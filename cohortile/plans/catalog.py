@@ -526,6 +526,12 @@ def gene_set_limits(v):
     return enrich.map_sets(v.gene_sets(), _features(v), min_size=5, max_size=45)
 
 
+@query
+def gene_set_block_limits(v):
+    """The same limits over sets that multiply with the data instead of growing: half of them are in range at every scale."""
+    return enrich.map_sets(v.gene_set_blocks(), _features(v), min_size=5, max_size=45)
+
+
 @query
 def enrichment_tests(v):
     """Pairwise tests of the scores between groups, per set."""

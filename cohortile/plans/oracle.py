@@ -36,6 +36,9 @@ VIEWS = {
     "gene_sets": """SELECT p_brand AS gs_name, CASE WHEN CAST(SUBSTRING(p_brand, 7) AS INT) <= 12 THEN 'C2' ELSE 'H' END AS category,
         CAST(p_partkey AS VARCHAR) AS feature FROM part
         UNION ALL SELECT CONCAT('SIZE_', CAST(p_size AS VARCHAR)), 'C5', CAST(p_partkey AS VARCHAR) FROM part""",
+    "gene_set_blocks": """SELECT CONCAT('BLOCK_', CAST((p_partkey - 1) // 100 AS VARCHAR), '_', CASE WHEN (p_partkey - 1) % 100 < 60 THEN 'A'
+        WHEN (p_partkey - 1) % 100 < 85 THEN 'B' WHEN (p_partkey - 1) % 100 < 97 THEN 'C' ELSE 'D' END) AS gs_name,
+        'C3' AS category, CAST(p_partkey AS VARCHAR) AS feature FROM part""",
     "surface": "SELECT CAST(p_partkey AS VARCHAR) AS feature FROM part WHERE p_size <= 10",
     "goi": "SELECT DISTINCT p_name AS symbol FROM part WHERE p_name LIKE 'blue%'",
     "deconv": "SELECT n_name AS sample, " + ", ".join(
@@ -472,6 +475,8 @@ _BASE["enrichment_sets_by_type"] = f"""SELECT type, n, df, {_r('h')}, ROUND(EXP(
     range(df // 2), lambda k: EXP(k * LN(h / 2) - lgamma(k + 1)))), 6) + 0.0 AS p_value FROM kw_sets"""
 _BASE["enrichment_tests_pooled"] = f"SELECT grp_a, grp_b, n_a, n_b, tie_sum, w, ROUND({P_NORMAL}, 6) + 0.0 AS p_value FROM pooled_z"
 _BASE["gene_set_limits"] = "SELECT gs_name, feature, set_size FROM mapped WHERE set_size BETWEEN 5 AND 45"
+_BASE["gene_set_block_limits"] = """SELECT gs_name, feature, set_size FROM (SELECT gs_name, feature, COUNT(*) OVER (PARTITION BY gs_name) AS set_size
+    FROM (SELECT DISTINCT gs_name, feature FROM gene_set_blocks WHERE feature IN (SELECT feature FROM expr_sparse))) WHERE set_size BETWEEN 5 AND 45"""
 _BASE["enrichment_tests"] = _rank_sum("scored_groups", "gs_name", [("ASIA", "EUROPE"), ("ASIA", "AFRICA"), ("EUROPE", "AFRICA")])
 _BASE["shapiro"] = f"""SELECT g.grp, g.n, ROUND(w, 6) + 0.0 AS w, ROUND(CASE WHEN g.n = 3 THEN GREATEST(0.0, 6 / PI() * (ASIN(SQRT(w)) - ASIN(SQRT(0.75))))
     ELSE 1 - ({_PHI}) END, 6) + 0.0 AS p_value FROM (SELECT DISTINCT grp, n FROM sw_rows) g LEFT JOIN sw_z s ON s.grp = g.grp"""

@@ -135,6 +135,15 @@ class Views:
         size = part.select(F.concat(F.lit("SIZE_"), F.col("p_size").cast("string")).alias("gs_name"), F.lit("C5").alias("category"), key)
         return brand.unionByName(size)
 
+    def gene_set_blocks(self) -> DataFrame:
+        """Sets of bounded size whose number grows: each block of 100 parts holds sets of 60, 25, 12 and 3."""
+        place = (F.col("p_partkey") - 1) % 100
+        part = F.when(place < 60, "A").when(place < 85, "B").when(place < 97, "C").otherwise("D")
+        block = F.floor((F.col("p_partkey") - 1) / 100).cast("string")
+        return self.table("part").select(
+            F.concat(F.lit("BLOCK_"), block, F.lit("_"), part).alias("gs_name"), F.lit("C3").alias("category"),
+            F.col("p_partkey").cast("string").alias("feature"))
+
     def surface(self) -> DataFrame:
         return self.table("part").filter("p_size <= 10").select(F.col("p_partkey").cast("string").alias("feature"))
 

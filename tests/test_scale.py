@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortile.operators import enrich, explore, matrix, ranks, signature, stats
+from cohortile.plans.catalog import QUERIES
 from cohortile.session import release, run_dir, shared_dir
 from cohortile.sources import tables
 
@@ -83,3 +84,9 @@ def test_release_deletes_what_was_stored(spark):
     tables.store(spark.range(3).withColumnRenamed("id", "feature"), path)
     assert os.path.isdir(path.removeprefix("file:")) and release(spark) >= 1
     assert not os.path.exists(path.removeprefix("file:")) and release(spark) == 0 and shared_dir(spark)
+
+
+@pytest.mark.parametrize("name, parts", [("sf0.001", 200), ("sf0.01", 2_000), ("sf0.1", 20_000)])
+def test_set_limits_keep_half_of_the_sets_at_every_scale(spark, name, parts):
+    kept = QUERIES["gene_set_block_limits"](spark, f"/root/testdata/{name}")
+    assert kept.select("gs_name").distinct().count() == parts // 50
