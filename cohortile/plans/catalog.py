@@ -443,6 +443,12 @@ def shapiro(v):
     return rounded(stats.shapiro(balances, ["grp"]), "w", "p_value")
 
 
+@query
+def shapiro_by(v):
+    """Each feature over its samples: groups stay as large as the cohort and multiply with the data."""
+    return rounded(stats.shapiro(v.kept_expr(), ["feature"]), "w", "p_value")
+
+
 @query
 def box_stats(v):
     out = stats.box_stats(v.table("events"), ["event_type"], "value", max_rows=v.table("events").count())

@@ -480,6 +480,14 @@ _BASE["gene_set_block_limits"] = """SELECT gs_name, feature, set_size FROM (SELE
 _BASE["enrichment_tests"] = _rank_sum("scored_groups", "gs_name", [("ASIA", "EUROPE"), ("ASIA", "AFRICA"), ("EUROPE", "AFRICA")])
 _BASE["shapiro"] = f"""SELECT g.grp, g.n, ROUND(w, 6) + 0.0 AS w, ROUND(CASE WHEN g.n = 3 THEN GREATEST(0.0, 6 / PI() * (ASIN(SQRT(w)) - ASIN(SQRT(0.75))))
     ELSE 1 - ({_PHI}) END, 6) + 0.0 AS p_value FROM (SELECT DISTINCT grp, n FROM sw_rows) g LEFT JOIN sw_z s ON s.grp = g.grp"""
+# the same steps for each feature over its samples
+VIEWS["swf_rows"] = """SELECT feature AS grp, value, ROW_NUMBER() OVER (PARTITION BY feature ORDER BY value) AS i,
+    COUNT(*) OVER (PARTITION BY feature) AS n FROM expr"""
+for _view in ("scores", "sums", "w", "z"):
+    VIEWS[f"swf_{_view}"] = VIEWS[f"sw_{_view}"].replace("FROM sw_", "FROM swf_")
+VIEWS["swf_sums"] += " HAVING MAX(value) > MIN(value)"
+_BASE["shapiro_by"] = _BASE["shapiro"].replace("SELECT g.grp,", "SELECT g.grp AS feature,").replace("FROM sw_rows", "FROM swf_rows").replace(
+    "JOIN sw_z", "JOIN swf_z")
 _BASE["snv_class_pivot"] = "SELECT sample_id, comp, " + ", ".join(
     f"CAST(SUM(CASE WHEN vclass = '{c}' THEN n END) AS BIGINT) AS \"{c}\"" for c in ("A_F", "A_O", "N_F", "N_O", "R_F", "R_O")
 ) + f" FROM ({_BASE['snv_class_counts']}) GROUP BY sample_id, comp"

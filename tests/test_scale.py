@@ -90,3 +90,10 @@ def test_release_deletes_what_was_stored(spark):
 def test_set_limits_keep_half_of_the_sets_at_every_scale(spark, name, parts):
     kept = QUERIES["gene_set_block_limits"](spark, f"/root/testdata/{name}")
     assert kept.select("gs_name").distinct().count() == parts // 50
+
+
+@pytest.mark.parametrize("name, parts", [("sf0.001", 200), ("sf0.1", 20_000)])
+def test_shapiro_groups_multiply_at_bounded_size(spark, name, parts):
+    out = QUERIES["shapiro_by"](spark, f"/root/testdata/{name}")
+    row = out.agg(F.count(F.lit(1)).alias("groups"), F.max("n").alias("largest"), F.count("p_value").alias("tested")).first()
+    assert parts * 0.95 < row.groups <= parts and row.tested == row.groups and row.largest == 25
