@@ -23,16 +23,12 @@ def _sigmoid(s):
 def _dual_newton(gram: np.ndarray, lam: float, tol: float = 1e-13, max_iter: int = 200) -> np.ndarray:
     """Coefficients a with w = sum a_i x_i minimising lam/2 |w|^2 - mean(s - ln(1 + e^s)), s = w.x.
 
-    The optimum has a_i = (1 - sigmoid(s_i)) / (lam n); Newton on s - K a(s) = 0 with halving.
+    The optimum has a_i = (1 - sigmoid(s_i)) / (lam n); Newton on s - K a(s) = 0 with halving. It goes
+    on while a step helps; what is left then may be rounding, more than that raises.
     """
     n = gram.shape[0]
     s = np.zeros(n)
 
-    def objective(a):
-        s_ = gram @ a
-        return 0.5 * lam * a @ s_ - np.mean(s_ - np.logaddexp(0, s_))
-
-    best = np.inf
     for _ in range(max_iter):
         p = _sigmoid(s)
         a = (1 - p) / (lam * n)
@@ -50,7 +46,32 @@ def _dual_newton(gram: np.ndarray, lam: float, tol: float = 1e-13, max_iter: int
         else:
             break
         s = s + t * step
-    return (1 - _sigmoid(s)) / (lam * n)
+    a = (1 - _sigmoid(s)) / (lam * n)
+    left, noise = np.max(np.abs(s - gram @ a)), np.finfo(float).eps * n * np.max(np.abs(gram) @ a)
+    if not left <= 1e-8 * (1 + np.max(np.abs(s))) + noise:
+        raise ArithmeticError(f"no optimum after at most {max_iter} steps: the largest residual is {left:.3g}")
+    return a
+
+
+def _newton(at, w: np.ndarray, tol: float, max_iter: int) -> np.ndarray:
+    """Where the gradient of ``at(w)`` = (gradient, Hessian) vanishes: Newton steps, halved until its norm falls."""
+    grad, hess = at(w)
+    for _ in range(max_iter):
+        if np.linalg.norm(grad) < tol:
+            break
+        step, t = np.linalg.solve(hess, grad), 1.0
+        while t > 1e-10:
+            trial = w - t * step
+            new = at(trial)
+            if np.linalg.norm(new[0]) < np.linalg.norm(grad):
+                break
+            t /= 2
+        else:
+            break
+        w, (grad, hess) = trial, new
+    if not np.linalg.norm(grad) < tol:
+        raise ArithmeticError(f"no optimum after at most {max_iter} steps: the gradient's norm is {np.linalg.norm(grad):.3g}")
+    return w
 
 
 def _matrix_from(pairs: pd.DataFrame, n: int) -> np.ndarray:
@@ -111,11 +132,9 @@ def _train_primal(train: DataFrame, positive: str, *, lam: float, feature: str,
     rows = vectors(centred, sample, feature, value, of=centred.select(feature)).select(F.col("v").alias("x")).persist()
     try:
         n = rows.count()
-        w = np.zeros(d)
-        for _ in range(max_iter):
-            fixed = w
 
-            def fold(batches, fixed=fixed):
+        def at(w):
+            def fold(batches, fixed=w):
                 grad, hess = np.zeros(d), np.zeros((d, d))
                 for pdf in batches:
                     x = np.array(pdf["x"].tolist(), float).reshape(-1, d)
@@ -129,12 +148,9 @@ def _train_primal(train: DataFrame, positive: str, *, lam: float, feature: str,
             sums = rows.mapInPandas(fold, "i int, j int, x double").groupBy("i", "j").agg(F.sum("x").alias("x")).toPandas()
             both = np.zeros((d + 1, d))
             both[sums["i"], sums["j"]] = sums["x"]
-            grad = lam * w - both[0] / n
-            if np.linalg.norm(grad) < tol:
-                break
-            w = w - np.linalg.solve(lam * np.eye(d) + both[1:] / n, grad)
-        else:
-            raise ArithmeticError(f"no optimum after {max_iter} steps: the gradient's norm is {np.linalg.norm(grad):.3g}")
+            return lam * w - both[0] / n, lam * np.eye(d) + both[1:] / n
+
+        w = _newton(at, np.zeros(d), tol, max_iter)
     finally:
         rows.unpersist()
     spark = train.sparkSession

@@ -1,5 +1,6 @@
 """What only shows on large or uneven tables: very many ties, samples that do not match, repeated writes, unfinished solvers."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,3 +98,16 @@ def test_shapiro_groups_multiply_at_bounded_size(spark, name, parts):
     out = QUERIES["shapiro_by"](spark, f"/root/testdata/{name}")
     row = out.agg(F.count(F.lit(1)).alias("groups"), F.max("n").alias("largest"), F.count("p_value").alias("tested")).first()
     assert parts * 0.95 < row.groups <= parts and row.tested == row.groups and row.largest == 25
+
+
+def test_dual_that_has_not_settled_raises():
+    x = np.random.default_rng(5).normal(size=(6, 4)) * 3
+    a = signature._dual_newton(x @ x.T, 0.1)
+    assert np.abs(a - 1 / (1 + np.exp(x @ (x.T @ a))) / 0.6).max() < 1e-9
+    with pytest.raises(ArithmeticError, match="no optimum"):
+        signature._dual_newton(x @ x.T, 0.1, max_iter=1)
+
+
+def test_newton_is_halved_where_full_steps_run_away():
+    at = lambda w: (np.arctan(w), np.diag(1 / (1 + w * w)))
+    assert abs(signature._newton(at, np.array([3.0]), 1e-10, 100)[0]) < 1e-9
