@@ -68,6 +68,22 @@ def joined_small(df: DataFrame, side: DataFrame, keys, how: str, row_bytes: int)
     return df.join(F.broadcast(side) if fits_broadcast(side, row_bytes) else side, keys, how)
 
 
+def least_count(side: DataFrame, count: str, width, most: int = BROADCAST_BYTES) -> int:
+    """The least power of two of ``count`` from which the rows of the stored ``side`` take at most ``most`` bytes.
+
+    ``width`` measures a row. A join's hot keys lie above this count and can be broadcast; the keys below
+    it are rare. The counts of the powers, at most 64 numbers, reach the driver.
+    """
+    tiers = side.groupBy(F.floor(F.log2(count)).cast("int").alias("tier")).agg(F.sum(width).alias("bytes")).collect()
+    total, least = 0, 63
+    for tier, size in sorted(((r["tier"], r["bytes"]) for r in tiers), reverse=True):
+        total += size
+        if total > most:
+            break
+        least = tier
+    return 1 << least if least < 63 else (1 << 63) - 1
+
+
 def numbered(df: DataFrame, order: list[str], out: str, name: str) -> DataFrame:
     """``df`` with its place from 0 in the order of the columns ``order``, which must tell rows apart.
 
