@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortile.llm import embedding_dedup, exact_dedup, language, near_dedup, packing, pii, sentencepiece_lattice, sharding, token_counts, toxicity, warc
+from cohortile.llm import embedding_dedup, exact_dedup, language, lexical_search, near_dedup, packing, pii
+from cohortile.llm import sentencepiece_lattice, sharding, token_counts, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.op1_pii,
@@ -19,7 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_language": language.op9_language,
     "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
+    "op11_lexical_search": lexical_search.op11_lexical_search,
     "op12_token_counts": token_counts.op12_token_counts,
 }
 
-ORACLE: dict[str, str] = {"op3_warc": warc.OP3_SQL, "op7_exact_dedup": exact_dedup.OP7_SQL}
+ORACLE: dict[str, str] = {"op3_warc": warc.OP3_SQL, "op7_exact_dedup": exact_dedup.OP7_SQL, "op11_lexical_search": lexical_search.OP11_SQL}
