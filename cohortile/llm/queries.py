@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortile.llm import embedding_dedup, exact_dedup, language, lexical_search, near_dedup, packing, pii
+from cohortile.llm import alignment, embedding_dedup, exact_dedup, language, lexical_search, near_dedup, packing, pii
 from cohortile.llm import sentencepiece_lattice, sharding, token_counts, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
     "op11_lexical_search": lexical_search.op11_lexical_search,
     "op12_token_counts": token_counts.op12_token_counts,
+    "op13_alignment": alignment.op13_alignment,
 }
 
 ORACLE: dict[str, str] = {"op3_warc": warc.OP3_SQL, "op7_exact_dedup": exact_dedup.OP7_SQL, "op11_lexical_search": lexical_search.OP11_SQL}
