@@ -3,13 +3,13 @@
 Base spans (e-mail addresses, IP addresses, card and phone numbers) come from patterns and checks of
 their matches. They are the protected entities, each value and, since most values are held by one or
 two texts only, each kind as a whole. How strongly a term reveals one is estimated from co-occurrence
-over the distinct texts of the whole corpus, so that copies are no evidence: with n texts, c of which
-hold the entity, t the term and ct the term within WINDOW code points of the entity, the chance of the
-entity given the term is (ct + PRIOR c / n) / (t + PRIOR), as if PRIOR more texts held the term and the
-entity as often as any text does. The information that the term gives about the entity, log2 of that
-chance over c / n, is taken as a share of all there is to know, log2(n / c). Terms at or above
-REMOVE_AT for some entity are removed wherever they occur, terms from GENERALISE_AT on are replaced by
-what kind of word they are. No entity and no term is left out for being rare.
+over the distinct texts of the whole corpus, so that copies are no evidence. Of t texts with the term, ct have it
+within WINDOW code points of the entity. The chance of the entity given the term is taken at its lower confidence bound
+(Wilson's, at SURE standard errors), so one text alone proves little; minus log2 of it is how many bits a reader who sees
+the term still lacks. A term that leaves at most REMOVE_BITS is removed wherever it occurs, one that leaves at most
+GENERALISE_BITS is replaced by what kind of word it is, provided that it tells at least GAINED_BITS more than
+the share of texts that hold the entity. The decision rests on the texts with the term, not on how many others
+there are, so it is the same in a small corpus and in a large one.
 
 Defined results: a null or empty text has no spans. Offsets are code points, the end exclusive. A
 term is three or more letters, compared in lower case; an occurrence that overlaps a base span is no
@@ -34,7 +34,8 @@ PATTERNS = {
     "card": r"(?<![0-9])[0-9]++(?:[ -][0-9]++)*+",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-WINDOW, PRIOR, REMOVE_AT, GENERALISE_AT = 60, 1.0, 0.9, 0.8
+WINDOW, SURE = 60, 1.96
+REMOVE_BITS, GENERALISE_BITS, GAINED_BITS = 1.0, 2.0, 1.0
 BASE_TYPE = "array<struct<start:int,rank:int,end:int>>"
 TERM_TYPE = "array<struct<start:int,rank:int,end:int,drop:boolean>>"
 
@@ -114,9 +115,15 @@ def base_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     return stored(each.select(*ROW, "id", F.sort_array(plain).alias("base"), near.alias("near"), digest), "base-spans")
 
 
-def revealing_terms(docs: DataFrame, base: DataFrame, text_col: str = "text", prior: float = PRIOR,
-                    remove_at: float = REMOVE_AT, generalise_at: float = GENERALISE_AT) -> tuple[DataFrame, DataFrame]:
-    """(term, share, drop) of the terms at or above the lower threshold, and (_f, _r, term) of the rows that hold them.
+def least_chance(hits: Column, tries: Column, sure: float) -> Column:
+    """Lower end of Wilson's interval for a share of ``hits`` in ``tries``, ``sure`` standard errors wide."""
+    n, p, z = tries.cast("double"), hits / tries, F.lit(sure * sure)
+    return (p + z / (2 * n) - F.lit(sure) * F.sqrt(p * (1 - p) / n + z / (4 * n * n))) / (1 + z / n)
+
+
+def revealing_terms(docs: DataFrame, base: DataFrame, text_col: str = "text", sure: float = SURE, remove_bits: float = REMOVE_BITS,
+                    generalise_bits: float = GENERALISE_BITS, gained_bits: float = GAINED_BITS) -> tuple[DataFrame, DataFrame]:
+    """(term, bits, drop) of the terms that leave at most ``generalise_bits`` open, and (_f, _r, term) of the rows that hold them.
 
     Texts are counted by term over the whole corpus, in the first row of each; only the terms that reveal
     something are then looked up in the documents again, so common words meet no join.
@@ -133,13 +140,11 @@ def revealing_terms(docs: DataFrame, base: DataFrame, text_col: str = "text", pr
     held = keyed(docs, F.array_distinct(_terms(F.coalesce(F.col(text_col), F.lit("")))).alias("terms"))
     counted = joined_small(held, firsts, ROW, "left_semi", 48).select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("t"))
     counts = stored(counted.join(pairs.select("term").distinct(), "term", "left_semi"), "revealing-counts")
-    n, c = F.lit(float(max(total, 1))), F.col("c")
-    known = F.log2(n / c)
-    chance = (F.col("ct") + F.lit(prior) * c / n) / (F.col("t") + F.lit(prior))
-    share = F.when(known > 0, F.log2(chance * n / c) / known).otherwise(0.0)
-    told = joined_small(pairs, stored(entities, "entities"), "entity", "inner", 96).join(counts, "term").withColumn("share", share)
-    flagged = stored(told.groupBy("term").agg(F.max("share").alias("share")).filter(F.col("share") >= generalise_at)
-                     .withColumn("drop", F.col("share") >= remove_at), "revealing-terms")
+    open_bits = -F.log2(least_chance(F.col("ct"), F.col("t"), sure))
+    told = joined_small(pairs, stored(entities, "entities"), "entity", "inner", 96).join(counts, "term").withColumn("bits", open_bits)
+    gained = F.log2(F.lit(float(max(total, 1))) / F.col("c")) - F.col("bits")
+    flagged = stored(told.filter((F.col("bits") <= generalise_bits) & (gained >= gained_bits)).groupBy("term").agg(F.min("bits").alias("bits"))
+                     .withColumn("drop", F.col("bits") <= remove_bits), "revealing-terms")
     rows = held.select(*ROW, F.explode("terms").alias("term"))
     return flagged, joined_small(rows, flagged.select("term"), "term", "left_semi", 48)
 
