@@ -107,9 +107,18 @@ def test_shards(spark, hot):
     scattered = sharding.cut_links(placed.withColumn("shard", F.pmod(F.xxhash64("_f", "_r"), F.lit(16)))).first()
     if hot:  # a group of a third of all rows fills five of sixteen shards at best
         best = scattered.cut - (scattered.links - 5.3 * (len(rows) / 16) ** 2 / 2)
-        assert scattered.cut - cut.cut > 0.25 * best > 0
+        assert scattered.cut - cut.cut > 0.9 * best > 0
     else:
-        assert cut.cut < 0.3 * scattered.cut
+        assert cut.cut < 0.1 * scattered.cut
+
+
+def test_pairs_beside_a_group_of_a_third_stay_together(spark):
+    rows = [(i, f"pair {i // 2}") for i in range(8000)] + [(8000 + i, "hot") for i in range(4000)]
+    placed = sharding.shard_rows(sharding.documents_by_text(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    hot = {r.shard for r in placed if r.doc_id >= 8000}
+    at = {r.doc_id: r.shard for r in placed}
+    assert Counter(at.values()) == Counter({s: 750 for s in range(16)})
+    assert len(hot) <= 7 and sum(at[i] != at[i + 1] for i in range(0, 8000, 2)) < 0.05 * 4000
 
 
 def test_shards_of_few_and_no_rows(spark):
