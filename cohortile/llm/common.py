@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -104,6 +109,24 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def tidy(run):
+    """``run`` for ``mapInArrow``; when it ends, the worker gives memory that it no longer uses back to the system.
+
+    Workers live on for the next stage, and an executor's limit counts what they have kept.
+    """
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
 def sliced(batches, *columns: str, most: int = 4 << 20):
     """Parts of Arrow batches with about ``most`` bytes in the binary ``columns``; a longer row is a part of its own."""
     for batch in batches:

@@ -4,19 +4,20 @@ For each learned language a bounded sample of text becomes a raw-content zstanda
 A text is encoded with every dictionary, block by block, and the language with the fewest bytes
 wins; a margin that is narrow against the second best rejects the document.
 
-The sample is the only bounded part: about SAMPLE_ROWS rows of each language, chosen by a hash of
-the id over the whole table, SNIPPET_CHARS from the middle of each, DICTIONARY_BYTES in all. Every
-text is encoded whole, in blocks of BLOCK_BYTES.
-
-Defined results: a null text, or one without a letter, is `und` with score 0 and is rejected; so is
-every text if no language was learned. Equal sizes go to the language with more training rows, then
-to the first by name, and count as a margin of 0. A null id is an empty string in the split.
+The sample is the only bounded part: about SAMPLE_ROWS rows of each language, drawn row by row over the
+whole table, SNIPPET_CHARS from the middle of each, DICTIONARY_BYTES in all. Every text is encoded whole,
+in blocks of BLOCK_BYTES. A table may name at most MAX_LANGUAGES languages; more raise an error.
+
+Defined results: a null text, or one without a letter (Unicode category L), is `und` with score 0 and is
+rejected; so is every text if no language was learned, as from an empty table, which itself gives an empty
+result. Equal sizes go to the language with more training rows, then to the first by name, and count as a margin
+of 0. A null id is an empty string in the split; rows with one id, null or not, are rows of their own. Columns
+named like the added ones keep their names, the added ones get an underscore.
 """
 
 from __future__ import annotations
 
 import math
-import re
 
 import pyarrow as pa
 import zstandard
@@ -24,14 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortile.llm.common import table
+from cohortile.llm.common import keyed, scanned, table, tidy
 
 SAMPLE_ROWS, SNIPPET_CHARS, DICTIONARY_BYTES = 1500, 400, 400_000
 BLOCK_BYTES, SHORT_BYTES, LEVEL, SHORT_LEVEL = 16_384, 1024, 3, 12
 MAX_LANGUAGES = 1000
 #: Least share of the second best size by which the best must be smaller.
 NARROW = 0.002
-LETTER = re.compile(r"[^\W\d_]")
 NOISE = bytes(range(33, 65)) + b"[\\]^_`{|}~"
 
 
@@ -48,8 +48,9 @@ def reduced(raw: bytes) -> bytes:
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", mod: int = 4, held: int = 2,
           sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, bytes]]:
     """(language, dictionary) pairs, the most frequent language first."""
-    train = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), split_of(id_col, mod).alias("part"),
-                        F.xxhash64(F.col(id_col)).alias("h")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("part") != held))
+    # a draw of its own for every row, however often its id or text occurs, and the same by whatever path the table is read
+    rows = keyed(docs, F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
+    train = rows.select("lang", "text", split_of("id", mod).alias("part"), F.xxhash64("id", "text", "_r").alias("h")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("part") != held))
     counts = train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
@@ -83,7 +84,7 @@ class Classifier:
 
     def __call__(self, raw: bytes | None) -> tuple[str, float, bool]:
         """Language, score, whether it is rejected."""
-        if not raw or not self.names or not LETTER.search(raw.decode("utf-8", "replace")):
+        if not raw or not self.names or not any(map(str.isalpha, raw.decode("utf-8", "replace"))):
             return "und", 0.0, True
         text = reduced(raw)
         short = len(text) <= SHORT_BYTES
@@ -119,12 +120,13 @@ def classify(docs: DataFrame, model: list[tuple[str, bytes]], text_col: str = "t
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *names])
 
     added = [T.StructField(name, kind) for name, kind in zip(names, (T.StringType(), T.DoubleType(), T.BooleanType()))]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+    return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, *added]))
 
 
 def drop_rejected(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> DataFrame:
     """``docs`` without those whose language is not told apart, with the same columns."""
     flag = _fresh(docs, "_rejected")
+    docs = scanned(docs)
     found = classify(docs, learn(docs, text_col, lang_col, id_col), text_col, (_fresh(docs, "_lang"), _fresh(docs, "_score"), flag))
     return found.filter(~F.col(flag)).select(*docs.columns)
 
