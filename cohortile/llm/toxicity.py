@@ -9,14 +9,16 @@ its offending offsets.
 The labelled tokens come from labelled documents: in a toxic document a token is toxic if its word
 or a beginning of it is far more frequent in toxic documents than in others, counting it once per
 document and once per pair of neighbours, so that a passage copied into many documents counts as one. The fit takes a
-bounded sample of labelled rows, SAMPLE_TOXIC and SAMPLE_CLEAN documents of at most SAMPLE_CHARS
-characters, chosen by a hash over the whole table. Scoring covers every document and whole text:
+bounded sample of labelled rows, about SAMPLE_TOXIC and SAMPLE_CLEAN documents of at most SAMPLE_CHARS
+characters, drawn row by row over the whole table. Scoring covers every document and whole text:
 texts are cut into segments whose transfer matrices are multiplied, so the marginals are those of the
 whole chain.
 
 Defined results: a null, empty or wordless text has the score of a document without toxic tokens.
 Several labels of one id count as toxic if one of them does; null labels and ids are not learned
-from. Without labels of both kinds every score is 0. Repeated rows are scored each.
+from. Without labels of both kinds, as from empty tables, every score is 0; an empty table of documents
+gives an empty result. Repeated rows are scored each. Texts of any length are scored whole; longer ones
+than SAMPLE_CHARS are only not learned from. Other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortile.llm.common import sliced, table
+from cohortile.llm.common import joined_small, keyed, scanned, sliced, stored, table
 from cohortile.llm.language import split_of
 from cohortile.llm.shingles import in_chunks, mixed, words
 
@@ -226,17 +228,21 @@ def fit(texts: list[bytes], toxic: np.ndarray) -> dict:
 def learn(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", mod: int = 3,
           held: int = 1) -> dict | None:
     """Fit on a bounded sample of the labelled rows outside the held-out part; None without both labels."""
+    docs = scanned(docs)
     named = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).filter("id IS NOT NULL AND y IS NOT NULL")
     named = named.filter(split_of("id", mod) != held).groupBy("id").agg(F.max("y").alias("y"))
-    named = docs.select(F.col(id_col).alias("id")).filter("id IS NOT NULL").distinct().join(named, "id")
-    counts = {int(r["y"]): r["n"] for r in named.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    length = F.length(F.col(text_col))
+    every = keyed(docs, F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), length.alias("chars"))
+    # every row has a draw of its own, however often its id occurs, and the same by whatever path the table is read
+    usable = every.filter(F.col("id").isNotNull() & F.col("chars").between(1, SAMPLE_CHARS)).join(named, "id")
+    usable = stored(usable.select("_f", "_r", "id", "y", (F.xxhash64("h", "_r") / F.lit(2.0**64) + 0.5).alias("draw")), "labelled-rows")
+    counts = {int(r["y"]): r["n"] for r in usable.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts.get(0) or not counts.get(1):
         return None
-    draw = F.xxhash64("id") / F.lit(2.0**64) + 0.5
     share = F.when(F.col("y") == 1, min(1.0, SAMPLE_TOXIC / counts[1])).otherwise(min(1.0, SAMPLE_CLEAN / counts[0]))
-    chosen = F.broadcast(named.filter(draw < share))  # about SAMPLE_TOXIC + SAMPLE_CLEAN rows
-    rows = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id")
-            .filter(F.length("text").between(1, SAMPLE_CHARS)).select("id", F.col("text").cast("binary").alias("text"), "y").collect())
+    chosen = stored(usable.filter(F.col("draw") < share).select("_f", "_r", "id", "y"), "drawn-rows")  # about SAMPLE_TOXIC + SAMPLE_CLEAN rows
+    texts = keyed(docs, F.col(text_col).cast("binary").alias("text"))
+    rows = joined_small(texts, chosen, ["_f", "_r"], "inner", 40).select("id", "text", "y").collect()
     rows.sort(key=lambda r: (r["id"], r["text"]))
     toxic = np.array([r["y"] == 1 for r in rows], bool)
     return fit([bytes(r["text"]) for r in rows], toxic) if toxic.any() and not toxic.all() else None

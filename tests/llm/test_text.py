@@ -40,6 +40,55 @@ def test_language_odd_texts(spark):
     assert language.classify(docs, []).filter("lang_pred_ <> 'und'").count() == 0
 
 
+def test_letters_decide_what_is_undetermined(spark):
+    texts = ["½ ² ③", "12 !? …", "½ a", "字", None]
+    model = [("de", b"der die das und " * 20), ("en", b"the and of to in " * 20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in language.classify(docs, model).collect()}
+    assert [got[i].lang_pred == "und" for i in range(5)] == [True, True, False, False, True] and got[0].score == 0
+
+
+def test_sample_is_drawn_by_row(spark):
+    rows = [(None if i % 2 else i, f"das ist Zeile {i} eines Textes" if i % 2 else f"this is line {i} of a text", "de" if i % 2 else "en") for i in range(8000)]
+    model = dict(language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_rows=300))
+    assert all(200 <= d.count(mark) <= 420 for d, mark in ((model["de"], b"zeile"), (model["en"], b"line")))
+
+
+def test_dictionaries_and_choices_equal_plain_python(spark):
+    """A table smaller than the sample: dictionaries from all training rows, sizes from plain calls of the compressor."""
+    import zlib
+
+    import zstandard
+
+    docs = table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text", "lang")
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.collect()]
+    model = language.learn(docs, sample_rows=10**6)
+    train = [r for r in rows if r[1] is not None and r[2] is not None and zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    plain = lambda t: " ".join("".join(c if not c.isascii() else c.lower() if c.isalpha() or c.isspace() else "" for c in t).split())
+    middle = lambda t: t[max(1, int((len(t) - 400) / 2)) - 1:][:400]
+    order = sorted({r[2] for r in train}, key=lambda k: (-sum(r[2] == k for r in train), k))
+    assert [k for k, _ in model] == order
+    for k, d in model:
+        mine = sorted(" ".join(plain(middle(r[1])) for r in train if r[2] == k).split())
+        assert len(d) == language.DICTIONARY_BYTES or sorted(d.decode().split()) == mine
+
+    def size(raw, content, level):
+        words = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        words.precompute_compress(level=level)
+        tool = zstandard.ZstdCompressor(dict_data=words, write_content_size=False, write_checksum=False, write_dict_id=False)
+        return sum(len(tool.compress(raw[i:i + 16_384])) for i in range(0, max(1, len(raw)), 16_384))
+
+    some = rows[::7]
+    got = {r.doc_id: r for r in language.classify(spark.createDataFrame(some, "doc_id long, text string, lang string"), model).collect()}
+    for i, text, _ in some:
+        raw = plain(text or "").encode()
+        if not any(c.isalpha() for c in text or ""):
+            assert got[i].lang_pred == "und"
+            continue
+        sizes = [size(raw, d, 12 if len(raw) <= 1024 else 3) for _, d in model]
+        assert got[i].lang_pred == model[min(range(len(sizes)), key=sizes.__getitem__)][0]
+
+
 def chain(unary, moves):
     """Marginals by summing over all tag sequences."""
     n, total, hit = len(unary), 0.0, np.zeros(len(unary))
@@ -74,6 +123,31 @@ def test_toxicity_held_out_and_offsets(spark):
     assert [text[int(a):int(b)] for a, b in (s.split(":") for s in spans[0].split(","))][0].startswith("idiot") and spans[1:] == ["", ""]
 
 
+def test_toxic_sample_is_bounded_by_rows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic: seen.append((len(texts), int(toxic.sum()))) or {})
+    monkeypatch.setattr(toxicity, "SAMPLE_TOXIC", 100)
+    monkeypatch.setattr(toxicity, "SAMPLE_CLEAN", 200)
+    import zlib
+
+    hot = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 3 != 1)
+    rows = [(hot if i < 15_000 else 100_000 + i, f"text {i}" if i % 3 else "same text") for i in range(30_000)]
+    labels = [(hot, 1)] + [(100_000 + i, 0) for i in range(30_000)] + [(hot, 0), (hot, None)]
+    docs, named = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    toxicity.learn(docs, named)
+    (n, hits), = seen
+    assert 50 <= hits <= 160 and 130 <= n - hits <= 280
+
+
+def test_a_fitted_model_meets_odd_tables(spark):
+    model = toxicity.learn(table(spark, LARGER, "documents"), table(spark, LARGER, "labels"))
+    docs = clash(spark, [*ODD, (77, "word " * 200_000), (77, "idiot " * 50), (77, "idiot " * 50)])
+    got = toxicity.toxicity(docs, model).collect()
+    assert len(got) == len(ODD) + 3 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got)
+    empty = {r.score for r in got if r.doc_id in (1, 2)}
+    assert len(empty) == 1 and toxicity.toxicity(docs.limit(0), model).count() == 0
+
+
 def test_toxicity_odd_tables(spark):
     docs = clash(spark, ODD)
     none = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")
@@ -120,32 +194,44 @@ def test_base_spans_equal_the_patterns(spark):
 
 
 def test_revealing_terms_are_found_everywhere_and_common_ones_left(spark):
-    rows = [(i, f"Write to Zorblax today at zorb@corp.org or number {i}") for i in range(5)]
-    rows += [(10, "only ZORBLAX here, today"), (11, "zorblaxian is another word"), (12, None), (13, "")]
+    rows = [(i, f"Write to Zorblax today at zorb@corp.org or number {i}") for i in range(12)]
+    rows += [(20, "only ZORBLAX here, today"), (21, "zorblaxian is another word"), (22, None), (23, "")]
     rows += [(100 + i, f"write a number today or at noon to nobody, corp {i}") for i in range(400)]
     docs = spark.createDataFrame([(*r, "x", 7) for r in rows], "doc_id long, text string, base string, n_chars int")
     spans = {r.doc_id: r.spans for r in pii.report(docs).collect()}
-    assert spans[0] == "term:9:16,email:26:39" and spans[10] == "term:5:12" and spans[11] == "" and spans[100] == "" and spans[12] == ""
+    assert spans[0] == "term:9:16,email:26:39" and spans[20] == "term:5:12" and spans[21] == "" and spans[100] == "" and spans[22] == ""
     clean = pii.sanitised(docs)
     text = {r.doc_id: (r.text, r.n_chars) for r in clean.collect()}
     assert clean.columns == docs.columns and text[0][0] == "Write to  today at [EMAIL] or number 0" and text[0][1] == len(text[0][0])
-    assert text[10][0] == "only  here, today" and text[11] == ("zorblaxian is another word", 7) and text[12] == (None, 7)
+    assert text[20][0] == "only  here, today" and text[21] == ("zorblaxian is another word", 7) and text[22] == (None, 7)
     assert pii.report(docs.limit(0)).count() == 0 and pii.sanitised(docs.limit(0)).count() == 0
 
 
-def test_terms_near_rare_entities_are_flagged_and_copies_are_no_evidence(spark):
-    plain = [(100 + i, f"a usual line about nothing, card {i}") for i in range(600)]
-    once = [(1, "ask Quillfeather (quill@a.org) about nothing")]  # one text holds the value
-    kind = [(10 + i, f"about nothing: cardholder 1.2.3.{i} usual line") for i in range(8)]  # one text a value, eight of the kind
-    docs = spark.createDataFrame(once + kind + plain, "doc_id long, text string")
-    spans = {r.doc_id: r.spans for r in pii.report(docs).collect()}
-    assert "term:4:16" in spans[1] and spans[100] == ""
-    assert all("term:15:25" in spans[10 + i] and "term:0:5" not in spans[10 + i] for i in range(8))
-    # a word in eight texts, one of them repeated forty times beside an address: still one text of nine
-    plain = [(100 + i, f"a usual line about nothing {i}" + (" wending" if i < 8 else "")) for i in range(80)]
-    copies = [(i, "wending a usual line about nothing b@c.org") for i in range(40)]
-    spans = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(copies + plain, "doc_id long, text string")).collect()}
-    assert spans[100] == "" and spans[0] == "email:35:42"
+def wilson(hits, tries, z=1.96):
+    p = hits / tries
+    return (p + z * z / (2 * tries) - z * (p * (1 - p) / tries + z * z / (4 * tries * tries)) ** 0.5) / (1 + z * z / tries)
+
+
+@pytest.mark.parametrize("others", [600, 40_000])
+def test_decisions_rest_on_support_and_not_on_the_corpus(spark, others):
+    """The same words beside the same values are judged alike among 600 and among 40,000 other texts."""
+    plain = spark.range(others).select((F.col("id") + 1000).alias("doc_id"), F.concat(F.lit("a usual line about nothing, call on card "), F.col("id").cast("string")).alias("text"))
+    rows = [(1, "ask Quillfeather (quill@a.org) about nothing")]  # one text is no evidence
+    rows += [(2 + i, f"call Brambleton on 1.2.3.4 about nothing {i}") for i in range(2)]  # two are some
+    rows += [(10 + i, f"about nothing: cardholder 7.2.3.{i} usual line") for i in range(8)]  # one text a value, eight of the kind
+    rows += [(30 + i, f"wending a usual line {i}" + (" b@c.org" if i == 0 else "")) for i in range(9)]  # one of nine
+    rows += [(50 + i, "wending a usual line 0 b@c.org") for i in range(40)]  # and its copies
+    docs = spark.createDataFrame(rows, "doc_id long, text string").unionByName(plain)
+    clean = {r.doc_id: r.text for r in pii.sanitised(docs).filter("doc_id < 1001").collect()}
+    assert clean[1] == "ask Quillfeather ([EMAIL]) about nothing" and clean[2] == "call [NAME] on [IP] about nothing 0"
+    assert clean[10] == "about nothing:  [IP] usual line" and clean[30] == "wending a usual line 0 [EMAIL]" == clean[50] and clean[31] == rows[12][1]
+    assert clean[1000] == "a usual line about nothing, call on card 0"
+
+
+def test_confidence_bound(spark):
+    pairs = [(h, t) for t in range(1, 12) for h in range(t + 1)]
+    got = spark.createDataFrame(pairs, "h long, t long").select("h", "t", pii.least_chance(F.col("h"), F.col("t"), 1.96).alias("p")).collect()
+    assert all(r.p == pytest.approx(wilson(r.h, r.t), abs=1e-12) for r in got)
 
 
 def test_pii_has_no_python(spark):
@@ -161,10 +247,13 @@ def test_sentencepiece_equals_the_library(spark):
     texts = ["", None, " ", "  a  b ", "a\nb\n", "日本語 テスト", "x" * 70 + " y", "\n" + "ab" * 50, "é😀 ß", "it's (a).b,c", "a\tb", "same", "same", " \n ",
              "the internationalisation " * 2000]
     docs = spark.createDataFrame([(i, t, "p") for i, t in enumerate(texts)], "doc_id long, text string, piece string")
-    got = sentencepiece_lattice.decode(sentencepiece_lattice.encode(docs, pieces), pieces).collect()
-    assert {r.id: list(r.ids) for r in got} == {i: sp.encode(t or "") for i, t in enumerate(texts)}
-    assert {r.id: r.decoded for r in got} == {i: t or "" for i, t in enumerate(texts)}
+    for most in (8 << 20, 900, 0):  # all words broadcast, some, none
+        got = sentencepiece_lattice.decode(sentencepiece_lattice.encode(docs, pieces, most=most), pieces).collect()
+        assert len(got) == len(texts) and {r.id: list(r.ids) for r in got} == {i: sp.encode(t or "") for i, t in enumerate(texts)}
+        assert {r.id: r.decoded for r in got} == {i: t or "" for i, t in enumerate(texts)}
     assert sentencepiece_lattice.encode(docs.limit(0), pieces).count() == 0
+    again = spark.createDataFrame([(None, "a b"), (None, "a b"), (4, "a b")], "doc_id long, text string")
+    assert sorted(list(r.ids) for r in sentencepiece_lattice.encode(again, pieces, most=0).collect()) == [sp.encode("a b")] * 3
 
 
 def test_viterbi_fold_is_the_best_sum(spark):
