@@ -2,23 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
-SMALL_ROWS = 100_000
+from cohortile.session import run_dir
 
+#: A side is broadcast only if its measured rows take at most this many bytes.
+SIDE_BYTES = 32 << 20
 
-def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """Broadcast ``df`` if it is proven to hold at most ``max_rows`` rows.
 
-    At most ``max_rows + 1`` rows are fetched. Below the bound they become a local
-    relation of known size, so the upstream plan is not run again. Above it ``df``
-    comes back without a hint and Spark joins by shuffle, splitting skewed partitions.
+def _width(field) -> Column:
+    """Bytes of one value: measured for text, by the number of items for arrays."""
+    col = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(col), F.lit(0)) + 16
+    if isinstance(field.dataType, (ArrayType, MapType)):
+        return F.coalesce(F.size(col), F.lit(0)) * 16 + 32
+    return F.lit(64 if isinstance(field.dataType, StructType) else 8)
+
+
+def small_side(df: DataFrame, max_bytes: int = SIDE_BYTES) -> DataFrame:
+    """``df`` stored once, with a broadcast hint if its measured size is at most ``max_bytes``.
+
+    The size is observed while the side is written, so nothing comes to the driver but two numbers and the
+    upstream plan runs once whatever the size. Beyond the bound there is no hint: the stored side is joined by
+    shuffle and adaptive execution splits skewed partitions.
     """
-    head = df.limit(max_rows + 1).toArrow()
-    if head.num_rows > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(head, schema=df.schema))
+    seen = Observation()
+    width = F.lit(16)
+    for field in df.schema.fields:
+        width = width + _width(field)
+    path = run_dir(df.sparkSession, "side")
+    df.observe(seen, F.sum(width.cast("long")).alias("bytes")).write.parquet(path)
+    side = df.sparkSession.read.schema(df.schema).parquet(path)
+    return F.broadcast(side) if (seen.get["bytes"] or 0) <= max_bytes else side
 
 
 def one_row(df: DataFrame):

@@ -39,13 +39,18 @@ def shared_columns(a: DataFrame, b: DataFrame) -> list[str]:
     return [c for c in a.columns if c in set(b.columns)]
 
 
+def blank_nulls(df: DataFrame) -> DataFrame:
+    """NULL becomes empty text in every column; columns that are not text become text."""
+    return df.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in df.columns])
+
+
 def extend_metadata(meta: DataFrame, extra: DataFrame, key: str, condition: Column, tag: dict[str, str]) -> DataFrame:
-    """Add the rows of ``extra`` that belong to known keys, on the columns both tables have."""
+    """Add the rows of ``extra`` that belong to known keys, on the columns both tables have; all of them as text without NULLs."""
     added = keep_members(extra, meta, key).filter(condition)
     for name, value in tag.items():
         added = added.withColumn(name, F.lit(value))
     cols = shared_columns(meta, added)
-    return meta.select(*cols).unionByName(added.select(*cols)).distinct().na.fill("")
+    return blank_nulls(meta.select(*cols).unionByName(added.select(*cols)).distinct())
 
 
 def parse_labels(df: DataFrame, column: str) -> DataFrame:
@@ -74,10 +79,35 @@ def align_counts(left: DataFrame, right: DataFrame, key: str, right_key: str | N
     )
 
 
-def require_aligned(left: DataFrame, right: DataFrame, key: str, right_key: str | None = None) -> None:
-    got = align_counts(left, right, key, right_key).first()
-    if got.n_left_only or got.n_right_only:
-        raise ValueError(f"keys do not match: {got.n_left_only} only left, {got.n_right_only} only right")
+def guarded(df: DataFrame, counts: DataFrame, bad: Column, says: str) -> DataFrame:
+    """``df`` as it is, or an error with the numbers in ``counts`` (one row) if ``bad`` holds of them.
+
+    The check is a branch of the same plan that yields no rows, so it costs no job of its own. It stands in the
+    branch's filter and in each of its columns, so it holds whatever is pushed into the branch or pruned from it.
+    """
+    told = F.concat(F.lit(f"{says}: "), F.concat_ws(", ", *[F.concat(F.col(c).cast("string"), F.lit(f" {c.removeprefix('n_').replace('_', ' ')}")) for c in counts.columns]))
+    fails = F.when(bad, F.raise_error(told))
+    none = counts.filter(F.coalesce(fails.cast("boolean"), F.lit(False)))
+    return df.unionByName(none.select(*[fails.cast(f.dataType).alias(f.name) for f in df.schema.fields]))
+
+
+def key_problems(left: DataFrame, right: DataFrame, key: str, right_key: str | None = None, *, unique_right: bool = False) -> DataFrame:
+    """One row: keys that are missing on the right, extra there, and on several rows of the left (or, on demand, of the right)."""
+    a = left.select(F.col(key).alias("k"), F.lit(1).alias("l"), F.lit(0).alias("r"))
+    b = right.select(F.col(right_key or key).alias("k"), F.lit(0).alias("l"), F.lit(1).alias("r"))
+    sides = a.unionByName(b).groupBy("k").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+    again = (F.col("l") > 1) | ((F.col("r") > 1) if unique_right else F.lit(False))
+    return sides.agg(F.count_if((F.col("l") > 0) & (F.col("r") > 0)).alias("n_matched"), F.count_if((F.col("l") > 0) & (F.col("r") == 0)).alias("n_missing"),
+                     F.count_if((F.col("l") == 0) & (F.col("r") > 0)).alias("n_extra"), F.count_if(again).alias("n_duplicate"))
+
+
+def require_aligned(df: DataFrame, left: DataFrame, right: DataFrame, key: str, right_key: str | None = None, *,
+                    missing: bool = True, extra: bool = True, duplicate: bool = True, says: str = "keys do not match") -> DataFrame:
+    """``df``, which fails with counts if keys of ``left`` and ``right`` do not match in the ways asked for; nothing in common always fails."""
+    bad = F.col("n_matched") == 0
+    for flag, name in ((missing, "n_missing"), (extra, "n_extra"), (duplicate, "n_duplicate")):
+        bad = bad | (F.col(name) > 0) if flag else bad
+    return guarded(df, key_problems(left, right, key, right_key), bad, says)
 
 
 def lookup_with_overrides(df: DataFrame, overrides: DataFrame, key: str, value: str) -> DataFrame:
@@ -87,15 +117,14 @@ def lookup_with_overrides(df: DataFrame, overrides: DataFrame, key: str, value:
 
 
 def map_ids(df: DataFrame, mapping: DataFrame, id_column: str, symbol: str = "symbol") -> DataFrame:
-    """Attach symbols to versioned ids; ids without a symbol drop out, several symbols repeat the row."""
-    named = mapping.filter(F.col(symbol) != "").select(F.col("id"), F.col(symbol)).distinct()
-    return df.withColumn("id", strip_version(id_column)).join(named, "id")
+    """Attach symbols to versioned ids; ids without a symbol drop out, several symbols repeat the row.
 
-
-def require_mapped(df: DataFrame) -> DataFrame:
-    if df.isEmpty():
-        raise ValueError("no id could be mapped")
-    return df
+    The query fails if no id at all can be mapped.
+    """
+    named = mapping.filter(F.col(symbol) != "").select(F.col("id"), F.col(symbol)).distinct()
+    stripped = df.withColumn("id", strip_version(id_column))
+    return require_aligned(stripped.join(named, "id"), stripped.select("id").distinct(), named, "id", missing=False, extra=False, duplicate=False,
+                           says="no id could be mapped")
 
 
 def group_by_mutation(samples: DataFrame, mutated: DataFrame, key: str, type_column: str) -> DataFrame:

@@ -14,16 +14,31 @@ from cohortile.functions.sizing import one_row, small_side
 from cohortile.functions.special import digamma_udf, prior_df_udf, t_two_sided_udf, trigamma_udf
 from cohortile.operators import ranks
 from cohortile.operators.matrix import log_cpm
-from cohortile.session import cut_lineage
+from cohortile.session import stored
 
 
 def group_means_fit(expr: DataFrame, *, feature: str = "feature", group: str = "grp", value: str = "value",
-                    by: Sequence[str] = ()) -> DataFrame:
-    """One row per (by, feature, group): n, mean, and the feature's residual s2 with df = N - K."""
+                    by: Sequence[str] = (), sample: str | None = None) -> DataFrame:
+    """One row per (by, feature, group): n, mean, and the feature's residual s2 with df = N - K.
+
+    With ``sample`` the query fails, with counts, at a feature that does not have exactly the samples of its
+    ``by``, once each: rows and a fingerprint of the samples ride along with the sums.
+    """
+    mark = F.xxhash64(sample) if sample else F.lit(0).cast("long")
     cells = expr.groupBy(*by, feature, group).agg(
-        F.count(value).alias("n"), F.avg(value).alias("mean"), F.var_samp(value).alias("_v")
-    )
+        F.count(value).alias("n"), F.avg(value).alias("mean"), F.var_samp(value).alias("_v"),
+        F.count(F.lit(1)).alias("_rows"), F.bit_xor(mark).alias("_mark"))
     w = Window.partitionBy(*by, feature)
+    if sample:
+        whole = expr.select(*by, sample).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("_want"), F.bit_xor(F.xxhash64(sample)).alias("_want_mark"))
+        cells = cells.join(small_side(whole), list(by)) if by else cells.withColumn("_w", one_row(whole)).select(*cells.columns, "_w.*")
+        rows = F.sum("_rows").over(w)
+        said = F.concat(F.lit(f"{feature} "), F.col(feature).cast("string"), F.lit(" has "), F.col("_held").cast("string"),
+                        F.lit(" rows where "), F.col("_want").cast("string"), F.lit(" samples are expected, once each"))
+        right = (F.col("_held") == F.col("_want")) & (F.col("_seen") == F.col("_want_mark"))
+        cells = cells.withColumns({"_held": rows, "_seen": F.bit_xor("_mark").over(w)}).withColumn(
+            "mean", F.when(right, F.col("mean")).otherwise(F.raise_error(said)))
+    cells = cells.select(*by, feature, group, "n", "mean", "_v")
     ss = F.sum(F.coalesce("_v", F.lit(0.0)) * (F.col("n") - 1)).over(w)
     df = F.sum("n").over(w) - F.count(F.lit(1)).over(w)
     return (
@@ -128,10 +143,10 @@ def de_table(counts: DataFrame, contrasts: Sequence[tuple[str, str, str]], *, fe
 
     ``max_rows`` is a proven bound on features x contrasts (counted when absent).
     """
-    fit = group_means_fit(log_cpm(counts, sample, value, value, by), feature=feature, group=group, value=value, by=by)
+    fit = group_means_fit(log_cpm(counts, sample, value, value, by), feature=feature, group=group, value=value, by=by, sample=sample)
     if moderated:
         # three readers follow (median, moments, contrasts); the fit is one row per feature and group
-        fit = cut_lineage(fit)
+        fit = stored(fit, "fit")
     est = contrast_estimates(fit, contrasts, feature=feature, group=group, by=by)
     if moderated:
         prior = variance_prior(fit, feature=feature, by=by, max_rows=max_rows)

@@ -1,91 +1,136 @@
 """Sample-by-sample products, principal components, distances and annotation.
 
-Features are the long axis and stay distributed: each task folds its features into one
-S x S block of partial sums and only those blocks are shuffled, so no pair of samples is
-ever emitted per feature.
+Features are the long axis and stay distributed: each task folds its features into one block of partial
+sums, whose rows are then added up by key, so no pair of samples is ever emitted per feature.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
 
-from cohortile.functions.sizing import one_row, require_at_most
+from cohortile.functions.sizing import small_side
 from cohortile.functions.text import after_last, recode
-from cohortile.operators.matrix import per_feature, sample_names, vectors
+from cohortile.operators import subspace
+from cohortile.operators.matrix import per_feature, sample_names, vectors, with_complete_samples
+from cohortile.session import stored
 
-SAMPLE_LIMIT = 4_000  # one dense eigen step
 SAMPLE_BLOCK = 2_000  # samples per side of one block of sums
+TASK_BYTES = 256 << 20  # values that one task of a pair of slices should read
+HELD = 8 << 20  # numbers of partial sums that a task holds before it passes them on
+FAN = 64  # partial sums of one key that are added in one step; more are added in two
+
+
+def _arrays(column) -> list[np.ndarray]:
+    """Rows of an Arrow list column as numpy arrays."""
+    at = column.offsets.to_numpy()
+    values = column.values.to_numpy(zero_copy_only=False).astype(float, copy=False)
+    return [values[x:y] for x, y in zip(at[:-1], at[1:])]
+
+
+def _folded(n_keys: int, keys: Sequence[str], same: bool):
+    """Sums of outer products of the arrays a and b by the leading columns, a row per row of a block."""
+
+    def rows(key, acc, types):
+        n = len(acc)
+        cols = [pa.array([k] * n, t) for k, t in zip(key, types)]
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * acc.shape[1], pa.int32()), pa.array(acc.ravel()))
+        return pa.RecordBatch.from_arrays([*cols, pa.array(np.arange(n), pa.int32()), flat], names=[*keys, "i", "x"])
+
+    def run(batches):
+        held: dict = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            types = [batch.schema.field(c).type for c in range(n_keys)]
+            places: dict = {}
+            for r, key in enumerate(zip(*(batch.column(c).to_pylist() for c in range(n_keys)))) if n_keys else [(0, ())]:
+                places.setdefault(key, []).append(r)
+            if not n_keys:
+                places[()] = range(batch.num_rows)
+            a = _arrays(batch.column("a"))
+            b = a if same else _arrays(batch.column("b"))
+            for key, at in places.items():
+                left = np.stack([a[r] for r in at])
+                part = left.T @ (left if same else np.stack([b[r] for r in at]))
+                held[key] = part if key not in held else held[key] + part
+            if sum(x.size for x in held.values()) > HELD and len(held) > 1:
+                for key in list(held):
+                    yield rows(key, held.pop(key), types)
+        for key, acc in held.items():
+            yield rows(key, acc, types)
+
+    return run
+
+
+def _added(n_keys: int):
+    """Arrays of rows with equal leading columns, which come sorted, added up."""
+
+    def run(batches):
+        key, acc, names = None, None, None
+        for batch in batches:
+            names = batch.schema.names
+            keys = list(zip(*(batch.column(c).to_pylist() for c in range(n_keys))))
+            for now, x in zip(keys, _arrays(batch.column(n_keys))):
+                if now == key:
+                    acc = acc + x
+                    continue
+                if key is not None:
+                    yield pa.RecordBatch.from_arrays([*(pa.array([k], f.type) for k, f in zip(key, batch.schema)), pa.array([acc])], names=names)
+                key, acc, schema = now, x, batch.schema
+        if key is not None:
+            yield pa.RecordBatch.from_arrays([*(pa.array([k], f.type) for k, f in zip(key, schema)), pa.array([acc])], names=names)
 
-
-def _partial(a: np.ndarray, b: np.ndarray, kind: str) -> np.ndarray:
-    if kind == "distance":
-        return np.stack([((a[:, [i]] - b) ** 2).sum(axis=0) for i in range(a.shape[1])])
-    return a.T @ b
+    return run
 
 
-def _entries(acc: np.ndarray, upper: bool, i0: int = 0, j0: int = 0) -> pd.DataFrame:
-    i, j = np.triu_indices(acc.shape[0]) if upper else np.indices(acc.shape).reshape(2, -1)
-    return pd.DataFrame({"i": (i + i0).astype("int32"), "j": (j + j0).astype("int32"), "x": acc[i, j]})
+def add_up(rows: DataFrame, keys: Sequence[str], x: str = "x") -> DataFrame:
+    """(keys, x): arrays of equal keys added up; in two steps where many tasks may hold one key."""
+    rows = rows.select(*keys, x)
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if tasks > FAN:
+        part = F.pmod(F.spark_partition_id(), F.lit(math.isqrt(tasks) + 1)).alias("_part")
+        some = rows.select(*keys, part, x).repartition(*keys, "_part").sortWithinPartitions(*keys, "_part")
+        rows = some.mapInArrow(_added(len(keys) + 1), types.replace(f"{x} array", f"_part int, {x} array")).drop("_part")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_added(len(keys)), types)
 
 
-def block_products(df: DataFrame, left: str, right: str | None = None, *, kind: str = "product",
+def block_products(df: DataFrame, left: str, right: str | None = None, *, by: Sequence[str] = (),
                    width: int | None = None, block: int = SAMPLE_BLOCK) -> DataFrame:
-    """(i, j, total) summed over rows: products left_i * right_j, or squared differences of one array.
+    """(by, i, j, total): products left_i * right_j summed over the rows of each ``by``.
 
     ``right=None`` uses ``left`` twice and keeps i <= j. Arrays longer than ``block`` (say so
     by ``width``) are cut into slices; each pair of slices is summed in its own tasks, several
     per pair, so a task never holds more than one block of sums.
     """
-    same = right is None
-    if width is not None and width > block:
-        return _sliced_products(df, left, right or left, same, kind, width, block)
-
-    def fold(batches):
-        acc = None
-        for pdf in batches:
-            if len(pdf):
-                a = np.array(pdf[left].tolist(), float)
-                part = _partial(a, a if same else np.array(pdf[right].tolist(), float), kind)
-                acc = part if acc is None else acc + part
-        if acc is not None:
-            yield _entries(acc, same)
-
-    columns = [left] if same else [left, right]
-    partial = df.select(*columns).mapInPandas(fold, "i int, j int, x double")
-    return partial.groupBy("i", "j").agg(F.sum("x").alias("total"))
-
-
-def _sliced_products(df, left, right, same, kind, width, block, salts: int = 16) -> DataFrame:
+    same, by = right is None, list(by)
+    rows = df.select(*by, F.col(left).alias("a"), F.col(right or left).alias("b"))
+    types = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema.fields[:-2])
+    if width is None or width <= block:
+        partial = rows.select(*by, "a", *([] if same else ["b"])).mapInArrow(_folded(len(by), by, same), f"{types}i int, x array<double>")
+        each = add_up(partial, [*by, "i"]).select(*by, "i", F.posexplode("x").alias("j", "total"))
+        return each.filter("i <= j") if same else each
+    keys = [*by, "p", "q"]
+    partial = _sliced(rows, by, same, width, block).mapInArrow(_folded(len(keys), keys, False), f"{types}p int, q int, i int, x array<double>")
+    each = add_up(partial, [*keys, "i"]).select(
+        *by, (F.col("p") * block + F.col("i")).alias("i"), "q", F.posexplode("x").alias("j", "total")).withColumn("j", F.col("q") * block + F.col("j")).drop("q")
+    return each.filter("i <= j") if same else each
+
+
+def _sliced(rows: DataFrame, by: list[str], same: bool, width: int, block: int) -> DataFrame:
+    """(by, p, q, a, b): slices of the arrays, every pair of them dealt to as many tasks as its values need."""
     cuts = range(-(-width // block))
     pairs = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for p in cuts for q in cuts if p <= q or not same])
-    piece = lambda c, k: F.slice(c, F.col(k) * block + 1, F.lit(block))
-    rows = (
-        df.select(F.col(left).alias("l"), F.col(right).alias("r"), F.pmod(F.xxhash64(left), F.lit(salts)).alias("salt"),
-                  F.explode(pairs).alias("pq"))
-        .select("pq.p", "pq.q", "salt", "l", "r")
-        .select("p", "q", "salt", piece("l", "p").alias("a"), piece("r", "q").alias("b"))
-        .repartition("p", "q", "salt").sortWithinPartitions("p", "q")
-    )
-
-    def fold(batches):
-        key, acc = None, None
-        for pdf in batches:
-            for now, part in pdf.groupby(["p", "q"], sort=True):
-                if now != key and key is not None:
-                    yield _entries(acc, same and key[0] == key[1], key[0] * block, key[1] * block)
-                    acc = None
-                key = now
-                add = _partial(np.array(part["a"].tolist(), float), np.array(part["b"].tolist(), float), kind)
-                acc = add if acc is None else acc + add
-        if key is not None:
-            yield _entries(acc, same and key[0] == key[1], key[0] * block, key[1] * block)
-
-    partial = rows.mapInPandas(fold, "i int, j int, x double")
-    return partial.groupBy("i", "j").agg(F.sum("x").alias("total"))
+    salts = max(1, math.ceil(rows.count() * min(width, block) * 16 / TASK_BYTES))
+    piece = lambda c, k: F.slice(c, F.col(k) * block + 1, F.lit(block))
+    each = rows.select(*by, "a", "b", F.pmod(F.xxhash64("a"), F.lit(salts)).alias("salt"), F.explode(pairs).alias("pq")).select(*by, "pq.p", "pq.q", "salt", "a", "b")
+    return each.select(*by, "p", "q", "salt", piece("a", "p").alias("a"), piece("b", "q").alias("b")).repartition(*by, "p", "q", "salt").drop("salt")
 
 
 def name_pairs(pairs: DataFrame, samples: DataFrame, sample: str = "sample") -> DataFrame:
@@ -113,64 +158,37 @@ def sample_gram(expr: DataFrame, samples: DataFrame, sample: str = "sample", blo
     return name_pairs(pairs, samples, sample)
 
 
-def sample_distance(expr: DataFrame, samples: DataFrame, sample: str = "sample", feature: str = "feature",
+def sample_distance(expr: DataFrame, samples: DataFrame, sample: str = "sample", feature: str = "feature", value: str = "value",
                     block: int = SAMPLE_BLOCK) -> DataFrame:
-    """Euclidean distance of sample profiles, each pair once."""
-    pairs = block_products(vectors(expr, feature, sample, of=samples), "v", kind="distance", width=count_samples(samples, sample), block=block)
-    named = name_pairs(pairs, samples, sample).filter("sample_a < sample_b")
-    return named.select("sample_a", "sample_b", F.sqrt("total").alias("distance"))
-
+    """Euclidean distance of sample profiles, each pair once, from the products of centred values.
 
-def _top_vectors(pairs: pd.DataFrame, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Largest k eigenvalues and vectors of a symmetric matrix given by its upper triangle."""
-    g = np.zeros((n, n))
-    g[pairs["i"], pairs["j"]] = pairs["total"]
-    g[pairs["j"], pairs["i"]] = pairs["total"]
-    vals, vecs = np.linalg.eigh(g)
-    return vals[::-1][:k], vecs[:, ::-1][:, :k]
+    What lies below the rounding of the products counts as 0: a distance is exact to about 1e-7 of the
+    profiles' own spread.
+    """
+    centred = per_feature(expr.withColumn(value, F.col(value).cast("double")), feature, scale=False, value=value, out=value)
+    rows = vectors(centred, feature, sample, value, of=samples)
+    gram = stored(block_products(rows, "v", width=count_samples(samples, sample), block=block), "products")
+    own = gram.filter("i = j")
+    a = small_side(own.select("i", F.col("total").alias("aa")))
+    b = small_side(own.select("j", F.col("total").alias("bb")))
+    both = F.col("aa") + F.col("bb")
+    square = both - 2 * F.col("total")
+    pairs = gram.join(a, "i").join(b, "j").select("i", "j", F.sqrt(F.when(square > both * 64 * float(np.finfo(float).eps), square).otherwise(0.0)).alias("total"))
+    named = name_pairs(pairs, samples, sample).filter("sample_a < sample_b")
+    return named.select("sample_a", "sample_b", F.col("total").alias("distance"))
 
 
 def pca_samples(expr: DataFrame, samples: DataFrame, k: int = 2, sample: str = "sample", feature: str = "feature",
-                value: str = "value", limit: int = SAMPLE_LIMIT) -> DataFrame:
+                value: str = "value", width: int = subspace.WIDTH) -> DataFrame:
     """Scores of the samples on the first k components. The largest score by size is positive.
 
-    The eigen step sees one dense matrix: sample x sample, or feature x feature when only the
-    features are few enough.
+    Every feature must have exactly the samples, once each; constant features drop out. Neither samples nor
+    features are limited in number: see ``subspace.leading_components``.
     """
-    n = count_samples(samples, sample)
-    scaled = scaled_features(expr, feature, value)
+    scaled = scaled_features(with_complete_samples(expr, samples, feature, sample, value), feature, value)
+    scores = subspace.leading_components(stored(scaled.select(feature, sample, value), "scaled"), k, feature=feature, sample=sample, value=value, width=width)
     names = [f"pc{c + 1}" for c in range(k)]
-    if n > limit:
-        return _pca_by_features(scaled, names, sample, feature, value, limit)
-    gram = block_products(vectors(scaled, feature, sample, value, of=samples), "v", width=n)
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        vals, vecs = _top_vectors(pdf, n, k)
-        scores = vecs * np.sqrt(np.maximum(vals, 0.0))
-        scores *= np.where(scores[np.argmax(np.abs(scores), axis=0), range(scores.shape[1])] < 0, -1.0, 1.0)
-        return pd.DataFrame({"i": np.arange(n, dtype="int32"), **dict(zip(names, scores.T))})
-
-    schema = "i int, " + ", ".join(f"{c} double" for c in names)
-    scores = gram.groupBy().applyInPandas(solve, schema).withColumn("_n", sample_names(samples, sample))
-    return scores.select(F.element_at("_n", F.col("i") + 1).alias(sample), *names)
-
-
-def _pca_by_features(scaled: DataFrame, names: list[str], sample: str, feature: str, value: str, limit: int) -> DataFrame:
-    """Many samples, few features: eigenvectors of the feature products, then one dot product per sample."""
-    d = require_at_most(scaled.select(feature).distinct().limit(limit + 1).count(), limit,
-                        "features of the eigen step (the samples are above it as well)")
-    rows = vectors(scaled, sample, feature, value, of=scaled.select(feature))
-    _, vecs = _top_vectors(block_products(rows, "v", width=d).toPandas(), d, len(names))
-
-    @F.pandas_udf(ArrayType(DoubleType()))
-    def project(v: pd.Series) -> pd.Series:
-        return pd.Series(list(np.array(v.tolist(), float) @ vecs))
-
-    raw = rows.select(sample, project("v").alias("_s")).select(
-        sample, *[F.col("_s")[c].alias(name) for c, name in enumerate(names)])
-    signs = raw.agg(*[F.signum(F.max_by(c, F.abs(c))).alias(c) for c in names])
-    signed = raw.withColumn("_g", one_row(signs))
-    return signed.select(sample, *[(F.col(c) * F.col(f"_g.{c}")).alias(c) for c in names])
+    return scores.select(sample, *[F.col("score")[c].alias(name) for c, name in enumerate(names)])
 
 
 def annotate_samples(df: DataFrame, label: str, cases, default: str) -> DataFrame:

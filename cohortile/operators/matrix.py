@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from cohortile.functions.sizing import one_row, small_side
 from cohortile.functions.text import after_first, make_label
+from cohortile.operators.cohort import require_aligned
 
 
 def sample_names(samples: DataFrame, sample: str = "sample"):
@@ -42,22 +43,28 @@ def densify(cells: DataFrame, samples: DataFrame, feature: str = "feature", samp
 
 
 def build_matrix(raw: DataFrame, meta: DataFrame, *, key: str = "biospecimen", drop_text: str = "_PAR_",
-                 symbol: str = "symbol") -> DataFrame:
+                 symbol: str = "symbol", missing_ok: bool = True) -> DataFrame:
     """Symbol x label matrix from composite-id rows and selected metadata.
 
     Keeps features with a positive total over the selected samples, drops ids holding
     ``drop_text``, splits the id at the first '_' and keeps the id with the highest mean
     over all selected samples per symbol (smallest id on a tie): their number is the same for
     every id, so the totals decide, and absent cells count as 0. ``meta`` needs key, sample_id and type columns.
+
+    The query fails, with counts, if a sample has several labels or a label several samples, and, unless
+    ``missing_ok``, if a chosen sample has no row in ``raw``. Samples of ``raw`` that were not chosen are left out.
     """
     labels = meta.select(key, make_label("sample_id", F.lower("type")).alias("label")).distinct()
+    held = raw.select(F.col(key).alias("_key")).distinct()
     cells = raw.filter(~F.col("gene_id").contains(drop_text)).join(labels, key)
     per_id = (
         cells.groupBy("gene_id").agg(F.sum("value").alias("_total"))
         .filter("_total > 0").withColumn(symbol, after_first("gene_id"))
     )
     best = small_side(best_per_key(per_id, symbol, "gene_id", "_total").select("gene_id", symbol))
-    return cells.join(best, "gene_id").select(symbol, "label", "value")
+    built = cells.join(best, "gene_id").select(symbol, "label", "value")
+    aligned = require_aligned(built, labels, held, key, "_key", missing=not missing_ok, extra=False, says="samples of the matrix and of the metadata do not match")
+    return require_aligned(aligned, labels, labels.select("label").distinct(), "label", says="labels stand for several samples")
 
 
 def best_per_key(df: DataFrame, key: str, candidate: str, score: str) -> DataFrame:
@@ -76,6 +83,25 @@ def per_feature(df: DataFrame, feature: str, *, scale: bool, value: str = "value
     return df.withColumn(out, F.try_divide(centred, F.nullif(sd, F.lit(0.0))) if scale else centred)
 
 
+def with_complete_samples(expr: DataFrame, samples: DataFrame, feature: str = "feature", sample: str = "sample",
+                          value: str = "value") -> DataFrame:
+    """``expr`` as it is; a feature that does not have exactly the listed samples, once each, fails the query.
+
+    The counts ride on the windows per feature that the next step needs anyway, so the check is no job of its own.
+    """
+    whole = samples.select(F.col(sample).alias("_sample")).distinct()
+    n = whole.agg(F.count(F.lit(1))).scalar()
+    group = Window.partitionBy(feature)
+    held = expr.join(small_side(whole), F.col(sample) == F.col("_sample"), "left")
+    again = F.when(F.lag(sample).over(group.orderBy(sample)) == F.col(sample), 1).otherwise(0)
+    held = held.withColumns({"_again": again, "_rows": F.count(F.lit(1)).over(group), "_known": F.count("_sample").over(group)})
+    held = held.withColumn("_again", F.sum("_again").over(group))
+    said = F.concat(F.lit(f"unequal samples: {feature} "), F.col(feature).cast("string"), F.lit(" has "), F.col("_rows").cast("string"),
+                    F.lit(" sample values, "), (F.col("_known") - F.col("_again")).cast("string"), F.lit(" of the "), n.cast("string"), F.lit(" expected ones"))
+    right = (F.col("_rows") == n) & (F.col("_known") == n) & (F.col("_again") == 0)
+    return held.withColumn(value, F.when(right, F.col(value)).otherwise(F.raise_error(said))).select(*expr.columns)
+
+
 def log_zscore(df: DataFrame, feature: str = "feature", value: str = "value") -> DataFrame:
     """log2(x + 1), then z-score per feature."""
     return per_feature(df.withColumn(value, F.log2(F.col(value) + 1)), feature, scale=True, value=value, out=value)

@@ -1,174 +1,171 @@
-"""One-class signature: training, scoring and leave-one-out validation."""
+"""One-class signature: training, scoring and leave-one-out validation.
+
+Training minimises lam/2 |w|^2 - mean(s - ln(1 + e^s)) with s = w.x over the positive samples. One solver serves every
+size: Newton steps whose equations are solved by conjugate gradients, so the samples are only ever multiplied
+with vectors, never with each other, and a pass over them moves one vector as long as the features.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from cohortile.functions.sizing import require_at_most, small_side
+from cohortile.functions.sizing import small_side
 from cohortile.operators import ranks
-from cohortile.operators.explore import block_products
-from cohortile.operators.matrix import per_feature, sample_names, vectors
-from cohortile.operators.ranks import ROWS_PER_TASK
+from cohortile.operators.cohort import keep_members, lookup_with_overrides, map_ids, require_aligned
+from cohortile.operators.explore import add_up
+from cohortile.operators.matrix import per_feature, with_complete_samples
+from cohortile.session import stored
 
-DUAL_LIMIT = 4_000
+CHUNK = 1 << 16  # numbers of a vector that move as one row
+BLOCK_BYTES = 4 << 20  # values of a block of samples
+TOL, STEPS = 1e-10, 100
 
 
 def _sigmoid(s):
     return 0.5 * (1 + np.tanh(s / 2))
 
 
-def _dual_newton(gram: np.ndarray, lam: float, tol: float = 1e-13, max_iter: int = 200) -> np.ndarray:
-    """Coefficients a with w = sum a_i x_i minimising lam/2 |w|^2 - mean(s - ln(1 + e^s)), s = w.x.
+def _matrix(column) -> np.ndarray:
+    return column.values.to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
-    The optimum has a_i = (1 - sigmoid(s_i)) / (lam n); Newton on s - K a(s) = 0 with halving. It goes
-    on while a step helps; what is left then may be rounding, more than that raises.
-    """
-    n = gram.shape[0]
-    s = np.zeros(n)
-
-    for _ in range(max_iter):
-        p = _sigmoid(s)
-        a = (1 - p) / (lam * n)
-        f = s - gram @ a
-        if np.max(np.abs(f)) < tol * (1 + np.max(np.abs(s))):
-            break
-        jac = np.eye(n) + gram * (p * (1 - p) / (lam * n))[None, :]
-        step = np.linalg.solve(jac, -f)
-        t, size = 1.0, np.linalg.norm(f)
-        while t > 1e-10:
-            trial = s + t * step
-            if np.linalg.norm(trial - gram @ ((1 - _sigmoid(trial)) / (lam * n))) < size:
-                break
-            t /= 2
-        else:
-            break
-        s = s + t * step
-    a = (1 - _sigmoid(s)) / (lam * n)
-    left, noise = np.max(np.abs(s - gram @ a)), np.finfo(float).eps * n * np.max(np.abs(gram) @ a)
-    if not left <= 1e-8 * (1 + np.max(np.abs(s))) + noise:
-        raise ArithmeticError(f"no optimum after at most {max_iter} steps: the largest residual is {left:.3g}")
-    return a
-
-
-def _newton(at, w: np.ndarray, tol: float, max_iter: int) -> np.ndarray:
-    """Where the gradient of ``at(w)`` = (gradient, Hessian) vanishes: Newton steps, halved until its norm falls."""
-    grad, hess = at(w)
-    for _ in range(max_iter):
-        if np.linalg.norm(grad) < tol:
+
+def conjugate(product: Callable, b: np.ndarray, share: float, limit: int) -> np.ndarray:
+    """x with |product(x) - b| at most ``share`` of |b|, for a positive definite product."""
+    x, r = np.zeros_like(b), b.copy()
+    q, size = r.copy(), r @ r
+    for _ in range(limit):
+        if np.sqrt(size) <= share * np.linalg.norm(b):
             break
-        step, t = np.linalg.solve(hess, grad), 1.0
+        image = product(q)
+        step = size / (q @ image)
+        x += step * q
+        r -= step * image
+        q, size = r + (r @ r) / size * q, r @ r
+    return x
+
+
+def newton(gradient: Callable, curvature: Callable, d: int, tol: float = TOL, max_steps: int = STEPS) -> np.ndarray:
+    """Where the gradient vanishes: Newton steps by conjugate gradients, halved until the gradient falls."""
+    w = np.zeros(d)
+    g = gradient(w)
+    bar = tol * max(1.0, np.linalg.norm(g))
+    for _ in range(max_steps):
+        size = np.linalg.norm(g)
+        if size < bar:
+            return w
+        step, t = conjugate(lambda v: curvature(w, v), -g, max(min(0.1, size), 0.1 * bar / size), 10 * d + 10), 1.0
         while t > 1e-10:
-            trial = w - t * step
-            new = at(trial)
-            if np.linalg.norm(new[0]) < np.linalg.norm(grad):
+            new = gradient(w + t * step)
+            if np.linalg.norm(new) < size:
                 break
             t /= 2
         else:
             break
-        w, (grad, hess) = trial, new
-    if not np.linalg.norm(grad) < tol:
-        raise ArithmeticError(f"no optimum after at most {max_iter} steps: the gradient's norm is {np.linalg.norm(grad):.3g}")
+        w, g = w + t * step, new
+    if not np.linalg.norm(g) < bar:
+        raise ArithmeticError(f"no optimum after at most {max_steps} steps: the gradient's norm is {np.linalg.norm(g):.3g}")
     return w
 
 
-def _matrix_from(pairs: pd.DataFrame, n: int) -> np.ndarray:
-    g = np.zeros((n, n))
-    g[pairs["i"], pairs["j"]] = pairs["total"]
-    g[pairs["j"], pairs["i"]] = pairs["total"]
-    return g
+def training_table(cells: DataFrame, labels: DataFrame, overrides: DataFrame, mapping: DataFrame, *, positive: str,
+                   subset: DataFrame | None = None, sample: str = "uid", label: str = "label", value: str = "value") -> DataFrame:
+    """(feature, symbol, sample, value, positive): from measured cells (tracking_id, sample, value) to what training takes.
+
+    Labels are looked up by sample and corrected by ``overrides``, also where there was none; a sample without a label is
+    background. The version is dropped from ids, and ids without a symbol drop out; an id with several symbols stands for
+    each. With ``subset`` (symbol) only its symbols stay, each by its first id.
+    """
+    samples = cells.select(sample).distinct().join(labels.select(sample, label).dropDuplicates([sample]), sample, "left")
+    known = lookup_with_overrides(samples, overrides, sample, label).select(
+        F.col(sample).alias("sample"), F.coalesce(F.col(label) == positive, F.lit(False)).alias("positive"))
+    ids = map_ids(cells.select("tracking_id").distinct(), mapping, "tracking_id").select("tracking_id", "id", "symbol")
+    if subset is not None:
+        first = keep_members(ids, subset, "symbol").groupBy("symbol").agg(F.min_by(F.struct("tracking_id", "id"), F.struct("id", "tracking_id")).alias("_t"))
+        ids = first.select("_t.tracking_id", "_t.id", "symbol")
+    named = ids.select("tracking_id", F.concat_ws("|", "symbol", "tracking_id").alias("feature"), "symbol")
+    rows = cells.join(small_side(named), "tracking_id").withColumnRenamed(sample, "sample")
+    return rows.join(small_side(known), "sample").select("feature", "symbol", "sample", F.col(value).alias("value"), "positive")
 
 
-def training_vectors(train: DataFrame, positive: str, feature: str = "feature", sample: str = "sample",
-                     value: str = "value") -> DataFrame:
-    """(feature, pos, neg): centred values of positive and other samples, each in sample order."""
-    centred = per_feature(train, feature, scale=False, value=value, out=value)
+def sample_vectors(train: DataFrame, positive: str, feature: str, sample: str, value: str) -> DataFrame:
+    """(sample, positive, v): centred values of every sample in feature order, stored."""
+    whole = with_complete_samples(train, train.select(sample), feature, sample, value)
+    centred = per_feature(whole.withColumn(value, F.col(value).cast("double")), feature, scale=False, value=value, out=value)
+    cells = F.array_sort(F.collect_list(F.struct(feature, value)))
+    return stored(centred.groupBy(sample, F.col(positive).alias("positive")).agg(cells.alias("_c")).select(
+        sample, "positive", F.col(f"_c.{value}").alias("v")), "vectors")
 
-    def side(flag):
-        picked = F.collect_list(F.when(F.col(positive) == flag, F.struct(sample, value)))
-        return F.array_sort(picked)
 
-    packed = centred.groupBy(feature).agg(side(True).alias("_p"), side(False).alias("_b"))
-    # every feature must have the samples of all: places in the arrays stand for samples
-    whole = train.select(sample, positive).distinct()
-    for name, flag in (("_p", True), ("_b", False)):
-        wanted = sample_names(whole.filter(F.col(positive) == flag), sample)
-        said = F.concat(F.lit("unequal samples at feature "), F.col(feature).cast("string"))
-        packed = packed.withColumn("_names", wanted).withColumn(
-            name, F.when(F.col(f"{name}.{sample}") == F.col("_names"), F.col(name)).otherwise(F.raise_error(said))).drop("_names")
-    return packed.select(feature, F.col(f"_p.{value}").alias("pos"), F.col(f"_b.{value}").alias("neg"))
+def _summed(rows: DataFrame, d: int, part_of: Callable) -> np.ndarray:
+    """The d-vectors that ``part_of`` makes of blocks of rows of ``v``, added up."""
 
+    def run(batches):
+        acc = np.zeros(d)
+        for batch in batches:
+            if batch.num_rows:
+                acc += part_of(_matrix(batch.column(0)))
+        for c in range(0, d, CHUNK):
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([acc[c:c + CHUNK]])], names=["c", "x"])
 
-def train_signature(train: DataFrame, positive: str = "positive", *, lam: float = 1.0, feature: str = "feature",
-                    sample: str = "sample", value: str = "value", sample_limit: int = DUAL_LIMIT) -> DataFrame:
-    """(feature, weight) of the one-class logistic model on the positive samples.
+    got = add_up(rows.select("v").mapInArrow(run, "c int, x array<double>"), ["c"]).collect()
+    out = np.zeros(d)
+    for r in got:
+        out[r["c"]:r["c"] + len(r["x"])] = r["x"]
+    return out
 
-    Up to ``sample_limit`` positives the dual is solved from their n x n Gram matrix and the
-    features never leave the executors; with more positives Newton runs on feature sums.
-    """
-    n = train.filter(positive).select(sample).distinct().limit(sample_limit + 1).count()
-    if n > sample_limit:
-        return _train_primal(train, positive, lam=lam, feature=feature, sample=sample, value=value)
-    packed = training_vectors(train, positive, feature, sample, value)
-    gram = _matrix_from(block_products(packed, "pos", width=n).toPandas(), n)
-    alpha = _dual_newton(gram, lam)
-
-    @F.pandas_udf("double")
-    def weigh(v: pd.Series) -> pd.Series:
-        return pd.Series(np.array(v.tolist(), float) @ alpha)
-
-    return packed.select(feature, weigh("pos").alias("weight"))
-
-
-def _train_primal(train: DataFrame, positive: str, *, lam: float, feature: str, sample: str, value: str,
-                  feature_limit: int = DUAL_LIMIT, tol: float = 1e-10, max_iter: int = 100) -> DataFrame:
-    """Newton over many positives: each step is one Spark aggregate of gradient and Hessian blocks."""
-    names = [r[0] for r in train.select(feature).distinct().limit(feature_limit + 1).collect()]
-    d = require_at_most(len(names), feature_limit, "features of the primal solver (positives exceed the dual limit)")
-    names.sort()
-    centred = per_feature(train, feature, scale=False, value=value, out=value).filter(positive)
-    rows = vectors(centred, sample, feature, value, of=centred.select(feature)).select(F.col("v").alias("x")).persist()
-    try:
-        n = rows.count()
-
-        def at(w):
-            def fold(batches, fixed=w):
-                grad, hess = np.zeros(d), np.zeros((d, d))
-                for pdf in batches:
-                    x = np.array(pdf["x"].tolist(), float).reshape(-1, d)
-                    p = _sigmoid(x @ fixed)
-                    grad += (1 - p) @ x
-                    hess += (x * (p * (1 - p))[:, None]).T @ x
-                both = np.vstack([grad, hess])
-                i, j = np.indices(both.shape).reshape(2, -1)
-                yield pd.DataFrame({"i": i.astype("int32"), "j": j.astype("int32"), "x": both[i, j]})
-
-            sums = rows.mapInPandas(fold, "i int, j int, x double").groupBy("i", "j").agg(F.sum("x").alias("x")).toPandas()
-            both = np.zeros((d + 1, d))
-            both[sums["i"], sums["j"]] = sums["x"]
-            return lam * w - both[0] / n, lam * np.eye(d) + both[1:] / n
-
-        w = _newton(at, np.zeros(d), tol, max_iter)
-    finally:
-        rows.unpersist()
+
+def _trained(rows: DataFrame, n: int, d: int, lam: float, tol: float, max_steps: int) -> np.ndarray:
+    def gradient(w):
+        return lam * w - _summed(rows, d, lambda x: (1 - _sigmoid(x @ w)) @ x) / n
+
+    def curvature(w, v):
+        def part_of(x):
+            p = _sigmoid(x @ w)
+            return (p * (1 - p) * (x @ v)) @ x
+
+        return lam * v + _summed(rows, d, part_of) / n
+
+    return newton(gradient, curvature, d, tol, max_steps)
+
+
+def _shape(rows: DataFrame) -> tuple[int, int]:
+    return rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+
+
+def train_signature(train: DataFrame, positive: str = "positive", *, lam: float = 1.0, feature: str = "feature",
+                    sample: str = "sample", value: str = "value", tol: float = TOL, max_steps: int = STEPS) -> DataFrame:
+    """(feature, weight) of the one-class logistic model on the positive samples, centred over all samples."""
+    rows = sample_vectors(train, positive, feature, sample, value).filter("positive")
+    n, d = _shape(rows)
+    if not n:
+        raise ValueError("no positive sample")
+    w = _trained(rows, n, d, lam, tol, max_steps)
     spark = train.sparkSession
-    return spark.createDataFrame([(k, float(v)) for k, v in zip(names, w)], train.select(feature).schema.add("weight", "double"))
+    weights = spark.createDataFrame(pa.table({"_pos": np.arange(1, d + 1), "weight": w}), "_pos long, weight double")
+    names = ranks.with_position(train.select(feature).distinct(), [], [F.col(feature)], "_pos")
+    return names.join(weights, "_pos").select(feature, "weight")
 
 
 def spearman_scores(expr: DataFrame, signature: DataFrame, *, feature: str = "feature", sample: str = "sample",
                     value: str = "value", weight: str = "weight", max_rows: int | None = None,
-                    rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+                    rows_per_task: int | None = None) -> DataFrame:
     """Spearman correlation of each sample with the signature over common features (complete pairs only).
 
-    Weights are ranked within each sample, so samples with NULL cells use their own pairs.
+    Weights are ranked within each sample, so samples with NULL cells use their own pairs. The query fails if a
+    feature of the signature is there twice, or if it shares no feature with the matrix.
     """
+    names = expr.select(feature).distinct()
+    signature = require_aligned(signature.select(feature, weight), signature, names, feature, missing=False, extra=False,
+                                says="features of the signature and of the matrix do not match")
     both = expr.join(signature.select(feature, weight), feature).filter(
         F.col(value).isNotNull() & F.col(weight).isNotNull())
     size = {"max_rows": max_rows, "rows_per_task": rows_per_task}
-    ranked = ranks.with_average_rank(both, [sample], value, "_x", **size)
-    ranked = ranks.with_average_rank(ranked, [sample], weight, "_y", **size)
+    ranked = ranks.with_average_ranks(both, [sample], {value: "_x", weight: "_y"}, **size)
     return correlate(ranked, [sample], "_x", "_y", "score")
 
 
@@ -185,68 +182,226 @@ def correlate(df: DataFrame, keys, x: str, y: str, out: str) -> DataFrame:
     return s.select(*keys, F.try_divide(cov, scale).alias(out))
 
 
+def _blocks(rows: DataFrame, d: int, name: str, size: int) -> DataFrame:
+    """(p, ids, x): the vectors v of ``rows`` (id, v) as matrices of about ``size`` bytes, numbered from 0 and stored."""
+    most = max(1, size // (8 * d))
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        at, ids, held = TaskContext.get().partitionId() << 32, [], []
+
+        def block():
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([np.concatenate(ids)], pa.list_(pa.int64())),
+                                               pa.array([np.concatenate(held).tobytes()], pa.binary())], names=["block", "ids", "x"])
+
+        for batch in batches:
+            x, i = _matrix(batch.column(1)) if batch.num_rows else None, batch.column(0).to_numpy()
+            for lo in range(0, batch.num_rows, most):
+                if ids and sum(map(len, ids)) + len(i[lo:lo + most]) > most:
+                    yield block()
+                    at, ids, held = at + 1, [], []
+                ids.append(i[lo:lo + most])
+                held.append(x[lo:lo + most])
+        if ids:
+            yield block()
+
+    made = stored(rows.select(F.col("id").cast("long"), "v").mapInArrow(run, "block long, ids array<long>, x binary"), name)
+    number = ranks.with_position(made.select("block"), [], [F.col("block")], "p")  # a row per block
+    return stored(made.join(small_side(number), "block").select((F.col("p") - 1).alias("p"), "ids", "x"), name)
+
+
+class _Blocks:
+    """Blocks of vectors that every block of another table meets: broadcast below the bound, else joined pair by pair."""
+
+    def __init__(self, blocks: DataFrame, d: int):
+        self.n, self.d = blocks.count(), d
+        self.side = small_side(blocks.select(F.col("p").alias("_to"), F.col("x").alias("_right")))
+
+    def meet(self, left: DataFrame, columns: list[str], part_of: Callable) -> DataFrame:
+        """(p, _sum): for every block of ``left`` the arrays that ``part_of`` makes of it and each block here, added up.
+
+        ``part_of`` gets whether both are the same block, then ``columns`` of the left one and the vectors here as matrices.
+        """
+        d = self.d
+        every = F.explode(F.sequence(F.lit(0), F.lit(self.n - 1)).cast("array<long>"))
+        pairs = left.select("p", *columns).withColumn("_to", every).join(self.side, "_to")
+
+        def row(p, x):
+            return pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), pa.array([x])], names=["p", "_sum"])
+
+        def run(batches):
+            held: dict = {}
+            for batch in batches:
+                for r in range(batch.num_rows):
+                    p, to = batch.column("p")[r].as_py(), batch.column("_to")[r].as_py()
+                    made = part_of(p == to, *(np.frombuffer(batch.column(c)[r].as_buffer(), float).reshape(-1, d) for c in (*columns, "_right")))
+                    if p not in held and len(held) > 4:
+                        yield from [row(k, held.pop(k)) for k in list(held)]
+                    held[p] = held[p] + made if p in held else made
+            yield from [row(k, x) for k, x in held.items()]
+
+        return add_up(pairs.select("p", "_to", *columns, "_right").mapInArrow(run, "p long, _sum array<double>"), ["p"], "_sum")
+
+
+class _Folds:
+    """All folds of a leave-one-out training at once: fold f leaves out vector f, and its model is row f of w.
+
+    Models, gradients and search directions lie beside the vectors in blocks of folds. A pass multiplies
+    every block of folds with every block of vectors, so no fold x sample table is ever written and a task holds two
+    blocks. The folds share the steps of Newton and of the conjugate gradients; a fold that is done stands still.
+    """
+
+    def __init__(self, blocks: DataFrame, n: int, d: int, lam: float, start: np.ndarray, bar: float):
+        self.vectors, self.n, self.d, self.lam, self.bar = _Blocks(blocks, d), n, d, lam, bar
+        w = np.ascontiguousarray(start, float)
+        self.state, _ = self.changed(blocks, ["ids"], lambda i: ({"w": np.tile(w, (len(i), 1)), "s": np.zeros((len(i), d))}, 0.0, 0.0))
+
+    def changed(self, table: DataFrame, columns: list[str], update: Callable) -> tuple[DataFrame, tuple[float, float]]:
+        """The blocks, stored, with the matrices that ``update`` makes of ``columns``, and the largest of each of its two numbers."""
+        d, kept = self.d, ["p", "ids", "x"]
+        names = list(update(*(np.zeros(1, np.int64) if c == "ids" else np.zeros((1, d)) for c in columns))[0])
+
+        def given(column, r, name):
+            if name == "ids":
+                return np.array(column[r].as_py())
+            if pa.types.is_list(column.type):
+                return np.asarray(column[r].values).reshape(-1, d)
+            return np.frombuffer(column[r].as_buffer(), float).reshape(-1, d)
+
+        def run(batches):
+            for batch in batches:
+                for r in range(batch.num_rows):
+                    made, one, two = update(*(given(batch.column(c), r, c) for c in columns))
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(r, 1) for c in kept), *(pa.array([made[n].tobytes()], pa.binary()) for n in names),
+                                                      pa.array([float(one)]), pa.array([float(two)])], names=[*kept, *names, "_one", "_two"])
+
+        seen = Observation()
+        types = "p long, ids array<long>, x binary, " + ", ".join(f"{n} binary" for n in names) + ", _one double, _two double"
+        new = table.select(*dict.fromkeys([*kept, *columns])).mapInArrow(run, types)
+        held = stored(new.observe(seen, F.max("_one").alias("one"), F.max("_two").alias("two")), "folds")
+        return held, (seen.get["one"], seen.get["two"])
+
+    def gradient(self, table: DataFrame) -> DataFrame:
+        """``table`` and, as the array _sum, the sum of (1 - sigmoid) x over the other vectors at w + s."""
+        def part_of(same, w, s, x):
+            p = 1 - _sigmoid((w + s) @ x.T)
+            if same:
+                np.fill_diagonal(p, 0.0)
+            return (p @ x).ravel()
+
+        return table.join(self.vectors.meet(table, ["w", "s"], part_of), "p")
+
+    def curvature(self, table: DataFrame) -> DataFrame:
+        """``table`` and, as the array _sum, the sum of the curvature's products with q at w."""
+        def part_of(same, w, q, x):
+            p = _sigmoid(w @ x.T)
+            p = p * (1 - p) * (q @ x.T)
+            if same:
+                np.fill_diagonal(p, 0.0)
+            return (p @ x).ravel()
+
+        return table.join(self.vectors.meet(table, ["w", "q"], part_of), "p")
+
+    def solve(self, max_steps: int) -> DataFrame:
+        """(p, ids, x, w) with the model of every fold; raises if a gradient does not vanish."""
+        lam, others, bar, limit = self.lam, self.n - 1, self.bar, 10 * self.d + 10
+        norm = lambda m: np.sqrt((m * m).sum(axis=1))
+
+        def ready(w, g, s, worse):
+            return {"w": w, "g": g, "s": s, "r": -g, "q": -g}, norm(g).max(), worse
+
+        def begin(w, s, total):
+            return ready(w, lam * w - total / others, s, 0.0)
+
+        def turn(w, g, s, r, q, total):
+            """One step of the conjugate gradients."""
+            image = lam * q + total / others
+            rr, qi = (r * r).sum(axis=1), (q * image).sum(axis=1)
+            t = np.divide(rr, qi, out=np.zeros_like(rr), where=qi > 0)[:, None]
+            new = r - t * image
+            more = np.divide((new * new).sum(axis=1), rr, out=np.zeros_like(rr), where=rr > 0)[:, None]
+            return {"w": w, "g": g, "s": s + t * q, "r": new, "q": new + more * q}, norm(new).max(), 0.0
+
+        def judge(w, g, s, total):
+            """Takes the step, or half of it again where the gradient has grown."""
+            new = lam * (w + s) - total / others
+            worse = (norm(new) > norm(g)) & (norm(new) > bar)
+            back = worse[:, None]
+            return ready(np.where(back, w, w + s), np.where(back, g, new), np.where(back, s / 2, 0.0), float(worse.any()))
+
+        table, (largest, _) = self.changed(self.gradient(self.state), ["w", "s", "_sum"], begin)
+        for _ in range(max_steps):
+            if largest < bar:
+                return table.select("p", "ids", "x", "w")
+            share, left = max(min(0.1, largest), 0.1 * bar / largest), largest
+            for _ in range(limit):
+                if left <= share * largest:
+                    break
+                table, (left, _) = self.changed(self.curvature(table), ["w", "g", "s", "r", "q", "_sum"], turn)
+            for _ in range(40):
+                table, (largest, worse) = self.changed(self.gradient(table), ["w", "g", "s", "_sum"], judge)
+                if not worse:
+                    break
+        raise ArithmeticError(f"a fold has no optimum after {max_steps} steps: the largest gradient is {largest:.3g}")
+
+
+def double_ranks(x: np.ndarray) -> np.ndarray:
+    """Twice the mean rank of every value within its row: whole numbers, so their products are exact."""
+    by = np.argsort(x, axis=1, kind="stable")
+    s = np.take_along_axis(x, by, axis=1)
+    n, at = x.shape[1], np.arange(x.shape[1])
+    new = np.ones(x.shape, bool)
+    new[:, 1:] = s[:, 1:] != s[:, :-1]
+    first = np.maximum.accumulate(np.where(new, at, 0), axis=1)
+    ends = np.ones(x.shape, bool)
+    ends[:, :-1] = new[:, 1:]
+    last = np.minimum.accumulate(np.where(ends, at, n)[:, ::-1], axis=1)[:, ::-1]
+    out = np.empty(x.shape)
+    np.put_along_axis(out, by, first + last + 2.0, axis=1)
+    return out
+
+
+def _spearman(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Correlations of every row of ``a`` with every row of ``b`` (double ranks), to 12 digits; NaN for constant rows."""
+    n = a.shape[1]
+    va, vb = (n * (m * m).sum(axis=1) - m.sum(axis=1) ** 2 for m in (a, b))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.round((n * (a @ b.T) - np.outer(a.sum(axis=1), b.sum(axis=1))) / np.outer(np.sqrt(va), np.sqrt(vb)), 12)
+
+
 def leave_one_out(train: DataFrame, positive: str = "positive", *, lam: float = 1.0, feature: str = "feature",
-                  sample: str = "sample", value: str = "value", sample_limit: int = DUAL_LIMIT,
-                  max_rows: int | None = None) -> DataFrame:
+                  sample: str = "sample", value: str = "value", tol: float = TOL, max_steps: int = STEPS,
+                  block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(fold, auc, running_auc): each positive left out, scored against all background samples.
 
-    One Gram matrix serves all folds. Folds are solved side by side in tasks; their weight
-    vectors are formed per feature as one array, ranked, and correlated with every sample's
-    ranks in one blocked product. AUC is the share of background strictly below.
+    All folds are trained together from the model of all positives. A fold's model and every sample are ranked over the
+    features within their own rows, and blocks of folds meet blocks of background samples; AUC is the share of
+    background strictly below the left-out sample.
     """
-    spark = train.sparkSession
-    packed = training_vectors(train, positive, feature, sample, value)
-    n = require_at_most(
-        train.filter(positive).select(sample).distinct().limit(sample_limit + 1).count(), sample_limit, "positive samples")
-    gram = _matrix_from(block_products(packed, "pos", width=n).toPandas(), n)
-    shared = spark.sparkContext.broadcast(gram)
-
-    def solve(batches):
-        g = shared.value
-        for pdf in batches:
-            out = []
-            for f in pdf["id"]:
-                rest = np.delete(np.arange(n), f)
-                a = np.zeros(n)
-                a[rest] = _dual_newton(g[np.ix_(rest, rest)], lam)
-                out.append(list(a))
-            yield pd.DataFrame({"fold": pdf["id"].astype("int32"), "a": out})
-
-    folds = spark.range(0, n, 1, min(n, 4 * spark.sparkContext.defaultParallelism))
-    solved = folds.mapInPandas(solve, "fold int, a array<double>").toPandas().sort_values("fold")
-    alphas = spark.sparkContext.broadcast(np.array(solved["a"].tolist()))
-
-    @F.pandas_udf("array<double>")
-    def fold_weights(v: pd.Series) -> pd.Series:
-        return pd.Series(list(np.array(v.tolist(), float) @ alphas.value.T))
-
-    wide = packed.select(
-        feature, F.array(F.struct(F.lit(0).alias("side"), fold_weights("pos").alias("x")),
-                         F.struct(F.lit(1).alias("side"), F.concat("pos", "neg").alias("x"))).alias("_s"))
-    flat = wide.select(feature, F.explode("_s").alias("_s")).select(
-        feature, "_s.side", F.posexplode("_s.x").alias("col", "x"))
-    # equal sums in another order differ in the last digits; ties must stay ties
-    ranked = ranks.with_average_rank(flat.withColumn("x", F.round("x", 12)), ["side", "col"], "x", "r", max_rows=max_rows)
-
-    def ordered(side):
-        return F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("col", "r"))))
-
-    arrays = ranked.groupBy(feature).agg(ordered(0).alias("_w"), ordered(1).alias("_z")).select(
-        F.col("_w.r").alias("w"), F.col("_z.r").alias("z"))
-    total = train.select(sample).distinct().count()
-    cross = block_products(arrays, "w", "z", width=total)
-    moments = small_side(ranked.groupBy("side", "col").agg(
-        F.count(F.lit(1)).cast("double").alias("n"), F.sum("r").alias("s"), F.sum(F.col("r") * F.col("r")).alias("q")))
-    a = moments.filter("side = 0").select(F.col("col").alias("i"), "n", F.col("s").alias("sa"), F.col("q").alias("qa"))
-    b = moments.filter("side = 1").select(F.col("col").alias("j"), F.col("s").alias("sb"), F.col("q").alias("qb"))
-    m = F.col("n")
-    va = m * F.col("qa") - F.col("sa") * F.col("sa")
-    vb = m * F.col("qb") - F.col("sb") * F.col("sb")
-    rho = F.try_divide(m * F.col("total") - F.col("sa") * F.col("sb"), F.sqrt(F.when(va > 0, va)) * F.sqrt(F.when(vb > 0, vb)))
-    scores = cross.join(a, "i").join(b, "j").select(
-        F.col("i").alias("fold"), "j", F.round(rho, 12).alias("rho")).filter((F.col("j") >= n) | (F.col("j") == F.col("fold")))
-    own = small_side(scores.filter("j = fold").select("fold", F.col("rho").alias("own")))
-    auc = scores.filter(F.col("j") >= n).join(own, "fold").groupBy("fold").agg(
-        F.avg((F.col("own") > F.col("rho")).cast("double")).alias("auc"))
-    running = Window.orderBy("fold").rowsBetween(Window.unboundedPreceding, 0)  # at most sample_limit rows
-    return auc.withColumn("running_auc", F.avg("auc").over(running))
+    rows = sample_vectors(train, positive, feature, sample, value)
+    own = rows.filter("positive")
+    n, d = _shape(own)
+    if n < 2:
+        raise ValueError("leave-one-out needs two positive samples")
+    start = _trained(own, n, d, lam, tol, max_steps)
+    numbered = ranks.with_position(own.select(sample), [], [F.col(sample)], "id")
+    folds = _blocks(own.join(numbered, sample).select((F.col("id") - 1).alias("id"), "v"), d, "fold-blocks", block_bytes)
+    bar = tol * max(1.0, np.linalg.norm(_summed(own, d, lambda x: x.sum(axis=0))) / (2 * n))
+    models = _Folds(folds, n, d, lam, start, bar).solve(max_steps)
+    background = rows.filter(~F.col("positive")).select(F.lit(0).alias("id"), "v")
+    others = background.count()
+    if not others:
+        return models.select(F.explode("ids").cast("int").alias("fold"), F.lit(None).cast("double").alias("auc"), F.lit(None).cast("double").alias("running_auc"))
+
+    def below(_, w, x, other):
+        a = double_ranks(np.round(w, 12))
+        mine = np.diag(_spearman(a, double_ranks(np.round(x, 12))))[:, None]
+        theirs = _spearman(a, double_ranks(np.round(other, 12)))
+        return (mine > theirs).sum(axis=1).astype(float)
+
+    left = models.select("p", "ids", "w", F.col("x").alias("own"))
+    counts = _Blocks(_blocks(background, d, "background-blocks", block_bytes), d).meet(left, ["w", "own"], below)
+    each = left.select("p", "ids").join(counts, "p").select(F.explode(F.arrays_zip("ids", "_sum")).alias("z"))
+    auc = each.select(F.col("z.ids").cast("int").alias("fold"), (F.col("z._sum") / others).alias("auc"))
+    return ranks.with_running_mean(auc, "fold", "auc", "running_auc")

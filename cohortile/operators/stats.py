@@ -10,12 +10,11 @@ from pyspark.sql import functions as F
 from cohortile.functions.sizing import null_safe_join, small_side
 from cohortile.functions.special import chi2_tail_udf, norm_quantile_udf, rank_sum_p_udf, shapiro_p_udf
 from cohortile.operators import ranks
-from cohortile.operators.ranks import ROWS_PER_TASK
 
 
 def rank_sum_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], *, group: str = "grp", value: str = "value",
                    by: Sequence[str] = (), exact: bool | None = None, max_rows: int | None = None,
-                   rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+                   rows_per_task: int | None = None) -> DataFrame:
     """Two-sided rank-sum test of each listed pair within ``by``.
 
     ``exact=None``: exact p below 50 per side without ties, normal approximation otherwise.
@@ -23,7 +22,7 @@ def rank_sum_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], *, group: st
     spark = df.sparkSession
     sides = [(a, b, g, side) for a, b in pairs for g, side in ((a, 1), (b, 0))]
     terms = F.broadcast(spark.createDataFrame(sides, f"grp_a string, grp_b string, {group} string, _is_a int"))
-    df, edges = ranks.laid_out(df, by, value, max_rows, rows_per_task)
+    df, (edges,) = ranks.laid_out(df, by, [value], max_rows, rows_per_task)
     counts = ranks.value_counts(df, [*by, group], value).join(terms, group)
     keys = [*by, "grp_a", "grp_b"]
     cum = ranks.cumulate(counts, keys, value, "n", edges)
@@ -44,7 +43,7 @@ def rank_sum_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], *, group: st
 
 
 def kruskal(df: DataFrame, *, group: str = "grp", value: str = "value", by: Sequence[str] = (),
-            max_rows: int | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+            max_rows: int | None = None, rows_per_task: int | None = None) -> DataFrame:
     """Tie-corrected H over the groups of each ``by``, df and chi-square p; NULL when all values tie.
 
     To test across panels pass the panel columns in ``by``; to test another factor pass it as ``group``.
@@ -124,7 +123,7 @@ def shapiro(df: DataFrame, by: Sequence[str], value: str = "value", max_n: int =
 
 
 def box_stats(df: DataFrame, by: Sequence[str], value: str = "value", *, max_rows: int | None = None,
-              rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+              rows_per_task: int | None = None) -> DataFrame:
     """Quartiles, whisker ends (furthest points within 1.5 IQR) and outlier count per group."""
     by = list(by)
     q = ranks.quantiles(df, by, value, [0.25, 0.5, 0.75], ["q1", "median", "q3"],

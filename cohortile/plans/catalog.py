@@ -92,6 +92,17 @@ def export_cls(v):
     return exports.cls_lines(v.samples(), ["ASIA", "EUROPE"], "Asia", "Europe")
 
 
+@query
+def export_gct_mutation(v):
+    """One stratum's samples, those with the mutation before those without."""
+    return exports.gct_lines(v.kept_matrix(), v.mutated_groups(), ["S0_mutated", "S0_wt"], group="mut_group")
+
+
+@query
+def export_cls_mutation(v):
+    return exports.cls_lines(v.mutated_groups(), ["S0_mutated", "S0_wt"], "mutated", "wt", group="mut_group")
+
+
 # cohort and metadata --------------------------------------------------------
 
 def _typed_meta(v):
@@ -109,6 +120,7 @@ def meta_merge(v):
     orders = v.table("orders")
     shared = [F.col("o_custkey").cast("string").alias("participant"), F.col("o_orderkey").cast("string").alias("biospecimen"),
               F.nullif("o_orderpriority", F.lit("5-LOW")).alias("descriptor")]
+    shared.append(F.nullif(F.col("o_custkey") % 7, F.lit(0)).alias("stage"))
     meta = orders.filter("o_orderstatus = 'F'").select(*shared, F.col("o_orderstatus").alias("composition_type"))
     histologies = orders.select(*shared, F.col("o_orderstatus").alias("sample_type"),
                                 F.col("o_orderpriority").alias("composition"), "o_totalprice")
@@ -139,11 +151,7 @@ def id_map(v):
 
 @query
 def train_labels(v):
-    uid = F.translate(F.concat(F.lit("V-"), F.col("vec_id").cast("string")), "-", ".").alias("uid")
-    emb = v.table("embeddings")
-    known = emb.select(uid, F.when(F.col("label") != 9, F.concat(F.lit("L"), F.col("label").cast("string"))).alias("label"))
-    patch = emb.filter("label = 9").select(uid, F.when(F.col("vec_id") % 2 == 0, "EB").otherwise("ECTO").alias("label"))
-    return cohort.lookup_with_overrides(known, patch, "uid", "label").withColumn("positive", F.col("label") == "L0")
+    return cohort.lookup_with_overrides(v.training_labels(), v.label_overrides(), "uid", "label").withColumn("positive", F.col("label") == "L0")
 
 
 @query
@@ -181,7 +189,7 @@ def snv_class_counts(v):
 
 @query
 def snv_class_pivot(v):
-    return variants.class_pivot(v.keep("snv_counts", lambda: _snv(v), "vclass"), "vclass")
+    return variants.class_pivot(v.keep("snv_counts", lambda: _snv(v), "sample_id"), "vclass")
 
 
 @query
@@ -191,7 +199,7 @@ def sv_class_counts(v):
 
 @query
 def sv_class_pivot(v):
-    return variants.class_pivot(v.keep("sv_counts", lambda: _sv(v), "sv_type"), "sv_type")
+    return variants.class_pivot(v.keep("sv_counts", lambda: _sv(v), "sample_id"), "sv_type")
 
 
 @query
@@ -231,7 +239,7 @@ def vaf_quadrants(v):
 def matrix_build(v):
     chosen = v.samples().filter(F.col("grp").isin("ASIA", "EUROPE", "AFRICA"))
     meta = chosen.select(F.col("sample").alias("biospecimen"), F.col("sample").alias("sample_id"), F.col("grp").alias("type"))
-    return matrix.build_matrix(v.keep("raw", v.expr_raw, "gene_id"), meta, drop_text="_blue_anvil")
+    return matrix.build_matrix(v.keep("raw", v.expr_raw, "gene_id"), meta, drop_text="_blue_anvil", missing_ok=False)
 
 
 @query
@@ -333,18 +341,14 @@ def bh_adjust(v):
     return rounded(ranks.bh_adjust(tested, max_rows=v.feature_bound()), "adj_p")
 
 
-def _de(v):
-    return diffexp.de_table(v.counts(), CONTRASTS, max_rows=v.feature_bound() * len(CONTRASTS))
-
-
 @query
 def de_table(v):
-    return rounded(_de(v), "logfc", "t", "p_value", "adj_p")
+    return rounded(v.de(), "logfc", "t", "p_value", "adj_p")
 
 
 @query
 def de_top(v):
-    return rounded(diffexp.by_evidence(_de(v).filter("contrast = 'asia_vs_europe'"), limit=100), "logfc", "t", "p_value", "adj_p")
+    return rounded(diffexp.by_evidence(v.de().filter("contrast = 'asia_vs_europe'"), limit=100), "logfc", "t", "p_value", "adj_p")
 
 
 @query
@@ -359,11 +363,11 @@ def de_by_stratum(v):
 
 @query
 def de_split(v):
-    return diffexp.split_hits(v.plain_de(), F.col("adj_p") < 0.05)
+    return diffexp.split_hits(v.de(), F.col("adj_p") < 0.05)
 
 
 def _tagged(v):
-    return results.labelled_members(diffexp.significant(v.plain_de()), v.surface(), "feature", PAIR)
+    return results.labelled_members(diffexp.significant(v.de()), v.surface(), "feature", PAIR)
 
 
 @query
@@ -388,7 +392,7 @@ def set_overlap(v):
 
 @query
 def deg_concordant(v):
-    de = v.plain_de()
+    de = v.de()
     return results.concordant(de.filter(F.col("contrast") == PAIR[0][0]), de.filter(F.col("contrast") == PAIR[1][0]))
 
 
@@ -397,12 +401,12 @@ VOLCANO = ["contrast", "feature", "logfc", "adj_p", "sig", "de_class", "class_la
 
 @query
 def volcano_classes(v):
-    return rounded(results.volcano(v.plain_de(), v.surface()).select(*VOLCANO), "logfc", "adj_p", "neg_log10_p")
+    return rounded(results.volcano(v.de(), v.surface()).select(*VOLCANO), "logfc", "adj_p", "neg_log10_p")
 
 
 @query
 def volcano_combined(v):
-    de = v.plain_de().filter(F.col("contrast").isin([c for c, _ in PAIR]))
+    de = v.de().filter(F.col("contrast").isin([c for c, _ in PAIR]))
     out = results.volcano_combined(de, v.surface(), only_members=False)
     return rounded(out.select(*VOLCANO, "in_list", "n", "genes"), "logfc", "adj_p", "neg_log10_p")
 
@@ -437,9 +441,11 @@ def kruskal_by(v):
 
 @query
 def shapiro(v):
+    """Balances by region and block of a thousand suppliers: groups multiply with the data and stay within the method's range."""
     nation, region = v.table("nation"), v.table("region")
     place = nation.join(region, nation.n_regionkey == region.r_regionkey).select("n_nationkey", F.col("r_name").alias("grp"))
-    balances = v.table("supplier").join(place, F.col("s_nationkey") == F.col("n_nationkey")).select("grp", F.col("s_acctbal").alias("value"))
+    balances = v.table("supplier").join(place, F.col("s_nationkey") == F.col("n_nationkey")).select(
+        F.concat_ws("_", "grp", F.floor(F.col("s_suppkey") / 1000).cast("string")).alias("grp"), F.col("s_acctbal").alias("value"))
     return rounded(stats.shapiro(balances, ["grp"]), "w", "p_value")
 
 
@@ -528,13 +534,13 @@ def enrichment_tests_pooled(v):
 
 @query
 def gene_set_limits(v):
-    """Only sets within size limits that the caller gives."""
-    return enrich.map_sets(v.gene_sets(), _features(v), min_size=5, max_size=45)
+    """Narrower limits, over sets that multiply with the data instead of growing."""
+    return enrich.map_sets(v.gene_set_blocks(), _features(v), min_size=10, max_size=30)
 
 
 @query
 def gene_set_block_limits(v):
-    """The same limits over sets that multiply with the data instead of growing: half of them are in range at every scale."""
+    """Only sets within size limits that the caller gives; half of them are in range at every scale."""
     return enrich.map_sets(v.gene_set_blocks(), _features(v), min_size=5, max_size=45)
 
 
@@ -583,6 +589,15 @@ def oneclass_train(v):
     return rounded(signature.train_signature(v.train()), "weight")
 
 
+@query
+def signature_pipeline(v):
+    """From labels, overrides, versioned ids, mapping and a gene subset to the weights of the signature."""
+    ids, chosen = v.id_mapping().select("id", "symbol"), v.table("part").filter("p_size <= 30").select(F.col("p_name").alias("symbol")).distinct()
+    train = signature.training_table(v.training_cells(), v.training_labels(), v.label_overrides(), ids, positive="L0", subset=chosen)
+    names = train.select("feature", "symbol").distinct()
+    return rounded(signature.train_signature(train).join(names, "feature").select("symbol", "weight"), "weight")
+
+
 @query
 def signature_score(v):
     out = signature.spearman_scores(v.matrix(), v.signature(), max_rows=v.cell_bound())

@@ -60,31 +60,14 @@ VIEWS = {
     "contrasts": "SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{a}', '{b}')" for c, a, b in CONTRASTS) + ") AS t(contrast, grp_a, grp_b)",
     "est": """SELECT c.contrast, a.feature, a.mean - b.mean AS logfc, SQRT(1.0 / a.n + 1.0 / b.n) AS u, a.s2, a.df
         FROM contrasts c JOIN fit a ON a.grp = c.grp_a JOIN fit b ON b.grp = c.grp_b AND b.feature = a.feature""",
-    "tested": "SELECT contrast, feature, logfc, logfc / NULLIF(u * SQRT(s2), 0) AS t, df FROM est",
 }
 
 
-def _even_t_terms(half: int = 10) -> str:
-    """1 + x/2 + (1*3)/(2*4) x^2 + ... for df = 2 * half (two-sided tail of an even-df t)."""
-    out, c = ["1.0"], 1.0
-    for k in range(1, half):
-        c *= (2 * k - 1) / (2 * k)
-        out.append(f"{c!r} * POW(x, {k})")
-    return " + ".join(out)
-
-
-VIEWS["tp"] = f"""SELECT contrast, feature, logfc, t,
-    ROUND(1 - ABS(t) / SQRT(df + t * t) * ({_even_t_terms()}), 9) AS p_value
-    FROM (SELECT *, df / (df + t * t) AS x FROM tested)"""
-VIEWS["plain_de"] = """SELECT contrast, feature, logfc, t, p_value,
-    LEAST(1.0, MIN(q) OVER (PARTITION BY contrast ORDER BY p_value RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS adj_p
-    FROM (SELECT *, p_value * COUNT(p_value) OVER (PARTITION BY contrast)
-        / COUNT(p_value) OVER (PARTITION BY contrast ORDER BY p_value RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS q FROM tp)"""
 VIEWS["tagged"] = """SELECT feature, logfc, CASE contrast WHEN 'asia_vs_europe' THEN 'ASIA_vs_EUROPE' ELSE 'ASIA_vs_AFRICA' END AS label,
     CASE contrast WHEN 'asia_vs_europe' THEN 0 ELSE 1 END AS ord
-    FROM plain_de WHERE adj_p < 0.05 AND contrast IN ('asia_vs_europe', 'asia_vs_africa') AND feature IN (SELECT feature FROM surface)"""
+    FROM mod_de WHERE adj_p < 0.05 AND contrast IN ('asia_vs_europe', 'asia_vs_africa') AND feature IN (SELECT feature FROM surface)"""
 VIEWS["classed"] = """SELECT *, adj_p < 0.05 AS sig, CASE WHEN adj_p < 0.05 AND logfc > 1 THEN 'Up'
-    WHEN adj_p < 0.05 AND logfc < -1 THEN 'Down' ELSE 'Unchanged' END AS de_class FROM plain_de"""
+    WHEN adj_p < 0.05 AND logfc < -1 THEN 'Down' ELSE 'Unchanged' END AS de_class FROM mod_de"""
 # gene sets
 VIEWS["mapped"] = """SELECT gs_name, feature, set_size FROM (SELECT gs_name, feature, COUNT(*) OVER (PARTITION BY gs_name) AS set_size
     FROM (SELECT DISTINCT gs_name, feature FROM gene_sets WHERE feature IN (SELECT feature FROM expr_sparse)))
@@ -264,8 +247,9 @@ VIEWS["pooled_z"] = """SELECT *, (ABS(w - n_a * n_b / 2.0) - CASE WHEN w = n_a *
         SUM(r) FILTER (is_a) - COUNT(*) FILTER (is_a) * (COUNT(*) FILTER (is_a) + 1) / 2.0 AS w FROM pooled_rows GROUP BY grp_a, grp_b)"""
 
 # Shapiro-Wilk: normal scores by bisection, then the published weights and p-value
-VIEWS["sw_rows"] = """SELECT r_name AS grp, s_acctbal AS value, ROW_NUMBER() OVER (PARTITION BY r_name ORDER BY s_acctbal) AS i,
-    COUNT(*) OVER (PARTITION BY r_name) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
+VIEWS["sw_rows"] = """SELECT grp, value, ROW_NUMBER() OVER (PARTITION BY grp ORDER BY value) AS i, COUNT(*) OVER (PARTITION BY grp) AS n FROM (
+    SELECT r_name || '_' || CAST(s_suppkey // 1000 AS VARCHAR) AS grp, s_acctbal AS value
+    FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 VIEWS["sw_scores"] = f"""WITH RECURSIVE b AS (SELECT grp, value, i, n, (i - 0.375) / (n + 0.25) AS q, -9.0::DOUBLE AS lo, 9.0::DOUBLE AS hi, 0 AS k FROM sw_rows
     UNION ALL SELECT grp, value, i, n, q, CASE WHEN up THEN z ELSE lo END, CASE WHEN up THEN hi ELSE z END, k + 1 FROM (
         SELECT *, {_PHI} < q AS up FROM (SELECT *, (lo + hi) / 2 AS z FROM b WHERE k < 60)))
@@ -330,10 +314,10 @@ _BASE = {
         UNION ALL SELECT 3, STRING_AGG(grp, ' ' ORDER BY grp, sample) FROM samples WHERE grp IN ('ASIA', 'EUROPE')""",
     "meta_select": "SELECT DISTINCT biospecimen, sample_id, comp FROM meta WHERE strategy = '1-URGENT'",
     "meta_merge": """WITH o AS (SELECT CAST(o_custkey AS VARCHAR) AS participant, CAST(o_orderkey AS VARCHAR) AS biospecimen,
-            NULLIF(o_orderpriority, '5-LOW') AS descriptor, o_orderstatus, o_orderpriority FROM orders),
-        m AS (SELECT participant, biospecimen, descriptor, o_orderstatus AS composition_type FROM o WHERE o_orderstatus = 'F')
-        SELECT DISTINCT participant, biospecimen, COALESCE(descriptor, '') AS descriptor, composition_type FROM (
-            SELECT * FROM m UNION ALL SELECT participant, biospecimen, descriptor, 'solid_tissue' FROM o
+            NULLIF(o_orderpriority, '5-LOW') AS descriptor, NULLIF(o_custkey % 7, 0) AS stage, o_orderstatus, o_orderpriority FROM orders),
+        m AS (SELECT participant, biospecimen, descriptor, stage, o_orderstatus AS composition_type FROM o WHERE o_orderstatus = 'F')
+        SELECT DISTINCT participant, biospecimen, COALESCE(descriptor, '') AS descriptor, COALESCE(CAST(stage AS VARCHAR), '') AS stage, composition_type FROM (
+            SELECT * FROM m UNION ALL SELECT participant, biospecimen, descriptor, stage, 'solid_tissue' FROM o
             WHERE participant IN (SELECT participant FROM m) AND o_orderstatus = 'P' AND o_orderpriority = '1-URGENT')""",
     "recode_group": """SELECT biospecimen, comp, CASE comp WHEN 'Suspension' THEN 1 WHEN 'Adhesion' THEN 2 ELSE 3 END AS comp_ord,
         CASE comp WHEN 'Suspension' THEN 'Suspension (s)' WHEN 'Adhesion' THEN 'Adhesion (a)' ELSE 'Solid Tissue (t)' END AS comp_label
@@ -396,7 +380,7 @@ _BASE = {
         FROM (SELECT feature, ROUND({P4}, 9) AS p_value FROM kw_feature)))""",
     "de_split": """SELECT contrast, COUNT(*) AS n, COUNT(*) FILTER (adj_p < 0.05) AS n_sig, COUNT(*) FILTER (adj_p < 0.05 AND logfc > 0) AS n_up,
         COUNT(*) FILTER (adj_p < 0.05 AND logfc < 0) AS n_down, COUNT(*) FILTER (adj_p < 0.05 AND ABS(logfc) > 1) AS n_fold
-        FROM plain_de GROUP BY contrast""",
+        FROM mod_de GROUP BY contrast""",
     "deg_overlap_up": "SELECT feature, STRING_AGG(label, ', ' ORDER BY ord) AS labels, COUNT(*) AS n FROM tagged WHERE logfc > 0 GROUP BY feature",
     "deg_overlap_down": "SELECT feature, STRING_AGG(label, ', ' ORDER BY ord) AS labels, COUNT(*) AS n FROM tagged WHERE logfc < 0 GROUP BY feature",
     "deg_overlap_all": f"SELECT feature, {_r('logfc')}, label, COUNT(*) OVER (PARTITION BY feature) AS n FROM tagged",
@@ -404,7 +388,7 @@ _BASE = {
         SELECT direction, feature, COUNT(*) FILTER (ord = 0) AS a, COUNT(*) FILTER (ord = 1) AS b FROM (
             SELECT 'all' AS direction, * FROM tagged UNION ALL SELECT 'up', * FROM tagged WHERE logfc > 0
             UNION ALL SELECT 'down', * FROM tagged WHERE logfc < 0) GROUP BY direction, feature) GROUP BY direction""",
-    "deg_concordant": """SELECT DISTINCT x.feature FROM plain_de x JOIN plain_de y ON x.feature = y.feature
+    "deg_concordant": """SELECT DISTINCT x.feature FROM mod_de x JOIN mod_de y ON x.feature = y.feature
         WHERE x.contrast = 'asia_vs_europe' AND y.contrast = 'asia_vs_africa' AND x.adj_p < 0.05 AND y.adj_p < 0.05
         AND ((x.logfc > 0 AND y.logfc > 0) OR (x.logfc < 0 AND y.logfc < 0))""",
     "volcano_classes": f"""SELECT contrast, feature, sig, de_class, {_r('logfc', 'adj_p')}, ROUND(-LOG10(adj_p), 6) + 0.0 AS neg_log10_p,
@@ -474,9 +458,9 @@ _BASE["wilcoxon_exact"] = _rank_sum("expr", "feature", [("ASIA", "EUROPE"), ("AS
 _BASE["enrichment_sets_by_type"] = f"""SELECT type, n, df, {_r('h')}, ROUND(EXP(-h / 2) * list_sum(list_transform(
     range(df // 2), lambda k: EXP(k * LN(h / 2) - lgamma(k + 1)))), 6) + 0.0 AS p_value FROM kw_sets"""
 _BASE["enrichment_tests_pooled"] = f"SELECT grp_a, grp_b, n_a, n_b, tie_sum, w, ROUND({P_NORMAL}, 6) + 0.0 AS p_value FROM pooled_z"
-_BASE["gene_set_limits"] = "SELECT gs_name, feature, set_size FROM mapped WHERE set_size BETWEEN 5 AND 45"
 _BASE["gene_set_block_limits"] = """SELECT gs_name, feature, set_size FROM (SELECT gs_name, feature, COUNT(*) OVER (PARTITION BY gs_name) AS set_size
     FROM (SELECT DISTINCT gs_name, feature FROM gene_set_blocks WHERE feature IN (SELECT feature FROM expr_sparse))) WHERE set_size BETWEEN 5 AND 45"""
+_BASE["gene_set_limits"] = _BASE["gene_set_block_limits"].replace("BETWEEN 5 AND 45", "BETWEEN 10 AND 30")
 _BASE["enrichment_tests"] = _rank_sum("scored_groups", "gs_name", [("ASIA", "EUROPE"), ("ASIA", "AFRICA"), ("EUROPE", "AFRICA")])
 _BASE["shapiro"] = f"""SELECT g.grp, g.n, ROUND(w, 6) + 0.0 AS w, ROUND(CASE WHEN g.n = 3 THEN GREATEST(0.0, 6 / PI() * (ASIN(SQRT(w)) - ASIN(SQRT(0.75))))
     ELSE 1 - ({_PHI}) END, 6) + 0.0 AS p_value FROM (SELECT DISTINCT grp, n FROM sw_rows) g LEFT JOIN sw_z s ON s.grp = g.grp"""
@@ -495,4 +479,105 @@ _BASE["sv_class_pivot"] = "SELECT sample_id, comp, " + ", ".join(
     f"CAST(SUM(CASE WHEN sv_type = '{c}' THEN n END) AS BIGINT) AS \"{c}\"" for c in ("click", "error", "purchase", "signup", "view")
 ) + f" FROM ({_BASE['sv_class_counts']}) GROUP BY sample_id, comp"
 
+# linear methods: leading vectors by repeated squaring, optima by gradient steps
+SQUARINGS, STEPS = 60, 60
+
+
+def _squared(source: str, by: str = "") -> str:
+    """The outer product of the leading vector of every matrix (by, i, j, x) in ``source``."""
+    key, on, part = (f"{by}, ", f" AND a.{by} = b.{by}", f"PARTITION BY {by}") if by else ("", "", "")
+    own = f"a.{by}, " if by else ""
+    return f"""WITH RECURSIVE sq AS (SELECT 0 AS it, {key}i, j, x / MAX(ABS(x)) OVER ({part}) AS x FROM {source}
+        UNION ALL SELECT it + 1, {key}i, j, x / MAX(ABS(x)) OVER ({part}) FROM (
+            SELECT a.it, {own}a.i, b.j, SUM(a.x * b.x) AS x FROM sq a JOIN sq b ON a.j = b.i{on} WHERE a.it < {SQUARINGS} GROUP BY a.it, {own}a.i, b.j))
+        SELECT {key}i, j, x FROM sq WHERE it = {SQUARINGS}"""
+
+
+def _vector(source: str, by: str = "") -> str:
+    """The leading vector from that product: its column at the largest entry of the diagonal, at unit length."""
+    key, part = (f"{by}, ", f"PARTITION BY {by}") if by else ("", "")
+    using = f"({by}, j)" if by else "(j)"
+    return f"""SELECT {key}i, x / SQRT(d) AS v FROM {source} JOIN (SELECT {key}i AS j, x / SUM(x) OVER ({part}) AS share, x AS raw,
+            x * SUM(x) OVER ({part}) AS d, ROW_NUMBER() OVER ({part} ORDER BY x DESC, i) AS k FROM {source} WHERE i = j) USING {using} WHERE k = 1"""
+
+
+VIEWS["plain_z"] = """SELECT feature, sample, z FROM (SELECT feature, sample, (value - AVG(value) OVER w) / NULLIF(STDDEV_SAMP(value) OVER w, 0) AS z
+    FROM expr WINDOW w AS (PARTITION BY feature)) WHERE z IS NOT NULL"""
+VIEWS["gram1"] = "SELECT a.sample AS i, b.sample AS j, SUM(a.z * b.z) AS x FROM plain_z a JOIN plain_z b USING (feature) GROUP BY 1, 2"
+VIEWS["square1"] = _squared("gram1")
+VIEWS["vector1"] = _vector("square1")
+VIEWS["value1"] = "SELECT SUM(a.v * x * b.v) AS size FROM gram1 g JOIN vector1 a ON a.i = g.i JOIN vector1 b ON b.i = g.j"
+VIEWS["gram2"] = "SELECT g.i, g.j, x - size * a.v * b.v AS x FROM gram1 g JOIN vector1 a ON a.i = g.i JOIN vector1 b ON b.i = g.j JOIN value1 ON TRUE"
+VIEWS["square2"] = _squared("gram2")
+VIEWS["vector2"] = _vector("square2")
+VIEWS["value2"] = VIEWS["value1"].replace("vector1", "vector2")
+_BASE["pca_samples"] = f"""SELECT sample, {_r('pc1', 'pc2', digits=5)} FROM (
+    SELECT a.i AS sample, a.v * SQRT(s.size) * SIGN(FIRST_VALUE(a.v) OVER (ORDER BY ABS(a.v) DESC)) AS pc1,
+        b.v * SQRT(t.size) * SIGN(FIRST_VALUE(b.v) OVER (ORDER BY ABS(b.v) DESC)) AS pc2
+    FROM vector1 a JOIN vector2 b ON b.i = a.i JOIN value1 s ON TRUE JOIN value2 t ON TRUE)"""
+VIEWS["marker_z"] = f"""SELECT cell_type, feature, sample, z FROM (SELECT feature, sample, (l - AVG(l) OVER w) / NULLIF(STDDEV_SAMP(l) OVER w, 0) AS z
+    FROM (SELECT feature, sample, LOG2(value + 1) AS l FROM expr) WINDOW w AS (PARTITION BY feature))
+    JOIN ({_BASE['top_markers']}) USING (feature) WHERE z IS NOT NULL"""
+VIEWS["marker_gram"] = """SELECT a.cell_type, a.sample AS i, b.sample AS j, SUM(a.z * b.z) AS x
+    FROM marker_z a JOIN marker_z b USING (cell_type, feature) GROUP BY ALL"""
+VIEWS["marker_square"] = _squared("marker_gram", "cell_type")
+VIEWS["marker_vector"] = _vector("marker_square", "cell_type")
+_BASE["marker_svd"] = """SELECT i AS sample, cell_type, ROUND(v * CASE WHEN total < 0 THEN -1 ELSE 1 END, 6) + 0.0 AS score FROM marker_vector
+    JOIN (SELECT m.cell_type, SUM(z * v) AS total FROM marker_z m JOIN marker_vector u ON u.cell_type = m.cell_type AND u.i = m.sample GROUP BY 1) USING (cell_type)"""
+VIEWS["centred"] = """SELECT vec_id, label = 0 AS positive, LIST(CAST(x AS DOUBLE) - m ORDER BY k) AS x FROM (
+    SELECT vec_id, label, k, x, AVG(CAST(x AS DOUBLE)) OVER (PARTITION BY k) AS m FROM (
+        SELECT vec_id, label, UNNEST(embedding) AS x, GENERATE_SUBSCRIPTS(embedding, 1) AS k FROM embeddings)) GROUP BY vec_id, label"""
+VIEWS["trainers"] = "SELECT vec_id, x, CAST(ROW_NUMBER() OVER (ORDER BY vec_id) - 1 AS INT) AS fold FROM centred WHERE positive"
+
+
+def _descent(seed: str, others: str, trainers: str = "trainers") -> str:
+    """Models (fold, w) after gradient steps from 0; a step of 0.9 suits vectors of length about 1."""
+    return f"""WITH RECURSIVE step AS (SELECT 0 AS it, fold, w FROM ({seed})
+        UNION ALL SELECT it + 1, fold, LIST(w[k] - 0.9 * (w[k] - g) ORDER BY k) FROM (
+            SELECT it, fold, ANY_VALUE(w) AS w, k, AVG((1 - p) * x[k]) AS g FROM (
+                SELECT s.it, s.fold, s.w, t.x, 1 / (1 + EXP(-LIST_DOT_PRODUCT(t.x, s.w))) AS p FROM step s JOIN {trainers} t ON {others} WHERE s.it < {STEPS}),
+            (SELECT UNNEST(RANGE(1, 65)) AS k) WHERE k <= LEN(x) GROUP BY it, fold, k) GROUP BY it, fold)
+        SELECT fold, w FROM step WHERE it = {STEPS}"""
+
+
+VIEWS["model"] = _descent("SELECT 0 AS fold, LIST_TRANSFORM(RANGE(64), lambda k: 0e0) AS w", "TRUE")
+_BASE["oneclass_train"] = "SELECT CAST(k - 1 AS INT) AS feature, ROUND(w[k], 6) + 0.0 AS weight FROM model, (SELECT UNNEST(RANGE(1, 65)) AS k)"
+VIEWS["fold_models"] = _descent("SELECT fold, LIST_TRANSFORM(RANGE(64), lambda k: 0e0) AS w FROM trainers", "t.fold <> s.fold")
+
+
+def _ranked(source: str, key: str, column: str) -> str:
+    """(key, r): the mean ranks of the entries of every list."""
+    return f"""SELECT {key}, LIST(r ORDER BY k) AS r FROM (
+        SELECT {key}, k, RANK() OVER (PARTITION BY {key} ORDER BY x) + (COUNT(*) OVER (PARTITION BY {key}, x) - 1) / 2.0 AS r
+        FROM (SELECT {key}, k, ROUND({column}[k], 12) AS x FROM {source}, (SELECT UNNEST(RANGE(1, 65)) AS k))) GROUP BY {key}"""
+
+
+VIEWS["fold_ranks"] = _ranked("fold_models", "fold", "w")
+VIEWS["vector_ranks"] = _ranked("centred", "vec_id", "x")
+VIEWS["rhos"] = """SELECT fold, vec_id, ROUND((64 * LIST_DOT_PRODUCT(f.r, v.r) - LIST_SUM(f.r) * LIST_SUM(v.r))
+    / SQRT((64 * LIST_DOT_PRODUCT(f.r, f.r) - LIST_SUM(f.r) * LIST_SUM(f.r)) * (64 * LIST_DOT_PRODUCT(v.r, v.r) - LIST_SUM(v.r) * LIST_SUM(v.r))), 12) AS rho
+    FROM fold_ranks f JOIN vector_ranks v ON TRUE"""
+_BASE["loo_auc"] = f"""SELECT fold, {_r('auc')}, ROUND(AVG(auc) OVER (ORDER BY fold), 6) + 0.0 AS running_auc FROM (
+    SELECT r.fold, AVG(CASE WHEN own > rho THEN 1.0 ELSE 0.0 END) AS auc FROM rhos r JOIN centred c ON c.vec_id = r.vec_id AND NOT c.positive
+    JOIN (SELECT fold, rho AS own FROM rhos JOIN trainers USING (fold, vec_id)) o ON o.fold = r.fold GROUP BY r.fold)"""
+
+VIEWS["chosen_ids"] = """SELECT symbol, MIN(id) AS id FROM (SELECT DISTINCT CAST(p_partkey AS VARCHAR) AS id, p_name AS symbol FROM part
+    WHERE p_partkey % 10 <> 0 AND p_partkey <= 64 AND p_name <> '' AND p_name IN (SELECT p_name FROM part WHERE p_size <= 30)) GROUP BY symbol"""
+VIEWS["chosen_places"] = """SELECT symbol, CAST(id AS INT) AS k, ROW_NUMBER() OVER (ORDER BY symbol) AS place FROM chosen_ids"""
+VIEWS["chosen_vectors"] = """SELECT vec_id, COALESCE(label, -1) = 0 AS positive, LIST(CAST(x AS DOUBLE) - m ORDER BY place) AS x FROM (
+    SELECT vec_id, label, place, x, AVG(CAST(x AS DOUBLE)) OVER (PARTITION BY place) AS m FROM (
+        SELECT vec_id, label, UNNEST(embedding) AS x, GENERATE_SUBSCRIPTS(embedding, 1) AS k FROM embeddings) JOIN chosen_places USING (k)) GROUP BY vec_id, label"""
+VIEWS["chosen_trainers"] = "SELECT x, 0 AS fold FROM chosen_vectors WHERE positive"
+VIEWS["chosen_model"] = _descent("SELECT 0 AS fold, LIST_TRANSFORM(RANGE(COUNT(*)), lambda k: 0e0) AS w FROM chosen_places", "TRUE", "chosen_trainers")
+_BASE["signature_pipeline"] = "SELECT symbol, ROUND(w[place], 6) + 0.0 AS weight FROM chosen_places JOIN chosen_model ON TRUE"
+# exports by mutation
+VIEWS["hit_counts"] = """SELECT n_name AS sample, 'S' || CAST(n_nationkey % 2 AS VARCHAR) AS stratum, COALESCE(n, 0) AS n FROM nation LEFT JOIN (
+    SELECT c_nationkey, COUNT(*) AS n FROM maf JOIN orders ON o_orderkey = biospecimen JOIN customer ON o_custkey = c_custkey
+    WHERE hgvsp <> '.' AND symbol IN (SELECT symbol FROM goi) GROUP BY 1) ON c_nationkey = n_nationkey"""
+VIEWS["mutated_groups"] = """SELECT sample, CASE WHEN n > AVG(n) OVER (PARTITION BY stratum) THEN stratum || '_mutated' ELSE stratum || '_wt' END AS grp FROM hit_counts"""
+_GROUPS = "('S0_mutated', 'S0_wt')"
+_BASE["export_cls_mutation"] = _BASE["export_cls"].replace("FROM samples", "FROM mutated_groups").replace("('ASIA', 'EUROPE')", _GROUPS).replace("# Asia Europe", "# mutated wt")
+_BASE["export_gct_mutation"] = _BASE["export_gct"].replace("FROM samples", "FROM mutated_groups").replace("FROM expr WHERE", "FROM (SELECT feature, sample, m.grp, value FROM expr JOIN mutated_groups m USING (sample)) WHERE").replace(
+    "('ASIA', 'EUROPE')", _GROUPS)
+
 ORACLE = {name: _with(sql) for name, sql in _BASE.items()}

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortile.operators import diffexp, ranks
+from cohortile.operators import cohort, diffexp
 from cohortile.operators.matrix import densify, log_cpm, log_zscore
-from cohortile.session import run_dir, ship_package
-from cohortile.sources.tables import store
+from cohortile.session import fingerprint, kept, ship_package
 
 CONTRASTS = [
     ("asia_vs_europe", "ASIA", "EUROPE"),
@@ -39,17 +38,18 @@ class Views:
 
     def __init__(self, spark: SparkSession, folder: str):
         ship_package(spark)
-        self.spark, self.folder, self._kept = spark, folder, {}
+        self.spark, self.folder, self._kept, self._files = spark, folder, {}, None
 
     def keep(self, name: str, build: Callable[[], DataFrame], key: str = "feature") -> DataFrame:
-        """A table several passes read is written once, to a fresh shared folder, and read back.
+        """A table several passes read is written once, bucketed by ``key``, to a fresh shared folder.
 
-        This is where the batch work stores its matrices and result tables anyway; later
-        passes scan only the columns they need, and lost executors do not rebuild the joins.
+        It is known by the files of the input folder and by its name, so other queries on the same files read it
+        too, and changed files make a new one. Later passes scan only the columns they need, and lost executors
+        do not rebuild the joins.
         """
-        if name not in self._kept:
-            self._kept[name] = store(build(), run_dir(self.spark, name), key)
-        return self._kept[name]
+        if self._files is None:
+            self._files = fingerprint(self.spark, self.folder)
+        return kept(self.spark, (self._files, name), build, key)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
@@ -200,17 +200,38 @@ class Views:
         build = lambda: log_zscore(self.matrix()).withColumn("value", F.round("value", 9) + F.lit(0.0)).filter("value IS NOT NULL")
         return self.keep("zscores", build)
 
-    def plain_de(self) -> DataFrame:
-        """Stored differential table with the ordinary t (df is even, so its p-value is a finite sum in any SQL)."""
+    def de(self) -> DataFrame:
+        """The stored result table with moderated t and adjusted p, which overlaps and classes are read from."""
+        bound = self.feature_bound() * len(CONTRASTS)
+        return self.keep("de", lambda: diffexp.de_table(self.counts(), CONTRASTS, max_rows=bound))
 
-        def build():
-            tested = diffexp.t_table(diffexp.contrast_estimates(diffexp.group_means_fit(self.log_counts()), CONTRASTS))
-            rounded = tested.withColumn("p_value", F.round("p_value", 9))
-            bound = self.feature_bound() * len(CONTRASTS)
-            return ranks.bh_adjust(rounded, "p_value", ["contrast"], max_rows=bound).select(
-                "contrast", "feature", "logfc", "t", "p_value", "adj_p")
+    def training_cells(self) -> DataFrame:
+        """(tracking_id, uid, value): every embedding position is a versioned id."""
+        place = F.posexplode("embedding").alias("k", "x")
+        return self.table("embeddings").select(self.uid(), place).select(
+            F.concat((F.col("k") + 1).cast("string"), F.lit("."), (F.col("k") % 3).cast("string")).alias("tracking_id"), "uid", F.col("x").cast("double").alias("value"))
 
-        return self.keep("plain_de", build)
+    def uid(self):
+        return F.translate(F.concat(F.lit("V-"), F.col("vec_id").cast("string")), "-", ".").alias("uid")
+
+    def training_labels(self) -> DataFrame:
+        """(uid, label); label 9 is missing."""
+        return self.table("embeddings").select(self.uid(), F.when(F.col("label") != 9, F.concat(F.lit("L"), F.col("label").cast("string"))).alias("label"))
+
+    def label_overrides(self) -> DataFrame:
+        return self.table("embeddings").filter("label = 9").select(self.uid(), F.when(F.col("vec_id") % 2 == 0, "EB").otherwise("ECTO").alias("label"))
+
+    def mutated_groups(self) -> DataFrame:
+        """(sample, stratum, mut_group): nations with more variants of interest than their stratum's mean are mutated."""
+        hits = self.maf().join(self.goi(), "symbol", "left_semi").filter("hgvsp <> '.'").groupBy("biospecimen").agg(F.count(F.lit(1)).alias("n"))
+        orders, customer, nation = self.table("orders"), self.table("customer"), self.table("nation")
+        owner = orders.join(customer, orders.o_custkey == customer.c_custkey).select(F.col("o_orderkey").alias("biospecimen"), "c_nationkey")
+        per = hits.join(owner, "biospecimen").groupBy("c_nationkey").agg(F.sum("n").alias("n"))
+        named = nation.join(per, nation.n_nationkey == per.c_nationkey, "left").select(
+            F.col("n_name").alias("sample"), F.concat(F.lit("S"), (F.col("n_nationkey") % 2).cast("string")).alias("stratum"), F.coalesce("n", F.lit(0)).alias("n"))
+        mean = F.avg("n").over(Window.partitionBy("stratum"))
+        listed = named.withColumn("m", mean).filter("n > m").select("sample")
+        return cohort.group_by_mutation(named.select("sample", "stratum"), listed, "sample", "stratum").select("sample", "stratum", "mut_group")
 
 
 DECONV = [("urgent", "1"), ("high", "2"), ("medium", "3"), ("unstated", "4"), ("low", "5")]

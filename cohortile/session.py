@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "cohortile", master: str | None = None, conf: dict | None = None):
@@ -46,9 +48,37 @@ def run_dir(spark: SparkSession, name: str) -> str:
     return path
 
 
+def fingerprint(spark: SparkSession, folder: str) -> str:
+    """What lies in a folder: a digest of its path and of the names, sizes and times of its files, two levels deep."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    seen = [folder]
+    for status in files.listStatus(at):
+        inner = files.listStatus(status.getPath()) if status.isDirectory() else [status]
+        seen += [f"{s.getPath()} {s.getLen()} {s.getModificationTime()}" for s in inner]
+    return hashlib.sha256("\n".join(sorted(seen)).encode()).hexdigest()
+
+
+def kept(spark: SparkSession, key: tuple, build: Callable[[], DataFrame], cluster: str) -> DataFrame:
+    """The table stored under ``key`` in this context, built if it is not there yet.
+
+    It is bucketed and sorted by the column ``cluster``, so grouping and joining by that column needs no
+    shuffle. ``release`` drops it.
+    """
+    tables = spark.sparkContext.__dict__.setdefault("_cohortile_kept", {})
+    if key not in tables:
+        name = f"cohortile_{uuid.uuid4().hex}"
+        writer = build().write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), cluster).sortBy(cluster)
+        writer.option("path", run_dir(spark, "kept")).format("parquet").saveAsTable(name)
+        tables[key] = name
+    return spark.table(tables[key])
+
+
 def release(spark: SparkSession) -> int:
     """Delete the stored tables of this session's context; results that have not been read yet lose them."""
     made = spark.sparkContext.__dict__.pop("_cohortile_made", [])
+    for name in spark.sparkContext.__dict__.pop("_cohortile_kept", {}).values():
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     gateway = spark.sparkContext._jvm
     for path in made:
         at = gateway.org.apache.hadoop.fs.Path(path)
@@ -56,10 +86,11 @@ def release(spark: SparkSession) -> int:
     return len(made)
 
 
-def cut_lineage(df):
-    """Reliable checkpoint: the result no longer depends on executors that may be lost."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def stored(df, name: str = "table"):
+    """Write ``df`` once under the shared folder and read it back: the lineage ends there, and ``release`` deletes it."""
+    path = run_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ship_package(spark: SparkSession) -> None:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortile.functions.special import digamma, norm_cdf, t_two_sided, trigamma, trigamma_inverse
-from cohortile.operators import diffexp, enrich, explore, matrix, signature, stats
+from cohortile.operators import diffexp, enrich, explore, matrix, signature, stats, subspace
 
 
 def long_form(spark, m, features=None, samples=None):
@@ -224,19 +224,39 @@ def optimum(x, lam=1.0):
 
 def test_signature_training(training):
     x, n, train = training
-    want = optimum(x[:, :n].T)
-    for limit in (100, 3):  # dual, then the primal solver for many positives
-        got = signature.train_signature(train, sample_limit=limit).toPandas().sort_values("feature")["weight"].to_numpy()
-        assert np.allclose(got, want, atol=1e-9)
+    got = signature.train_signature(train).toPandas().sort_values("feature")["weight"].to_numpy()
+    assert np.allclose(got, optimum(x[:, :n].T), atol=1e-9)
+
+
+@pytest.mark.parametrize("scale", [1.0, 30.0])
+def test_training_of_wide_and_of_steep_data(spark, scale):
+    """More features than samples, and features far from unit length: the same solver, the same optimum."""
+    rng = np.random.default_rng(16)
+    x = rng.normal(size=(40, 12)) * scale
+    rows = [(i, j, float(x[i, j]), j < 8) for i in range(40) for j in range(12)]
+    train = spark.createDataFrame(rows, "feature int, sample int, value double, positive boolean")
+    got = signature.train_signature(train).toPandas().sort_values("feature")["weight"].to_numpy()
+    assert np.allclose(got, optimum((x - x.mean(axis=1, keepdims=True))[:, :8].T), atol=1e-8)
+
+
+def test_conjugate_gradients_and_ranks():
+    rng = np.random.default_rng(17)
+    a = rng.normal(size=(30, 30))
+    a, b = a @ a.T + np.eye(30), rng.normal(size=30)
+    assert np.allclose(signature.conjugate(lambda v: a @ v, b, 1e-12, 400), np.linalg.solve(a, b), atol=1e-8)
+    x = rng.integers(0, 4, (5, 9)).astype(float)
+    assert np.array_equal(signature.double_ranks(x), 2 * pd.DataFrame(x).rank(axis=1).to_numpy())
 
 
 def spearman(a, b):
     return np.corrcoef(pd.Series(a).rank(), pd.Series(b).rank())[0, 1]
 
 
-def test_leave_one_out(training):
+@pytest.mark.parametrize("block_bytes", [4 << 20, 300])
+def test_leave_one_out(training, block_bytes):
+    """One block for all vectors, and blocks of three."""
     x, n, train = training
-    got = signature.leave_one_out(train).toPandas().sort_values("fold")
+    got = signature.leave_one_out(train, block_bytes=block_bytes).toPandas().sort_values("fold")
     auc = []
     for i in range(n):
         w = optimum(np.delete(x[:, :n], i, axis=1).T)
@@ -261,9 +281,6 @@ def test_pca_equals_svd(spark):
     m = rng.normal(size=(30, 6))
     m[4] = 2.0
     got = explore.pca_samples(long_form(spark, m), sample_table(spark, m)).toPandas().sort_values("sample")
-    wide = rng.normal(size=(4, 9))
-    few, many = (explore.pca_samples(long_form(spark, wide), sample_table(spark, wide), limit=n).toPandas().sort_values("sample") for n in (5, 50))
-    assert np.allclose(few[["pc1", "pc2"]], many[["pc1", "pc2"]], atol=1e-9)
     keep = np.delete(m, 4, axis=0)
     z = (keep - keep.mean(axis=1, keepdims=True)) / keep.std(axis=1, ddof=1, keepdims=True)
     u, d, _ = np.linalg.svd(z.T, full_matrices=False)
@@ -272,8 +289,26 @@ def test_pca_equals_svd(spark):
         want *= np.sign(want[np.argmax(np.abs(want))])
         assert np.allclose(got[f"pc{c + 1}"], want, atol=1e-9)
     assert [r.feature for r in explore.constant_features(long_form(spark, m)).collect()] == ["g004"]
-    with pytest.raises(ValueError):
-        explore.pca_samples(long_form(spark, m), sample_table(spark, m), limit=5)
+
+
+@pytest.mark.parametrize("shape, width", [((30, 6), 4), ((4, 9), 32), ((60, 40), 5)])
+def test_components_from_a_growing_subspace(spark, shape, width):
+    """Subspaces narrower than the samples need several rounds; few features leave a matrix of low rank."""
+    rng = np.random.default_rng(19)
+    m = rng.normal(size=shape) + 3 * np.outer(rng.normal(size=shape[0]), np.linspace(-1, 1, shape[1]))
+    got = explore.pca_samples(long_form(spark, m), sample_table(spark, m), k=2, width=width).toPandas().sort_values("sample")
+    z = (m - m.mean(axis=1, keepdims=True)) / m.std(axis=1, ddof=1, keepdims=True)
+    u, d, _ = np.linalg.svd(z.T, full_matrices=False)
+    for c in range(2):
+        want = u[:, c] * d[c]
+        want *= np.sign(want[np.argmax(np.abs(want))])
+        assert np.allclose(got[f"pc{c + 1}"], want, atol=1e-6)
+
+
+def test_components_that_do_not_settle_raise(spark):
+    m = np.random.default_rng(20).normal(size=(50, 30))
+    with pytest.raises(ArithmeticError):
+        subspace.leading_components(long_form(spark, m), 2, width=4, max_rounds=1).collect()
 
 
 @pytest.mark.parametrize("block", [2, 3, 100])
@@ -302,3 +337,71 @@ def test_marker_svd(spark):
         u, _, vt = np.linalg.svd(z, full_matrices=False)
         want = vt[0] * (-1 if u[:, 0].sum() < 0 else 1)
         assert np.allclose(got[got.cell_type == kind].sort_values("sample")["score"], want, atol=1e-9)
+
+
+def test_distances_of_equal_and_of_shifted_profiles(spark):
+    rng = np.random.default_rng(21)
+    m = rng.normal(size=(50, 5)) * 1e3 + 1e6
+    m[:, 3] = m[:, 1]
+    got = {(r.sample_a, r.sample_b): r.distance for r in explore.sample_distance(long_form(spark, m), sample_table(spark, m)).collect()}
+    want = {(f"s{i:02d}", f"s{j:02d}"): np.sqrt(((m[:, i] - m[:, j]) ** 2).sum()) for i in range(5) for j in range(i + 1, 5)}
+    assert got == pytest.approx(want, rel=1e-6, abs=1e-3) and got["s01", "s03"] == 0
+
+
+@pytest.mark.parametrize("partitions", ["4", "200"])
+def test_blocks_are_added_in_one_step_or_two(spark, partitions):
+    rng = np.random.default_rng(22)
+    m = rng.normal(size=(40, 6))
+    rows = spark.createDataFrame([("a" if i % 3 else "b", list(map(float, r))) for i, r in enumerate(m)], "k string, v array<double>").repartition(7)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = {(r.k, r.i, r.j): r.total for r in explore.block_products(rows, "v", by=["k"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for k, part in (("a", m[[i for i in range(40) if i % 3]]), ("b", m[::3])):
+        full = part.T @ part
+        assert all(got[k, i, j] == pytest.approx(full[i, j]) for i in range(6) for j in range(i, 6)) and len(got) == 42
+
+
+def test_training_table(spark):
+    cells = spark.createDataFrame([(t, u, v) for t, v in (("E1.2", 1.0), ("E2.1", 2.0), ("E3.9", 3.0), ("E4.1", 4.0)) for u in ("U.1", "U.2", "U.3", "U.4")],
+                                  "tracking_id string, uid string, value double")
+    labels = spark.createDataFrame([("U.1", "SC"), ("U.2", None), ("U.3", "EB")], "uid string, label string")
+    fixed = spark.createDataFrame([("U.2", "SC"), ("U.4", "EB")], "uid string, label string")
+    mapping = spark.createDataFrame([("E1", "A"), ("E1", "B"), ("E2", "A"), ("E3", ""), ("E4", "C")], "id string, symbol string")
+    whole = signature.training_table(cells, labels, fixed, mapping, positive="SC").collect()
+    assert {r.feature for r in whole} == {"A|E1.2", "B|E1.2", "A|E2.1", "C|E4.1"} and len(whole) == 16
+    assert {r.sample for r in whole if r.positive} == {"U.1", "U.2"}
+    chosen = spark.createDataFrame([("A",), ("C",), ("Z",)], "symbol string")
+    some = signature.training_table(cells, labels, fixed, mapping, positive="SC", subset=chosen).collect()
+    assert {(r.feature, r.value) for r in some} == {("A|E1.2", 1.0), ("C|E4.1", 4.0)}
+
+
+def plain_kernel(x, h):
+    return np.array([norm_cdf((v - x) / h).mean() for v in x])
+
+
+@pytest.mark.parametrize("shape", ["normal", "outliers", "ties", "two"])
+def test_kernel_means_of_many_samples(shape):
+    rng = np.random.default_rng(23)
+    x = rng.normal(size=3000)
+    if shape == "outliers":
+        x[:5] *= 1e4
+    if shape == "ties":
+        x = np.round(x, 1)
+    if shape == "two":
+        x = np.where(x > 0, 5.0, -5.0)
+    h = x.std(ddof=1) / 4
+    assert np.abs(enrich.kernel_means(x, h) - plain_kernel(x, h)).max() < 2e-11
+
+
+def test_kernel_of_twenty_thousand_samples_is_quick():
+    import time
+
+    x = np.random.default_rng(24).normal(size=20_000)
+    start, h = time.time(), x.std(ddof=1) / 4
+    got = enrich.kernel_means(x, h)
+    assert time.time() - start < 20
+    some = np.arange(0, 20_000, 997)
+    assert np.abs(got[some] - [norm_cdf((x[i] - x) / h).mean() for i in some]).max() < 1e-9

@@ -1,5 +1,9 @@
 """Every registered query against its SQL at the smallest scale, and plan checks."""
 
+import os
+import subprocess
+import sys
+
 import pytest
 
 import __spark_entry__ as entry_module
@@ -34,3 +38,18 @@ def test_scan_is_pruned_and_filtered(spark, folder):
 
 def test_entry(spark):
     assert entry_module.entry(spark).columns == ["contrast", "feature", "logfc", "t", "p_value", "adj_p"]
+
+
+@pytest.mark.parametrize("missing", ["zstandard", "cohortile.llm", "corpus_pipeline"])
+def test_entry_without_what_the_subpackage_needs(missing):
+    code = f"""import sys
+class Hidden:
+    def find_spec(self, name, path=None, target=None):
+        if name == {missing!r}:
+            raise ModuleNotFoundError(name)
+sys.meta_path.insert(0, Hidden())
+import __spark_entry__ as e
+from cohortile.plans.catalog import QUERIES
+assert set(QUERIES) <= set(e.queries()) and "pipeline" not in e.queries() and e.oracle_sql()"""
+    root = os.path.dirname(os.path.abspath(entry_module.__file__))
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, timeout=120).returncode == 0

@@ -1,5 +1,7 @@
 """What only shows on large or uneven tables: very many ties, samples that do not match, repeated writes, unfinished solvers."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -57,7 +59,10 @@ def test_unfinished_training_raises(spark):
     rows = [(f, s, float((f + 1) * (s % 3) + s), s < 5) for f in range(3) for s in range(8)]
     train = spark.createDataFrame(rows, "feature int, sample int, value double, positive boolean")
     with pytest.raises(ArithmeticError, match="no optimum"):
-        signature._train_primal(train, "positive", lam=1.0, feature="feature", sample="sample", value="value", max_iter=1)
+        signature.train_signature(train, max_steps=1)
+    with pytest.raises(ValueError):
+        signature.train_signature(train.withColumn("positive", F.lit(False)))
+
 
 
 def test_sets_have_no_upper_limit_by_default(spark):
@@ -100,14 +105,53 @@ def test_shapiro_groups_multiply_at_bounded_size(spark, name, parts):
     assert parts * 0.95 < row.groups <= parts and row.tested == row.groups and row.largest == 25
 
 
-def test_dual_that_has_not_settled_raises():
-    x = np.random.default_rng(5).normal(size=(6, 4)) * 3
-    a = signature._dual_newton(x @ x.T, 0.1)
-    assert np.abs(a - 1 / (1 + np.exp(x @ (x.T @ a))) / 0.6).max() < 1e-9
-    with pytest.raises(ArithmeticError, match="no optimum"):
-        signature._dual_newton(x @ x.T, 0.1, max_iter=1)
-
-
 def test_newton_is_halved_where_full_steps_run_away():
-    at = lambda w: (np.arctan(w), np.diag(1 / (1 + w * w)))
-    assert abs(signature._newton(at, np.array([3.0]), 1e-10, 100)[0]) < 1e-9
+    found = signature.newton(lambda w: np.arctan(w - 3), lambda w, v: v / (1 + (w - 3) ** 2), 1)
+    assert abs(found[0] - 3) < 1e-9
+
+
+def test_stored_tables_are_shared_by_queries_and_released(spark, folder, tmp_path):
+    import shutil
+
+    from cohortile.plans.views import Views
+
+    here = str(tmp_path / "data")
+    shutil.copytree(folder, here, copy_function=shutil.copyfile)
+    built = []
+    build = lambda v: v.keep("shared", lambda: built.append(1) or v.matrix())
+    first, second = Views(spark, here), Views(spark, here)
+    plan = build(first).groupBy("feature").count()._jdf.queryExecution().executedPlan().toString()
+    assert build(second).count() == build(first).count() > 0 and built == [1] and "Exchange" not in plan
+    shutil.copyfile(f"{here}/region.parquet", f"{here}/again.parquet")  # other files, another table
+    assert build(Views(spark, here)).count() > 0 and built == [1, 1]
+    mine = [p.removeprefix("file:") for p in spark.sparkContext._cohortile_made]
+    assert any(map(os.path.isdir, mine)) and release(spark) == len(mine) and not any(map(os.path.exists, mine))
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("cohortile_")]
+
+
+def test_small_ranks_store_nothing_and_large_ones_one_copy(spark):
+    df = spark.range(3000).select((F.col("id") % 3).alias("k"), (F.col("id") % 170).cast("double").alias("v"), (F.col("id") % 31).cast("double").alias("w"), F.col("id").alias("i"))
+    made = lambda: [x for x in spark.sparkContext.__dict__.get("_cohortile_made", []) if "/ranked-" in x or "/layout-" in x]
+    before = len(made())
+    small = ranks.with_average_ranks(df, ["k"], {"v": "x", "w": "y"})
+    want = {r.i: (r.x, r.y) for r in small.collect()}
+    both = {r.i: (r.p, r.r) for r in ranks.with_position_and_rank(df, ["k"], "v", "i", "p", "r").collect()}
+    assert len(made()) == before
+    assert {r.i: (r.x, r.y) for r in ranks.with_average_ranks(df, ["k"], {"v": "x", "w": "y"}, rows_per_task=100).collect()} == want
+    assert len(made()) == before + 1
+    assert {r.i: (r.p, r.r) for r in ranks.with_position_and_rank(df, ["k"], "v", "i", "p", "r", rows_per_task=100).collect()} == both
+    assert len(made()) == before + 2
+    run = ranks.with_running_mean(df.select("i", "w"), "i", "w", "m", rows_per_task=250).collect()
+    w = [r.w for r in sorted(run, key=lambda r: r.i)]
+    assert [r.m for r in sorted(run, key=lambda r: r.i)] == pytest.approx(list(np.cumsum(w) / np.arange(1, 3001)))
+
+
+@pytest.mark.parametrize("name", ["rank_avg", "ssgsea", "gsva", "bh_adjust", "kruskal", "box_stats", "signature_score", "wilcoxon_pairs", "de_table"])
+def test_large_paths_give_the_same_rows(spark, folder, name, monkeypatch):
+    """The queries with ranges of a few hundred rows, against their SQL."""
+    import __spark_entry__ as entry_module
+    from compare import connect, differences
+
+    monkeypatch.setattr(ranks, "ROWS_PER_TASK", 300)
+    got = entry_module.queries()[name](spark, folder).toPandas()
+    assert differences(got, connect(folder).execute(entry_module.oracle_sql()[name]).df()) is None

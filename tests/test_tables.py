@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortile.functions import text
 from cohortile.functions.sizing import small_side
-from cohortile.operators import cohort, matrix, results, variants
+from cohortile.operators import cohort, diffexp, matrix, results, signature, variants
 from cohortile.session import run_dir
 from cohortile.sources import exports, tables
 
@@ -40,21 +40,47 @@ def test_membership_matches_null(spark):
     assert cohort.keep_members(df, listed.limit(0), "k").count() == 0
 
 
-def test_small_side_bound(spark):
-    big = spark.range(50).withColumn("x", F.lit(1))
+def test_small_side_is_measured_and_stored(spark):
+    big = spark.range(50).withColumn("x", F.repeat(F.lit("y"), 100))
     plan = lambda d: spark.range(50).join(d, "id")._jdf.queryExecution().optimizedPlan().toString()
-    assert "strategy=broadcast" in plan(small_side(big, 50)) or "LocalRelation" in plan(small_side(big, 50))
-    assert "broadcast" not in plan(small_side(big, 49))
+    for side, hinted in ((small_side(big), True), (small_side(big, 50 * 140), True), (small_side(big, 50 * 100), False)):
+        assert ("strategy=broadcast" in plan(side)) == hinted and "Relation" in plan(side) and side.count() == 50
+    assert small_side(big.limit(0)).count() == 0
 
 
 def test_alignment(spark):
     a, b = spark.createDataFrame([("x",), ("y",)], "k string"), spark.createDataFrame([("y",), ("z",), ("z",)], "k string")
     assert tuple(cohort.align_counts(a, b, "k").first()) == (1, 1, 1)
-    with pytest.raises(ValueError):
-        cohort.require_aligned(a, b, "k")
-    cohort.require_aligned(a, a, "k")
-    with pytest.raises(ValueError):
-        cohort.require_mapped(a.limit(0))
+    twice = a.unionByName(a.limit(1))
+    for left, right, told in ((a, b, "1 missing, 1 extra, 0 duplicate"), (twice, a, "0 missing, 0 extra, 1 duplicate"), (a.limit(0), a, "0 matched")):
+        with pytest.raises(Exception, match=told):
+            cohort.require_aligned(spark.range(3), left, right, "k").count()
+    assert cohort.require_aligned(spark.range(3), a, a, "k").count() == 3
+    assert cohort.require_aligned(spark.range(3), a, b, "k", missing=False, extra=False).count() == 3
+
+
+def test_keys_that_do_not_match_raise_in_the_operators(spark):
+    ids = spark.createDataFrame([("E1.3",)], "tracking string")
+    with pytest.raises(Exception, match="no id could be mapped"):
+        cohort.map_ids(ids, spark.createDataFrame([("E7", "A")], "id string, symbol string"), "tracking").collect()
+    raw = spark.createDataFrame([(f"G{i}_S{i}", s, float(i + 1)) for i in range(3) for s in ("b1", "b2", "b3")], "gene_id string, biospecimen string, value double")
+    meta = lambda rows: spark.createDataFrame(rows, "biospecimen string, sample_id string, type string")
+    for rows, told in (([("b1", "p", "S"), ("gone", "q", "S")], "1 missing"), ([("b1", "p", "S"), ("b1", "q", "S")], "1 duplicate"),
+                       ([("b1", "p", "S"), ("b2", "p", "S")], "labels stand for several samples")):
+        with pytest.raises(Exception, match=told):
+            matrix.build_matrix(raw, meta(rows), missing_ok=False).collect()
+    assert matrix.build_matrix(raw, meta([("b1", "p", "S"), ("gone", "q", "S")])).count() == 3
+    weights = lambda rows: spark.createDataFrame(rows, "feature string, weight double")
+    expr = spark.createDataFrame([(f, s, float(i * j)) for i, f in enumerate("abc") for j, s in enumerate("xyz")], "feature string, sample string, value double")
+    for rows, told in (([("a", 1.0), ("a", 2.0), ("b", 1.0)], "1 duplicate"), ([("q", 1.0)], "0 matched")):
+        with pytest.raises(Exception, match=told):
+            signature.spearman_scores(expr, weights(rows)).collect()
+    counts = expr.withColumn("grp", F.when(F.col("sample") == "x", "A").otherwise("B"))
+    broken = counts.filter("NOT (feature = 'b' AND sample = 'y')")
+    swapped = broken.unionByName(counts.filter("feature = 'b' AND sample = 'z'"))
+    for table in (broken, swapped, counts.unionByName(counts.filter("feature = 'c'"))):
+        with pytest.raises(Exception, match="samples are expected, once each"):
+            diffexp.de_table(table, [("A_vs_B", "A", "B")]).collect()
 
 
 def test_id_mapping_expands_and_drops(spark):
