@@ -18,6 +18,7 @@ looked at, whatever their names.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -51,10 +52,11 @@ class Sides:
         """Ids by A of a space and each text, and by B of each text; both empty where the bytes differ."""
         left, right = [], []
         for text, ids in zip(texts, vocabularies.sentences(self.b).encode(texts, num_threads=1)):
-            own = vocabularies.plain_ids(self.a, " " + text) if text else []
             whole = (" " + text).encode("utf-8", "replace")
-            same = text and b"".join(map(self.a_bytes.__getitem__, own)) == whole and b"".join(map(self.b_bytes.__getitem__, ids)) == whole
-            left.append(np.array(own if same else [], np.int64))
+            own = np.array(vocabularies.plain_ids(self.a, " " + text) if text else [], np.int64)
+            # byte-level pieces are the text's own bytes in order, so their number tells whether all are there
+            same = len(own) and self.a_size[own].sum() == len(whole) and b"".join(map(self.b_bytes.__getitem__, ids)) == whole
+            left.append(own if same else own[:0])
             right.append(np.array(ids if same else [], np.int64))
         return left, right
 
@@ -67,11 +69,13 @@ def _laid(ids: list[np.ndarray], size: np.ndarray) -> pd.DataFrame:
 
 
 def overlapping(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """(i, j) of every token of ``left`` and token of ``right`` that share a byte, by place."""
+    """(i, j) of every token of ``left`` and token of ``right`` that share a byte, by place, in the order of those bytes."""
     one, two = left[["doc", "start"]].assign(i=np.arange(len(left))), right[["doc", "start"]].assign(j=np.arange(len(right)))
-    ab = pd.merge_asof(one, two, on="start", by="doc")[["i", "j"]]
-    ba = pd.merge_asof(two, one, on="start", by="doc")[["i", "j"]]
-    return pd.concat([ab, ba]).drop_duplicates().sort_values(["i", "j"], ignore_index=True)
+    ab = pd.merge_asof(one, two, on="start", by="doc")
+    ba = pd.merge_asof(two, one, on="start", by="doc")
+    ba = ba[left["start"].to_numpy()[ba["i"]] != ba["start"].to_numpy()]  # tokens that start together are there already
+    both = pd.concat([ab, ba], ignore_index=True)
+    return both[["i", "j"]].iloc[np.argsort(both["start"].to_numpy(), kind="stable")].reset_index(drop=True)
 
 
 def groups(left: pd.DataFrame, right: pd.DataFrame, pairs: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
@@ -118,24 +122,24 @@ def linked(left: pd.DataFrame, right: pd.DataFrame, a_group: np.ndarray, b_group
     return key >> 34, (key >> 17) & 0x1FFFF, key & 0x1FFFF, n
 
 
-class Digests:
-    """Hash of ``a1,a2|b1;a3|b2,b3`` per document."""
+@functools.cache
+def _said(n: int) -> list[list[bytes]]:
+    """Ids with what follows them: another of their side and group, the other side, the next group."""
+    return [[b"%d%c" % (i, sep) for i in range(n)] for sep in b",|;"]
 
-    def __init__(self):
-        self.said = [[f"{i}{sep}".encode() for i in range(1 << 17)] for sep in ",|;"]
 
-    def __call__(self, left: pd.DataFrame, right: pd.DataFrame, a_group: np.ndarray, b_group: np.ndarray, n_docs: int) -> list[str]:
-        group = np.concatenate([a_group, b_group])
-        ids = np.concatenate([left["id"].to_numpy(), right["id"].to_numpy()])
-        doc = np.concatenate([left["doc"].to_numpy(), right["doc"].to_numpy()])
-        by = np.argsort(group * 2 + np.repeat([0, 1], [len(left), len(right)]), kind="stable")
-        last = np.ones(len(group), np.int64)  # 0: another of the same side and group follows
-        order = (group * 2 + np.repeat([0, 1], [len(left), len(right)]))[by]
-        last[:-1] = order[1:] != order[:-1]
-        mark = last * (1 + (order & 1))
-        words = [self.said[m][i] for m, i in zip(mark.tolist(), ids[by].tolist())]
-        at = np.searchsorted(doc[by], np.arange(n_docs + 1))
-        return [hashlib.sha256(b"".join(words[x:y])[:-1]).hexdigest() if y > x else "" for x, y in zip(at[:-1], at[1:])]
+def digests(left: pd.DataFrame, right: pd.DataFrame, a_group: np.ndarray, b_group: np.ndarray, n_docs: int) -> list[str]:
+    """Hash of ``a1,a2|b1;a3|b2,b3`` per document."""
+    order = np.concatenate([a_group * 2, b_group * 2 + 1])
+    by = np.argsort(order, kind="stable")
+    order = order[by]
+    mark = 1 + (order & 1)
+    mark[:-1] *= order[1:] != order[:-1]
+    ids = np.concatenate([left["id"].to_numpy(), right["id"].to_numpy()])[by]
+    at = np.searchsorted(np.concatenate([left["doc"].to_numpy(), right["doc"].to_numpy()])[by], np.arange(n_docs + 1))
+    said = _said(int(ids.max(initial=0)) // 50_000 * 50_000 + 50_000)
+    words = [said[m][i] for m, i in zip(mark.tolist(), ids.tolist())]
+    return [hashlib.sha256(b"".join(words[x:y])[:-1]).hexdigest() if y > x else "" for x, y in zip(at[:-1], at[1:])]
 
 
 def _texts(batch) -> list[str]:
@@ -146,7 +150,7 @@ def _linked(a: str, b: str):
     names = ["_f", "_r", "id", "a", "b", "times", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
 
     def run(batches):
-        sides, digests = Sides(a, b), Digests()
+        sides = Sides(a, b)
         for batch in sliced(batches, "text", most=MERGED_BYTES):
             ids = sides.encode(_texts(batch))
             left, right = _laid(ids[0], sides.a_size), _laid(ids[1], sides.b_size)
