@@ -112,10 +112,10 @@ def _summed(rows: DataFrame, d: int, part_of: Callable) -> np.ndarray:
         for c in range(0, d, CHUNK):
             yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([acc[c:c + CHUNK]])], names=["c", "x"])
 
-    got = add_up(rows.select("v").mapInArrow(run, "c int, x array<double>"), ["c"]).collect()
+    parts = rows.select("v").mapInArrow(run, "c int, x array<double>").select("c", F.posexplode("x").alias("i", "x"))
+    got = parts.groupBy((F.col("c") + F.col("i")).alias("i")).agg(F.sum("x").alias("x")).toArrow()  # d rows
     out = np.zeros(d)
-    for r in got:
-        out[r["c"]:r["c"] + len(r["x"])] = r["x"]
+    out[got.column("i").to_numpy()] = got.column("x").to_numpy()
     return out
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cohortile.functions.sizing import small_side
@@ -35,29 +35,37 @@ def times(x: DataFrame, y: DataFrame, on: str, to: str, width: int, value: str =
 
 
 def image(x: DataFrame, y: DataFrame, width: int, feature: str, sample: str, value: str) -> DataFrame:
-    """X'X y. ``y`` is small beside X and stored; it is broadcast only below a measured size."""
-    along = small_side(times(x, small_side(y), sample, feature, width, value))
+    """X'X y. ``y`` and what it becomes along the features are broadcast only below a measured size."""
+    along = small_side(times(x, y, sample, feature, width, value))
     return times(x, along, feature, sample, width, value)
 
 
-def inner(rows: DataFrame, left: str, right: str) -> np.ndarray:
-    """left' right over all rows: one small matrix per task, added up by place."""
+def inner(rows: DataFrame, left: str, right: str) -> tuple[np.ndarray, np.ndarray]:
+    """left' left and left' right over all rows: one small matrix per task, added up by place."""
 
     def fold(batches):
         acc = None
         for batch in batches:
             if batch.num_rows:
-                part = _rows(batch.column(0)).T @ _rows(batch.column(1))
+                a = _rows(batch.column(0))
+                part = a.T @ np.hstack([a, _rows(batch.column(1))])
                 acc = part if acc is None else acc + part
         if acc is not None:
             i, j = np.indices(acc.shape).reshape(2, -1)
             yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(acc.ravel())], names=["i", "j", "x"])
 
-    parts = rows.select(F.col(left).alias("a"), F.col(right).alias("b")).mapInArrow(fold, "i int, j int, x double")
-    got = parts.groupBy("i", "j").agg(F.sum("x").alias("x")).toPandas()  # width x width
+    parts = rows.select(left, right).mapInArrow(fold, "i int, j int, x double")
+    got = parts.groupBy("i", "j").agg(F.sum("x").alias("x")).toPandas()  # as wide as the subspace
     out = np.zeros((got["i"].max() + 1, got["j"].max() + 1))
     out[got["i"], got["j"]] = got["x"]
-    return out
+    return out[:, :len(out)], out[:, len(out):]
+
+
+def watched(df: DataFrame, name: str, sums: list) -> tuple[DataFrame, list]:
+    """``df``, stored, and aggregates of its rows seen while they are written."""
+    seen = Observation()
+    held = stored(df.observe(seen, *[c.alias(f"c{i}") for i, c in enumerate(sums)]), name)
+    return held, [seen.get[f"c{i}"] for i in range(len(sums))]
 
 
 def turned(rows: DataFrame, sample: str, **by) -> DataFrame:
@@ -92,33 +100,30 @@ def leading_components(x: DataFrame, k: int, *, feature: str = "feature", sample
     """
     width = max(width, k + 2)
     start = F.array(*[F.xxhash64(F.col(sample), F.lit(c)) / F.lit(2.0**63) for c in range(width)])
-    block = stored(x.select(sample).distinct().select(sample, start.alias("y")), "block")
-    rows = None
+    block, columns, rows = small_side(x.select(sample).distinct().select(sample, start.alias("y"))), width, None
     for _ in range(max_rounds):
-        new = image(x, block, block.select(F.size("y")).first()[0], feature, sample, value).withColumnRenamed("y", "w")
+        new = image(x, block, columns, feature, sample, value).withColumnRenamed("y", "w")
         both = block.withColumnRenamed("y", "b").join(new, sample)
         if rows is not None:
             more = both.select(sample, F.col("b").alias("_b"), F.col("w").alias("_w"))
             both = rows.join(more, sample).select(sample, F.concat("b", "_b").alias("b"), F.concat("w", "_w").alias("w"))
         rows = stored(both, "subspace")
-        theta, q = _ritz(inner(rows, "b", "b"), inner(rows, "b", "w"), width)
-        best = stored(turned(rows, sample, b=[("b", q)], w=[("w", q)], r=[("w", q), ("b", -q * theta)]), "best")
-        rr = inner(best, "r", "r")
-        far = np.sqrt(np.maximum(np.diag(rr), 0.0))
+        theta, q = _ritz(*inner(rows, "b", "w"), width)
+        found = turned(rows, sample, b=[("b", q)], w=[("w", q)], r=[("w", q), ("b", -q * theta)])
+        best, rr = watched(found, "best", [F.sum(F.col("r")[c] * F.col("r")[c]) for c in range(q.shape[1])])
+        far = np.sqrt(np.maximum(rr, 0.0))
         if far[:k].max() <= tol * max(theta[0], np.finfo(float).tiny):
             break
         moving = far > tol * theta[0] * 1e-2
-        block = stored(turned(best, sample, y=[("r", np.diag(1 / np.where(moving, far, 1.0))[:, moving])]), "block")
+        block = small_side(turned(best, sample, y=[("r", np.diag(1 / np.where(moving, far, 1.0))[:, moving])]))
+        columns = int(moving.sum())
         if q.shape[0] + width > BLOCKS * width:
             rows = best.select(sample, "b", "w")
     else:
         raise ArithmeticError(f"components have not settled after {max_rounds} rounds: the largest residual is {far[:k].max():.3g} of {theta[0]:.3g}")
-    if len(theta) < k:
-        theta, pad = np.concatenate([theta, np.zeros(k - len(theta))]), k - len(theta)
-        best = turned(best, sample, b=[("b", np.hstack([np.eye(q.shape[1]), np.zeros((q.shape[1], pad))]))])
-    scale = np.zeros((max(q.shape[1], len(theta)), k))
-    scale[np.arange(k), np.arange(k)] = np.sqrt(np.maximum(theta[:k], 0.0))
-    scores = stored(turned(best, sample, score=[("b", scale)]), "scores")
-    ends = scores.agg(*[F.max_by(F.col("score")[c], F.abs(F.col("score")[c])).alias(f"c{c}") for c in range(k)]).first()
-    signs = np.diag([-1.0 if (e or 0) < 0 else 1.0 for e in ends])
-    return turned(scores, sample, score=[("score", signs)])
+    scale = np.zeros((len(theta), k))  # a matrix of lower rank has components of 0
+    at = np.arange(min(k, len(theta)))
+    scale[at, at] = np.sqrt(np.maximum(theta[at], 0.0))
+    each = [F.col("score")[c] for c in range(k)]
+    scores, ends = watched(turned(best, sample, score=[("b", scale)]), "scores", [F.max_by(c, F.abs(c)) for c in each])
+    return turned(scores, sample, score=[("score", np.diag([-1.0 if (e or 0) < 0 else 1.0 for e in ends]))])
