@@ -8,9 +8,10 @@ bands a pair at similarity 0.8 shares no bucket with a chance of about 1 in 70,0
 Candidates are never all pairs of a bucket. Equal sets are one class. In each round the buckets of
 some bands have one centre each, to which their members of other components are compared; after each
 round components are joined, and buckets whose members are all in one component are done. What is left after the
-rounds is compared block by block of registers, across components only. Every candidate first has
-its similarity estimated jointly from both registers and both set sizes by maximum likelihood, and
-those within four standard errors of the threshold are confirmed on the full sets of both texts.
+rounds is compared block by block, across components only: registers and full sets travel to the block, pairs are confirmed
+there, and no more links leave it than join its components. Every candidate first has its similarity
+estimated jointly from both registers and both set sizes by maximum likelihood, and those within four
+standard errors of the threshold are confirmed on the full sets of both texts.
 
 Defined results: A-Z are lower-cased, words are split at ASCII white space. A null or empty text, or
 one without words, has no shingles, links with nothing and is its own component. Rows with one id
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortile.llm.common import joined_small, keyed, scanned, shuffle_partitions, sliced, stored, table
+from cohortile.llm.common import joined_small, keyed, scanned, shuffle_partitions, sliced, stored, table, tidy
 from cohortile.llm.components import components
 from cohortile.llm.shingles import in_chunks, shingle_sets
 
@@ -38,8 +39,9 @@ REGISTERS = ROWS * BANDS
 #: Bands whose buckets have a centre, by round. Few bands come first: after them most of a large group is one
 #: component, and the other bands compare only what is not.
 STARS = ((0, 2), (2, 8), (8, BANDS), (0, BANDS), (0, BANDS))
-#: Sets of a bucket whose registers one task compares with another such block, and pairs it holds at a time.
-BLOCK, PAIRS = 1024, 50_000
+#: Sets of a bucket that one task compares with another such block, pairs it holds at a time, and bytes of the block's shingles.
+BLOCK, PAIRS = 4096, 50_000
+SET_BYTES = 16 << 20
 _rng = np.random.default_rng(104_729)
 _SALT = _rng.integers(1, 2**64, REGISTERS, dtype=np.uint64)
 _FACTOR = _rng.integers(1, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -147,12 +149,48 @@ def _confirmed(k: int, threshold: float):
     return run
 
 
+def _sets(k: int):
+    def run(batches):
+        for batch in sliced(batches, "text"):
+            out = []
+            texts = [t or b"" for t in batch.column("text").to_pylist()]
+            for a, b in in_chunks(texts):
+                values, at = shingle_sets(texts[a:b], k)
+                out += [values[x:y].tobytes() for x, y in zip(at[:-1], at[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(out, pa.binary())], names=["node", "shingles"])
+
+    return run
+
+
+class _Forest:
+    """Components of the labels that one task has met."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
+
+    def join(self, a: int, b: int) -> None:
+        a, b = self.root(a), self.root(b)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+
+
 def _across(threshold: float):
-    """Rows come sorted by (key, i, j): pairs of one run from different components whose registers agree often enough."""
-    least = least_estimate(threshold)
+    """Rows come sorted by (key, kind, i, j): the links between components within each run, as a spanning forest.
+
+    A pair counts in the first band that it shares, so no other bucket looks at it again. Likely pairs, the likeliest
+    first, are confirmed on the full sets here, and only if their components are not linked yet.
+    """
+    least, percent = least_estimate(threshold), round(threshold * 100)
+    place = ("key", "kind", "i", "j")
 
     def compared(left: dict, right: dict, same: bool):
-        """Numbers of the rows of ``left`` and ``right`` that may be linked, by component and size alone, in parts."""
+        """Numbers of the rows of ``left`` and ``right`` that may be linked, by component, size and band, in parts."""
         rows = max(1, PAIRS // max(1, len(right["node"])))
         for lo in range(0, len(left["node"]), rows):
             part = slice(lo, lo + rows)
@@ -162,52 +200,84 @@ def _across(threshold: float):
             x += lo
             if same:
                 x, y = x[y > x], y[y > x]
-            yield x, y
+            if len(x):
+                agree = (left["regs"][x] == right["regs"][y]).reshape(-1, BANDS, ROWS).all(axis=2)
+                first = agree.argmax(axis=1) == left["t"][0]
+                x, y = x[first], y[first]
+            if len(x):
+                close = estimate(left["regs"][x], right["regs"][y], left["n"][x], right["n"][y])
+                keep = np.flatnonzero(close >= least)
+                keep = keep[np.argsort(-close[keep], kind="stable")]
+                yield x[keep], y[keep]
 
     def run(batches):
         held: list[dict] = []
-        waiting: list[tuple] = []
-
-        def emit(all_of_it: bool):
-            if not waiting or not (all_of_it or sum(len(w[0]) for w in waiting) >= PAIRS):
-                return
-            a, b, ra, rb, na, nb = (np.concatenate(x) for x in zip(*waiting))
-            waiting.clear()
-            close = estimate(ra, rb, na, nb) >= least
-            yield pa.RecordBatch.from_arrays([pa.array(a[close], pa.int64()), pa.array(b[close], pa.int64())], names=["a", "b"])
 
         def settle():
-            run_of = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
+            run_of = {k: np.concatenate([h[k] for h in held]) for k in held[0] if k != "shingles"}
+            sets = [x for h in held for x in h["shingles"]]
             held.clear()
-            same = run_of["i"][0] == run_of["j"][0]
-            sides = [run_of] * 2 if same else [{k: v[run_of["side"] == s] for k, v in run_of.items()} for s in (0, 1)]
-            left, right = sides
-            for x, y in compared(*sides, same):
-                if len(x):  # a pair counts in the first band that it shares, so no other bucket emits it again
-                    agree = (left["regs"][x] == right["regs"][y]).reshape(-1, BANDS, ROWS).all(axis=2)
-                    first = agree.argmax(axis=1) == run_of["t"][0]
-                    x, y = x[first], y[first]
-                    waiting.append((left["node"][x], right["node"][y], left["regs"][x], right["regs"][y], left["n"][x], right["n"][y]))
-                    yield from emit(False)
+            same = run_of["kind"][0] == 1 and run_of["i"][0] == run_of["j"][0]
+            run_of["at"] = np.arange(len(sets))
+            left, right = [run_of] * 2 if same else [{k: v[run_of["side"] == s] for k, v in run_of.items()} for s in (0, 1)]
+            if not len(left["node"]) or not len(right["node"]):
+                return
+            forest, links = _Forest(), []
+            for x, y in compared(left, right, same):
+                for i, j in zip(x.tolist(), y.tolist()):
+                    a, b = int(left["label"][i]), int(right["label"][j])
+                    if forest.root(a) == forest.root(b):
+                        continue
+                    one, two = (np.frombuffer(sets[side["at"][r]].as_buffer(), np.uint64) for side, r in ((left, i), (right, j)))
+                    both = len(np.intersect1d(one, two, assume_unique=True))
+                    if both and 100 * both >= percent * (len(one) + len(two) - both):
+                        forest.join(a, b)
+                        links.append((int(left["node"][i]), int(right["node"][j])))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            c = {n: batch.column(n).to_numpy() for n in ("key", "t", "i", "j", "side", "node", "label")}
+            c = {n: batch.column(n).to_numpy() for n in (*place, "t", "side", "node", "label")}
             c["n"] = batch.column("n").to_numpy().astype(float)
             c["regs"] = np.frombuffer(b"".join(batch.column("regs").to_pylist()), np.uint8).reshape(-1, REGISTERS)
-            new = np.flatnonzero((c["key"][1:] != c["key"][:-1]) | (c["i"][1:] != c["i"][:-1]) | (c["j"][1:] != c["j"][:-1])) + 1
+            new = np.flatnonzero(np.any([c[k][1:] != c[k][:-1] for k in place], axis=0)) + 1
             for lo, hi in zip([0, *new], [*new, batch.num_rows]):
-                if held and any(held[-1][k][-1] != c[k][lo] for k in ("key", "i", "j")):
+                if held and any(held[-1][k][-1] != c[k][lo] for k in place):
                     yield from settle()
-                held.append({k: v[lo:hi] for k, v in c.items()})
+                held.append({**{k: v[lo:hi] for k, v in c.items()}, "shingles": [batch.column("shingles")[r] for r in range(lo, hi)]})
         if held:
             yield from settle()
-        yield from emit(True)
 
     return run
 
 
+def _dealt(rest: DataFrame, block: int) -> DataFrame:
+    """(key, t, node, label, kind, i, j, side): members of buckets with several components, dealt to pairs of blocks.
+
+    Members of a bucket's largest component (kind 0, side 0) need no look at each other: every block of them meets the
+    blocks of the other members (side 1), and those meet each other (kind 1). A block holds about
+    ``block`` members or SET_BYTES of shingles.
+    """
+    by_label = rest.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"))
+    most = F.max(F.struct("m", "label", "n")).alias("top")
+    mixed = by_label.groupBy("key").agg(most, F.count(F.lit(1)).alias("labels"), F.sum("m").alias("m"), F.sum("n").alias("n")).filter("labels > 1")
+    blocks = lambda m, n: F.greatest(F.ceil(m / block), F.ceil(n * 8 / SET_BYTES)).cast("int")
+    mixed = stored(mixed.select("key", F.col("top.label").alias("major"), blocks(F.col("top.m"), F.col("top.n")).alias("large"),
+                                blocks(F.col("m") - F.col("top.m"), F.col("n") - F.col("top.n")).alias("small")), "mixed")
+    major = F.col("label") == F.col("major")
+    own = F.pmod(F.xxhash64("node"), F.when(major, F.col("large")).otherwise(F.col("small"))).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    place = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+    of_major = F.transform(upto("small"), lambda w: place(0, F.col("own"), w, F.lit(0)))
+    with_major = F.transform(upto("large"), lambda w: place(0, w, F.col("own"), F.lit(1)))
+    with_others = F.transform(upto("small"), lambda w: place(1, F.least("own", w), F.greatest("own", w), F.col("own") > w))
+    rows = rest.join(mixed, "key").withColumn("own", own)
+    return rows.select("key", "t", "node", "label", F.explode(F.when(major, of_major).otherwise(F.concat(with_major, with_others))).alias("at")).select(
+        "key", "t", "node", "label", "at.*")
+
+
 class _Linker:
     """Confirms candidate pairs of classes and keeps the components so far."""
 
@@ -219,7 +289,7 @@ class _Linker:
         """Pairs whose sizes and registers allow the threshold."""
         one, two = (self.classes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}")) for x in "ab")
         sized = pairs.join(one, "a").join(two, "b").filter(F.least("na", "nb") >= self.threshold * F.greatest("na", "nb"))
-        return sized.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_likely(self.threshold), "a long, b long")
+        return sized.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(tidy(_likely(self.threshold)), "a long, b long")
 
     def link(self, pairs: DataFrame) -> bool:
         """Confirm ``pairs`` (stored) on full sets and join what they link; False if nothing was linked."""
@@ -228,7 +298,7 @@ class _Linker:
         texts = stored(joined_small(self.rows, need, ROW, "inner", 24).select("node", "text"), "texts")
         one, two = (texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
         links = stored(pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(
-            _confirmed(self.k, self.threshold), "a long, b long"), "links")
+            tidy(_confirmed(self.k, self.threshold)), "a long, b long"), "links")
         if links.isEmpty():
             return False
         self.labels = components(links, self.labels)
@@ -245,7 +315,7 @@ def near_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     """(_f, _r, doc_id, n_shingles, component_id, first) per row; ``first`` marks one row of every component."""
     spark = docs.sparkSession
     rows = keyed(docs, F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    sketches = stored(rows.mapInArrow(_sketched(k), "_f long, _r long, id long, n long, digest binary, regs binary"), "sketches")
+    sketches = stored(rows.mapInArrow(tidy(_sketched(k)), "_f long, _r long, id long, n long, digest binary, regs binary"), "sketches")
     by_id = F.struct(F.col("id").isNull().alias("none"), "id", *ROW)
     classes = stored(sketches.filter("n > 0").groupBy("digest").agg(F.min(by_id).alias("best"), F.first("n").alias("n"), F.first("regs").alias("regs"))
                      .select("digest", "n", "regs", "best", "best._f", "best._r", F.monotonically_increasing_id().alias("node")), "classes")
@@ -269,18 +339,16 @@ def near_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
         if (lo, hi) == (0, BANDS) and not linked:
             break
     every = {t for lo, hi in stars for t in range(lo, hi)} == set(range(BANDS))  # then buckets of two are settled
-    rest = stored(linker.labelled(members.filter(F.col("size") > (2 if every else 1)).drop("label")), "rest")
-    mixed_keys = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo < hi")
-    mixed_keys = stored(mixed_keys.select("key", F.ceil(F.col("m") / block).cast("int").alias("blocks")), "mixed")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = (rest.join(mixed_keys, "key").join(classes.select("node", "n", "regs"), "node").withColumn("own", own)
-             .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("key", "t", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"),
-                     (F.col("own") > F.col("with")).cast("int").alias("side"), "node", "label", "n", "regs"))
-    across = dealt.repartition(shuffle_partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_across(threshold), "a long, b long")
-    pairs = stored(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "across")
-    if not pairs.isEmpty():
-        linker.link(pairs)
+    rest = linker.labelled(members.filter(F.col("size") > (2 if every else 1)).drop("label")).join(classes.select("node", "n"), "node")
+    dealt = stored(_dealt(stored(rest, "rest"), block), "dealt")
+    if not dealt.isEmpty():
+        need = stored(dealt.select("node").distinct().join(classes.select("node", *ROW), "node"), "needed")
+        sets = stored(joined_small(rows, need, ROW, "inner", 24).select("node", "text").mapInArrow(tidy(_sets(k)), "node long, shingles binary"), "sets")
+        sets = stored(sets.join(classes.select("node", "n", "regs"), "node"), "sets")
+        runs = dealt.join(sets, "node").repartition(shuffle_partitions(spark), "key", "kind", "i", "j").sortWithinPartitions("key", "kind", "i", "j")
+        links = stored(runs.mapInArrow(tidy(_across(threshold)), "a long, b long"), "across")
+        if not links.isEmpty():
+            linker.labels = components(links, linker.labels)
 
     grouped = stored(linker.labelled(classes.select("node", "digest", "best")), "grouped")
     comps = stored(grouped.groupBy("label").agg(F.min("best").alias("top")), "tops")
