@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortile.llm.common import joined_small, keyed, scanned, stored, table
+from cohortile.llm.common import joined_small, keyed, scanned, stored, table, tidy
 
 BLOCK_BYTES = 4096
 ROW = ["_f", "_r"]
@@ -51,7 +51,7 @@ def identities(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     """(_f, _r, id, sha, level, name) per row; (level, name) is the text's identity, sha its SHA-256."""
     docs = scanned(docs)
     cut = keyed(docs, F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(
-        _cut(block_bytes), "_f long, _r long, id long, sha binary, blocks array<binary>")
+        tidy(_cut(block_bytes)), "_f long, _r long, id long, sha binary, blocks array<binary>")
     rows = stored(cut.select(*ROW, "id", "sha", F.transform("blocks", lambda b: handle(b)).alias("hs")), "block-hashes")
 
     # every distinct block once per task before the shuffle, then once: (hash, place among blocks of that hash)

@@ -14,6 +14,8 @@ each. An empty table gives an empty result. Other columns are not looked at.
 from __future__ import annotations
 
 import base64
+import functools
+import json
 import re
 import zlib
 from collections import defaultdict
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortile.llm.common import stored, table
+from cohortile.llm.common import stored, table, tidy
 
 CAPACITY, END_ID = 1024, 2
 VOCABULARY = "byte_bpe_50k"
@@ -36,21 +38,36 @@ class Encoder:
     The same vocabulary as ranks gives the same ids several times faster. Its split pattern looks
     ahead only to divide runs of white space, so texts without such runs take the pattern without
     that part. A text that holds a special token's string, which the tokenizers file treats apart,
-    goes through that file.
+    goes through that file. Each of the three is opened when a text first needs it.
     """
 
     def __init__(self, vocabulary: str = VOCABULARY):
         import public_tokenizers
+
+        self.at, self.pattern = {k: public_tokenizers.path(f"{vocabulary}.{k}") for k in ("json", "tiktoken")}, public_tokenizers.PATTERN
+        with open(self.at["json"], encoding="utf-8") as f:
+            self.special = [t["content"] for t in json.load(f)["added_tokens"]]
+
+    def _quick(self, pattern: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as f:
+        with open(self.at["tiktoken"], "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        pattern = public_tokenizers.PATTERN
-        self.runs = tiktoken.Encoding("runs", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.plain = tiktoken.Encoding("plain", pat_str=pattern.replace(r"\s+(?!\S)|", ""), mergeable_ranks=ranks, special_tokens={})
-        self.whole = Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    @functools.cached_property
+    def runs(self):
+        return self._quick(self.pattern)
+
+    @functools.cached_property
+    def plain(self):
+        return self._quick(self.pattern.replace(r"\s+(?!\S)|", ""))
+
+    @functools.cached_property
+    def whole(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.at["json"])
 
     def __call__(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
@@ -182,7 +199,7 @@ def pack(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", capaci
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece."""
     spark = docs.sparkSession
     pieces = stored(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(
-        _pieces(capacity, end_id, vocabulary), "id long, piece int, start long, length long, crc long, place long, task int"), "pieces")
+        tidy(_pieces(capacity, end_id, vocabulary)), "id long, piece int, start long, length long, crc long, place long, task int"), "pieces")
     by_task = pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     shift = by_task.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
