@@ -1,11 +1,14 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-A text, its spaces written as U+2581 with one more in front, is cut where no piece can reach across:
-before a space mark and between pairs of character kinds that no piece holds side by side. Every
-distinct word of a block of documents is then one row: its substrings up to the longest piece are
-exploded and equi-joined to the piece table, the matches are grouped by word as the edges of its
-lattice, and a Spark ``aggregate`` folds them into pieces. The ids go back to the documents of the
-same block.
+A text, its spaces written as U+2581 with one more in front, falls into words that no piece can reach across:
+a word begins with space marks, and letters and marks that no piece holds side by side lie in different words. Every
+distinct word of the corpus is then one row: its substrings up to the longest piece are exploded and
+equi-joined to the piece table, the matches are grouped by word as the edges of its lattice, and a
+Spark ``aggregate`` folds them into pieces. Words are shuffled once, counted before, and folded once.
+
+The texts are read a second time to put the pieces in place. The most frequent words, as many as fit
+HOT_BYTES, go to the workers by broadcast; a rarer word leaves a hole in its document, is joined to its
+pieces by shuffle, and fills the hole. Texts themselves are never shuffled.
 
 Two folds are there. ``viterbi`` finds the segmentation with the largest sum of scores, which is how
 unigram models segment. ``merges`` joins the adjacent pair whose piece has the best score, leftmost
@@ -14,23 +17,27 @@ answer. Characters without a piece become their bytes. Words longer than LONG ch
 lattice would grow large in one row, are encoded by the sentencepiece library.
 
 Defined results: a null or empty text has no ids and decodes to an empty text. U+2581 in a text is
-read as a space, as the library does. Repeated rows are encoded each. An empty table gives an empty
-result. Other columns are not looked at.
+read as a space, as the library does. Repeated rows and repeated or null ids are encoded each. Pieces with
+equal scores are joined leftmost first, then the shorter. An empty table gives an empty result. Other
+columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortile.llm.common import keyed, shuffle_partitions, table
+from cohortile.llm.common import keyed, least_count, scanned, sliced, stored, table, tidy
 
 ROW = ["_f", "_r"]
 MODEL = "piece_bpe_32k.model"
 SPACE, LONG = "▁", 60
+#: Measured bytes of the frequent words that workers get with their pieces.
+HOT_BYTES = 8 << 20
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -50,13 +57,13 @@ class Pieces:
         if any(SPACE in p.lstrip(SPACE) for p in names):
             raise ValueError("a piece reaches over a space")
         inside = {(a, b) for p in names for a, b in zip(p, p[1:])}
-        after = "".join(c for c in PUNCTUATION if not any(a.isalpha() and b == c for a, b in inside))
-        before = "".join(c for c in PUNCTUATION if not any(a == c and b.isalpha() for a, b in inside))
-        cuts = [f"(?<=[^{SPACE}])(?={SPACE})"]
-        cuts += [rf"(?<=\p{{L}})(?=[{re.escape(after)}])"] if after else []
-        cuts += [rf"(?<=[{re.escape(before)}])(?=\p{{L}})"] if before else []
-        cuts += ["(?<=\n)|(?=\n)"] if not any("\n" in x for x in inside) else []
-        self.cuts = "|".join(cuts)
+        # marks that no piece holds beside a letter, on either side
+        apart = re.escape("".join(c for c in PUNCTUATION if not any((a.isalpha() and b == c) or (a == c and b.isalpha()) for a, b in inside)))
+        line = "\n" if not any("\n" in x for x in inside) else ""
+        run = rf"\p{{L}}++|[{apart}]++" if apart else r"\p{L}++"
+        other = rf"[^\p{{L}}{apart}{SPACE}{line}]++"
+        #: A word: a line break, or space marks and then letters or marks, which change sides only across something else.
+        self.word = (rf"{line}|" if line else "") + rf"{SPACE}*+(?:{run})?+(?:{other}(?:{run})?+)*+"
 
     def table(self, spark: SparkSession) -> DataFrame:
         """(piece, id, score): a row for each piece of the model, which bounds it."""
@@ -119,76 +126,134 @@ def _word_ids(word: Column, edges: Column, mask: Column, pieces: Pieces) -> Colu
     return F.flatten(F.transform(spans, ids))
 
 
-def _by_library(path: str):
+def _by_library(path: str, at: int):
     def run(batches):
         from sentencepiece import SentencePieceProcessor
 
         sp = SentencePieceProcessor(model_file=path)
         for batch in batches:
             out = []
-            for word in batch.column("word").to_pylist():
+            for word in batch.column(at).to_pylist():
                 if word.startswith(SPACE):  # the library puts the first mark there itself
                     out.append(sp.encode(word[1:].replace(SPACE, " ")))
                 else:  # a line break is its own bytes and keeps the mark away from the word
                     ids = sp.encode("\n" + word)
                     lead = len(sp.encode("\n"))
                     out.append(ids[lead:])
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("word"), pa.array(out, pa.list_(pa.int32()))], names=["block", "word", "ids"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32()))], names=[*batch.schema.names, "ids"])
 
     return run
 
 
-def _even_blocks(spark: SparkSession, parts: int) -> list[int]:
-    """A value for every one of ``parts`` hash partitions."""
-    found = spark.range(parts * 40).groupBy(F.pmod(F.hash("id"), F.lit(parts)).alias("p")).agg(F.min("id").alias("v"))
-    return [r["v"] for r in found.orderBy("p").collect()]
-
-
 def encode_words(words: DataFrame, pieces: Pieces, fold: str = "merges") -> DataFrame:
-    """(block, word, ids) of distinct (block, word) rows that are partitioned by block."""
-    size = F.length("word")
-    short = words.filter(size <= LONG)
-    start = short.select("block", "word", F.explode(F.sequence(F.lit(0), size)).alias("s"))
-    sub = start.select("block", "word", "s", F.explode(F.when(F.col("s") == 0, F.array(F.lit(0))).otherwise(
-        F.sequence(F.lit(1), F.least(F.lit(pieces.longest), size - F.col("s") + 1)))).alias("n"))
-    sub = sub.withColumn("piece", F.when(F.col("s") > 0, F.expr("substring(word, s, n)")))
-    found = sub.join(pieces.table(words.sparkSession), "piece", "left").filter("id IS NOT NULL OR s = 0")
-    edge = F.when(F.col("s") > 0, F.struct((-F.col("score")).alias("order"), "s", "n", "id", "score"))  # nulls are not collected
-    by_word = found.groupBy("block", "word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    """Distinct ``words`` (word, and what else a row has) with ids; nothing is shuffled if they are partitioned by word."""
+    size, kept = F.length("word"), words.columns
+    start = words.filter(size <= LONG).select(*kept, F.explode(F.sequence(F.lit(0), size)).alias("_s"))
+    sub = start.select(*kept, "_s", F.explode(F.when(F.col("_s") == 0, F.array(F.lit(0))).otherwise(
+        F.sequence(F.lit(1), F.least(F.lit(pieces.longest), size - F.col("_s") + 1)))).alias("_n"))
+    sub = sub.withColumn("piece", F.when(F.col("_s") > 0, F.expr("substring(word, _s, _n)")))
+    found = sub.join(pieces.table(words.sparkSession), "piece", "left").filter("id IS NOT NULL OR _s = 0")
+    edge = F.struct((-F.col("score")).alias("order"), F.col("_s").alias("s"), F.col("_n").alias("n"), "id", "score")
+    by_word = found.groupBy(*kept).agg(F.sort_array(F.collect_list(F.when(F.col("_s") > 0, edge))).alias("edges"))  # nulls are not collected
     folded = by_word.withColumn("mask", (_merged if fold == "merges" else _best_path)(F.col("edges"), size))
-    done = folded.select("block", "word", _word_ids(F.col("word"), F.col("edges"), F.col("mask"), pieces).alias("ids"))
-    return done.unionByName(words.filter(size > LONG).mapInArrow(_by_library(pieces.path), "block long, word string, ids array<int>"))
+    done = folded.select(*kept, _word_ids(F.col("word"), F.col("edges"), F.col("mask"), pieces).alias("ids"))
+    long = words.filter(size > LONG).select(*kept)
+    return done.unionByName(long.mapInArrow(_by_library(pieces.path, kept.index("word")), long.withColumn("ids", F.array().cast("array<int>")).schema))
+
+
+def words_of(text: str | None, word) -> list[str]:
+    """The words of ``text`` as the compiled pattern ``word`` finds them, one right after the other."""
+    return [w for w in word.findall((SPACE + text).replace(" ", SPACE)) if w] if text else []
+
 
+def _text(value) -> str:
+    return (value or b"").decode("utf-8", "replace")
+
+
+def _distinct(pattern: str):
+    def run(batches):
+        import regex
+
+        word = regex.compile(pattern)
+        for batch in sliced(batches, "text", most=8 << 20):
+            held: Counter = Counter()
+            for text in batch.column("text").to_pylist():
+                held.update(set(words_of(_text(text), word)))
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "docs"])
+
+    return run
 
-def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", id_col: str = "doc_id", fold: str = "merges") -> DataFrame:
+
+def _placed(pattern: str, shared):
+    """A row per text with the pieces between its holes, then a row per hole with its word."""
+    names = ["_f", "_r", "id", "parts", "place", "word"]
+
+    def run(batches):
+        import regex
+
+        find, known = regex.compile(pattern), shared.value
+        for batch in sliced(batches, "text", most=1 << 20):
+            parts, at, place, word = [], [], [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                mine: list[list[int]] = [[]]
+                for w in words_of(_text(text), find):
+                    ids = known.get(w)
+                    if ids is None:
+                        at.append(i)
+                        place.append(len(mine) - 1)
+                        word.append(w)
+                        mine.append([])
+                    else:
+                        mine[-1].extend(ids)
+                parts.append(mine)
+            n, take = batch.num_rows, pa.array(at, pa.int32())
+            lists = pa.list_(pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:3]), pa.array(parts, lists), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("_f").take(take), batch.column("_r").take(take), pa.nulls(len(at), batch.column("id").type),
+                                              pa.nulls(len(at), lists), pa.array(place, pa.int32()), pa.array(word, pa.string())], names=names)
+
+    return run
+
+
+def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", id_col: str = "doc_id", fold: str = "merges", most: int = HOT_BYTES) -> DataFrame:
     """(_f, _r, id, ids) per row."""
     spark = docs.sparkSession
-    parts = shuffle_partitions(spark)
-    values = _even_blocks(spark, parts)
-    block = F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), (F.pmod(F.xxhash64(*ROW), F.lit(len(values))) + 1).cast("int"))
-    text = F.when(F.length("text") > 0, F.concat(F.lit(SPACE), F.replace("text", F.lit(" "), F.lit(SPACE))))
-    rows = keyed(docs, F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("block", block).repartition(parts, "block")
-    words = rows.select("block", *ROW, "id", F.filter(F.split(text, pieces.cuts), lambda w: w != "").alias("words"))
-    each = words.select("block", *ROW, "id", F.posexplode_outer("words").alias("pos", "word"))
-    known = encode_words(each.filter("word IS NOT NULL").select("block", "word").distinct(), pieces, fold)
-    joined = each.join(known.hint("shuffle_hash"), ["block", "word"], "left")
-    held = F.sort_array(F.collect_list(F.struct("pos", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))))
-    return joined.groupBy("block", *ROW, "id").agg(held.alias("held")).select(*ROW, "id", F.flatten(F.transform("held", lambda h: h["ids"])).alias("ids"))
+    rows = keyed(scanned(docs), F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    counted = rows.select("text").mapInArrow(tidy(_distinct(pieces.word)), "word string, docs long").groupBy("word").agg(F.sum("docs").alias("docs"))
+    counted = stored(counted, "words")
+    words = stored(encode_words(counted.repartition("word"), pieces, fold), "word-pieces")
+    least = least_count(words, "docs", F.octet_length("word") + 4 * F.size("ids") + 32, most)
+    hot = {r["word"]: r["ids"] for r in words.filter(F.col("docs") >= least).select("word", "ids").toLocalIterator()}  # at most `most` bytes
+    shared = spark.sparkContext.broadcast(hot)
+    kind = docs.schema[id_col].dataType.simpleString()
+    found = stored(rows.mapInArrow(tidy(_placed(pieces.word, shared)), f"_f long, _r long, id {kind}, parts array<array<int>>, place int, word string"), "placed")
+    shared.destroy()
+    holes = found.filter("word IS NOT NULL").select(*ROW, "place", "word").join(words.filter(F.col("docs") < least).select("word", "ids"), "word")
+    filled = holes.groupBy(*ROW).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "ids"))), lambda h: h["ids"]).alias("fill"))
+    heads = found.filter("parts IS NOT NULL").select(*ROW, "id", "parts")
+    none = F.array().cast("array<int>")
+    put = F.zip_with("parts", F.coalesce("fill", F.array().cast("array<array<int>>")), lambda p, h: F.concat(p, F.coalesce(h, none)))
+    whole = heads.filter(F.size("parts") == 1).select(*ROW, "id", F.element_at("parts", 1).alias("ids"))
+    return whole.unionByName(heads.filter(F.size("parts") > 1).join(filled, ROW).select(*ROW, "id", F.flatten(put).alias("ids")))
 
 
 def decode(rows: DataFrame, pieces: Pieces, ids_col: str = "ids") -> DataFrame:
     """``rows`` with the column ``decoded``: the bytes of the ids' pieces, as text."""
-    names: list = [None] * (max(i for _, i, _ in pieces.rows) + 1)
+    names: list = [b""] * (max([i for _, i, _ in pieces.rows] + [(pieces.first_byte or 0) + 255]) + 1)
     for p, i, _ in pieces.rows:
-        names[i] = p.replace(SPACE, " ").encode().hex()
+        names[i] = p.replace(SPACE, " ").encode()
     if pieces.first_byte is not None:
         for b in range(256):
-            names[pieces.first_byte + b] = f"{b:02x}"
-    held = rows.sparkSession.createDataFrame([(names,)], "_hex array<string>")  # one row, as long as the model's table
-    whole = rows.join(F.broadcast(held))
-    code = F.array_join(F.transform(ids_col, lambda i: F.coalesce(F.element_at("_hex", i + 1), F.lit(""))), "")
-    text = F.unhex(code).cast("string")
-    return whole.withColumn("decoded", F.regexp_replace(text, "^ ", "")).drop("_hex")
+            names[pieces.first_byte + b] = bytes([b])
+    at = rows.columns.index(ids_col)
+
+    def run(batches):
+        for batch in batches:
+            texts = [b"".join(map(names.__getitem__, ids)).decode("utf-8", "replace") if ids else "" for ids in batch.column(at).to_pylist()]
+            plain = pa.array([t[1:] if t.startswith(" ") else t for t in texts], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, plain], names=[*batch.schema.names, "decoded"])
+
+    return rows.mapInArrow(run, rows.withColumn("decoded", F.lit("")).schema)
 
 
 def model_path(name: str = MODEL) -> str:
