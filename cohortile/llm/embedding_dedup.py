@@ -6,7 +6,7 @@ cosine in double precision. With eight projections of width 2 and 24 tables a pa
 shares no bucket with a chance of 4 in 10,000, one at 0.96 with 1 in 100,000.
 
 Equal vectors are one class with a count, so copies are compared once. A bucket is cut into blocks
-and every pair of its blocks is a task's work, so no bucket has to fit one task. A pair is counted
+and every pair of its blocks is a task's work, so no bucket has to fit one task; vectors travel as bytes. A pair is counted
 in the first table in which it meets, which the keys that travel with a vector tell; per block only
 link counts and a spanning forest of its links leave the task, never pairs.
 
@@ -44,22 +44,28 @@ def bucket_keys(vectors: np.ndarray, tables: int, projections: int, width: float
     return key.view(np.int64)
 
 
-def _unit(vectors: list) -> np.ndarray:
-    x = np.array(vectors, np.float64)
-    x /= np.abs(x).max(axis=1, keepdims=True)  # no overflow in the squares
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # no overflow in the squares
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _hashed(tables: int, projections: int, width: float):
+    """Unit vectors as bytes, and their bucket keys in all tables, as numbers and as bytes."""
     def run(batches):
         for batch in batches:
-            raw = [np.array(v, np.float64) for v in batch.column(1).to_pylist()]
-            keys: list = [None] * len(raw)
-            for dim in {len(v) for v in raw}:
-                at = [i for i, v in enumerate(raw) if len(v) == dim]
-                for i, k in zip(at, bucket_keys(_unit([raw[i] for i in at]), tables, projections, width)):
-                    keys[i] = k
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["node", "keys"])
+            lists = batch.column(1)
+            at, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+            size, n = np.diff(at), batch.num_rows
+            keys, unit = np.zeros((n, tables), np.int64), [b""] * n
+            for dim in np.unique(size):
+                rows = np.flatnonzero(size == dim)
+                x = _unit(values[at[rows][:, None] + np.arange(dim)])
+                keys[rows] = bucket_keys(x, tables, projections, width)
+                for r, v in zip(rows, x):
+                    unit[r] = v.tobytes()
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * tables, pa.int32()), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(unit, pa.binary()), flat, pa.array([k.tobytes() for k in keys], pa.binary())],
+                                             names=["node", "unit", "cells", "keys"])
 
     return run
 
@@ -96,44 +102,47 @@ def _links(left: dict, right: dict | None, t: int, least: float):
     return node[some], add[some], label[some]
 
 
-def _compared(least: float):
+def _compared(least: float, tables: int):
     """Rows come sorted by (bucket, i, j); every run of equal ones is a pair of blocks."""
-    fields = ["key", "t", "i", "j", "side", "node", "n", "vec", "keys"]
+    place = ("key", "i", "j")
 
-    def settle(rows: list):
-        if len(rows) < 2:
+    def side_of(parts: list[dict], side: int | None, size: int) -> dict | None:
+        rows = [(p, r) for p in parts for r in np.flatnonzero((p["size"] == size) & (True if side is None else p["side"] == side)).tolist()]
+        if not rows:
             return None
-        first, out = rows[0], []
-        for group in _by_length(rows):  # unequal lengths do not link
-            sides = [[r for r in group if r[4] == s] for s in (0, 1)] if first[2] != first[3] else [group]
-            if all(sides):
-                made = [{"x": _unit([r[7] for r in s]), "node": np.array([r[5] for r in s]), "n": np.array([r[6] for r in s]),
-                         "keys": np.array([r[8] for r in s])} for s in sides]
-                out.append(_links(made[0], made[1] if len(made) > 1 else None, first[1], least))
-        return [x for x in out if x]
+        pick = lambda c: [p[c][r] for p, r in rows]
+        return {"x": np.frombuffer(b"".join(x.as_py() for x in pick("unit")), float).reshape(len(rows), -1), "node": np.array(pick("node")), "n": np.array(pick("n")),
+                "keys": np.frombuffer(b"".join(x.as_py() for x in pick("keys")), np.int64).reshape(len(rows), tables)}
+
+    def settle(parts: list[dict]):
+        if sum(len(p["node"]) for p in parts) < 2:
+            return
+        two, t = parts[0]["i"][0] != parts[0]["j"][0], parts[0]["t"][0]
+        for size in np.unique(np.concatenate([p["size"] for p in parts])):  # unequal lengths do not link
+            left = side_of(parts, 0 if two else None, size)
+            right = side_of(parts, 1, size) if two else None
+            if left and (right or not two) and (found := _links(left, right, t, least)):
+                yield found
 
     def run(batches):
-        held, now = [], None
+        held: list[dict] = []
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            c = {f: batch.column(f).to_numpy() for f in (*place, "t", "side", "node", "n", "size")}
+            new = np.flatnonzero(np.any([c[k][1:] != c[k][:-1] for k in place], axis=0)) + 1
             done = []
-            for row in zip(*(batch.column(f).to_pylist() for f in fields)):
-                if (mark := (row[0], row[2], row[3])) != now:
-                    done += settle(held) or []
-                    held, now = [], mark
-                held.append(row)
+            for lo, hi in zip([0, *new], [*new, batch.num_rows]):
+                if held and any(held[-1][k][-1] != c[k][lo] for k in place):
+                    done += settle(held)
+                    held = []
+                held.append({**{k: v[lo:hi] for k, v in c.items()}, "unit": batch.column("unit").slice(lo, hi - lo), "keys": batch.column("keys").slice(lo, hi - lo)})
             yield _batch(done)
-        yield _batch(settle(held) or [])
+        yield _batch(list(settle(held)) if held else [])
 
     return run
 
 
-def _by_length(rows):
-    groups: dict = {}
-    for r in rows:
-        groups.setdefault(len(r[7]), []).append(r)
-    return groups.values()
-
-
 def _batch(done):
     parts = [np.concatenate(x) for x in zip(*done)] if done else [np.array([], np.int64)] * 3
     return pa.RecordBatch.from_arrays([pa.array(p, pa.int64()) for p in parts], names=["node", "add", "root"])
@@ -149,19 +158,20 @@ def near_vectors(vectors: DataFrame, vec_col: str = "embedding", label_col: str
                           F.col(vec_col).cast("array<double>").alias("vec")).withColumn("ok", F.coalesce(usable, F.lit(False)))
     classes = stored(rows.filter("ok").groupBy("label", "vec").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
                      .withColumn("node", F.monotonically_increasing_id()), "vector-classes")
-    hashed = stored(classes.select("node", "vec").mapInArrow(_hashed(tables, projections, width), "node long, keys array<long>"), "vector-keys")
+    hashed = stored(classes.select("node", "vec").mapInArrow(_hashed(tables, projections, width), "node long, unit binary, cells array<long>, keys binary"), "vector-keys")
+    hashed = classes.select("node", "label", "n", F.size("vec").alias("size")).join(hashed, "node")
     # a bucket is a cell of one label
-    cells = classes.join(hashed, "node").select("*", F.posexplode("keys").alias("t", "cell")).withColumn("key", F.xxhash64("label", "t", "cell"))
-    sizes = stored(cells.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1), "bucket-sizes")
-    large = stored(sizes.filter(F.col("size") > block).select("key", F.ceil(F.col("size") / block).cast("int").alias("blocks")), "large-buckets")
+    cells = hashed.select("*", F.posexplode("cells").alias("t", "cell")).withColumn("key", F.xxhash64("label", "t", "cell"))
+    sizes = stored(cells.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > 1), "bucket-sizes")
+    large = stored(sizes.filter(F.col("members") > block).select("key", F.ceil(F.col("members") / block).cast("int").alias("blocks")), "large-buckets")
     placed = cells.join(sizes.select("key"), "key", "left_semi")
     cut = joined_small(placed, large, "key", "left", 16).withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     pairs = cut.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "key", "t", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"),
-        (F.col("own") > F.col("with")).cast("int").alias("side"), "node", "n", "vec", "keys")
+        (F.col("own") > F.col("with")).cast("int").alias("side"), "node", "n", "size", "unit", "keys")
     found = stored(pairs.repartition(shuffle_partitions(vectors.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(
-        _compared(least), "node long, add long, root long"), "vector-links")
+        _compared(least, tables), "node long, add long, root long"), "vector-links")
     return _assembled(rows, classes, found)
 
 
