@@ -2,13 +2,13 @@
 
 A text, its spaces written as U+2581 with one more in front, falls into words that no piece can reach across:
 a word begins with space marks, and letters and marks that no piece holds side by side lie in different words. Every
-distinct word of the corpus is then one row: its substrings up to the longest piece are exploded and
+distinct word of a block of texts is one row: its substrings up to the longest piece are exploded and
 equi-joined to the piece table, the matches are grouped by word as the edges of its lattice, and a
-Spark ``aggregate`` folds them into pieces. Words are shuffled once, counted before, and folded once.
+Spark ``aggregate`` folds them into pieces, which are then put in the places of the word in the texts.
 
-The texts are read a second time to put the pieces in place. The most frequent words, as many as fit
-HOT_BYTES, go to the workers by broadcast; a rarer word leaves a hole in its document, is joined to its
-pieces by shuffle, and fills the hole. Texts themselves are never shuffled.
+A block is some BLOCK_BYTES of one task's texts. Its rows, words first and then texts as numbers of words, go
+through explode, broadcast join and fold in their order and inside their task, so nothing is shuffled, spilled or
+stored, and no word or group of words can crowd a task. The price is that a word is folded once in every block that has it.
 
 Two folds are there. ``viterbi`` finds the segmentation with the largest sum of scores, which is how
 unigram models segment. ``merges`` joins the adjacent pair whose piece has the best score, leftmost
@@ -25,19 +25,20 @@ columns are not looked at, whatever their names.
 from __future__ import annotations
 
 import re
-from collections import Counter
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortile.llm.common import keyed, least_count, scanned, sliced, stored, table, tidy
+from cohortile.llm.common import keyed, sliced, table, tidy
 
 ROW = ["_f", "_r"]
 MODEL = "piece_bpe_32k.model"
 SPACE, LONG = "▁", 60
-#: Measured bytes of the frequent words that workers get with their pieces.
-HOT_BYTES = 8 << 20
+#: Bytes of text whose distinct words are folded once, and words or texts handed on at a time.
+BLOCK_BYTES, ROWS = 16 << 20, 1 << 13
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -74,23 +75,27 @@ def _bits(name: str, value: Column, by: Column) -> Column:
     return F.call_function(name, value, by)
 
 
+def _with(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _merged(edges: Column, size: Column) -> Column:
-    """Begins of the pieces of a word of ``size`` characters as bits; ``edges`` are in the order of merging."""
-    one = F.lit(1).cast("long")
-    inner = lambda e: _bits("shiftleft", one, e["n"] - 1) - 1
+    """Begins of the pieces of a word of ``size`` characters as bits; ``edges`` are in the order of merging.
 
-    def step(mask, _):
-        def joins(e):
-            between = _bits("shiftright", mask, e["s"]).bitwiseAND(inner(e))
-            ends = _bits("shiftleft", one, e["s"] - 1) + _bits("shiftleft", one, e["s"] - 1 + e["n"])
-            return (between != 0) & (between.bitwiseAND(between - 1) == 0) & (mask.bitwiseAND(ends) == ends)
+    An edge whose ends are no longer borders, or with no border between them, never comes back and leaves the list.
+    """
+    one = F.lit(1).cast("long")
 
-        best = F.get(F.filter(edges, joins), F.lit(0))
-        clear = _bits("shiftleft", inner(best), best["s"])
-        return F.coalesce(mask.bitwiseAND(F.bitwise_not(clear)), mask)
+    def step(state, _):
+        left = lambda m: F.filter(state["edges"], lambda e: (m.bitwiseAND(e["ends"]) == e["ends"]) & (m.bitwiseAND(e["inner"]) != 0))
+        best = F.get(F.filter(state["edges"], lambda e: F.bit_count(state["mask"].bitwiseAND(e["inner"])) == 1), F.lit(0))
+        return F.when(F.size(state["edges"]) == 0, state).otherwise(_with(best["inner"], lambda inner: F.when(
+            inner.isNull(), F.struct(state["mask"].alias("mask"), F.slice(state["edges"], 1, 0).alias("edges"))).otherwise(_with(
+                state["mask"].bitwiseAND(F.bitwise_not(inner)), lambda m: F.struct(m.alias("mask"), left(m).alias("edges"))))))
 
-    whole = _bits("shiftleft", one, size + 1) - 1
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), whole, step)
+    whole = F.struct((_bits("shiftleft", one, size + 1) - 1).alias("mask"), edges.alias("edges"))
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), whole, step, lambda state: state["mask"])
 
 
 def _best_path(edges: Column, size: Column) -> Column:
@@ -111,147 +116,265 @@ def _best_path(edges: Column, size: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), size), begin, step, lambda a: F.element_at(a, -1)["mask"])
 
 
-def _word_ids(word: Column, edges: Column, mask: Column, pieces: Pieces) -> Column:
-    """Ids of the pieces between the set bits of ``mask``."""
-    at = F.filter(F.sequence(F.lit(0), F.length(word)), lambda i: _bits("shiftright", mask, i).bitwiseAND(F.lit(1).cast("long")) == 1)
-    spans = F.zip_with(F.slice(at, F.lit(1), F.size(at) - 1), F.slice(at, F.lit(2), F.size(at) - 1), lambda a, b: F.struct((a + 1).alias("s"), (b - a).alias("n")))
-
-    def ids(x):
-        known = F.get(F.filter(edges, lambda e: (e["s"] == x["s"]) & (e["n"] == x["n"])), F.lit(0))["id"]
-        code = F.hex(F.substring(word, x["s"], x["n"]).cast("binary"))
-        raw = F.transform(F.sequence(F.lit(0), (F.length(code) / 2).cast("int") - 1),
-                          lambda i: F.conv(F.substring(code, i * 2 + 1, F.lit(2)), 16, 10).cast("int") + F.lit(pieces.first_byte or 0))
-        return F.when(known.isNotNull(), F.array(known)).otherwise(raw if pieces.first_byte is not None else F.array(F.lit(pieces.unknown)))
-
-    return F.flatten(F.transform(spans, ids))
-
+def _word_ids(word: Column, edges: Column, alone: Column, mask: Column, pieces: Pieces) -> Column:
+    """Ids of the pieces between the set bits of ``mask``; ``alone`` has those of single characters, -1 for none."""
+    one = F.lit(1).cast("long")
+    at = F.filter(F.sequence(F.lit(0), F.length(word)), lambda i: _bits("shiftright", mask, i).bitwiseAND(one) == 1)
+    known = _with(at, lambda at: F.zip_with(F.slice(at, F.lit(1), F.size(at) - 1), F.slice(at, F.lit(2), F.size(at) - 1), lambda a, b: F.when(
+        b - a == 1, F.get(alone, a)).otherwise(_with(
+            _bits("shiftleft", one, a) + _bits("shiftleft", one, b), lambda ends: F.get(F.filter(edges, lambda e: e["ends"] == ends), F.lit(0))["id"]))))
+
+    def raw(begin, i):
+        code = F.hex(F.substring(word, begin + 1, F.lit(1)).cast("binary"))
+        own = F.transform(F.sequence(F.lit(0), (F.length(code) / 2).cast("int") - 1),
+                          lambda k: F.conv(F.substring(code, k * 2 + 1, F.lit(2)), 16, 10).cast("int") + F.lit(pieces.first_byte or 0))
+        return F.when(i >= 0, F.array(i)).otherwise(own if pieces.first_byte is not None else F.array(F.lit(pieces.unknown)))
+
+    return _with(known, lambda ids: F.when(F.exists(ids, lambda i: i < 0), F.flatten(
+        F.zip_with(F.slice(at, F.lit(1), F.size(at) - 1), ids, raw))).otherwise(ids))
+
+
+def _by_library(path: str):
+    """Ids of one word, from the sentencepiece library."""
+    from cohortile.llm import vocabularies
+
+    def ids(word: str) -> list[int]:
+        sp = vocabularies.sentences(path)
+        if word.startswith(SPACE):  # the library puts the first mark there itself
+            return sp.encode(word[1:].replace(SPACE, " "))
+        return sp.encode("\n" + word)[len(sp.encode("\n")):]  # a line break is its own bytes and keeps the mark away from the word
+
+    return ids
+
+
+def _grouped(kept: int, at: int, rows: list, path: str, names: list[str], scored: bool):
+    """Rows without an edge, each with the edges that follow it, in the order of merging."""
+    bits = 14  # of an edge's place: 7 of its begin, 7 of its length
+    score = np.zeros(max(i for _, i, _ in rows) + 1)
+    rank = np.zeros(len(score), np.int64)  # of scores, the best first
+    single = np.full(0x110000, -1, np.int32)
+    for piece, i, value in rows:
+        score[i] = value
+        if len(piece) == 1:
+            single[ord(piece)] = i
+    own = [i for _, i, _ in rows]
+    rank[own] = np.unique(-score[own], return_inverse=True)[1]
+
+    def listed(values, size):
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), values)
+
+    def out(table):
+        table = table.combine_chunks()
+        edge = table.column(kept).combine_chunks() if table.num_rows else pa.array([], pa.int64())
+        head = np.flatnonzero(edge.is_null().to_numpy(zero_copy_only=False))
+        code = edge.drop_null().to_numpy(zero_copy_only=False)
+        size = np.diff(np.concatenate([head, [table.num_rows]])) - 1
+        of, s, n, i = np.repeat(np.arange(len(head)), size), code >> 7 & 127, code & 127, code >> bits
+        by = np.argsort((of << 46) | (rank[i] << bits) | (code & ((1 << bits) - 1)))
+        s, n, i = s[by], n[by], i[by]
+        one = np.int64(1)
+        has = {"id": i.astype(np.int32), "ends": (one << (s - 1)) + (one << (s - 1 + n))}
+        has |= {"s": s.astype(np.int32), "n": n.astype(np.int32), "score": score[i]} if scored else {"inner": ((one << (n - 1)) - 1) << s}
+        edges = pa.StructArray.from_arrays(list(map(pa.array, has.values())), list(has))
+        mine = table.take(pa.array(head)).select(range(kept)).combine_chunks()
+        words = mine.column(at).to_pylist()
+        text = "".join(w for w in words if w)
+        alone = single[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+        given = pa.array([library(w) if w and len(w) > LONG else None for w in words], pa.list_(pa.int32()))
+        columns = [c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in mine.columns]
+        return pa.RecordBatch.from_arrays([*columns, listed(edges, size), listed(pa.array(alone), [len(w or "") for w in words]), given], names=names)
+
+    library = _by_library(path)
 
-def _by_library(path: str, at: int):
     def run(batches):
-        from sentencepiece import SentencePieceProcessor
-
-        sp = SentencePieceProcessor(model_file=path)
+        held = None
         for batch in batches:
-            out = []
-            for word in batch.column(at).to_pylist():
-                if word.startswith(SPACE):  # the library puts the first mark there itself
-                    out.append(sp.encode(word[1:].replace(SPACE, " ")))
-                else:  # a line break is its own bytes and keeps the mark away from the word
-                    ids = sp.encode("\n" + word)
-                    lead = len(sp.encode("\n"))
-                    out.append(ids[lead:])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32()))], names=[*batch.schema.names, "ids"])
+            now = pa.Table.from_batches([batch])
+            held = now if held is None else pa.concat_tables([held, now])
+            last = np.flatnonzero(batch.column(kept).is_null().to_numpy(zero_copy_only=False))
+            if len(last):  # the last row without an edge may have more of them in the next batch
+                cut = held.num_rows - batch.num_rows + int(last[-1])
+                if cut:
+                    yield out(held.slice(0, cut))
+                held = held.slice(cut)
+        if held is not None and held.num_rows:
+            yield out(held)
 
     return run
 
 
 def encode_words(words: DataFrame, pieces: Pieces, fold: str = "merges") -> DataFrame:
-    """Distinct ``words`` (word, and what else a row has) with ids; nothing is shuffled if they are partitioned by word."""
-    size, kept = F.length("word"), words.columns
-    start = words.filter(size <= LONG).select(*kept, F.explode(F.sequence(F.lit(0), size)).alias("_s"))
+    """``words`` (word, and what else a row has) with ids, null where the word is; rows stay in their order and partitions."""
+    spark, size, kept = words.sparkSession, F.length("word"), words.columns
+    least = 2 if fold == "merges" else 1  # characters of the substrings that are looked up
+    lattice = F.coalesce(size <= LONG, F.lit(False)) & (size >= least)
+    start = words.select(*kept, F.explode(F.when(lattice, F.sequence(F.lit(0), size - (least - 1))).otherwise(F.array(F.lit(0)))).alias("_s"))
     sub = start.select(*kept, "_s", F.explode(F.when(F.col("_s") == 0, F.array(F.lit(0))).otherwise(
-        F.sequence(F.lit(1), F.least(F.lit(pieces.longest), size - F.col("_s") + 1)))).alias("_n"))
-    sub = sub.withColumn("piece", F.when(F.col("_s") > 0, F.expr("substring(word, _s, _n)")))
-    found = sub.join(pieces.table(words.sparkSession), "piece", "left").filter("id IS NOT NULL OR _s = 0")
-    edge = F.struct((-F.col("score")).alias("order"), F.col("_s").alias("s"), F.col("_n").alias("n"), "id", "score")
-    by_word = found.groupBy(*kept).agg(F.sort_array(F.collect_list(F.when(F.col("_s") > 0, edge))).alias("edges"))  # nulls are not collected
-    folded = by_word.withColumn("mask", (_merged if fold == "merges" else _best_path)(F.col("edges"), size))
-    done = folded.select(*kept, _word_ids(F.col("word"), F.col("edges"), F.col("mask"), pieces).alias("ids"))
-    long = words.filter(size > LONG).select(*kept)
-    return done.unionByName(long.mapInArrow(_by_library(pieces.path, kept.index("word")), long.withColumn("ids", F.array().cast("array<int>")).schema))
-
-
-def words_of(text: str | None, word) -> list[str]:
-    """The words of ``text`` as the compiled pattern ``word`` finds them, one right after the other."""
-    return [w for w in word.findall((SPACE + text).replace(" ", SPACE)) if w] if text else []
-
-
-def _text(value) -> str:
-    return (value or b"").decode("utf-8", "replace")
-
+        F.sequence(F.lit(least), F.least(F.lit(pieces.longest), size - F.col("_s") + 1)))).alias("_n"))
+    sub = sub.withColumn("_piece", F.when(F.col("_s") > 0, F.expr("substring(word, _s, _n)")))
+    table = pieces.table(spark).select(F.col("piece").alias("_piece"), F.col("id").cast("long").alias("_id"))
+    found = sub.join(F.broadcast(table), "_piece", "left").filter("_id IS NOT NULL OR _s = 0")
+    code = F.expr("shiftleft(_id, 14) + shiftleft(_s, 7) + _n")
+    edges = found.select(*(F.when(F.col("_s") == 0, F.col(c)).alias(c) for c in kept), F.when(F.col("_s") > 0, code).alias("_edge"))
+    kind = f"array<struct<id:int,ends:bigint,{'inner:bigint' if fold == 'merges' else 's:int,n:int,score:double'}>>"
+    shape = words.withColumns({"_edges": F.lit(None).cast(kind), "_alone": F.lit(None).cast("array<int>"), "_given": F.lit(None).cast("array<int>")}).schema
+    grouped = edges.mapInArrow(tidy(_grouped(len(kept), kept.index("word"), pieces.rows, pieces.path, shape.names, fold != "merges")), shape)
+    folded = grouped.withColumn("_mask", F.when(lattice | (size == 1), (_merged if fold == "merges" else _best_path)(F.col("_edges"), size)))
+    ids = _word_ids(F.col("word"), F.col("_edges"), F.col("_alone"), F.col("_mask"), pieces)
+    return folded.select(*kept, F.coalesce(F.col("_given"), F.when(F.col("_mask").isNotNull(), ids)).alias("ids"))
+
+
+class _Numbers(dict):
+    """Numbers in the order in which keys are first asked for."""
+
+    def __missing__(self, key):
+        n = self[key] = len(self)
+        return n
+
+
+def _spaced(text: str, find) -> list[str]:
+    """Parts of a text that each have a space before them, without it."""
+    if SPACE in text:
+        text = text.replace(SPACE, " ")
+    if "  " not in text and text[0] != " ":
+        return text.split(" ")
+    return [part[1:] for part in find(" " + text)]
+
+
+def _gathered(values: np.ndarray, cuts: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists ``which`` of ``values`` cut at ``cuts``, one after another, and their sizes."""
+    size = np.diff(cuts)[which]
+    ends = np.cumsum(size)
+    return values[np.repeat(cuts[which] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)], size
+
+
+def _blocks(pattern: str, most: int):
+    """Rows of a block: its distinct words, then its texts as numbers of words.
+
+    Some texts are one row of bytes: nested columns beside every edge cost Spark's Arrow writer more than all the rest.
+    """
+
+    def laid(heads, parts, part_of: _Numbers, find):
+        word_of, held, size = _Numbers(), [], []
+        for part in part_of:
+            # letters alone have no cut
+            mine = [SPACE + part] if part.isalpha() else [w for w in find(SPACE + part.replace(" ", SPACE)) if w]
+            held.extend(map(word_of.__getitem__, mine))
+            size.append(len(mine))
+        values, cuts = np.array(held, np.int32), np.concatenate([[0], np.cumsum(np.array(size, np.int64))])
+        words = list(word_of)
+        for lo in range(0, len(words), ROWS):
+            some = pa.array(words[lo:lo + ROWS], pa.string())
+            yield pa.RecordBatch.from_arrays([some, pa.nulls(len(some), pa.binary())], names=["word", "rows"])
+        for head, mine in zip(heads, parts):
+            numbers, counts = _gathered(values, cuts, np.concatenate([*mine, np.zeros(0, np.int32)]))
+            before = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum([len(m) for m in mine])])]
+            lists = pa.ListArray.from_arrays(pa.array(before, pa.int32()), pa.array(numbers, pa.int32()))
+            sink = pa.BufferOutputStream()
+            batch = pa.RecordBatch.from_arrays([*head.columns, lists], names=[*head.schema.names, "words"])
+            with pa.ipc.new_stream(sink, batch.schema) as stream:
+                stream.write_batch(batch)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["word", "rows"])
 
-def _distinct(pattern: str):
     def run(batches):
         import regex
 
-        word = regex.compile(pattern)
-        for batch in sliced(batches, "text", most=8 << 20):
-            held: Counter = Counter()
-            for text in batch.column("text").to_pylist():
-                held.update(set(words_of(_text(text), word)))
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "docs"])
+        find, spaced = regex.compile(pattern).findall, re.compile(" +[^ ]*").findall
+        heads, parts, part_of, size = [], [], _Numbers(), 0
+        for batch in sliced(batches, "text", most=4 << 20):
+            mine = []
+            for raw in batch.column("text").to_pylist():
+                units = _spaced(raw.decode("utf-8", "replace"), spaced) if raw else []
+                mine.append(np.fromiter(map(part_of.__getitem__, units), np.int32, len(units)))
+                size += len(raw or b"")
+            heads.append(batch.select(["_f", "_r", "id"]))
+            parts.append(mine)
+            if size >= most:
+                yield from laid(heads, parts, part_of, find)
+                heads, parts, part_of, size = [], [], _Numbers(), 0
+        if heads:
+            yield from laid(heads, parts, part_of, find)
 
     return run
 
 
-def _placed(pattern: str, shared):
-    """A row per text with the pieces between its holes, then a row per hole with its word."""
-    names = ["_f", "_r", "id", "parts", "place", "word"]
+def _flat(column) -> tuple[np.ndarray, np.ndarray]:
+    """Values of lists, and where each begins and ends; a null list has none."""
+    size = pc.fill_null(column.value_lengths(), 0).to_numpy(zero_copy_only=False)
+    return column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
 
-    def run(batches):
-        import regex
 
-        find, known = regex.compile(pattern), shared.value
-        for batch in sliced(batches, "text", most=1 << 20):
-            parts, at, place, word = [], [], [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                mine: list[list[int]] = [[]]
-                for w in words_of(_text(text), find):
-                    ids = known.get(w)
-                    if ids is None:
-                        at.append(i)
-                        place.append(len(mine) - 1)
-                        word.append(w)
-                        mine.append([])
-                    else:
-                        mine[-1].extend(ids)
-                parts.append(mine)
-            n, take = batch.num_rows, pa.array(at, pa.int32())
-            lists = pa.list_(pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:3]), pa.array(parts, lists), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())], names=names)
-            yield pa.RecordBatch.from_arrays([batch.column("_f").take(take), batch.column("_r").take(take), pa.nulls(len(at), batch.column("id").type),
-                                              pa.nulls(len(at), lists), pa.array(place, pa.int32()), pa.array(word, pa.string())], names=names)
+def _placed(names: list[str], decoded):
+    """Texts with the ids of their words, which come before them."""
+
+    def run(batches):
+        values, cuts, ids, size = None, None, [], []
+        for batch in batches:
+            is_word = batch.column("rows").is_null().to_numpy(zero_copy_only=False)
+            turns = [0, *(np.flatnonzero(is_word[1:] != is_word[:-1]) + 1), batch.num_rows] if batch.num_rows else [0]
+            for lo, hi in zip(turns[:-1], turns[1:]):
+                part = batch.slice(lo, hi - lo)
+                if is_word[lo]:
+                    ids.append(np.fromstring("".join(part.column("ids").to_pylist()), np.int32, sep=","))
+                    size.append(part.column("n").to_numpy())
+                    continue
+                if ids or values is None:  # the words of another block
+                    values = np.concatenate([*ids, np.zeros(0, np.int32)])
+                    cuts = np.concatenate([[0], np.cumsum(np.concatenate([*size, np.zeros(0, np.int64)]))]).astype(np.int64)
+                    ids, size = [], []
+                for rows in part.column("rows"):
+                    texts = pa.ipc.open_stream(rows.as_buffer()).read_next_batch()
+                    which, at = _flat(texts.column("words"))
+                    got, counts = _gathered(values, cuts, which)
+                    begin = np.concatenate([[0], np.cumsum(counts)])[at]
+                    lists = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(got, pa.int32()))
+                    more = [decoded(lists)] if decoded else []
+                    yield pa.RecordBatch.from_arrays([*texts.columns[:3], lists, *more], names=names)
 
     return run
 
 
-def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", id_col: str = "doc_id", fold: str = "merges", most: int = HOT_BYTES) -> DataFrame:
-    """(_f, _r, id, ids) per row."""
-    spark = docs.sparkSession
-    rows = keyed(scanned(docs), F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    counted = rows.select("text").mapInArrow(tidy(_distinct(pieces.word)), "word string, docs long").groupBy("word").agg(F.sum("docs").alias("docs"))
-    counted = stored(counted, "words")
-    words = stored(encode_words(counted.repartition("word"), pieces, fold), "word-pieces")
-    least = least_count(words, "docs", F.octet_length("word") + 4 * F.size("ids") + 32, most)
-    hot = {r["word"]: r["ids"] for r in words.filter(F.col("docs") >= least).select("word", "ids").toLocalIterator()}  # at most `most` bytes
-    shared = spark.sparkContext.broadcast(hot)
+def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", id_col: str = "doc_id", fold: str = "merges", most: int = BLOCK_BYTES,
+           decoded: bool = False) -> DataFrame:
+    """(_f, _r, id, ids) per row, and with ``decoded`` the text that the ids decode to; ``most`` bytes of text close a block."""
     kind = docs.schema[id_col].dataType.simpleString()
-    found = stored(rows.mapInArrow(tidy(_placed(pieces.word, shared)), f"_f long, _r long, id {kind}, parts array<array<int>>, place int, word string"), "placed")
-    shared.destroy()
-    holes = found.filter("word IS NOT NULL").select(*ROW, "place", "word").join(words.filter(F.col("docs") < least).select("word", "ids"), "word")
-    filled = holes.groupBy(*ROW).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "ids"))), lambda h: h["ids"]).alias("fill"))
-    heads = found.filter("parts IS NOT NULL").select(*ROW, "id", "parts")
-    none = F.array().cast("array<int>")
-    put = F.zip_with("parts", F.coalesce("fill", F.array().cast("array<array<int>>")), lambda p, h: F.concat(p, F.coalesce(h, none)))
-    whole = heads.filter(F.size("parts") == 1).select(*ROW, "id", F.element_at("parts", 1).alias("ids"))
-    return whole.unionByName(heads.filter(F.size("parts") > 1).join(filled, ROW).select(*ROW, "id", F.flatten(put).alias("ids")))
-
-
-def decode(rows: DataFrame, pieces: Pieces, ids_col: str = "ids") -> DataFrame:
-    """``rows`` with the column ``decoded``: the bytes of the ids' pieces, as text."""
+    rows = keyed(docs, F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    blocks = rows.mapInArrow(tidy(_blocks(pieces.word, most)), "word string, rows binary")
+    found = encode_words(blocks, pieces, fold)
+    listed = F.concat(F.array_join(F.col("ids").cast("array<string>"), ","), F.lit(","))
+    found = found.select("rows", F.size("ids").alias("n"), listed.alias("ids"))
+    names = ["_f", "_r", "id", "ids", *(["decoded"] if decoded else [])]
+    schema = f"_f long, _r long, id {kind}, ids array<int>" + (", decoded string" if decoded else "")
+    return found.mapInArrow(tidy(_placed(names, _decoder(pieces) if decoded else None)), schema)
+
+
+def _decoder(pieces: Pieces):
+    """Lists of ids to texts: the bytes of the ids' pieces, without a space in front."""
     names: list = [b""] * (max([i for _, i, _ in pieces.rows] + [(pieces.first_byte or 0) + 255]) + 1)
     for p, i, _ in pieces.rows:
         names[i] = p.replace(SPACE, " ").encode()
     if pieces.first_byte is not None:
         for b in range(256):
             names[pieces.first_byte + b] = bytes([b])
-    at = rows.columns.index(ids_col)
+
+    def texts(lists):
+        ids, at = _flat(lists)
+        said = pa.array(names, pa.binary()).take(pa.array(ids, pa.int32()))
+        ends = np.frombuffer(said.buffers()[1], np.int32)[said.offset:said.offset + len(said) + 1][at].tolist()
+        whole = memoryview(said.buffers()[2]) if len(said) else b""
+        every = [bytes(whole[a:b]) for a, b in zip(ends[:-1], ends[1:])]
+        return pa.array([(t[1:] if t.startswith(b" ") else t).decode("utf-8", "replace") for t in every], pa.string())
+
+    return texts
+
+
+def decode(rows: DataFrame, pieces: Pieces, ids_col: str = "ids") -> DataFrame:
+    """``rows`` with the column ``decoded``: the bytes of the ids' pieces, as text."""
+    at, texts = rows.columns.index(ids_col), _decoder(pieces)
 
     def run(batches):
         for batch in batches:
-            texts = [b"".join(map(names.__getitem__, ids)).decode("utf-8", "replace") if ids else "" for ids in batch.column(at).to_pylist()]
-            plain = pa.array([t[1:] if t.startswith(" ") else t for t in texts], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, plain], names=[*batch.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts(batch.column(at))], names=[*batch.schema.names, "decoded"])
 
     return rows.mapInArrow(run, rows.withColumn("decoded", F.lit("")).schema)
 
@@ -264,6 +387,6 @@ def model_path(name: str = MODEL) -> str:
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = Pieces(model_path())
-    found = decode(encode(table(spark, sf_dir, "documents"), pieces), pieces)
+    found = encode(table(spark, sf_dir, "documents"), pieces, decoded=True)
     return found.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_ids"), "ids",
                         F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"))

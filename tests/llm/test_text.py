@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import tempfile
 
 import numpy as np
 import pytest
@@ -256,6 +257,27 @@ def test_sentencepiece_equals_the_library(spark):
     assert sorted(list(r.ids) for r in sentencepiece_lattice.encode(again, pieces, most=0).collect()) == [sp.encode("a b")] * 3
 
 
+def test_sentencepiece_shuffles_and_stores_nothing(spark):
+    """Words are folded inside the task of their texts: no exchange, no stored table, whatever the number of rare words."""
+    from sentencepiece import SentencePieceProcessor
+
+    pieces = sentencepiece_lattice.Pieces(sentencepiece_lattice.model_path())
+    sp = SentencePieceProcessor(model_file=pieces.path)
+    rng = np.random.default_rng(5)
+    texts = [" ".join("".join(rng.choice(list("abcdeimnorstäß,.\n1"), rng.integers(1, 14))) for _ in range(300)) for _ in range(40)]
+    folder = tempfile.mkdtemp()
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.mode("overwrite").parquet(folder)
+    docs = spark.read.parquet(folder)
+    made = len(spark.sparkContext.__dict__.get("_cohortile_made", []))
+    for most in (16 << 20, 20_000):  # one block, several
+        got = sentencepiece_lattice.encode(docs, pieces, most=most)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "aggregate(" in plan
+        assert not any(x in plan for x in ("ShuffleExchange", "Exchange hashpartitioning", "SortMergeJoin", "HashAggregate"))
+        assert {r.id: list(r.ids) for r in got.collect()} == {i: sp.encode(t) for i, t in enumerate(texts)}
+    assert len(spark.sparkContext.__dict__.get("_cohortile_made", [])) == made
+
+
 def test_viterbi_fold_is_the_best_sum(spark):
     rng = np.random.default_rng(2)
 
