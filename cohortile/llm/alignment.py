@@ -1,9 +1,9 @@
 """Alignment of two tokenizers over the bytes of a text, by as-of merges.
 
-Both sides' tokens of a batch of documents are laid along the bytes of their texts. A pandas ``merge_asof``
-keyed by document gives every token start the token of the other side that covers it; the union of both
-directions is every overlapping pair. Overlapping pairs with equal ends close groups: within a group no
-token of one side stays within its bounds alone. Links are all pairs of tokens of one group.
+Both sides' tokens of a batch of documents are laid along the bytes of all their texts in a row, where each document
+begins with a token of both sides. A pandas ``merge_asof`` gives every token start the token of the other side that
+covers it; the union of both directions is every overlapping pair. Overlapping pairs with equal ends close groups:
+within a group no token of one side stays within its bounds alone. Links are all pairs of tokens of one group.
 
 How many documents hold a pair of ids linked is counted over the corpus by Spark, from one row per document
 and pair. Those counts go back to the documents' pairs by a broadcast of the most frequent pairs, as many as fit the
@@ -70,12 +70,13 @@ def _laid(ids: list[np.ndarray], size: np.ndarray) -> pd.DataFrame:
 
 def overlapping(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     """(i, j) of every token of ``left`` and token of ``right`` that share a byte, by place, in the order of those bytes."""
-    one, two = left[["doc", "start"]].assign(i=np.arange(len(left))), right[["doc", "start"]].assign(j=np.arange(len(right)))
-    ab = pd.merge_asof(one, two, on="start", by="doc")
-    ba = pd.merge_asof(two, one, on="start", by="doc")
+    one, two = pd.DataFrame({"start": left["start"], "i": np.arange(len(left))}), pd.DataFrame({"start": right["start"], "j": np.arange(len(right))})
+    ab = pd.merge_asof(one, two, on="start")
+    ba = pd.merge_asof(two, one, on="start")
     ba = ba[left["start"].to_numpy()[ba["i"]] != ba["start"].to_numpy()]  # tokens that start together are there already
-    both = pd.concat([ab, ba], ignore_index=True)
-    return both[["i", "j"]].iloc[np.argsort(both["start"].to_numpy(), kind="stable")].reset_index(drop=True)
+    i, j, start = (np.concatenate([ab[c].to_numpy(), ba[c].to_numpy()]) for c in ("i", "j", "start"))
+    by = np.argsort(start, kind="stable")
+    return pd.DataFrame({"i": i[by], "j": j[by]})
 
 
 def groups(left: pd.DataFrame, right: pd.DataFrame, pairs: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
@@ -123,9 +124,9 @@ def linked(left: pd.DataFrame, right: pd.DataFrame, a_group: np.ndarray, b_group
 
 
 @functools.cache
-def _said(n: int) -> list[list[bytes]]:
+def _said(n: int) -> pa.Array:
     """Ids with what follows them: another of their side and group, the other side, the next group."""
-    return [[b"%d%c" % (i, sep) for i in range(n)] for sep in b",|;"]
+    return pa.array([b"%d%c" % (i, sep) for sep in b",|;" for i in range(n)], pa.large_binary())
 
 
 def digests(left: pd.DataFrame, right: pd.DataFrame, a_group: np.ndarray, b_group: np.ndarray, n_docs: int) -> list[str]:
@@ -137,9 +138,12 @@ def digests(left: pd.DataFrame, right: pd.DataFrame, a_group: np.ndarray, b_grou
     mark[:-1] *= order[1:] != order[:-1]
     ids = np.concatenate([left["id"].to_numpy(), right["id"].to_numpy()])[by]
     at = np.searchsorted(np.concatenate([left["doc"].to_numpy(), right["doc"].to_numpy()])[by], np.arange(n_docs + 1))
-    said = _said(int(ids.max(initial=0)) // 50_000 * 50_000 + 50_000)
-    words = [said[m][i] for m, i in zip(mark.tolist(), ids.tolist())]
-    return [hashlib.sha256(b"".join(words[x:y])[:-1]).hexdigest() if y > x else "" for x, y in zip(at[:-1], at[1:])]
+    if not len(ids):
+        return [""] * n_docs
+    n = int(ids.max()) // 50_000 * 50_000 + 50_000
+    _, ends, said = _said(n).take(pa.array(mark * n + ids)).buffers()
+    said, ends = memoryview(said), np.frombuffer(ends, np.int64)[at].tolist()
+    return [hashlib.sha256(said[x:y - 1]).hexdigest() if y > x else "" for x, y in zip(ends[:-1], ends[1:])]
 
 
 def _texts(batch) -> list[str]:

@@ -142,3 +142,20 @@ def test_overlaps_are_the_shared_bytes(spark):
                     want.append((i, x, y, ai, bi, max(s, u), min(e, v), sum(z <= s for z in ends)))
     assert got == sorted(want)
     assert alignment.aligned(frame(spark, [])).count() == 0 and alignment.overlaps(frame(spark, [])).count() == 0
+
+
+def test_as_of_merges_look_up_no_document_and_digests_make_no_strings(monkeypatch):
+    """What one merge costs: whole rows of bytes are merged without a key, and hashed as they lie."""
+    import pandas as pd
+
+    seen, merge = [], pd.merge_asof
+    monkeypatch.setattr(pd, "merge_asof", lambda *a, **b: seen.append(b) or merge(*a, **b))
+    sides = alignment.Sides()
+    texts = ["plain words, don't", "", "▁none", "ünder the tables, 123456", "plain words, don't"]
+    ids = sides.encode(texts)
+    left, right = alignment._laid(ids[0], sides.a_size), alignment._laid(ids[1], sides.b_size)
+    pairs = alignment.overlapping(left, right)
+    assert seen and not any("by" in b for b in seen)
+    assert (left["doc"].to_numpy()[pairs["i"]] == right["doc"].to_numpy()[pairs["j"]]).all()
+    a_group, b_group, _ = alignment.groups(left, right, pairs)
+    assert alignment.digests(left, right, a_group, b_group, len(texts)) == [r[-1] for r in brute_alignment(texts)]
