@@ -25,6 +25,8 @@ columns are not looked at, whatever their names.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,8 @@ MODEL = "piece_bpe_32k.model"
 SPACE, LONG = "▁", 60
 #: Bytes of text whose distinct words are folded once, and words or texts handed on at a time.
 BLOCK_BYTES, ROWS = 16 << 20, 1 << 13
+#: Characters by which the pieces that can begin at a place are told, and the bit that marks a word for the slower fold.
+OPENING, LATE = 3, 1 << 62
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -80,22 +84,40 @@ def _with(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def _joins(mask: Column, edge: Column) -> Column:
+    """Whether the ends of ``edge`` are borders of ``mask`` with one border between them."""
+    return (mask.bitwiseAND(edge["ends"]) == edge["ends"]) & (F.bit_count(mask.bitwiseAND(edge["inner"])) == 1)
+
+
+def _cleared(mask: Column, edge: Column) -> Column:
+    return mask.bitwiseAND(F.bitwise_not(edge["inner"]))
+
+
+def _one_by_one(edges: Column, size: Column, whole: Column) -> Column:
+    """``_merged`` by a search through all edges before every merge."""
+    def step(mask, _):
+        best = F.get(F.filter(edges, lambda e: _joins(mask, e)), F.lit(0))
+        return _with(best, lambda e: F.when(e.isNull(), mask).otherwise(_cleared(mask, e)))
+
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), whole, step)
+
+
 def _merged(edges: Column, size: Column) -> Column:
     """Begins of the pieces of a word of ``size`` characters as bits; ``edges`` are in the order of merging.
 
-    An edge whose ends are no longer borders, or with no border between them, never comes back and leaves the list.
+    One pass over the edges does, as long as no merge lets an edge join that the pass has left behind. Such an edge
+    holds the merge's own and shares an end with it; where there is one, the ``before`` edges in front are looked
+    through again. A word in which one of them joins is marked and folded by a search before every merge.
     """
     one = F.lit(1).cast("long")
 
-    def step(state, _):
-        left = lambda m: F.filter(state["edges"], lambda e: (m.bitwiseAND(e["ends"]) == e["ends"]) & (m.bitwiseAND(e["inner"]) != 0))
-        best = F.get(F.filter(state["edges"], lambda e: F.bit_count(state["mask"].bitwiseAND(e["inner"])) == 1), F.lit(0))
-        return F.when(F.size(state["edges"]) == 0, state).otherwise(_with(best["inner"], lambda inner: F.when(
-            inner.isNull(), F.struct(state["mask"].alias("mask"), F.slice(state["edges"], 1, 0).alias("edges"))).otherwise(_with(
-                state["mask"].bitwiseAND(F.bitwise_not(inner)), lambda m: F.struct(m.alias("mask"), left(m).alias("edges"))))))
+    def step(mask, e):
+        m = _cleared(mask, e)
+        late = (e["before"] > 0) & F.exists(F.slice(edges, F.lit(1), e["before"]), lambda f: _joins(m, f))
+        return F.when(_joins(mask, e), F.when(late, m.bitwiseOR(F.lit(LATE))).otherwise(m)).otherwise(mask)
 
-    whole = F.struct((_bits("shiftleft", one, size + 1) - 1).alias("mask"), edges.alias("edges"))
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), whole, step, lambda state: state["mask"])
+    whole = _bits("shiftleft", one, size + 1) - 1
+    return _with(F.aggregate(edges, whole, step), lambda m: F.when(m < LATE, m).otherwise(_one_by_one(edges, size, whole)))
 
 
 def _best_path(edges: Column, size: Column) -> Column:
@@ -116,22 +138,14 @@ def _best_path(edges: Column, size: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), size), begin, step, lambda a: F.element_at(a, -1)["mask"])
 
 
-def _word_ids(word: Column, edges: Column, alone: Column, mask: Column, pieces: Pieces) -> Column:
-    """Ids of the pieces between the set bits of ``mask``; ``alone`` has those of single characters, -1 for none."""
-    one = F.lit(1).cast("long")
-    at = F.filter(F.sequence(F.lit(0), F.length(word)), lambda i: _bits("shiftright", mask, i).bitwiseAND(one) == 1)
-    known = _with(at, lambda at: F.zip_with(F.slice(at, F.lit(1), F.size(at) - 1), F.slice(at, F.lit(2), F.size(at) - 1), lambda a, b: F.when(
-        b - a == 1, F.get(alone, a)).otherwise(_with(
-            _bits("shiftleft", one, a) + _bits("shiftleft", one, b), lambda ends: F.get(F.filter(edges, lambda e: e["ends"] == ends), F.lit(0))["id"]))))
-
-    def raw(begin, i):
-        code = F.hex(F.substring(word, begin + 1, F.lit(1)).cast("binary"))
-        own = F.transform(F.sequence(F.lit(0), (F.length(code) / 2).cast("int") - 1),
-                          lambda k: F.conv(F.substring(code, k * 2 + 1, F.lit(2)), 16, 10).cast("int") + F.lit(pieces.first_byte or 0))
-        return F.when(i >= 0, F.array(i)).otherwise(own if pieces.first_byte is not None else F.array(F.lit(pieces.unknown)))
-
-    return _with(known, lambda ids: F.when(F.exists(ids, lambda i: i < 0), F.flatten(
-        F.zip_with(F.slice(at, F.lit(1), F.size(at) - 1), ids, raw))).otherwise(ids))
+def _openings(pieces: Pieces, least: int) -> list[tuple[str, list[int]]]:
+    """Lengths, from ``least`` on, of the pieces that a text beginning with some OPENING characters can begin with."""
+    names = {p for p, _, _ in pieces.rows}
+    found: dict[str, set[int]] = {}
+    for p in names:
+        if len(p) >= OPENING:
+            found.setdefault(p[:OPENING], {n for n in range(least, OPENING) if p[:n] in names}).add(len(p))
+    return [(p, sorted(n)) for p, n in found.items()]
 
 
 def _by_library(path: str):
@@ -147,21 +161,61 @@ def _by_library(path: str):
     return ids
 
 
-def _grouped(kept: int, at: int, rows: list, path: str, names: list[str], scored: bool):
+def _piece_ids(pieces: Pieces):
+    """Words and the begins of their pieces as bits to the words' ids: values, one word after another, and their number per word.
+
+    A word without bits goes to the library, a single character without a piece becomes its bytes.
+    """
+    names, first = pa.array([p for p, _, _ in pieces.rows], pa.string()), pieces.first_byte
+    own = np.array([i for _, i, _ in pieces.rows] + [pieces.unknown], np.int32)
+    library = _by_library(pieces.path)
+
+    def ids(words, masks) -> tuple[np.ndarray, np.ndarray]:
+        whole = masks.is_null().to_numpy(zero_copy_only=False)
+        if whole.any():
+            values, size = ids(words.filter(masks.is_valid()), masks.drop_null())
+            more = [library(w) for w in words.filter(masks.is_null()).to_pylist()]
+            values = np.concatenate([values, *(np.array(m, np.int32) for m in more)])
+            cuts = np.concatenate([[0], np.cumsum(np.concatenate([size, np.array([len(m) for m in more], np.int64)]))])
+            return _gathered(values, cuts, np.argsort(np.argsort(whole, kind="stable"), kind="stable"))
+        mask, length = masks.to_numpy(), pc.utf8_length(words).to_numpy().astype(np.int64)
+        data = np.frombuffer("".join(words.to_pylist()).encode(), np.uint8)
+        ends = np.cumsum(length)
+        place = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - length, length)
+        begins = (np.repeat(mask, length) >> place & 1).astype(bool)
+        at = np.append(np.flatnonzero((data & 0xC0) != 0x80)[begins], len(data)).astype(np.int32)
+        spans = pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(data))
+        found = pc.fill_null(pc.index_in(spans, value_set=names), -1).to_numpy()
+        strange, values, size = found < 0, own[found], np.ones(len(found), np.int64)
+        if first is not None and strange.any():
+            size = np.where(strange, np.diff(at), 1)
+            values = np.repeat(values, size)
+            values[np.repeat(strange, size)] = data[np.repeat(strange, np.diff(at))].astype(np.int32) + first
+        upto = np.concatenate([[0], np.cumsum(size)])
+        before = np.concatenate([[0], np.cumsum(begins)])[np.concatenate([[0], ends]).astype(np.int64)]
+        return values, np.diff(upto[before])
+
+    return ids
+
+
+def _grouped(kept: int, rows: list, names: list[str], scored: bool):
     """Rows without an edge, each with the edges that follow it, in the order of merging."""
     bits = 14  # of an edge's place: 7 of its begin, 7 of its length
     score = np.zeros(max(i for _, i, _ in rows) + 1)
     rank = np.zeros(len(score), np.int64)  # of scores, the best first
-    single = np.full(0x110000, -1, np.int32)
-    for piece, i, value in rows:
+    for _, i, value in rows:
         score[i] = value
-        if len(piece) == 1:
-            single[ord(piece)] = i
     own = [i for _, i, _ in rows]
     rank[own] = np.unique(-score[own], return_inverse=True)[1]
 
-    def listed(values, size):
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), values)
+    def held_by(group, rank):
+        """Whether a row comes after one of its group, all of which lie together, with a rank as good or better."""
+        if not len(group):
+            return np.zeros(0, bool)
+        new = np.append(True, group[1:] != group[:-1])
+        step = np.cumsum(new) * (len(score) + 1)
+        best = np.minimum.accumulate(rank - step) + step  # the ranks of another group never count
+        return np.append(False, best[:-1] <= rank[1:]) & ~new
 
     def out(table):
         table = table.combine_chunks()
@@ -170,21 +224,24 @@ def _grouped(kept: int, at: int, rows: list, path: str, names: list[str], scored
         code = edge.drop_null().to_numpy(zero_copy_only=False)
         size = np.diff(np.concatenate([head, [table.num_rows]])) - 1
         of, s, n, i = np.repeat(np.arange(len(head)), size), code >> 7 & 127, code & 127, code >> bits
+        if not scored:  # edges come by word, begin and length
+            longer = held_by((of << 7 | s)[::-1], rank[i][::-1])[::-1].copy()
+            end = of << 7 | s + n
+            by = np.argsort(end, kind="stable")  # the longest first
+            longer[by] |= held_by(end[by], rank[i][by])
         by = np.argsort((of << 46) | (rank[i] << bits) | (code & ((1 << bits) - 1)))
         s, n, i = s[by], n[by], i[by]
         one = np.int64(1)
-        has = {"id": i.astype(np.int32), "ends": (one << (s - 1)) + (one << (s - 1 + n))}
-        has |= {"s": s.astype(np.int32), "n": n.astype(np.int32), "score": score[i]} if scored else {"inner": ((one << (n - 1)) - 1) << s}
+        if scored:
+            has = {"s": s.astype(np.int32), "n": n.astype(np.int32), "score": score[i]}
+        else:
+            before = np.where(longer[by], np.arange(len(i)) - np.repeat(np.cumsum(size) - size, size), 0)
+            has = {"ends": (one << (s - 1)) + (one << (s - 1 + n)), "inner": ((one << (n - 1)) - 1) << s, "before": before.astype(np.int32)}
         edges = pa.StructArray.from_arrays(list(map(pa.array, has.values())), list(has))
+        listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), edges)
         mine = table.take(pa.array(head)).select(range(kept)).combine_chunks()
-        words = mine.column(at).to_pylist()
-        text = "".join(w for w in words if w)
-        alone = single[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
-        given = pa.array([library(w) if w and len(w) > LONG else None for w in words], pa.list_(pa.int32()))
         columns = [c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in mine.columns]
-        return pa.RecordBatch.from_arrays([*columns, listed(edges, size), listed(pa.array(alone), [len(w or "") for w in words]), given], names=names)
-
-    library = _by_library(path)
+        return pa.RecordBatch.from_arrays([*columns, listed], names=names)
 
     def run(batches):
         held = None
@@ -203,33 +260,49 @@ def _grouped(kept: int, at: int, rows: list, path: str, names: list[str], scored
     return run
 
 
-def encode_words(words: DataFrame, pieces: Pieces, fold: str = "merges") -> DataFrame:
-    """``words`` (word, and what else a row has) with ids, null where the word is; rows stay in their order and partitions."""
+def folded(words: DataFrame, pieces: Pieces, fold: str = "merges") -> DataFrame:
+    """``words`` (word, and what else a row has) with the begins of its pieces as bits in ``mask``; rows stay in their order and partitions.
+
+    The mask is null where the word is, and for words above LONG characters.
+    """
     spark, size, kept = words.sparkSession, F.length("word"), words.columns
     least = 2 if fold == "merges" else 1  # characters of the substrings that are looked up
     lattice = F.coalesce(size <= LONG, F.lit(False)) & (size >= least)
     start = words.select(*kept, F.explode(F.when(lattice, F.sequence(F.lit(0), size - (least - 1))).otherwise(F.array(F.lit(0)))).alias("_s"))
-    sub = start.select(*kept, "_s", F.explode(F.when(F.col("_s") == 0, F.array(F.lit(0))).otherwise(
-        F.sequence(F.lit(least), F.least(F.lit(pieces.longest), size - F.col("_s") + 1)))).alias("_n"))
+    start = start.withColumn("_opening", F.when(F.col("_s") > 0, F.expr(f"substring(word, _s, {OPENING})")))
+    openings = spark.createDataFrame(_openings(pieces, least), "_opening string, _lengths array<int>")
+    short = F.sequence(F.lit(least), F.lit(OPENING - 1))
+    sub = start.join(F.broadcast(openings), "_opening", "left").select(*kept, "_s", F.explode(
+        F.when(F.col("_s") == 0, F.array(F.lit(0))).otherwise(F.coalesce("_lengths", short))).alias("_n"))
+    sub = sub.filter((F.col("_s") == 0) | (F.col("_n") <= size - F.col("_s") + 1))
     sub = sub.withColumn("_piece", F.when(F.col("_s") > 0, F.expr("substring(word, _s, _n)")))
     table = pieces.table(spark).select(F.col("piece").alias("_piece"), F.col("id").cast("long").alias("_id"))
     found = sub.join(F.broadcast(table), "_piece", "left").filter("_id IS NOT NULL OR _s = 0")
     code = F.expr("shiftleft(_id, 14) + shiftleft(_s, 7) + _n")
     edges = found.select(*(F.when(F.col("_s") == 0, F.col(c)).alias(c) for c in kept), F.when(F.col("_s") > 0, code).alias("_edge"))
-    kind = f"array<struct<id:int,ends:bigint,{'inner:bigint' if fold == 'merges' else 's:int,n:int,score:double'}>>"
-    shape = words.withColumns({"_edges": F.lit(None).cast(kind), "_alone": F.lit(None).cast("array<int>"), "_given": F.lit(None).cast("array<int>")}).schema
-    grouped = edges.mapInArrow(tidy(_grouped(len(kept), kept.index("word"), pieces.rows, pieces.path, shape.names, fold != "merges")), shape)
-    folded = grouped.withColumn("_mask", F.when(lattice | (size == 1), (_merged if fold == "merges" else _best_path)(F.col("_edges"), size)))
-    ids = _word_ids(F.col("word"), F.col("_edges"), F.col("_alone"), F.col("_mask"), pieces)
-    return folded.select(*kept, F.coalesce(F.col("_given"), F.when(F.col("_mask").isNotNull(), ids)).alias("ids"))
+    kind = f"array<struct<{'ends:bigint,inner:bigint,before:int' if fold == 'merges' else 's:int,n:int,score:double'}>>"
+    shape = words.withColumn("_edges", F.lit(None).cast(kind)).schema
+    grouped = edges.mapInArrow(tidy(_grouped(len(kept), pieces.rows, shape.names, fold != "merges")), shape)
+    return grouped.select(*kept, F.when(lattice | (size == 1), (_merged if fold == "merges" else _best_path)(F.col("_edges"), size)).alias("mask"))
 
 
-class _Numbers(dict):
-    """Numbers in the order in which keys are first asked for."""
+def encode_words(words: DataFrame, pieces: Pieces, fold: str = "merges") -> DataFrame:
+    """``words`` (word, and what else a row has) with ids, null where the word is; rows stay in their order and partitions."""
+    kept, found = words.columns, folded(words, pieces, fold)
+    at, ids = kept.index("word"), _piece_ids(pieces)
 
-    def __missing__(self, key):
-        n = self[key] = len(self)
-        return n
+    def run(batches):
+        for batch in batches:
+            word = batch.column(at)
+            there = word.is_valid()
+            values, size = ids(word.filter(there), batch.column(len(kept)).filter(there))
+            cuts = np.concatenate([[0], np.cumsum(size)])
+            lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values, pa.int32()))
+            places = np.cumsum(there.to_numpy(zero_copy_only=False)) - 1
+            lists = lists.take(pa.array(places, pa.int32(), mask=~there.to_numpy(zero_copy_only=False)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], names=[*kept, "ids"])
+
+    return found.mapInArrow(tidy(run), words.withColumn("ids", F.lit(None).cast("array<int>")).schema)
 
 
 def _spaced(text: str, find) -> list[str]:
@@ -254,44 +327,54 @@ def _blocks(pattern: str, most: int):
     Some texts are one row of bytes: nested columns beside every edge cost Spark's Arrow writer more than all the rest.
     """
 
-    def laid(heads, parts, part_of: _Numbers, find):
-        word_of, held, size = _Numbers(), [], []
+    def numbers() -> dict[str, int]:
+        """Numbers in the order in which keys are first asked for."""
+        return defaultdict(count().__next__)
+
+    def laid(heads, parts, part_of, find):
+        word_of, held, size = numbers(), [], []
         for part in part_of:
             # letters alone have no cut
             mine = [SPACE + part] if part.isalpha() else [w for w in find(SPACE + part.replace(" ", SPACE)) if w]
             held.extend(map(word_of.__getitem__, mine))
             size.append(len(mine))
         values, cuts = np.array(held, np.int32), np.concatenate([[0], np.cumsum(np.array(size, np.int64))])
-        words = list(word_of)
+        words = pa.array(list(word_of), pa.string())
+        # the strings would otherwise stay while all that follows is done with the rows
+        part_of.clear(), word_of.clear(), held.clear(), size.clear()
         for lo in range(0, len(words), ROWS):
-            some = pa.array(words[lo:lo + ROWS], pa.string())
+            some = words[lo:lo + ROWS]
             yield pa.RecordBatch.from_arrays([some, pa.nulls(len(some), pa.binary())], names=["word", "rows"])
         for head, mine in zip(heads, parts):
-            numbers, counts = _gathered(values, cuts, np.concatenate([*mine, np.zeros(0, np.int32)]))
+            found, counts = _gathered(values, cuts, np.concatenate([*mine, np.zeros(0, np.int32)]))
             before = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum([len(m) for m in mine])])]
-            lists = pa.ListArray.from_arrays(pa.array(before, pa.int32()), pa.array(numbers, pa.int32()))
+            lists = pa.ListArray.from_arrays(pa.array(before, pa.int32()), pa.array(found, pa.int32()))
             sink = pa.BufferOutputStream()
             batch = pa.RecordBatch.from_arrays([*head.columns, lists], names=[*head.schema.names, "words"])
             with pa.ipc.new_stream(sink, batch.schema) as stream:
                 stream.write_batch(batch)
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["word", "rows"])
 
+    def places(batch, part_of, spaced) -> list[np.ndarray]:
+        held = []
+        for raw in batch.column("text").to_pylist():
+            units = _spaced(raw.decode("utf-8", "replace"), spaced) if raw else []
+            held.append(np.fromiter(map(part_of.__getitem__, units), np.int32, len(units)))
+        return held
+
     def run(batches):
         import regex
 
         find, spaced = regex.compile(pattern).findall, re.compile(" +[^ ]*").findall
-        heads, parts, part_of, size = [], [], _Numbers(), 0
+        heads, parts, part_of, size = [], [], numbers(), 0
         for batch in sliced(batches, "text", most=4 << 20):
-            mine = []
-            for raw in batch.column("text").to_pylist():
-                units = _spaced(raw.decode("utf-8", "replace"), spaced) if raw else []
-                mine.append(np.fromiter(map(part_of.__getitem__, units), np.int32, len(units)))
-                size += len(raw or b"")
-            heads.append(batch.select(["_f", "_r", "id"]))
-            parts.append(mine)
+            parts.append(places(batch, part_of, spaced))
+            # copied, or else the texts' buffer stays with them
+            heads.append(batch.select(["_f", "_r", "id"]).take(pa.array(np.arange(batch.num_rows))))
+            size += pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
             if size >= most:
                 yield from laid(heads, parts, part_of, find)
-                heads, parts, part_of, size = [], [], _Numbers(), 0
+                heads, parts, part_of, size = [], [], numbers(), 0
         if heads:
             yield from laid(heads, parts, part_of, find)
 
@@ -304,10 +387,11 @@ def _flat(column) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
 
 
-def _placed(names: list[str], decoded):
+def _placed(names: list[str], pieces: Pieces, decoded):
     """Texts with the ids of their words, which come before them."""
 
     def run(batches):
+        ids_of = _piece_ids(pieces)
         values, cuts, ids, size = None, None, [], []
         for batch in batches:
             is_word = batch.column("rows").is_null().to_numpy(zero_copy_only=False)
@@ -315,8 +399,9 @@ def _placed(names: list[str], decoded):
             for lo, hi in zip(turns[:-1], turns[1:]):
                 part = batch.slice(lo, hi - lo)
                 if is_word[lo]:
-                    ids.append(np.fromstring("".join(part.column("ids").to_pylist()), np.int32, sep=","))
-                    size.append(part.column("n").to_numpy())
+                    own, counts = ids_of(part.column("word"), part.column("mask"))
+                    ids.append(own)
+                    size.append(counts)
                     continue
                 if ids or values is None:  # the words of another block
                     values = np.concatenate([*ids, np.zeros(0, np.int32)])
@@ -340,12 +425,10 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", id_col: str
     kind = docs.schema[id_col].dataType.simpleString()
     rows = keyed(docs, F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     blocks = rows.mapInArrow(tidy(_blocks(pieces.word, most)), "word string, rows binary")
-    found = encode_words(blocks, pieces, fold)
-    listed = F.concat(F.array_join(F.col("ids").cast("array<string>"), ","), F.lit(","))
-    found = found.select("rows", F.size("ids").alias("n"), listed.alias("ids"))
+    found = folded(blocks, pieces, fold)
     names = ["_f", "_r", "id", "ids", *(["decoded"] if decoded else [])]
     schema = f"_f long, _r long, id {kind}, ids array<int>" + (", decoded string" if decoded else "")
-    return found.mapInArrow(tidy(_placed(names, _decoder(pieces) if decoded else None)), schema)
+    return found.mapInArrow(tidy(_placed(names, pieces, _decoder(pieces) if decoded else None)), schema)
 
 
 def _decoder(pieces: Pieces):

@@ -304,3 +304,65 @@ def test_viterbi_fold_is_the_best_sum(spark):
     assert got.pop("axb") == [0, 99, 1]
     for word, ids in got.items():
         assert "".join(names[i][0] for i in ids) == word and sum(names[i][1] for i in ids) == pytest.approx(best(word))
+
+
+def test_merges_fold_is_the_best_pair_first(spark):
+    """One pass over the edges, and where a merge lets an edge join that the pass has left behind, a search before every merge."""
+    names = ["a", "b", "c", "ab", "bc", "ca", "aa", "cb", "abc", "bca", "cab", "aab", "abca", "bcab", "aabc"]
+    words = ["".join(w) for n in (1, 2, 3, 6) for w in itertools.product("abc", repeat=n)] + ["axb", "▁", "ü", "abca" * 16]
+
+    def brute(word, score):
+        spans = list(word)
+        while True:
+            pairs = [(-score[a + b][0], i) for i, (a, b) in enumerate(zip(spans, spans[1:])) if a + b in score]
+            if not pairs:
+                return [x for s in spans for x in ([score[s][1]] if s in score else [99])]
+            i = min(pairs)[1]
+            spans[i:i + 2] = [spans[i] + spans[i + 1]]
+
+    late = 0
+    for seed in range(4):
+        rng = np.random.default_rng(seed)
+
+        class Own:
+            rows = [(p, i, float(s)) for i, (p, s) in enumerate(zip(names, -rng.permutation(len(names))))]
+            longest, first_byte, unknown, path = 4, None, 99, sentencepiece_lattice.model_path()
+
+            @classmethod
+            def table(cls, spark):
+                return F.broadcast(spark.createDataFrame(cls.rows, "piece string, id int, score double"))
+
+        score = {p: (s, i) for p, i, s in Own.rows}
+        frame = spark.createDataFrame([(0, w) for w in words], "block long, word string").coalesce(1)
+        got = sentencepiece_lattice.encode_words(frame, Own)
+        assert "aggregate(_edges" in got._jdf.queryExecution().executedPlan().toString()
+        assert {r.word: r.ids for r in got.collect() if len(r.word) < 60} == {w: brute(w, score) for w in words if len(w) < 60}
+        order = sorted(Own.rows, key=lambda r: -r[2])
+        for w in words[:-1]:  # the same pass, without a second look
+            begins = set(range(len(w) + 1))
+            for s, n in [(s, len(p)) for p, _, _ in order for s in range(len(w)) if w.startswith(p, s) and len(p) > 1]:
+                if {s, s + n} <= begins and len(begins & set(range(s + 1, s + n))) == 1:
+                    begins -= set(range(s + 1, s + n))
+            at = sorted(begins)
+            late += [score[w[a:b]][1] if w[a:b] in score else 99 for a, b in zip(at, at[1:])] != brute(w, score)
+    assert late > 20
+
+
+def test_sentencepiece_blocks_let_go_of_their_strings():
+    """A task's words are handed on for as long as it lasts: meanwhile its worker holds arrays, not dictionaries of strings."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    pieces = sentencepiece_lattice.Pieces(sentencepiece_lattice.model_path())
+    text = " ".join(f"w{i}x" for i in range(100_000))
+    rows = pa.RecordBatch.from_pydict({"_f": [0], "_r": [0], "id": [1], "text": [text.encode()]})
+    tracemalloc.start()
+    try:
+        batches = sentencepiece_lattice._blocks(pieces.word, 1 << 20)(iter([rows]))
+        first = next(batches)
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    words = [w for b in [first, *batches] for w in b.column("word").to_pylist() if w]
+    assert len(words) == len(set(words)) == 100_000 and held < 5_000_000
