@@ -2,12 +2,13 @@
 
 A text, its spaces written as U+2581 with one more in front, falls into words that no piece can reach across:
 a word begins with space marks, and letters and marks that no piece holds side by side lie in different words. Every
-distinct word of a block of texts is one row: its substrings up to the longest piece are exploded and
-equi-joined to the piece table, the matches are grouped by word as the edges of its lattice, and a
-Spark ``aggregate`` folds them into pieces, which are then put in the places of the word in the texts.
+distinct word of a block of texts is one row: its substrings, of the lengths that pieces with the same opening
+characters have, are exploded and equi-joined to the piece table, the matches are grouped by word as the edges of its
+lattice, and a Spark ``aggregate`` over the edges folds them into the borders of its pieces. Their ids are then put in the
+places of the word in the texts.
 
 A block is some BLOCK_BYTES of one task's texts. Its rows, words first and then texts as numbers of words, go
-through explode, broadcast join and fold in their order and inside their task, so nothing is shuffled, spilled or
+through explode, broadcast joins and fold in their order and inside their task, so nothing is shuffled, spilled or
 stored, and no word or group of words can crowd a task. The price is that a word is folded once in every block that has it.
 
 Two folds are there. ``viterbi`` finds the segmentation with the largest sum of scores, which is how
@@ -39,8 +40,10 @@ from cohortile.llm.common import keyed, sliced, table, tidy
 ROW = ["_f", "_r"]
 MODEL = "piece_bpe_32k.model"
 SPACE, LONG = "▁", 60
-#: Bytes of text whose distinct words are folded once, and words or texts handed on at a time.
-BLOCK_BYTES, ROWS = 16 << 20, 1 << 13
+#: Bytes of text whose distinct words are folded once, bytes of text and words that are handed on at a time.
+BLOCK_BYTES, TEXT_BYTES, ROWS = 32 << 20, 512 << 10, 1 << 13
+#: Before texts in the column of words: no word has a space mark behind something else.
+TEXTS = f"\n{SPACE}"
 #: Characters by which the pieces that can begin at a place are told, and the bit that marks a word for the slower fold.
 OPENING, LATE = 3, 1 << 62
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -63,7 +66,8 @@ class Pieces:
             raise ValueError("a piece reaches over a space")
         inside = {(a, b) for p in names for a, b in zip(p, p[1:])}
         # marks that no piece holds beside a letter, on either side
-        apart = re.escape("".join(c for c in PUNCTUATION if not any((a.isalpha() and b == c) or (a == c and b.isalpha()) for a, b in inside)))
+        self.apart = "".join(c for c in PUNCTUATION if not any((a.isalpha() and b == c) or (a == c and b.isalpha()) for a, b in inside))
+        apart = re.escape(self.apart)
         line = "\n" if not any("\n" in x for x in inside) else ""
         run = rf"\p{{L}}++|[{apart}]++" if apart else r"\p{L}++"
         other = rf"[^\p{{L}}{apart}{SPACE}{line}]++"
@@ -161,6 +165,18 @@ def _by_library(path: str):
     return ids
 
 
+def _strings(values) -> list[str]:
+    return values.to_numpy(zero_copy_only=False).tolist()  # quicker than one scalar after another
+
+
+def _bytes(values) -> np.ndarray:
+    """The bytes of strings, one after another."""
+    if not len(values):
+        return np.zeros(0, np.uint8)
+    cuts = np.frombuffer(values.buffers()[1], np.int32)[values.offset:values.offset + len(values) + 1]
+    return np.frombuffer(values.buffers()[2], np.uint8)[cuts[0]:cuts[-1]] if values.buffers()[2] else np.zeros(0, np.uint8)
+
+
 def _piece_ids(pieces: Pieces):
     """Words and the begins of their pieces as bits to the words' ids: values, one word after another, and their number per word.
 
@@ -179,7 +195,7 @@ def _piece_ids(pieces: Pieces):
             cuts = np.concatenate([[0], np.cumsum(np.concatenate([size, np.array([len(m) for m in more], np.int64)]))])
             return _gathered(values, cuts, np.argsort(np.argsort(whole, kind="stable"), kind="stable"))
         mask, length = masks.to_numpy(), pc.utf8_length(words).to_numpy().astype(np.int64)
-        data = np.frombuffer("".join(words.to_pylist()).encode(), np.uint8)
+        data = _bytes(words)
         ends = np.cumsum(length)
         place = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - length, length)
         begins = (np.repeat(mask, length) >> place & 1).astype(bool)
@@ -305,13 +321,20 @@ def encode_words(words: DataFrame, pieces: Pieces, fold: str = "merges") -> Data
     return found.mapInArrow(tidy(run), words.withColumn("ids", F.lit(None).cast("array<int>")).schema)
 
 
-def _spaced(text: str, find) -> list[str]:
-    """Parts of a text that each have a space before them, without it."""
-    if SPACE in text:
-        text = text.replace(SPACE, " ")
-    if "  " not in text and text[0] != " ":
-        return text.split(" ")
-    return [part[1:] for part in find(" " + text)]
+def _units(text):
+    """Parts of texts that each have a space before them, without it, as lists; a null or empty text has none."""
+    try:
+        text = text.cast(pa.string())
+    except pa.ArrowInvalid:  # bytes that are no UTF-8
+        text = pa.array([None if raw is None else raw.decode("utf-8", "replace") for raw in text.to_pylist()], pa.string())
+    empty = pc.fill_null(pc.equal(pc.binary_length(text), 0), True).to_numpy(zero_copy_only=False)
+    text = pc.replace_substring(text.take(pa.array(np.arange(len(text)), mask=empty)), SPACE, " ")
+    runs = pc.fill_null(pc.or_(pc.starts_with(text, " "), pc.match_substring(text, "  ")), False)  # further spaces belong to what follows them
+    lists = pc.split_pattern(text.filter(pc.invert(runs)), " ")
+    if not pc.any(runs).as_py():
+        return lists
+    odd = pa.array([[part[1:] for part in re.findall(" +[^ ]*", " " + x)] for x in text.filter(runs).to_pylist()], pa.list_(pa.string()))
+    return pa.concat_arrays([lists, odd]).take(pa.array(np.argsort(np.argsort(runs.to_numpy(zero_copy_only=False), kind="stable"))))
 
 
 def _gathered(values: np.ndarray, cuts: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -321,62 +344,72 @@ def _gathered(values: np.ndarray, cuts: np.ndarray, which: np.ndarray) -> tuple[
     return values[np.repeat(cuts[which] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)], size
 
 
-def _blocks(pattern: str, most: int):
+def _blocks(pattern: str, apart: str, most: int):
     """Rows of a block: its distinct words, then its texts as numbers of words.
 
-    Some texts are one row of bytes: nested columns beside every edge cost Spark's Arrow writer more than all the rest.
+    Some texts are one row, bytes written as a string behind TEXTS: every further or nested column beside the edges costs
+    Spark's Arrow writer more than all the rest.
     """
 
-    def numbers() -> dict[str, int]:
-        """Numbers in the order in which keys are first asked for."""
-        return defaultdict(count().__next__)
-
-    def laid(heads, parts, part_of, find):
-        word_of, held, size = numbers(), [], []
-        for part in part_of:
-            # letters alone have no cut
-            mine = [SPACE + part] if part.isalpha() else [w for w in find(SPACE + part.replace(" ", SPACE)) if w]
-            held.extend(map(word_of.__getitem__, mine))
-            size.append(len(mine))
-        values, cuts = np.array(held, np.int32), np.concatenate([[0], np.cumsum(np.array(size, np.int64))])
-        words = pa.array(list(word_of), pa.string())
+    def laid(heads, places, units, find):
+        number, letters = count(), pc.utf8_is_alpha(units).to_numpy(zero_copy_only=False)
+        spaced, bare = defaultdict(number.__next__), defaultdict(number.__next__)  # of words without the space mark before them, and others
+        spaced.update(zip(_strings(units.filter(pa.array(letters))), number))  # letters alone have no cut
+        held, size = [], []
+        for unit in _strings(units.filter(pa.array(~letters))):
+            before = len(held)
+            if unit[-1:] in apart and unit[:-1].isalpha():
+                held += spaced[unit[:-1]], bare[unit[-1]]
+            else:
+                held += [spaced[w[1:]] if w[0] == SPACE else bare[w] for w in find(SPACE + unit.replace(" ", SPACE)) if w]
+            size.append(len(held) - before)
+        counts = np.ones(len(units), np.int64)
+        counts[~letters] = size
+        cuts, whole = np.concatenate([[0], np.cumsum(counts)]), np.repeat(letters, counts)
+        values = np.empty(len(whole), np.int32)
+        values[whole], values[~whole] = np.arange(letters.sum()), held
+        words = pa.concat_arrays([pc.binary_join_element_wise(SPACE, pa.array(list(spaced), pa.string()), ""), pa.array(list(bare), pa.string())])
+        words = words.take(pa.array(np.argsort([*spaced.values(), *bare.values()])))
         # the strings would otherwise stay while all that follows is done with the rows
-        part_of.clear(), word_of.clear(), held.clear(), size.clear()
+        spaced.clear(), bare.clear(), held.clear(), size.clear()
         for lo in range(0, len(words), ROWS):
-            some = words[lo:lo + ROWS]
-            yield pa.RecordBatch.from_arrays([some, pa.nulls(len(some), pa.binary())], names=["word", "rows"])
-        for head, mine in zip(heads, parts):
-            found, counts = _gathered(values, cuts, np.concatenate([*mine, np.zeros(0, np.int32)]))
-            before = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum([len(m) for m in mine])])]
+            yield pa.RecordBatch.from_arrays([words[lo:lo + ROWS]], names=["word"])
+        for head, (at, mine) in zip(heads, places, strict=True):
+            found, counts = _gathered(values, cuts, mine)
+            before = np.concatenate([[0], np.cumsum(counts)])[at]
             lists = pa.ListArray.from_arrays(pa.array(before, pa.int32()), pa.array(found, pa.int32()))
             sink = pa.BufferOutputStream()
             batch = pa.RecordBatch.from_arrays([*head.columns, lists], names=[*head.schema.names, "words"])
             with pa.ipc.new_stream(sink, batch.schema) as stream:
                 stream.write_batch(batch)
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["word", "rows"])
+            yield pa.RecordBatch.from_arrays([pa.array([TEXTS + sink.getvalue().to_pybytes().decode("latin-1")], pa.string())], names=["word"])
 
-    def places(batch, part_of, spaced) -> list[np.ndarray]:
-        held = []
-        for raw in batch.column("text").to_pylist():
-            units = _spaced(raw.decode("utf-8", "replace"), spaced) if raw else []
-            held.append(np.fromiter(map(part_of.__getitem__, units), np.int32, len(units)))
-        return held
+    def block(heads, units, ends, find):
+        coded = pa.chunked_array(units, pa.string()).dictionary_encode()
+        units.clear()
+        names = coded.chunk(0).dictionary if coded.num_chunks else pa.array([], pa.string())
+        # cut by the slices' own sizes: an empty chunk does not come back
+        codes = np.concatenate([*(c.indices.to_numpy() for c in coded.chunks), np.zeros(0, np.int32)])
+        places = np.split(codes, np.cumsum([at[-1] for at in ends])[:-1])
+        return laid(heads, zip(ends, places, strict=True), names, find)
 
     def run(batches):
         import regex
 
-        find, spaced = regex.compile(pattern).findall, re.compile(" +[^ ]*").findall
-        heads, parts, part_of, size = [], [], numbers(), 0
-        for batch in sliced(batches, "text", most=4 << 20):
-            parts.append(places(batch, part_of, spaced))
+        find = regex.compile(pattern).findall
+        heads, units, ends, size = [], [], [], 0
+        for batch in sliced(batches, "text", most=TEXT_BYTES):
+            lists = _units(batch.column("text"))
+            units.append(lists.flatten())
+            ends.append(np.concatenate([[0], np.cumsum(pc.fill_null(lists.value_lengths(), 0).to_numpy())]))
             # copied, or else the texts' buffer stays with them
             heads.append(batch.select(["_f", "_r", "id"]).take(pa.array(np.arange(batch.num_rows))))
             size += pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
             if size >= most:
-                yield from laid(heads, parts, part_of, find)
-                heads, parts, part_of, size = [], [], numbers(), 0
+                yield from block(heads, units, ends, find)
+                heads, units, ends, size = [], [], [], 0
         if heads:
-            yield from laid(heads, parts, part_of, find)
+            yield from block(heads, units, ends, find)
 
     return run
 
@@ -394,12 +427,12 @@ def _placed(names: list[str], pieces: Pieces, decoded):
         ids_of = _piece_ids(pieces)
         values, cuts, ids, size = None, None, [], []
         for batch in batches:
-            is_word = batch.column("rows").is_null().to_numpy(zero_copy_only=False)
+            word = batch.column("word")
+            is_word = pc.invert(pc.starts_with(word, TEXTS)).to_numpy(zero_copy_only=False)
             turns = [0, *(np.flatnonzero(is_word[1:] != is_word[:-1]) + 1), batch.num_rows] if batch.num_rows else [0]
             for lo, hi in zip(turns[:-1], turns[1:]):
-                part = batch.slice(lo, hi - lo)
                 if is_word[lo]:
-                    own, counts = ids_of(part.column("word"), part.column("mask"))
+                    own, counts = ids_of(word[lo:hi], batch.column("mask")[lo:hi])
                     ids.append(own)
                     size.append(counts)
                     continue
@@ -407,8 +440,8 @@ def _placed(names: list[str], pieces: Pieces, decoded):
                     values = np.concatenate([*ids, np.zeros(0, np.int32)])
                     cuts = np.concatenate([[0], np.cumsum(np.concatenate([*size, np.zeros(0, np.int64)]))]).astype(np.int64)
                     ids, size = [], []
-                for rows in part.column("rows"):
-                    texts = pa.ipc.open_stream(rows.as_buffer()).read_next_batch()
+                for rows in word[lo:hi].to_pylist():
+                    texts = pa.ipc.open_stream(rows[len(TEXTS):].encode("latin-1")).read_next_batch()
                     which, at = _flat(texts.column("words"))
                     got, counts = _gathered(values, cuts, which)
                     begin = np.concatenate([[0], np.cumsum(counts)])[at]
@@ -424,7 +457,7 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", id_col: str
     """(_f, _r, id, ids) per row, and with ``decoded`` the text that the ids decode to; ``most`` bytes of text close a block."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = keyed(docs, F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    blocks = rows.mapInArrow(tidy(_blocks(pieces.word, most)), "word string, rows binary")
+    blocks = rows.mapInArrow(tidy(_blocks(pieces.word, pieces.apart, most)), "word string")
     found = folded(blocks, pieces, fold)
     names = ["_f", "_r", "id", "ids", *(["decoded"] if decoded else [])]
     schema = f"_f long, _r long, id {kind}, ids array<int>" + (", decoded string" if decoded else "")

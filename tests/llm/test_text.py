@@ -359,10 +359,33 @@ def test_sentencepiece_blocks_let_go_of_their_strings():
     rows = pa.RecordBatch.from_pydict({"_f": [0], "_r": [0], "id": [1], "text": [text.encode()]})
     tracemalloc.start()
     try:
-        batches = sentencepiece_lattice._blocks(pieces.word, 1 << 20)(iter([rows]))
+        batches = sentencepiece_lattice._blocks(pieces.word, pieces.apart, 1 << 20)(iter([rows]))
         first = next(batches)
         held = tracemalloc.get_traced_memory()[0]
     finally:
         tracemalloc.stop()
-    words = [w for b in [first, *batches] for w in b.column("word").to_pylist() if w]
+    words = [w for b in [first, *batches] for w in b.column("word").to_pylist() if not w.startswith("\n")]
     assert len(words) == len(set(words)) == 100_000 and held < 5_000_000
+
+
+def test_sentencepiece_blocks_keep_every_row(monkeypatch):
+    """Slices with nothing but empty texts, runs of spaces, space marks and bytes that are no UTF-8."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(sentencepiece_lattice, "TEXT_BYTES", 1)
+    pieces = sentencepiece_lattice.Pieces(sentencepiece_lattice.model_path())
+    texts = [b"", None, b"a b", b"", b" ", b"  x  yy. ", "▁m▁▁n".encode(), b"a\n b\n", b"\xff z\xc3", None, b"\n", b"a b"]
+    for most in (1 << 20, 0):
+        rows = [pa.RecordBatch.from_pydict({"_f": [0], "_r": [i], "id": [i], "text": pa.array([x], pa.binary())}) for i, x in enumerate(texts)]
+        whole = pa.RecordBatch.from_pydict({"_f": [0] * len(texts), "_r": list(range(len(texts))), "id": list(range(len(texts))), "text": pa.array(texts, pa.binary())})
+        for batches in (rows, [whole], [whole.slice(0, 7), whole.slice(7)]):
+            words, got, placed = [], {}, False
+            for batch in sentencepiece_lattice._blocks(pieces.word, pieces.apart, most)(iter(batches)):
+                row = batch.column("word")[0].as_py()
+                if row.startswith(sentencepiece_lattice.TEXTS):
+                    part = pa.ipc.open_stream(row[2:].encode("latin-1")).read_next_batch().to_pydict()
+                    got |= {r: "".join(words[w] for w in mine) for r, mine in zip(part["_r"], part["words"])}
+                    placed = True
+                else:  # the words of another block
+                    words, placed = ([] if placed else words) + batch.column("word").to_pylist(), False
+            assert got == {i: ("▁" + x.decode("utf-8", "replace").replace(" ", "▁") if x else "") for i, x in enumerate(texts)}
