@@ -8,6 +8,7 @@ with vectors, never with each other, and a pass over them moves one vector as lo
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import ceil, isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +19,11 @@ from cohortile.functions.sizing import small_side
 from cohortile.operators import ranks
 from cohortile.operators.cohort import keep_members, lookup_with_overrides, map_ids, require_aligned
 from cohortile.operators.explore import add_up
-from cohortile.operators.matrix import per_feature, with_complete_samples
 from cohortile.session import stored
 
 CHUNK = 1 << 16  # numbers of a vector that move as one row
 BLOCK_BYTES = 4 << 20  # values of a block of samples
+TILE = 512  # rows on either side of the products that a task holds at once
 TOL, STEPS = 1e-10, 100
 
 
@@ -93,12 +94,22 @@ def training_table(cells: DataFrame, labels: DataFrame, overrides: DataFrame, ma
 
 
 def sample_vectors(train: DataFrame, positive: str, feature: str, sample: str, value: str) -> DataFrame:
-    """(sample, positive, v): centred values of every sample in feature order, stored."""
-    whole = with_complete_samples(train, train.select(sample), feature, sample, value)
-    centred = per_feature(whole.withColumn(value, F.col(value).cast("double")), feature, scale=False, value=value, out=value)
-    cells = F.array_sort(F.collect_list(F.struct(feature, value)))
-    return stored(centred.groupBy(sample, F.col(positive).alias("positive")).agg(cells.alias("_c")).select(
-        sample, "positive", F.col(f"_c.{value}").alias("v")), "vectors")
+    """(sample, positive, v): centred values of every sample in feature order, stored.
+
+    The query fails if a sample does not have every feature exactly once. The means come as one array as long as the
+    features, as a model does; samples are only ever grouped, so neither a feature's samples nor their names meet in one place.
+    """
+    cells = train.withColumn(value, F.col(value).cast("double"))
+    means = cells.groupBy(feature).agg(F.avg(value).alias("_mean"))
+    centre = means.agg(F.array_sort(F.collect_list(F.struct(feature, "_mean"))).alias("_m")).scalar()
+    listed = F.array_sort(F.collect_list(F.struct(feature, value)))
+    packed = cells.groupBy(sample, F.col(positive).alias("positive")).agg(listed.alias("_c")).withColumn("_m", centre)
+    said = F.concat(F.lit(f"unequal samples: {sample} "), F.coalesce(F.col(sample).cast("string"), F.lit("NULL")), F.lit(" has "), F.size("_c").cast("string"), F.lit(f" {feature} values, "),
+                    F.size(F.array_intersect(F.col(f"_c.{feature}"), F.col(f"_m.{feature}"))).cast("string"), F.lit(" of the "),
+                    F.size("_m").cast("string"), F.lit(" expected ones"))
+    right = F.col(sample).isNotNull() & (F.col(f"_c.{feature}") == F.col(f"_m.{feature}"))
+    v = F.zip_with("_c", "_m", lambda c, m: c[value] - m["_mean"])
+    return stored(packed.select(sample, "positive", F.when(right, v).otherwise(F.raise_error(said)).alias("v")), "vectors")
 
 
 def _summed(rows: DataFrame, d: int, part_of: Callable) -> np.ndarray:
@@ -182,9 +193,14 @@ def correlate(df: DataFrame, keys, x: str, y: str, out: str) -> DataFrame:
     return s.select(*keys, F.try_divide(cov, scale).alias(out))
 
 
-def _blocks(rows: DataFrame, d: int, name: str, size: int) -> DataFrame:
-    """(p, ids, x): the vectors v of ``rows`` (id, v) as matrices of about ``size`` bytes, numbered from 0 and stored."""
+def _blocks(rows: DataFrame, n: int, d: int, name: str, size: int, of: Callable = np.asarray) -> DataFrame:
+    """(p, ids, x): what ``of`` makes of the vectors v of the ``n`` ``rows`` (id, v), as matrices of about ``size`` bytes, numbered from 0 and stored.
+
+    How many there are follows from the vectors, not from the partitions they come in; pairs of blocks are enough for all cores.
+    """
     most = max(1, size // (8 * d))
+    parts = max(ceil(n / most), isqrt(rows.sparkSession.sparkContext.defaultParallelism) + 1)
+    most += most // 8  # partitions are not quite even
 
     def run(batches):
         from pyspark import TaskContext
@@ -202,30 +218,64 @@ def _blocks(rows: DataFrame, d: int, name: str, size: int) -> DataFrame:
                     yield block()
                     at, ids, held = at + 1, [], []
                 ids.append(i[lo:lo + most])
-                held.append(x[lo:lo + most])
+                held.append(of(x[lo:lo + most]))
         if ids:
             yield block()
 
-    made = stored(rows.select(F.col("id").cast("long"), "v").mapInArrow(run, "block long, ids array<long>, x binary"), name)
+    made = stored(rows.select(F.col("id").cast("long"), "v").repartition(parts).mapInArrow(run, "block long, ids array<long>, x binary"), name)
     number = ranks.with_position(made.select("block"), [], [F.col("block")], "p")  # a row per block
     return stored(made.join(small_side(number), "block").select((F.col("p") - 1).alias("p"), "ids", "x"), name)
 
 
+def _tiles(n: int, m: int):
+    """Slices of n rows and of m rows that pair all of them; those on the diagonal are equal."""
+    for i in range(0, n, TILE):
+        for j in range(0, m, TILE):
+            yield slice(i, i + TILE), slice(j, j + TILE)
+
+
+def _gradients(same: bool, w: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """For every row of w the sum of (1 - sigmoid) x over the rows of x, without its own where they are the ``same`` vectors."""
+    out = np.zeros_like(w)
+    for i, j in _tiles(len(w), len(x)):
+        p = 1 - _sigmoid(w[i] @ x[j].T)
+        if same and i == j:
+            np.fill_diagonal(p, 0.0)
+        out[i] += p @ x[j]
+    return out
+
+
+def _curvatures(same: bool, w: np.ndarray, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """For every row of w the curvature over the rows of x times its row of q."""
+    out = np.zeros_like(w)
+    for i, j in _tiles(len(w), len(x)):
+        p = _sigmoid(w[i] @ x[j].T)
+        p = p * (1 - p) * (q[i] @ x[j].T)
+        if same and i == j:
+            np.fill_diagonal(p, 0.0)
+        out[i] += p @ x[j]
+    return out
+
+
 class _Blocks:
-    """Blocks of vectors that every block of another table meets: broadcast below the bound, else joined pair by pair."""
+    """Blocks of vectors that every block of another table meets, pair by pair.
+
+    A pair is a key of a shuffled join, so the blocks never come to the driver, whatever their size.
+    """
 
     def __init__(self, blocks: DataFrame, d: int):
         self.n, self.d = blocks.count(), d
-        self.side = small_side(blocks.select(F.col("p").alias("_to"), F.col("x").alias("_right")))
+        self.side = blocks.select(F.col("p").alias("_to"), F.col("x").alias("_right"))
 
-    def meet(self, left: DataFrame, columns: list[str], part_of: Callable) -> DataFrame:
-        """(p, _sum): for every block of ``left`` the arrays that ``part_of`` makes of it and each block here, added up.
+    def meet(self, left: DataFrame, n: int, columns: list[str], part_of: Callable) -> DataFrame:
+        """(p, _sum): for each of the ``n`` blocks of ``left`` the arrays that ``part_of`` makes of it and each block here, added up.
 
-        ``part_of`` gets whether both are the same block, then ``columns`` of the left one and the vectors here as matrices.
+        ``part_of`` gets whether both are the same block, then ``columns`` of the left one and the vectors here, as flat arrays.
         """
-        d = self.d
-        every = F.explode(F.sequence(F.lit(0), F.lit(self.n - 1)).cast("array<long>"))
-        pairs = left.select("p", *columns).withColumn("_to", every).join(self.side, "_to")
+        numbers = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)).cast("array<long>"))
+        dealt = lambda df: df.repartition(n * self.n, "p", "_to")  # noqa: E731  about a pair a task, which gets all its pairs in one batch
+        every = dealt(self.side.withColumn("p", numbers(n))).hint("merge")  # a small file would be broadcast
+        pairs = dealt(left.select("p", *columns).withColumn("_to", numbers(self.n))).join(every, ["p", "_to"])
 
         def row(p, x):
             return pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), pa.array([x])], names=["p", "_sum"])
@@ -235,13 +285,13 @@ class _Blocks:
             for batch in batches:
                 for r in range(batch.num_rows):
                     p, to = batch.column("p")[r].as_py(), batch.column("_to")[r].as_py()
-                    made = part_of(p == to, *(np.frombuffer(batch.column(c)[r].as_buffer(), float).reshape(-1, d) for c in (*columns, "_right")))
+                    made = part_of(p == to, *(np.frombuffer(batch.column(c)[r].as_buffer(), float) for c in (*columns, "_right")))
                     if p not in held and len(held) > 4:
                         yield from [row(k, held.pop(k)) for k in list(held)]
                     held[p] = held[p] + made if p in held else made
             yield from [row(k, x) for k, x in held.items()]
 
-        return add_up(pairs.select("p", "_to", *columns, "_right").mapInArrow(run, "p long, _sum array<double>"), ["p"], "_sum")
+        return add_up(pairs.select("p", "_to", *columns, "_right").mapInArrow(run, "p long, _sum array<double>"), ["p"], "_sum").hint("merge")
 
 
 class _Folds:
@@ -284,24 +334,21 @@ class _Folds:
 
     def gradient(self, table: DataFrame) -> DataFrame:
         """``table`` and, as the array _sum, the sum of (1 - sigmoid) x over the other vectors at w + s."""
+        d = self.d
+
         def part_of(same, w, s, x):
-            p = 1 - _sigmoid((w + s) @ x.T)
-            if same:
-                np.fill_diagonal(p, 0.0)
-            return (p @ x).ravel()
+            return _gradients(same, (w + s).reshape(-1, d), x.reshape(-1, d)).ravel()
 
-        return table.join(self.vectors.meet(table, ["w", "s"], part_of), "p")
+        return table.join(self.vectors.meet(table, self.vectors.n, ["w", "s"], part_of), "p")
 
     def curvature(self, table: DataFrame) -> DataFrame:
         """``table`` and, as the array _sum, the sum of the curvature's products with q at w."""
+        d = self.d
+
         def part_of(same, w, q, x):
-            p = _sigmoid(w @ x.T)
-            p = p * (1 - p) * (q @ x.T)
-            if same:
-                np.fill_diagonal(p, 0.0)
-            return (p @ x).ravel()
+            return _curvatures(same, *(m.reshape(-1, d) for m in (w, q, x))).ravel()
 
-        return table.join(self.vectors.meet(table, ["w", "q"], part_of), "p")
+        return table.join(self.vectors.meet(table, self.vectors.n, ["w", "q"], part_of), "p")
 
     def solve(self, max_steps: int) -> DataFrame:
         """(p, ids, x, w) with the model of every fold; raises if a gradient does not vanish."""
@@ -370,6 +417,19 @@ def _spearman(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.round((n * (a @ b.T) - np.outer(a.sum(axis=1), b.sum(axis=1))) / np.outer(np.sqrt(va), np.sqrt(vb)), 12)
 
 
+def _own(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The correlation of every row of ``a`` with the same row of ``b``."""
+    return np.concatenate([np.diag(_spearman(a[i], b[i])) for i, j in _tiles(len(a), len(b)) if i == j])
+
+
+def _below(mine: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many rows of ``b`` correlate less with each row of ``a`` than ``mine`` says."""
+    out = np.zeros(len(a))
+    for i, j in _tiles(len(a), len(b)):
+        out[i] += (mine[i, None] > _spearman(a[i], b[j])).sum(axis=1)
+    return out
+
+
 def leave_one_out(train: DataFrame, positive: str = "positive", *, lam: float = 1.0, feature: str = "feature",
                   sample: str = "sample", value: str = "value", tol: float = TOL, max_steps: int = STEPS,
                   block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -386,22 +446,25 @@ def leave_one_out(train: DataFrame, positive: str = "positive", *, lam: float =
         raise ValueError("leave-one-out needs two positive samples")
     start = _trained(own, n, d, lam, tol, max_steps)
     numbered = ranks.with_position(own.select(sample), [], [F.col(sample)], "id")
-    folds = _blocks(own.join(numbered, sample).select((F.col("id") - 1).alias("id"), "v"), d, "fold-blocks", block_bytes)
+    folds = _blocks(own.join(numbered, sample).select((F.col("id") - 1).alias("id"), "v"), n, d, "fold-blocks", block_bytes)
     bar = tol * max(1.0, np.linalg.norm(_summed(own, d, lambda x: x.sum(axis=0))) / (2 * n))
-    models = _Folds(folds, n, d, lam, start, bar).solve(max_steps)
+    solver = _Folds(folds, n, d, lam, start, bar)
+    models = solver.solve(max_steps)
     background = rows.filter(~F.col("positive")).select(F.lit(0).alias("id"), "v")
     others = background.count()
     if not others:
         return models.select(F.explode("ids").cast("int").alias("fold"), F.lit(None).cast("double").alias("auc"), F.lit(None).cast("double").alias("running_auc"))
 
-    def below(_, w, x, other):
+    def ranked(w, x):
         a = double_ranks(np.round(w, 12))
-        mine = np.diag(_spearman(a, double_ranks(np.round(x, 12))))[:, None]
-        theirs = _spearman(a, double_ranks(np.round(other, 12)))
-        return (mine > theirs).sum(axis=1).astype(float)
+        return {"a": a, "mine": _own(a, double_ranks(np.round(x, 12)))}, 0.0, 0.0
+
+    def below(_, a, mine, other):
+        return _below(mine, a.reshape(-1, d), other.reshape(-1, d))
 
-    left = models.select("p", "ids", "w", F.col("x").alias("own"))
-    counts = _Blocks(_blocks(background, d, "background-blocks", block_bytes), d).meet(left, ["w", "own"], below)
+    left, _ = solver.changed(models, ["w", "x"], ranked)
+    against = _blocks(background, others, d, "background-blocks", block_bytes, lambda x: double_ranks(np.round(x, 12)))
+    counts = _Blocks(against, d).meet(left, solver.vectors.n, ["a", "mine"], below)
     each = left.select("p", "ids").join(counts, "p").select(F.explode(F.arrays_zip("ids", "_sum")).alias("z"))
     auc = each.select(F.col("z.ids").cast("int").alias("fold"), (F.col("z._sum") / others).alias("auc"))
     return ranks.with_running_mean(auc, "fold", "auc", "running_auc")

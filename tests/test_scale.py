@@ -1,6 +1,7 @@
 """What only shows on large or uneven tables: very many ties, samples that do not match, repeated writes, unfinished solvers."""
 
 import os
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -55,6 +56,59 @@ def test_training_refuses_a_feature_without_a_sample(spark):
         signature.train_signature(spark.createDataFrame(rows, "feature int, sample int, value double, positive boolean")).collect()
 
 
+def test_leave_one_out_sends_no_blocks_and_no_samples_over_the_driver(spark, monkeypatch):
+    """What meets in pairs goes by shuffle and a feature's samples by groups, however small their files are."""
+    rng, plans = np.random.default_rng(8), {}
+    rows = [(f, s, float(rng.normal() + (s < 5) * f), s < 5) for f in range(3) for s in range(12)]
+    train = spark.createDataFrame(rows, "feature int, sample int, value double, positive boolean")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(signature, "stored", lambda df, name="table", f=signature.stored: plans.setdefault(name, []).append(plan(df)) or f(df, name))
+    out = signature.leave_one_out(train, block_bytes=60)
+    seen = [*plans["vectors"], *plans["folds"], plan(out)]
+    assert sum("_right" in p for p in seen) > 2 and not any("Broadcast" in p for p in seen)
+    assert not any("Window" in p for p in plans["vectors"])
+    assert sorted(r.fold for r in out.collect()) == [0, 1, 2, 3, 4]
+
+
+def test_blocks_follow_the_vectors_and_not_the_partitions(spark):
+    rows = spark.range(0, 200, 1, 50).select("id", F.array(*[F.col("id") * 1.0] * 4).alias("v"))
+    blocks = signature._blocks(rows, 200, 4, "blocks", 32 * 40).collect()
+    assert 5 <= len(blocks) <= 10 and sorted(b.p for b in blocks) == list(range(len(blocks)))
+    assert sorted(i for b in blocks for i in b.ids) == list(range(200))
+    assert all((np.frombuffer(b.x).reshape(-1, 4)[:, 0] == b.ids).all() and len(b.ids) <= 45 for b in blocks)
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_products_of_blocks_are_made_tile_by_tile(same):
+    rng = np.random.default_rng(9)
+    w, q, x = rng.normal(size=(3, 1300, 4))
+    p = 1 / (1 + np.exp(-(w @ x.T)))
+    keep = 1 - np.eye(len(x)) * same
+    assert np.allclose(signature._gradients(same, w, x), ((1 - p) * keep) @ x)
+    assert np.allclose(signature._curvatures(same, w, q, x), (p * (1 - p) * (q @ x.T) * keep) @ x)
+    a, b, own = (signature.double_ranks(m) for m in (w, x[:1100], q))
+    a[:3] = 5.0  # rows without any order correlate with nothing
+    with np.errstate(invalid="ignore"):
+        rho = np.array([[np.corrcoef(r, s)[0, 1] for s in b[:40]] for r in a[:40]])
+    mine = signature._own(a, own)
+    assert np.isnan(mine[:3]).all() and np.allclose(mine[3:40], [np.corrcoef(r, s)[0, 1] for r, s in zip(a[3:40], own[3:40])])
+    assert np.array_equal(signature._below(mine[:40], a[:40], b[:40]), (mine[:40, None] > np.round(rho, 12)).sum(axis=1))
+    assert np.array_equal(signature._below(mine, a, b), sum((mine[:, None] > signature._spearman(a, b[k:k + 1])).sum(axis=1) for k in range(len(b))))
+    tracemalloc.start()
+    signature._curvatures(same, w, q, x)
+    signature._below(mine, a, b)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 1300 * 1300 * 8 * 1.5  # a table of all pairs and its copies take several times that
+
+
+def test_training_refuses_a_sample_twice_and_a_sample_without_a_name(spark):
+    rows = [(f, s, float(f * s + 1), s < 3) for f in range(4) for s in range(6)]
+    for odd in ([*rows, rows[0]], [(f, None if s == 5 else s, v, p) for f, s, v, p in rows]):
+        with pytest.raises(Exception, match="unequal samples"):
+            signature.train_signature(spark.createDataFrame(odd, "feature int, sample int, value double, positive boolean")).collect()
+
+
 def test_unfinished_training_raises(spark):
     rows = [(f, s, float((f + 1) * (s % 3) + s), s < 5) for f in range(3) for s in range(8)]
     train = spark.createDataFrame(rows, "feature int, sample int, value double, positive boolean")
